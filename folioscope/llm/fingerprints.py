@@ -29,8 +29,9 @@ from folioscope.llm.words import shingles, word_hashes
 K = 128
 SHINGLE = 5
 BITS = 48
-#: Ids of one run of ids at most, whose documents one task holds together.
-RUN = 256
+#: A run of ids has the same value but for so many low bits; one task holds its documents together.
+RUN_BITS = 8
+#: Stands for a null id; as an id of its own it would count as null.
 _LEAST = -(1 << 63)
 
 
@@ -99,7 +100,7 @@ def following_run(ids: DataFrame) -> DataFrame:
     among blocks, and around the end.
     """
     runs = ids.groupBy("run").agg(F.max("id").alias("top"))
-    block = F.floor(F.col("run") / 4096)
+    block = F.shiftright("run", 12)
     inside = Window.partitionBy("block").orderBy(F.col("run"))
     runs = runs.withColumn("block", block).withColumn("above", F.lead("run").over(inside))
     blocks = runs.groupBy("block").agg(F.min("run").alias("first"), F.max("run").alias("final"))
@@ -114,15 +115,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document, with its fingerprint, that of its edited text and their likeness.
 
     The edited text has the last floor(n/2) code points replaced by the first as many of the next
-    document in descending id. Documents meet in runs of neighbouring ids (``RUN`` ids at most);
+    document in descending id. Documents meet in runs of neighbouring ids (2 ** ``RUN_BITS`` ids at most);
     only the first document of each run is sent to a second place, the run that comes before.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LEAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), F.col(id_col).isNull().alias("no_id"))
-    rows = rows.withColumn("run", F.floor(F.col("id") / RUN).cast("bigint"))
-    ids = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LEAST)).alias("id")).withColumn("run", F.floor(F.col("id") / RUN).cast("bigint"))
-    links = following_run(ids)
-    dealt = rows.repartition("run")
-    first = dealt.join(links, (dealt["run"] == links["run"]) & (dealt["id"] == links["top"])).groupBy(links["last_run"].alias("to")).agg(F.max("body").alias("body"))
+    number = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LEAST)).alias("id")
+    with_run = F.shiftright("id", RUN_BITS)
+    # Both uses of the dealt rows have the same columns and key, so their one exchange is reused.
+    dealt = docs.select(number, F.coalesce(F.col(text_col), F.lit("")).alias("body")).withColumn("run", with_run).repartition("run")
+    links = following_run(docs.select(number).withColumn("run", with_run)).withColumnRenamed("run", "linked")
+    first = dealt.join(links, (dealt["run"] == links["linked"]) & (dealt["id"] >= links["top"])).groupBy(F.col("last_run").alias("to")).agg(F.max("body").alias("body"))
 
     def run(own: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["id", "body"], ascending=False, kind="stable")
@@ -134,7 +135,6 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pd.DataFrame(
             {
                 "id": own["id"].tolist(),
-                "no_id": own["no_id"].tolist(),
                 "n_chars": [len(t) for t in texts],
                 "edited_sha256": [hashlib.sha256(t).hexdigest() for t in raw],
                 "fingerprint": [pack(s) for s in mine[:-1]],
@@ -144,9 +144,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             }
         )
 
-    schema = "id bigint, no_id boolean, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     found = dealt.groupBy("run").cogroup(first.groupBy("to")).applyInPandas(lambda a, b: run(a, b) if len(a) else pd.DataFrame(), schema)
-    return found.select(F.when(~F.col("no_id"), F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), *found.columns[2:])
+    return found.select(F.when(F.col("id") != _LEAST, F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), *found.columns[1:])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
