@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import bpe, exact_dedup, fingerprints, license_scan
+from folioscope.llm import bpe, exact_dedup, fingerprints, language_id, license_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_language_id": language_id.op5,
         "op6_exact_dedup": exact_dedup.op6,
         "op7_license_scan": license_scan.op7,
         "op8_bpe": bpe.op8,
