@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import bpe, exact_dedup, fingerprints, language_id, license_scan
+from folioscope.llm import bpe, exact_dedup, fingerprints, language_id, license_scan, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": exact_dedup.op6,
         "op7_license_scan": license_scan.op7,
         "op8_bpe": bpe.op8,
+        "op9_quality": quality.op9,
         "op10_fingerprints": fingerprints.op10,
     }
 

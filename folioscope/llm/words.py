@@ -49,7 +49,7 @@ def _hash_buffer(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = True) -> Iterator[np.ndarray]:
     """The hashes of each text's words, in order; about a megabyte of text at a time."""
     at = 0
     while at < len(texts):
@@ -57,7 +57,8 @@ def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
         while to < len(texts) and (to == at or size + len(texts[to]) < _PIECE):
             size += len(texts[to]) + 1
             to += 1
-        start, hashes = _hash_buffer(b"\n".join(texts[at:to]).lower())
+        data = b"\n".join(texts[at:to])
+        start, hashes = _hash_buffer(data.lower() if lower else data)
         ends = np.cumsum([len(t) + 1 for t in texts[at:to]])
         cuts = np.searchsorted(start, ends)
         before = 0
