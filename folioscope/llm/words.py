@@ -35,8 +35,8 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _hash_buffer(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of a buffer."""
+def _hash_buffer(data: bytes, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of a buffer, and of the first bytes of longer words."""
     b = np.frombuffer(data, np.uint8)
     word = ~_SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]])))
@@ -46,11 +46,23 @@ def _hash_buffer(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     up, down = _tables(len(b))
     with np.errstate(over="ignore"):
         total = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])])
-        return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        starts, hashes = [start], [mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))]
+        for n in prefixes:
+            at = start[end - start > n]
+            starts.append(at)
+            hashes.append(mix((total[at + n] - total[at]) * down[at] + np.uint64(n)))
+        if not prefixes:
+            return start, hashes[0]
+        every = np.concatenate(starts)
+        order = np.argsort(every, kind="stable")
+        return every[order], np.concatenate(hashes)[order]
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> Iterator[np.ndarray]:
-    """The hashes of each text's words, in order; about a megabyte of text at a time."""
+def word_hashes(texts: list[bytes], lower: bool = True, prefixes: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
+    """The hashes of each text's words, in order; about a megabyte of text at a time.
+
+    With prefixes, the first so many bytes of longer words follow each word.
+    """
     at = 0
     while at < len(texts):
         size, to = 0, at
@@ -58,7 +70,7 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> Iterator[np.ndarray]:
             size += len(texts[to]) + 1
             to += 1
         data = b"\n".join(texts[at:to])
-        start, hashes = _hash_buffer(data.lower() if lower else data)
+        start, hashes = _hash_buffer(data.lower() if lower else data, prefixes)
         ends = np.cumsum([len(t) + 1 for t in texts[at:to]])
         cuts = np.searchsorted(start, ends)
         before = 0
