@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import bpe, exact_dedup, fingerprints, language_id, license_scan, quality, toxicity
+from folioscope.llm import bpe, exact_dedup, fingerprints, language_id, license_scan, mixing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing": mixing.op2,
         "op4_toxicity": toxicity.op4,
         "op5_language_id": language_id.op5,
         "op6_exact_dedup": exact_dedup.op6,
