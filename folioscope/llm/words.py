@@ -58,10 +58,11 @@ def _hash_buffer(data: bytes, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarra
         return every[order], np.concatenate(hashes)[order]
 
 
-def word_hashes(texts: list[bytes], lower: bool = True, prefixes: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = True, prefixes: tuple[int, ...] = (), heads: bool = False) -> Iterator:
     """The hashes of each text's words, in order; about a megabyte of text at a time.
 
-    With prefixes, the first so many bytes of longer words follow each word.
+    With prefixes, the first so many bytes of longer words follow each word. With heads, each text
+    gives a pair: the hashes and the words' first two bytes (the second is 0 in a word of one).
     """
     at = 0
     while at < len(texts):
@@ -70,12 +71,17 @@ def word_hashes(texts: list[bytes], lower: bool = True, prefixes: tuple[int, ...
             size += len(texts[to]) + 1
             to += 1
         data = b"\n".join(texts[at:to])
-        start, hashes = _hash_buffer(data.lower() if lower else data, prefixes)
+        data = data.lower() if lower else data
+        start, hashes = _hash_buffer(data, prefixes)
+        if heads:
+            b = np.frombuffer(data + b"\n", np.uint8)
+            second = b[start + 1]
+            first_two = b[start].astype(np.uint16) * np.uint16(256) + np.where(_SPACE[second], 0, second).astype(np.uint16)
         ends = np.cumsum([len(t) + 1 for t in texts[at:to]])
         cuts = np.searchsorted(start, ends)
         before = 0
         for cut in cuts.tolist():
-            yield hashes[before:cut]
+            yield (hashes[before:cut], first_two[before:cut]) if heads else hashes[before:cut]
             before = cut
         at = to
 
