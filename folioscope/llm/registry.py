@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import bpe, exact_dedup, fingerprints, language_id, license_scan, lm_score, mixing, quality, toxicity
+from folioscope.llm import bpe, exact_dedup, fingerprints, language_id, license_scan, lm_score, mixing, near_dedup, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_score": lm_score.op1,
         "op2_mixing": mixing.op2,
+        "op3_ngram_jaccard": near_dedup.op3,
         "op4_toxicity": toxicity.op4,
         "op5_language_id": language_id.op5,
         "op6_exact_dedup": exact_dedup.op6,
