@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from folioscope.llm.runtime import documents, durable, utf8
 from folioscope.llm.words import mix, word_hashes
 
-TOP, WORD_CLASSES, RARE = 1024, 32, 32
+TOP, WORD_CLASSES, RARE = 1024, 32, 16
 PER_CLASS = TOP // WORD_CLASSES
 CLASSES = WORD_CLASSES + RARE
 CLASS_ROWS, WORD_ROWS = 1 << 15, 1 << 14
 ROUNDS = 2
 HEAVY = 2_000_000
 FAN = 64
-BATCH = 8192
+BATCH = 4096
 RATE, DAMP = 0.35, 0.5
 _BLOCK = 2048
 _GATHER = 4_000_000
@@ -108,12 +108,13 @@ class Model:
 
     @staticmethod
     def chances(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        logits = bias + weights[rows[0]]
+        """Weights stay far below what overflows an exponential, so no maximum is taken off."""
+        logits = weights.take(rows[0], axis=0)
         for r in rows[1:]:
-            logits += weights[r]
-        logits -= logits.max(axis=1, keepdims=True)
+            logits += weights.take(r, axis=0)
+        logits += bias
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        logits *= (1 / np.einsum("ij->i", logits))[:, None]
         return logits
 
     def log_chances(self, every: np.ndarray, one: np.ndarray, two: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -159,11 +160,16 @@ class Learner:
             ordered = rows[order]
             first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
             at = ordered[first]
-            n = np.diff(np.append(first, len(rows))).astype(np.float32)[:, None]
-            g = np.add.reduceat(slope[order], first, axis=0) / np.sqrt(n)
-            square = self.squares[table][at] + g * g
+            n = np.diff(np.append(first, len(rows))).astype(np.float32)
+            g = np.add.reduceat(slope.take(order, axis=0), first, axis=0)
+            g *= (1 / np.sqrt(n))[:, None]
+            square = self.squares[table].take(at, axis=0)
+            square += g * g
             self.squares[table][at] = square
-            weights[at] -= RATE * g / np.sqrt(square)
+            np.sqrt(square, out=square)
+            g *= RATE
+            g /= square
+            weights[at] -= g
             self.touched[table][at] = True
 
     def changes(self) -> pd.DataFrame:
@@ -190,7 +196,7 @@ def batches_of(docs: Iterator[np.ndarray], size: int = BATCH) -> Iterator[list[n
         yield held
 
 
-def cut(docs: list[np.ndarray], size: int = 4 * BATCH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def cut(docs: list[np.ndarray], size: int = 2 * BATCH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Tokens and histories in pieces, so that a long document needs no more memory than others."""
     every, one, two = histories(docs)
     for at in range(0, len(every), size):
