@@ -44,9 +44,14 @@ def paragraphs_of(text: str) -> list[str]:
     return [b.strip("\n") for b in blocks if b.strip()]
 
 
-@F.pandas_udf("array<string>")
-def paragraphs(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: paragraphs_of(t or ""))
+def paragraphs(texts: Column) -> Column:
+    """paragraphs_of as a column, in Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def split(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: paragraphs_of(x or ""))
+
+    return split(texts)
 
 
 def merge_small(items: Column, least: int = MIN_CHARS) -> Column:

@@ -211,17 +211,18 @@ def closure(edges: DataFrame, items: DataFrame, depth: int = 32) -> DataFrame:
 
     Each round only follows what the round before found; it ends when nothing is new.
     """
-    links = edges.select("doc_id", "source", "target").distinct()
-    found = items.select("doc_id", "id").distinct()
+    links = cut(edges.select("doc_id", "source", "target").distinct())
+    items = cut(items.select("doc_id", "id").distinct())
+    found = items
     new = found
     for _ in range(depth):
-        above = new.join(links, (new["doc_id"] == links["doc_id"]) & (new["id"] == links["target"])).select(links["doc_id"], F.col("source").alias("id")).distinct()
+        above = new.join(links.withColumnRenamed("target", "id"), ["doc_id", "id"]).select("doc_id", F.col("source").alias("id")).distinct()
         new = above.join(found, ["doc_id", "id"], "left_anti")
         new = cut(new)
         if new.isEmpty():
             break
         found = found.unionByName(new)
-    below = items.join(links, (items["doc_id"] == links["doc_id"]) & (items["id"] == links["source"])).select(items["doc_id"], F.col("target").alias("id"))
+    below = items.join(links.withColumnRenamed("source", "id"), ["doc_id", "id"]).select("doc_id", F.col("target").alias("id"))
     return found.unionByName(below).distinct()
 
 

@@ -23,13 +23,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _load() -> None:
+    from folioscope.plans import graph_queries, text_queries  # noqa: F401  registering is what they do
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["ranked_subgraph"](spark, sf_dir)
+    return queries()["ranked_subgraph"](spark, sf_dir)

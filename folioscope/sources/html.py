@@ -6,6 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLOCKS = {"p", "div", "section", "article", "blockquote"}
@@ -58,6 +59,11 @@ def markdown_of(html: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-@F.pandas_udf("string")
-def html_to_markdown(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda h: markdown_of(h or ""))
+def html_to_markdown(pages: Column) -> Column:
+    """markdown_of as a column, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def convert(p: pd.Series) -> pd.Series:
+        return p.map(lambda h: markdown_of(h or ""))
+
+    return convert(pages)
