@@ -139,6 +139,15 @@ class Scanner:
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         self.sequences = [[self.ids[w] for w in t] for t in texts]
         self.automaton = SuffixAutomaton(self.sequences)
+        # The phrases that end wherever a state is reached: those of its chain of suffix links.
+        self.ending: list[list[int]] = [[] for _ in self.automaton.step]
+        for number, sequence in enumerate(self.sequences[: len(self.phrases)]):
+            state = 0
+            for word in sequence:
+                state = self.automaton.step[state][word]
+            self.ending[state].append(number)
+        for state in sorted(range(1, len(self.ending)), key=self.automaton.length.__getitem__):
+            self.ending[state] = self.ending[state] + self.ending[self.automaton.link[state]]
         self.shortest = min(MIN_MATCH, *(len(s) for s in self.sequences[: len(self.phrases)] or [[0] * MIN_MATCH]))
 
     def runs(self, words: list[bytes]) -> list[tuple[int, list[int]]]:
@@ -155,9 +164,9 @@ class Scanner:
             states, matched = self.automaton.stream(ids)
             for at, (state, n) in enumerate(zip(states, matched, strict=True)):
                 if n >= self.shortest:
-                    for number, end in self.automaton.ends[state]:
-                        if number < len(self.phrases) and end == len(self.sequences[number]) - 1 and n > end:
-                            places.append((start + at - end, self.phrases[number][1]))
+                    for number in self.ending[state]:
+                        if n >= (size := len(self.sequences[number])):
+                            places.append((start + at - size + 1, self.phrases[number][1]))
                 if n >= MIN_MATCH and (at + 1 == len(ids) or matched[at + 1] <= n):
                     matches += [(number, end - n + 1, start + at - n + 1, n) for number, end in self.automaton.ends[state]]
         labels, best, spans = {label for _, label in places}, 0.0, []
