@@ -47,5 +47,6 @@ def run(stream: DataFrame, index_path: str, outcome_path: str, checkpoint: str,
 
 def files(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
     """A stream of (path, sha256) of a folder's files."""
-    found = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", per_batch).load(path)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    found = spark.readStream.schema(schema).format("binaryFile").option("maxFilesPerTrigger", per_batch).load(path)
     return found.select("path", F.sha2("content", 256).alias("sha256"))
