@@ -27,9 +27,11 @@ from folioscope.llm.words import word_hashes
 DIMS = 1 << 15
 #: About so many documents train the scorer.
 SAMPLE = 8000
-#: A document goes if the scorer holds it bad at four to one or more.
-KEEP = 0.2
+#: A document goes if the scorer holds it bad at seven to three or more.
+KEEP = 0.3
 EPOCHS = 6
+#: A heuristic is assumed to call at most this share of good documents bad.
+WRONG = 0.003
 #: Frequent short words of some languages; a fixed list.
 COMMON = frozenset(b"the of and to in is that it was for on are with as be at by this from or an le la les de des du et un une est en que qui dans pour pas sur au der die das und ist von den mit sich auf nicht ein eine zu dem im el los las del y una por con para se su al no".split())
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -73,26 +75,31 @@ def votes(text: bytes) -> list[int]:
 def posteriors(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
     """The chance that a document of each vote pattern is good, and each heuristic's accuracy.
 
-    EM over two classes; a heuristic's three answers are independent given the class. It starts
-    from what any vote for bad would mean, so the second class stays the good one.
+    EM over one class of good documents and one kind of bad ones for each heuristic that can say
+    bad; heuristics answer independently given the class. A kind starts from the documents that its
+    heuristic calls bad, so defects that never come together don't compete, and heuristics that
+    overlap share their kinds.
     """
     if not patterns:
         return {}, np.zeros(0)
     seen = np.array([p for p, _ in patterns])
     weight = np.array([n for _, n in patterns], float)
-    good = np.where((seen < 0).any(axis=1), 0.1, 0.95)
     answers = np.stack([seen == a for a in (-1, 0, 1)], axis=2).astype(float)
+    called = (seen < 0).astype(float)
+    held = np.concatenate([np.where(called.any(axis=1), 0.1, 0.95)[:, None], called + 0.05 / seen.shape[1]], axis=1)
+    held[:, 1:] *= ((1 - held[:, 0]) / held[:, 1:].sum(axis=1))[:, None]
     for _ in range(rounds):
-        tables, prior = [], []
-        for mass in (weight * (1 - good), weight * good):
-            table = np.einsum("p,pha->ha", mass, answers) + 0.5
-            tables.append(np.log(table / table.sum(axis=1, keepdims=True)))
-            prior.append(np.log((mass.sum() + 1.0) / (weight.sum() + 2.0)))
-        bad_log, good_log = (prior[c] + np.einsum("pha,ha->p", answers, tables[c]) for c in (0, 1))
-        new = 1 / (1 + np.exp(np.clip(bad_log - good_log, -50, 50)))
-        if np.abs(new - good).max() < 1e-6:
+        mass = weight[:, None] * held
+        table = np.einsum("pc,pha->cha", mass, answers) + 0.1
+        table /= table.sum(axis=2, keepdims=True)
+        table[0, :, 0] = np.minimum(table[0, :, 0], WRONG)
+        logs = np.log((mass.sum(axis=0) + 0.1) / (weight.sum() + 1)) + np.einsum("pha,cha->pc", answers, np.log(table))
+        new = np.exp(logs - logs.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
+        moved, held = np.abs(new - held).max(), new
+        if moved < 1e-6:
             break
-        good = new
+    good = held[:, 0]
     right = np.einsum("p,ph->h", weight * good, seen == 1) + np.einsum("p,ph->h", weight * (1 - good), seen == -1)
     return dict(zip(map(tuple, seen.tolist()), good.tolist(), strict=True)), right / np.maximum(1, np.einsum("p,ph->h", weight, seen != 0))
 
@@ -109,7 +116,9 @@ def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = EPOCHS, rate: float = 1.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias of logistic regression on soft targets, by AdaGrad over small batches."""
+    """Weights and bias of logistic regression on soft targets, by AdaGrad over small batches. Small
+    tables are gone through more often, so there are always as many steps."""
+    epochs = max(epochs, EPOCHS * SAMPLE // len(rows))
     weights, bias, squares, bias_square = np.zeros(DIMS, np.float64), 0.0, np.full(DIMS, 1e-3), 1e-3
     order = np.random.default_rng(7)
     for _ in range(epochs):
@@ -148,12 +157,13 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
         for b in batches:
             texts = utf8(b["body"].tolist())
             found = list(features(texts))
-            yield pd.DataFrame({"dims": [d for d, _ in found], "value": [v for _, v in found], "target": [posterior[tuple(votes(t))] for t in texts], "tie": [f"{i}" for i in b["id"]]})
+            yield pd.DataFrame({"dims": [d.tobytes() for d, _ in found], "value": [v.tobytes() for _, v in found], "target": [posterior[tuple(votes(t))] for t in texts], "tie": [f"{i}" for i in b["id"]]})
 
-    kept = drawn.select("id", "body").mapInPandas(sampled, "dims array<int>, value array<float>, target double, tie string").orderBy("tie", "target").collect()
-    if not kept:
+    kept = drawn.select("id", "body").mapInPandas(sampled, "dims binary, value binary, target double, tie string").orderBy("tie", "target").toArrow()
+    if not kept.num_rows:
         return {"posterior": posterior, "accuracy": accuracy, "weights": None, "bias": 0.0}
-    weights, bias = train([(np.array(r["dims"], np.int64), np.array(r["value"])) for r in kept], np.array([r["target"] for r in kept]))
+    vectors = [(np.frombuffer(d, np.int32), np.frombuffer(v, np.float32)) for d, v in zip(kept["dims"].to_pylist(), kept["value"].to_pylist(), strict=True)]
+    weights, bias = train(vectors, kept["target"].to_numpy())
     return {"posterior": posterior, "accuracy": accuracy, "weights": weights, "bias": bias}
 
 
