@@ -1,12 +1,11 @@
-"""What the operators share: durable cuts of lineage and typed batch mapping."""
+"""What the operators share: durable cuts of lineage and the way texts are read."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,26 +22,39 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: it outlives any executor."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.durable_path = path
+    return found
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def discard(table: DataFrame) -> None:
+    """Delete the files of a durable table that nothing needs any more."""
+    jvm, path = table.sparkSession._jvm, table.durable_path
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
+
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps, which it does when plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
 
-def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply a function to each Arrow batch; nothing is kept between batches."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield rows(batch)
+#: Rows of an Arrow batch. Whole texts are long, so a batch of the usual ten thousand would take
+#: hundreds of megabytes of a Python worker.
+BATCH_ROWS = 1000
 
-    return df.mapInArrow(run, schema)
 
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH_ROWS at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
-def column(batch: pa.RecordBatch, name: str) -> list:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def utf8(texts: list[str | None]) -> list[bytes]:

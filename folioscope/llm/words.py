@@ -15,7 +15,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _powers: list[np.ndarray] = []
 
 
@@ -59,7 +59,7 @@ def _hash_buffer(data: bytes, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarra
 
 
 def word_hashes(texts: list[bytes], lower: bool = True, prefixes: tuple[int, ...] = (), heads: bool = False) -> Iterator:
-    """The hashes of each text's words, in order; about a megabyte of text at a time.
+    """The hashes of each text's words, in order; a quarter of a megabyte of text at a time.
 
     With prefixes, the first so many bytes of longer words follow each word. With heads, each text
     gives a pair: the hashes and the words' first two bytes (the second is 0 in a word of one).
