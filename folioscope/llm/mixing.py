@@ -68,7 +68,7 @@ def budgets(tokens: Mapping[Path, int], total: float, weights: Mapping[Path, flo
                 if node not in siblings:
                     siblings.append(node)
     out: dict[Path, float] = {}
-    todo = [((), min(total, room.get((), 0.0)))]
+    todo = [((), min(total, room[()]))] if tokens else []
     while todo:
         node, target = todo.pop()
         if node not in children:
@@ -95,7 +95,7 @@ def mix_sources(
 ) -> DataFrame:
     """One row per document: id, the levels, n_tokens, budget of its leaf, copies.
 
-    ``levels`` are (name, expression) from the root down; tokens are runs of non-white space;
+    ``levels`` are (name, expression) from the root down; ``ranges`` is a power of two, two at least; tokens are runs of non-white space;
     copies is how often the mixture has the document (whole epochs and the last, partial one).
     Columns in ``carry`` are passed through.
     """
