@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from folioscope.llm.runtime import documents, durable
+from folioscope.llm.runtime import documents, durable, small_batches
 
 #: Share of the tokens that are left when the mixture is drawn.
 MIXTURE = 0.8
@@ -18,6 +18,7 @@ MIXTURE = 0.8
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
@@ -28,6 +29,7 @@ def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similarity of five-word shingles (0.8 or more), one."""
+    small_batches(spark)
     return near_dedup.keep_one(docs, 5, 80)
 
 
@@ -38,6 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the whole texts, and what decoding them gives."""
+    small_batches(spark)
     ids = bpe.encode_column(docs.select("doc_id", "lang", "source", "n_chars", "text"))
     return bpe.decode_column(ids).select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
