@@ -1,19 +1,21 @@
 """N-gram Jaccard join with vertical partitioning.
 
-A document is the set of its distinct word shingles. All shingles have one global order: those that
-are frequent in a sample of documents come last, by frequency, the others by hash; any order gives
-the same result, this one keeps common passages out of the way. Documents of equal sets are one
-class. Two classes can be similar enough only if they share a shingle within their first few
-(their prefix), which gives the candidate pairs. The global order is cut into fragments; for each
-candidate pair the overlap is counted in each fragment apart, from the fragments' own rows, and
-the parts are summed per pair.
+A document is the set of its distinct word shingles. All shingles have one global order: by hash,
+but those that many documents have among their first shingles come last, by how many. Any order
+gives the same result; this one keeps common passages out of the candidates. Documents of equal
+sets are one class. Two classes can be similar enough only if they share a shingle within their
+first few (their prefix), which gives the candidate pairs. The global order is cut into fragments;
+for each candidate pair the overlap is counted in each fragment apart, from the fragments' own
+rows, and the parts are summed per pair. Before that a pair must pass the first fragment: the
+prefixes' overlap bounds that of the sets.
 
 A shingle that more than ``SMALL`` classes have in their prefixes doesn't give all pairs: its
-classes are compared with the smallest of them only (a star). Members that this did not connect
-to that hub are then compared, in blocks of about ``BLOCK`` classes, with the members that are in
-other components; these tasks count overlaps by fragment too and return a spanning forest. Every
-pair that shares a prefix shingle is thus either compared or known to be connected, so components
-are exact; nothing is capped.
+classes are dealt to bands of size, and each is compared with the first class of its own band and
+of the one below (the hubs); similar sets are in the same or neighbouring bands. Members that this
+did not connect to their hub are then compared with those of other components in blocks of about
+``BLOCK`` classes, whose tasks count overlaps by fragment and return a spanning forest. Every pair
+that shares a prefix shingle is thus either compared or known to be connected, so components are
+exact; nothing is capped.
 
 Defined cases: a text with fewer words than a shingle is one shingle; a null text or one without
 words is the empty set and linked with nothing; rows of a null id take part but are never a
@@ -32,15 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.runtime import documents, durable, utf8
+from folioscope.llm.runtime import discard, documents, durable, release, utf8
 from folioscope.llm.words import mix, shingles, word_hashes
 
-#: Documents of the sample that tells frequent shingles, and in how many of them one must be.
-SAMPLE, FREQUENT = 4000, 4
-MOST_FREQUENT = 1 << 17
+#: Shingles that either count puts last in the order at most; a driver and each task hold them (16 bytes each).
+MOST_FREQUENT = 1 << 18
 SMALL = 16
-BLOCK = 256
+BLOCK = 128
 FRAGMENTS = 4
+#: Share of hashes that may be in a prefix, beyond what the threshold asks for.
+SLACK = 0.4
 _BITS = 23
 
 
@@ -54,16 +57,13 @@ def sets_of(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
         yield np.unique(shingles(words, k))
 
 
-def order_of(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens in the global order, and their frequencies in the sample (0 if not frequent)."""
+def often(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many documents have each token among their first ones, 0 if few."""
     known, count = frequent
-    if len(known):
-        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        often = np.where(known[at] == tokens, count[at], 0)
-    else:
-        often = np.zeros(len(tokens), np.int64)
-    order = np.lexsort((tokens, often))
-    return tokens[order], often[order]
+    if not len(known):
+        return np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return np.where(known[at] == tokens, count[at], 0)
 
 
 def digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -74,128 +74,263 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(int(p.view(np.int64)) for p in parts)
 
 
-def frequent_shingles(rows: DataFrame, k: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of the sample have, by hash, and how many have each."""
-    total = rows.count()
-    drawn = rows if total <= sample else rows.where(F.pmod(F.xxhash64("id", F.lit("shingle sample")), F.lit(1 << 30)) < F.lit(int(sample / total * (1 << 30))))
+def low_cut(percent: int) -> int:
+    """Hashes below this are counted: a prefix lies below it unless much of it is frequent."""
+    return int(min(1.0, (1 - percent / 100) * (1 + SLACK) + 0.01) * (1 << 64)) - 1
+
+
+def document_sets(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """(row, id, n, k1, k2, low) of each document, written; row numbers the rows, low holds the
+    smallest hashes: at least a prefix and all that are counted."""
+    cut = np.uint64(low_cut(percent))
 
     def run(batches):
         for b in batches:
-            found = list(sets_of(utf8(b["body"].tolist()), k))
-            token, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, int))
-            yield pd.DataFrame({"token": token.view(np.int64), "n": n})
+            out = []
+            for tokens in sets_of(utf8(b["body"].tolist()), k):
+                size = max(prefix_length(len(tokens), percent), int(np.searchsorted(tokens, cut)))
+                out.append((len(tokens), *digest(tokens), tokens[:size].copy().view(np.int64)))
+            yield pd.DataFrame(out, columns=["n", "k1", "k2", "low"]).assign(id=b["id"].values)
+
+    kind = rows.schema["id"].dataType.simpleString()
+    found = rows.select("id", "body").mapInPandas(run, f"id {kind}, n bigint, k1 bigint, k2 bigint, low array<bigint>")
+    return durable(found.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
+
 
-    counted = drawn.select("body").mapInPandas(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
+def frequent_shingles(sets: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Low hashes that more than SMALL documents have, and how many have each; counted over all."""
+    # Hashes are unsigned and columns are not: the order is that of the flipped top bit.
+    place = F.col("token").bitwiseXOR(F.lit(-(1 << 63)))
+    counted = sets.select(F.explode("low").alias("token")).where(place < F.lit(low_cut(percent) - (1 << 63)))
+    top = counted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
     token = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     return token[order], top["n"].to_numpy(np.int64)[order]
 
 
-def document_sets(rows: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """(row, id, n, k1, k2, prefix, common) of each document, written; row numbers the rows. The
-    prefix is in two parts, its rare shingles and its frequent ones (common)."""
+_PREFIX = "cid bigint, n bigint, prefix array<bigint>, own int, spare int, last_often bigint, last bigint"
+_COLUMNS = ["cid", "n", "prefix", "own", "spare", "last_often", "last"]
+
+
+def _prefix(n: int, ordered: np.ndarray, freq: np.ndarray, percent: int) -> tuple:
+    """Columns n to last of _PREFIX, given a prefix of tokens in the global order."""
+    last = (int(freq[-1]), int((ordered[-1:] ^ np.uint64(1 << 63)).view(np.int64)[0]))
+    spare = (freq > 0) | (ordered >= np.uint64(low_cut(percent)))
+    return n, ordered.view(np.int64), int((freq == 0).sum()), int(spare.sum()), *last
+
+
+def _rare_prefix(n: int, low: np.ndarray, percent: int, frequent) -> np.ndarray | None:
+    """The prefix if low hashes that are not frequent suffice for it."""
+    tokens = np.asarray(low, np.int64).view(np.uint64)
+    rare = tokens[often(tokens, frequent) == 0]
+    size = prefix_length(n, percent)
+    return rare[:size] if len(rare) >= size else None
+
+
+def merged_counts(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Several tables of frequent shingles as one, the larger count of each."""
+    token, count = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.lexsort((-count, token))
+    token, count = token[order], count[order]
+    first = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
+    return token[first], count[first]
+
+
+def with_higher(rows: DataFrame, sets: DataFrame, reps: DataFrame, k: int, percent: int, frequent) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
+    """frequent with the shingles that are frequent among the classes whose low hashes mostly are:
+    the next ones of a text with many near copies are as common as the first. Also the texts of
+    these classes (cid, k1, k2, body)."""
     shipped = rows.sparkSession.sparkContext.broadcast(frequent)
 
-    def run(batches):
+    def wanting(batches):
+        for b in batches:
+            lacks = [_rare_prefix(n, low, percent, shipped.value) is None for n, low in zip(b["n"], b["low"], strict=True)]
+            yield b.loc[lacks, ["row"]]
+
+    lacking = sets.where("n > 0").select("row", "n", "low").mapInPandas(wanting, "row bigint").withColumnRenamed("row", "cid")
+    lacking = durable(reps.select("cid", "id", "k1", "k2").join(lacking, "cid", "left_semi"), "jaccard-lacking")
+
+    def count(batches):
+        for b in batches:
+            token, n = np.unique(np.concatenate(list(sets_of(utf8(b["body"].tolist()), k))), return_counts=True)
+            yield pd.DataFrame({"token": token.view(np.int64), "n": n})
+
+    texts = durable(texts_of(rows, lacking), "jaccard-texts")
+    counted = texts.select("body").mapInPandas(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counted.where(F.col("n") > SMALL).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
+    return merged_counts(frequent, (top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))), texts
+
+
+def prefixes(rows: DataFrame, sets: DataFrame, reps: DataFrame, k: int, percent: int, frequent, texts: DataFrame) -> DataFrame:
+    """(cid, n, prefix, own, spare, last_often, last) of classes; own is how many shingles of
+    the prefix are not frequent, spare how many are frequent or were not counted, (last_often, last)
+    the place of its last one in the global order. Where too many low hashes are frequent, the text is
+    needed: it is among texts (cid, k1, k2, body), or read again."""
+    shipped = rows.sparkSession.sparkContext.broadcast(frequent)
+
+    def from_low(batches):
         for b in batches:
             out = []
-            for tokens in sets_of(utf8(b["body"].tolist()), k):
-                ordered, often = order_of(tokens, shipped.value)
-                size = prefix_length(len(tokens), percent)
-                rare = int((often[:size] == 0).sum())
-                out.append((len(tokens), *digest(tokens), ordered[:rare].view(np.int64), ordered[rare:size].view(np.int64)))
-            yield pd.DataFrame(out, columns=["n", "k1", "k2", "prefix", "common"]).assign(id=b["id"].values)
+            for cid, n, low in zip(b["row"], b["n"], b["low"], strict=True):
+                rare = _rare_prefix(n, low, percent, shipped.value)
+                out.append((cid, n, None, 0, 0, 0, 0) if rare is None else (cid, *_prefix(n, rare, np.zeros(len(rare), np.int64), percent)))
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
-    kind = rows.schema["id"].dataType.simpleString()
-    found = rows.select("id", "body").mapInPandas(run, f"id {kind}, n bigint, k1 bigint, k2 bigint, prefix array<bigint>, common array<bigint>")
-    return durable(found.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
+    first = durable(sets.where("n > 0").select("row", "n", "low").mapInPandas(from_low, _PREFIX), "jaccard-prefixes")
+    missing = first.where("prefix IS NULL").select("cid").join(texts.select("cid"), "cid", "left_anti")
+    wanted = reps.select("cid", "id", "k1", "k2").join(missing, "cid", "left_semi")
+
+    def from_text(batches):
+        for b in batches:
+            out = []
+            for cid, k1, k2, tokens in zip(b["cid"], b["k1"], b["k2"], sets_of(utf8(b["body"].tolist()), k), strict=True):
+                if digest(tokens) == (k1, k2):
+                    freq = often(tokens, shipped.value)
+                    order = np.lexsort((tokens, freq))[: prefix_length(len(tokens), percent)]
+                    out.append((cid, *_prefix(len(tokens), tokens[order], freq[order], percent)))
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
+    again = durable(texts.unionByName(texts_of(rows, durable(wanted, "jaccard-again"))).mapInPandas(from_text, _PREFIX).dropDuplicates(["cid"]), "jaccard-ordered")
+    return first.where("prefix IS NOT NULL").join(reps.select("cid"), "cid", "left_semi").unionByName(again)
 
-_PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("nx", pa.int64()), ("ny", pa.int64()), ("star", pa.bool_())])
+
+_PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("nx", pa.int64()), ("ny", pa.int64()), ("spare", pa.int64()), ("star", pa.bool_())])
+
+
+def band_width(percent: int) -> float:
+    """Sets that are similar enough differ by this at most in the logarithm of their size."""
+    return float(np.log(100 / percent)) * (1 + 1e-9) if percent < 100 else 1e-6
 
 
 def bucket_pairs(percent: int, small: int = SMALL):
-    """A function over batches sorted by (token, cid): all pairs of a small run, a star of a large one."""
+    """A function over batches of (token, cid, n, spare) sorted by (token, n, cid): all pairs of a small
+    run, stars of a large one."""
+    width = band_width(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        hub = None  # (token, cid, n) of a large run that may go on
+        held, large = [np.zeros(0, np.int64)] * 4, False  # the last run so far; of a large one, its last two hubs
         for batch in batches:
-            token, cid, n = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
-            yield from emit(token, cid, n, hub, False)
+            token, cid, n, spare = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
             if not len(token):
                 continue
+            yield from emit(token, cid, n, spare, large, False)
             first = int(np.searchsorted(token, token[-1]))
-            if hub is not None and hub[0] != token[-1]:
-                hub = None
-            if hub is None and len(token) - first > small:
-                hub = (token[-1], cid[first], n[first])
-            held = [token[:0]] * 3 if hub is not None else [a[first:] for a in (token, cid, n)]
+            large = len(token) - first > small or large and first == 0
+            at = np.arange(first, len(token))
+            if large:
+                band = np.floor(np.log(n[first:]) / width)
+                at = first + np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))[-2:]
+            held = [a[at] for a in (token, cid, n, spare)]
         if len(held[0]):
-            yield from emit(*held, hub, True)
+            yield from emit(*held, large, True)
 
-    def emit(token, cid, n, hub, last):
-        if not len(token):
-            return
+    def emit(token, cid, n, spare, goes_on, last):
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(start, len(token)))
         run_of = np.repeat(np.arange(len(start)), size)
-        first = np.repeat(start, size)
         large = size > small
-        goes_on = hub is not None and token[0] == hub[0]
-        if goes_on:
-            large[0] = True
-        skip = np.zeros(len(start), bool)
-        if not last and not large[-1]:
-            skip[-1] = True  # it may go on in the next batch
-        x, y, nx, ny, star = [], [], [], [], []
-        usable = (~large & ~skip)[run_of]
-        for gap in range(1, small):
-            i = np.flatnonzero(usable[:-gap] & (run_of[gap:] == run_of[:-gap])) if gap < len(token) else np.zeros(0, int)
+        large[0] |= goes_on
+        usable = ~large
+        if not last:
+            usable[-1] = False  # it may go on in the next batch
+        usable = usable[run_of]
+        found = []
+
+        def pair(i, j, star):
+            if len(i):
+                x, y = (i, j) if star else (np.where(cid[i] < cid[j], i, j), np.where(cid[i] < cid[j], j, i))
+                found.append((cid[x], cid[y], n[x], n[y], np.minimum(spare[x], spare[y]), np.full(len(i), star)))
+
+        for gap in range(1, min(small, len(token))):
+            i = np.flatnonzero(usable[:-gap] & (run_of[gap:] == run_of[:-gap]))
             if not len(i):
                 break
-            j = i + gap
-            fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            i, j = i[fit], j[fit]
-            x.append(cid[i]), y.append(cid[j]), nx.append(n[i]), ny.append(n[j]), star.append(np.zeros(len(i), bool))
+            pair(*(a[100 * n[i] >= percent * n[i + gap]] for a in (i, i + gap)), False)
         i = np.flatnonzero(large[run_of])
         if len(i):
-            hub_cid, hub_n = cid[first[i]], n[first[i]]
-            if goes_on:
-                same = run_of[i] == 0
-                hub_cid, hub_n = np.where(same, hub[1], hub_cid), np.where(same, hub[2], hub_n)
-            other = cid[i] != hub_cid
-            i = i[other]
-            x.append(hub_cid[other]), y.append(cid[i]), nx.append(hub_n[other]), ny.append(n[i]), star.append(np.ones(len(i), bool))
-        if sum(map(len, x)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in (x, y, nx, ny, star)], schema=_PAIRS)
+            band = np.floor(np.log(n[i]) / width).astype(np.int64)
+            new = np.concatenate([[True], (run_of[i][1:] != run_of[i][:-1]) | (band[1:] != band[:-1])])
+            part = np.cumsum(new) - 1
+            head = np.flatnonzero(new)
+            hub = i[head[part]]
+            below = np.maximum(part - 1, 0)
+            near = (part > 0) & (run_of[i] == run_of[i[head[below]]]) & (band == band[head[below]] + 1)
+            under = i[head[below]]
+            other = i != hub
+            pair(hub[other], i[other], True)
+            pair(under[near], i[near], True)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=_PAIRS)
 
     return run
 
 
-def candidate_pairs(reps: DataFrame, percent: int) -> DataFrame:
-    """(x, y, nx, ny, star), distinct, x < y, of classes (cid, n, prefix, common)."""
-    schema = "x bigint, y bigint, nx bigint, ny bigint, star boolean"
-    rare = reps.select(F.explode("prefix").alias("token"), "cid", "n")
-    # Of the frequent shingles there are MOST_FREQUENT at most: their hubs are found by a partially
-    # aggregated minimum and broadcast, so no task gets all documents of a common passage.
-    common = reps.select(F.explode("common").alias("token"), "cid", "n")
-    hubs = common.groupBy("token").agg(F.min(F.struct("cid", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    from_rare = rare.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(bucket_pairs(percent), schema)
-    from_common = common.join(F.broadcast(hubs), "token").where(F.col("cid") != F.col("hub.cid")).select(F.col("hub.cid").alias("x"), F.col("cid").alias("y"), F.col("hub.n").alias("nx"), F.col("n").alias("ny"), F.lit(True).alias("star"))
-    return from_rare.unionByName(from_common).groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.max("star").alias("star"))
+def candidate_pairs(ready: DataFrame, percent: int, frequent) -> DataFrame:
+    """(x, y, nx, ny, star), distinct, of classes (cid, n, prefix, own, spare); a star's x is its hub.
+
+    Pairs that are in no star have all their common shingles counted here, but for spare ones, so
+    those whose prefixes overlap too little are left out at once.
+    """
+    schema = "x bigint, y bigint, nx bigint, ny bigint, spare bigint, star boolean"
+    entries = ready.select(F.explode("prefix").alias("token"), "cid", "n", F.col("spare").cast("bigint").alias("spare"), "own")
+    known = ready.sparkSession.createDataFrame(pd.DataFrame({"token": frequent[0].view(np.int64)}), "token bigint")  # twice MOST_FREQUENT rows at most
+    # Hubs of frequent shingles come from a partially aggregated minimum, and the join with this one
+    # row a shingle and band can be broadcast or split, so no task gets all that share a passage. The
+    # class with fewest shingles of its own is the hub: of copies that differ, it is nearest to all.
+    common = entries.where("spare > 0").join(F.broadcast(known), "token").withColumn("band", F.floor(F.log("n") / band_width(percent)).cast("int"))
+    hubs = common.groupBy("token", F.col("band").alias("hub_band")).agg(F.min(F.struct("own", "cid", "n", "spare")).alias("hub"))
+    both = common.select("*", F.explode(F.array("band", F.col("band") - 1)).alias("hub_band"))
+    from_common = both.join(hubs, ["token", "hub_band"]).where(F.col("cid") != F.col("hub.cid")).select(
+        F.col("hub.cid").alias("x"), F.col("cid").alias("y"), F.col("hub.n").alias("nx"), F.col("n").alias("ny"), F.least("spare", "hub.spare").alias("spare"), F.lit(True).alias("star")
+    )
+    rare = entries.join(F.broadcast(known), "token", "left_anti").select("token", "cid", "n", "spare")
+    from_rare = rare.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(bucket_pairs(percent), schema)
+    summed = from_rare.unionByName(from_common).groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.max("star").alias("star"), F.min("spare").alias("spare"), F.count(F.lit(1)).alias("same"))
+    # What follows a prefix of n shingles: ceil(percent * n / 100) - 1.
+    rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+    most = F.greatest(rest("nx"), rest("ny")) + F.col("same") + F.col("spare")
+    whole = len(frequent[0]) >= MOST_FREQUENT  # then some that are not in the list may be in large runs
+    near = F.lit(whole) | F.col("star") | (most * (100 + percent) >= least_overlap(F.col("nx"), F.col("ny"), percent))
+    return summed.where(near).select("x", "y", "nx", "ny", "star")
+
+
+def least_overlap(nx, ny, percent: int):
+    """The overlap that similar sets of these sizes have at least, times 100 + percent."""
+    return (nx + ny) * percent
+
+
+def possible(pairs: DataFrame, ready: DataFrame, percent: int) -> DataFrame:
+    """Pairs of stars whose first fragment, the overlap of their prefixes, leaves them possible; the
+    members of stars have spare shingles."""
+    fit = pairs.where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+    place = ready.where("spare > 0").select("cid", F.col("prefix").alias("own"), "last_often", "last")
+    for side in ("x", "y"):
+        fit = fit.join(place.select(F.col("cid").alias(side), F.col("own").alias(f"own_{side}"), F.struct("last_often", "last").alias(f"last_{side}")), side)
+    same = F.size(F.array_intersect("own_x", "own_y"))
+    # All of the smaller-ending prefix lies within the other prefix's range: what it doesn't share is lost.
+    most = F.when(F.col("last_x") <= F.col("last_y"), F.col("nx") - F.size("own_x")).otherwise(F.col("ny") - F.size("own_y")) + same
+    return fit.where(most * (100 + percent) >= least_overlap(F.col("nx"), F.col("ny"), percent)).select("x", "y", "nx", "ny", "star")
+
+
+def seen_classes(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    seen = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct()
+    return durable(reps.join(seen, "cid", "left_semi").select("cid", "id", "k1", "k2"), "jaccard-wanted")
 
 
-def fragments(rows: DataFrame, wanted: DataFrame, k: int, frequent) -> DataFrame:
-    """(cid, f, tokens) of wanted classes (cid, id, k1, k2): the texts are read again and cut by the
-    global order. A bitmap of fixed size over ids keeps most other texts out of the shuffle."""
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, k1, k2, body) of wanted classes (cid, id, k1, k2). A bitmap of fixed size over ids keeps
+    most other texts out of the shuffle; ids that rows share give several, told apart by (k1, k2).
+    The wanted ones have no bound, so they are never broadcast and small tables have the same plan."""
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << _BITS))
     words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits"))
     some = rows.withColumn("bit", bit).join(F.broadcast(words), F.shiftright("bit", 6) == F.col("word"))
     some = some.where(F.expr("(shiftrightunsigned(bits, cast(bit & 63 AS int)) & 1) = 1")).select("id", "body")
-    joined = some.join(wanted.withColumnRenamed("id", "own"), F.col("id").eqNullSafe(F.col("own"))).select("cid", "k1", "k2", "body")
-    shipped = rows.sparkSession.sparkContext.broadcast(frequent[0])
+    return some.join(wanted.withColumnRenamed("id", "own").hint("merge"), F.col("id").eqNullSafe(F.col("own"))).select("cid", "k1", "k2", "body")
+
+
+def fragments(rows: DataFrame, wanted: DataFrame, k: int, frequent) -> DataFrame:
+    """(cid, f, tokens) of wanted classes: the texts are read again and cut by the global order."""
+    shipped = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         for b in batches:
@@ -203,81 +338,89 @@ def fragments(rows: DataFrame, wanted: DataFrame, k: int, frequent) -> DataFrame
             for cid, k1, k2, tokens in zip(b["cid"], b["k1"], b["k2"], sets_of(utf8(b["body"].tolist()), k), strict=True):
                 if digest(tokens) == (k1, k2):
                     part = ((tokens >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int64)
-                    if len(known := shipped.value):
-                        part[known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens] = FRAGMENTS - 1
+                    part[often(tokens, shipped.value) > 0] = FRAGMENTS - 1
                     out += [(cid, f, tokens[part == f].view(np.int64)) for f in range(FRAGMENTS)]
             yield pd.DataFrame(out, columns=["cid", "f", "tokens"])
 
-    cut = joined.mapInPandas(run, "cid bigint, f int, tokens array<bigint>")
-    return durable(cut, "jaccard-fragments")
+    # A row for each fragment, also if it is empty; repeated rows of one id and text give equal ones,
+    # so who reads them takes the largest of what equal keys give.
+    return durable(texts_of(rows, wanted).mapInPandas(run, "cid bigint, f int, tokens array<bigint>"), "jaccard-fragments")
 
 
 def overlaps(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
     """Pairs with linked: partial overlaps of each fragment, summed per pair."""
-    left = pairs.join(cut.select(F.col("cid").alias("x"), "f", F.col("tokens").alias("left")), "x")
-    both = left.join(cut.select(F.col("cid").alias("y"), "f", F.col("tokens").alias("right")), ["y", "f"])
-    part = both.select("x", "y", "nx", "ny", "star", F.size(F.array_intersect("left", "right")).alias("part"))
-    summed = part.groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.max("star").alias("star"), F.sum("part").alias("same"))
+    left = pairs.hint("merge").join(cut.select(F.col("cid").alias("x"), "f", F.col("tokens").alias("left")), "x")
+    both = left.hint("merge").join(cut.select(F.col("cid").alias("y"), "f", F.col("tokens").alias("right")), ["y", "f"])
+    part = both.select("x", "y", "f", "nx", "ny", F.size(F.array_intersect("left", "right")).alias("part"))
+    once = part.groupBy("x", "y", "f").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.max("part").alias("part"))
+    summed = once.groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("part").alias("same"))
     return summed.withColumn("linked", F.col("same") * 100 >= (F.col("nx") + F.col("ny") - F.col("same")) * percent)
 
 
 def forest(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Edges that connect what is linked between two blocks (cid, root, tokens), less what roots know."""
+    """Links between two blocks (cid, root, tokens) that connect different roots, a forest of them;
+    tokens has one array a fragment, whose overlaps are counted apart and summed per pair."""
     parent: dict[int, int] = {}
 
     def find(a: int) -> int:
         while (b := parent.setdefault(a, a)) != a:
-            parent[a] = parent.setdefault(b, b)
-            a = parent[a]
+            parent[a] = a = parent.setdefault(b, b)
         return a
 
-    root_of = dict(zip([*left["cid"], *right["cid"]], [*left["root"], *right["root"]], strict=True))
-    own = [np.asarray(t) for t in right["tokens"]]
-    sizes = np.array([len(t) for t in own])
-    tokens, holder = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, holder = tokens[order], holder[order]
+    names, roots = right["cid"].tolist(), right["root"].tolist()
+    index = []
+    for f in range(FRAGMENTS):
+        own = [np.asarray(t[f]) for t in right["tokens"]]
+        tokens, holder = np.concatenate(own), np.repeat(np.arange(len(own)), [len(t) for t in own])
+        order = np.argsort(tokens, kind="stable")
+        index.append((tokens[order], holder[order]))
+    sizes = np.array([sum(map(len, t)) for t in right["tokens"]])
     out = []
-    cut = np.linspace(-(2.0**63), 2.0**63, FRAGMENTS + 1)[1:-1].astype(np.int64)
-    names = right["cid"].to_numpy()
-    for cid, mine in zip(left["cid"], left["tokens"], strict=True):
-        mine = np.sort(np.asarray(mine))
-        same = np.zeros(len(own), np.int64)
-        for part in np.split(mine, np.searchsorted(mine, cut)):
+    for cid, root, mine in left[["cid", "root", "tokens"]].itertuples(index=False):
+        size = sum(map(len, mine))
+        if not ((100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)) & (np.array(roots) != root)).any():
+            continue
+        same = np.zeros(len(names), np.int64)
+        for (tokens, holder), part in zip(index, mine, strict=True):
             low, high = np.searchsorted(tokens, part, "left"), np.searchsorted(tokens, part, "right")
-            n = high - low
-            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
-            same += np.bincount(holder[at], minlength=len(own))
-        for j in np.flatnonzero(same * 100 >= (len(mine) + sizes - same) * percent).tolist():
-            a, b = find(root_of[cid]), find(root_of[int(names[j])])
+            times = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(part) else low
+            same += np.bincount(holder[at], minlength=len(names))
+        for j in np.flatnonzero(same * 100 >= (size + sizes - same) * percent).tolist():
+            a, b = find(root), find(roots[j])
             if a != b:
                 parent[a] = b
-                out.append((cid, int(names[j])))
+                out.append((cid, names[j]))
     return out
 
 
-def between_blocks(star: DataFrame, roots: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside stars (x, y, linked) that their hub didn't connect."""
-    members = star.select(F.col("x").alias("hub"), F.col("y").alias("cid")).unionByName(star.select(F.col("x").alias("hub"), F.col("x").alias("cid"))).distinct()
+def between_blocks(rows: DataFrame, star: DataFrame, roots: DataFrame, reps: DataFrame, k: int, percent: int, frequent) -> DataFrame:
+    """Links (a, b) inside stars (x, y) between what their hub hasn't connected."""
+    # Stars whose hubs are connected are one group, named by their root: they share most members.
+    by_root = star.join(roots.select(F.col("node").alias("x"), F.col("root").alias("hub")), "x", "left").select(F.coalesce("hub", "x").alias("hub"), "x", "y")
+    members = by_root.select("hub", F.col("y").alias("cid")).unionByName(by_root.select("hub", F.col("x").alias("cid"))).distinct()
     named = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    hub_root = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    named = named.join(hub_root, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-    loose = named.withColumn("loose", F.col("root") != F.col("hub_root"))
-    sizes = loose.groupBy("hub").agg(F.count(F.lit(1)).alias("all_n"), F.sum(F.col("loose").cast("int")).alias("loose_n")).where("loose_n > 0")
-    placed = loose.join(sizes, "hub").select(
-        "hub", "cid", "root", "loose",
-        F.ceil(F.col("all_n") / BLOCK).cast("int").alias("right_n"), F.ceil(F.col("loose_n") / BLOCK).cast("int").alias("left_n"),
+    loose = named.withColumn("loose", F.col("root") != F.col("hub"))
+    sizes = loose.groupBy("hub").agg(F.count(F.lit(1)).alias("all_n"), F.sum(F.col("loose").cast("int")).alias("loose_n")).where("loose_n > 0 AND all_n > 2")
+    placed = durable(
+        loose.join(sizes, "hub").select(
+            "hub", "cid", "root", "loose",
+            F.ceil(F.col("all_n") / BLOCK).cast("int").alias("right_n"), F.ceil(F.col("loose_n") / BLOCK).cast("int").alias("left_n"),
+        ), "jaccard-placed",
     )
+    if placed.isEmpty():
+        return placed.select(F.col("cid").alias("a"), F.col("root").alias("b"))
     spot = F.xxhash64("cid")
     right = placed.select("hub", "cid", "root", F.lit(False).alias("is_left"), F.explode(F.sequence(F.lit(0), F.col("left_n") - 1)).alias("left_at"), F.pmod(spot, "right_n").cast("int").alias("right_at"))
     left = placed.where("loose").select("hub", "cid", "root", F.lit(True).alias("is_left"), F.pmod(spot, "left_n").cast("int").alias("left_at"), F.explode(F.sequence(F.lit(0), F.col("right_n") - 1)).alias("right_at"))
-    whole = cut.groupBy("cid").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))  # FRAGMENTS rows a class
+    wanted = durable(reps.join(placed.select("cid").distinct(), "cid", "left_semi").select("cid", "id", "k1", "k2"), "jaccard-members")
+    whole = fragments(rows, wanted, k, frequent).groupBy("cid").agg(F.array(*[F.max(F.when(F.col("f") == f, F.col("tokens"))) for f in range(FRAGMENTS)]).alias("tokens"))
     filled = left.unionByName(right).join(whole, "cid")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("cid")
-        found = forest(group[group["is_left"]], group[~group["is_left"]], percent) if group["is_left"].any() and not group["is_left"].all() else []
-        return pd.DataFrame(found, columns=["a", "b"])
+        usable = group["is_left"].any() and not group["is_left"].all()
+        return pd.DataFrame(forest(group[group["is_left"]], group[~group["is_left"]], percent) if usable else [], columns=["a", "b"])
 
     return filled.groupBy("hub", "left_at", "right_at").applyInPandas(run, "a bigint, b bigint")
 
@@ -285,29 +428,33 @@ def between_blocks(star: DataFrame, roots: DataFrame, cut: DataFrame, percent: i
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, class_id (equal sets share one)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    frequent = frequent_shingles(rows, k)
-    sets = document_sets(rows, k, percent, frequent)
+    full = document_sets(rows, k, percent)
+    sets = durable(full.drop("low"), "jaccard-documents")
     classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("cid"), F.min("id").alias("least_id"))
-    reps = sets.where("n > 0").join(classes.select(F.col("cid").alias("row")), "row", "left_semi").select(F.col("row").alias("cid"), "id", "n", "k1", "k2", "prefix", "common")
-    pairs = durable(candidate_pairs(reps, percent), "jaccard-pairs")
-    seen = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct()
-    wanted = durable(reps.join(seen, "cid", "left_semi").select("cid", "id", "k1", "k2"), "jaccard-wanted")
-    cut = fragments(rows, wanted, k, frequent)
-    checked = durable(overlaps(pairs, cut, percent), "jaccard-overlaps")
+    reps = durable(sets.where("n > 0").join(classes.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid"), "jaccard-reps")
+    frequent, texts = with_higher(rows, full, reps, k, percent, frequent_shingles(full, percent))
+    ready = prefixes(rows, full, reps, k, percent, frequent, texts)
+    discard(full)
+    discard(texts)
+    release(docs.sparkSession)
+    found = durable(candidate_pairs(ready, percent, frequent), "jaccard-pairs")
+    release(docs.sparkSession)
+    pairs = durable(found.where("NOT star").unionByName(possible(found.where("star"), ready, percent)), "jaccard-possible")
+    checked = durable(overlaps(pairs, fragments(rows, seen_classes(pairs, reps), k, frequent), percent), "jaccard-overlaps")
     links = checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = durable(components(links, "jaccard-roots"), "jaccard-first")
-    star = checked.where("star")
+    release(docs.sparkSession)
+    roots = components(links, "jaccard-first")
+    star = found.where("star")
     if not star.isEmpty():
-        more = durable(between_blocks(star, roots, cut, percent), "jaccard-more")
+        more = durable(between_blocks(rows, star, roots, reps, k, percent, frequent), "jaccard-more")
         if not more.isEmpty():
-            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = durable(components(known.unionByName(more), "jaccard-all"), "jaccard-second")
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "jaccard-all")
     named = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_class = named.join(least, "root").select("k1", "k2", "component_id", F.col("cid").alias("class_id"))
-    full = sets.select("id", "n", "k1", "k2").join(by_class.withColumn("full", F.lit(True)), ["k1", "k2"], "left")
+    every = sets.select("id", "n", "k1", "k2").join(by_class, ["k1", "k2"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return full.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).alias("class_id"))
+    return every.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
