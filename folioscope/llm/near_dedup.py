@@ -265,6 +265,11 @@ def bucket_pairs(percent: int, small: int = SMALL):
     return run
 
 
+def is_cut(frequent) -> bool:
+    """Shingles that are not in the list may be in large runs too."""
+    return len(frequent[0]) >= MOST_FREQUENT
+
+
 def candidate_pairs(ready: DataFrame, percent: int, frequent) -> DataFrame:
     """(x, y, nx, ny, star), distinct, of classes (cid, n, prefix, own, spare); a star's x is its hub.
 
@@ -289,8 +294,7 @@ def candidate_pairs(ready: DataFrame, percent: int, frequent) -> DataFrame:
     # What follows a prefix of n shingles: ceil(percent * n / 100) - 1.
     rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
     most = F.greatest(rest("nx"), rest("ny")) + F.col("same") + F.col("spare")
-    whole = len(frequent[0]) >= MOST_FREQUENT  # then some that are not in the list may be in large runs
-    near = F.lit(whole) | F.col("star") | (most * (100 + percent) >= least_overlap(F.col("nx"), F.col("ny"), percent))
+    near = F.lit(is_cut(frequent)) | F.col("star") | (most * (100 + percent) >= least_overlap(F.col("nx"), F.col("ny"), percent))
     return summed.where(near).select("x", "y", "nx", "ny", "star")
 
 
@@ -299,11 +303,12 @@ def least_overlap(nx, ny, percent: int):
     return (nx + ny) * percent
 
 
-def possible(pairs: DataFrame, ready: DataFrame, percent: int) -> DataFrame:
-    """Pairs of stars whose first fragment, the overlap of their prefixes, leaves them possible; the
-    members of stars have spare shingles."""
+def possible(pairs: DataFrame, ready: DataFrame, percent: int, frequent) -> DataFrame:
+    """Pairs of stars whose first fragment, the overlap of their prefixes, leaves them possible. The
+    members of stars have spare shingles, unless the list of frequent ones was cut: then any class may
+    be in a star."""
     fit = pairs.where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-    place = ready.where("spare > 0").select("cid", F.col("prefix").alias("own"), "last_often", "last")
+    place = (ready if is_cut(frequent) else ready.where("spare > 0")).select("cid", F.col("prefix").alias("own"), "last_often", "last")
     for side in ("x", "y"):
         fit = fit.join(place.select(F.col("cid").alias(side), F.col("own").alias(f"own_{side}"), F.struct("last_often", "last").alias(f"last_{side}")), side)
     same = F.size(F.array_intersect("own_x", "own_y"))
@@ -439,7 +444,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     release(docs.sparkSession)
     found = durable(candidate_pairs(ready, percent, frequent), "jaccard-pairs")
     release(docs.sparkSession)
-    pairs = durable(found.where("NOT star").unionByName(possible(found.where("star"), ready, percent)), "jaccard-possible")
+    pairs = durable(found.where("NOT star").unionByName(possible(found.where("star"), ready, percent, frequent)), "jaccard-possible")
     checked = durable(overlaps(pairs, fragments(rows, seen_classes(pairs, reps), k, frequent), percent), "jaccard-overlaps")
     links = checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     release(docs.sparkSession)

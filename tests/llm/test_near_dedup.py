@@ -1,3 +1,4 @@
+import math
 import random
 
 import pyarrow as pa
@@ -58,6 +59,22 @@ def test_components_against_brute_force(spark, texts, monkeypatch, k, percent, s
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows, k, percent)
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_cut_list_of_frequent_shingles_against_brute_force(spark, monkeypatch, most):
+    """Texts that share a passage and are alone in their bands of size, and a near copy of each in
+    the next band."""
+    monkeypatch.setattr(N, "SMALL", 3)
+    monkeypatch.setattr(N.bucket_pairs, "__defaults__", (3,))
+    monkeypatch.setattr(N, "MOST_FREQUENT", most)
+    width, passage, rows = N.band_width(80), [f"common{i}" for i in range(30)], []
+    for j in range(18, 30, 2):
+        edge = int(math.exp(j * width)) + 1
+        text = [*passage, *(f"own{j}x{i}" for i in range(edge + 3 - len(passage)))]
+        rows += [(2 * j, " ".join(text[:-6])), (2 * j + 1, " ".join(text))]  # the hub's row comes first
+    found = N.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 1, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows, 1, 80)
+
+
 def test_odd_and_empty_tables(odd, empty):
     found = N.jaccard_components(odd, 3, 90).collect()
     assert len(found) == odd.count()
