@@ -75,3 +75,11 @@ def test_training_folds_of_many_tasks_agree(spark, corpus, monkeypatch):
 
 def test_empty_table(empty):
     assert S.score_documents(empty).count() == 0
+
+
+def test_rare_words_have_32_classes():
+    (found,) = S.tokens([" ".join(f"{a}{b}" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop").encode()])
+    assert len({int(t & S._LOW) for t in found}) > 16
+    rare = np.arange(64, dtype=np.uint64)
+    m = S.Model(np.zeros(0, np.uint64), np.zeros(0), np.ones(S.RARE), 1)
+    assert len(set(m.classes(rare, m.ranks(rare)).tolist())) == 32
