@@ -2,10 +2,12 @@
 
 P(word | history) = P(class | history) * P(word | class, history). The ``TOP`` most frequent tokens
 of the training documents are dealt to classes in order of frequency; every other word, seen or
-not, belongs to one of ``RARE`` classes by its first two bytes, within which it has its add-one
-share (unseen words of a class share one more count, so the whole sums to one). Both factors are
-softmaxes over weights looked up by hashed features: the word before (n-gram), the word before
-that (skip) and the pair. Biases start from the corpus' counts.
+not, belongs to one of ``RARE`` classes by its first two bytes. Both factors are softmaxes over
+weights looked up by hashed features: the word before (n-gram), the word before that (skip) and the
+pair. A class of rare words is a binary tree over the bits of their hashes, whose decisions have
+n-gram and skip features too; within its leaf a word has its add-one share (unseen words of a leaf
+share one more count, so the whole sums to one). Biases start from the corpus' counts. Trees and
+tables of weights grow with the number of training types, up to ``DEEPEST`` levels and 2^``BITS`` rows.
 
 Training is one epoch in ``ROUNDS`` parts: each task takes gradient steps over the small batches
 of its own documents, from the model of the round before, and the changes of each row of weights
@@ -35,13 +37,17 @@ from folioscope.llm.words import mix, word_hashes
 TOP, WORD_CLASSES, RARE = 1024, 32, 32
 PER_CLASS = TOP // WORD_CLASSES
 CLASSES = WORD_CLASSES + RARE
-CLASS_ROWS, WORD_ROWS = 1 << 15, 1 << 14
+#: Least and largest binary logarithms of the rows of weights: of classes, words and trees.
+BITS = ((15, 16), (14, 16), (18, 20))
+DEEPEST = 15
 ROUNDS = 2
 HEAVY = 2_000_000
 FAN = 64
 BATCH = 4096
-RATE, DAMP = 0.35, 0.5
-_BLOCK = 2048
+#: Steps of classes, words and trees.
+RATES, DAMP = (0.35, 0.35, 0.1), 0.5
+#: Rows of a table that are summed at once.
+_BLOCKS = (2048, 2048, 1 << 16)
 _GATHER = 4_000_000
 _END = np.uint64(0x7E57ED0C00000000)
 _START = np.uint64(0x57A2700000000000)
@@ -68,10 +74,16 @@ def histories(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return every, one, two
 
 
+def cell_of(every: np.ndarray, depth: int) -> np.ndarray:
+    kind = (every & _LOW).astype(np.int64) << depth
+    return kind | (every >> np.uint64(64 - depth)).astype(np.int64) if depth else kind
+
+
 class Model:
     """Weights and the numbers of the corpus that scoring needs."""
 
-    def __init__(self, top: np.ndarray, top_counts: np.ndarray, rare_mass: np.ndarray, total: int) -> None:
+    def __init__(self, top: np.ndarray, top_counts: np.ndarray, rare_mass: np.ndarray, total: int, cells: np.ndarray | None = None, types: int = 0) -> None:
+        """cells has the mass of each leaf, RARE rows of 2^depth; without them a class is one leaf."""
         order = np.argsort(top, kind="stable")
         self.top, self.place = top[order], order.astype(np.int64)  # by hash; the place is the rank by frequency
         self.rare_mass = rare_mass
@@ -81,8 +93,19 @@ class Model:
         inner[: len(top)] = top_counts + 1.0
         inner = inner.reshape(WORD_CLASSES, PER_CLASS)
         self.word_bias = np.where(inner > 0, np.log(np.maximum(inner, 1e-30) / np.maximum(inner.sum(axis=1, keepdims=True), 1e-30)), -1e4).astype(np.float32)
-        self.class_weights = np.zeros((CLASS_ROWS, CLASSES), np.float32)
-        self.word_weights = np.zeros((WORD_ROWS, PER_CLASS), np.float32)
+        cells = rare_mass[:, None] if cells is None else cells
+        self.depth, self.log_cells = cells.shape[1].bit_length() - 1, np.log10(cells).ravel()
+        heap = np.concatenate([np.zeros_like(cells), cells], axis=1)  # node k has the sons 2k and 2k + 1
+        self.tree_bias = np.zeros(cells.shape, np.float32)
+        for node in (np.arange(1 << j, 2 << j) for j in reversed(range(self.depth))):
+            heap[:, node] = heap[:, 2 * node] + heap[:, 2 * node + 1]
+            self.tree_bias[:, node] = np.log(heap[:, 2 * node + 1] / heap[:, 2 * node])
+        self.tree_bias = self.tree_bias.ravel()
+        wide = max(types - 1, 0).bit_length()
+        self.class_bits, self.word_bits, self.tree_bits = (min(max(wide + more, least), most) for more, (least, most) in zip((-4, -5, 1), BITS, strict=True))
+        self.class_weights = np.zeros((1 << self.class_bits, CLASSES), np.float32)
+        self.word_weights = np.zeros((1 << self.word_bits, PER_CLASS), np.float32)
+        self.tree_weights = np.zeros((1 << self.tree_bits if self.depth else 0, 1), np.float32)
         self.total = total
 
     def ranks(self, every: np.ndarray) -> np.ndarray:
@@ -95,16 +118,39 @@ class Model:
     def classes(self, every: np.ndarray, rank: np.ndarray) -> np.ndarray:
         return np.where(rank >= 0, rank // PER_CLASS, WORD_CLASSES + (every & _LOW).astype(np.int64))
 
+    def cells(self, every: np.ndarray) -> np.ndarray:
+        """The leaf of rare tokens: class and first bits."""
+        return cell_of(every, self.depth)
+
+    def tree_path(self, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes above each token's leaf (a column a level) and whether the way goes right."""
+        kind, leaf = np.divmod(self.cells(every), 1 << self.depth)
+        down = np.arange(self.depth, 0, -1)
+        node = ((leaf | 1 << self.depth)[:, None] >> down) + (kind << self.depth)[:, None]
+        return node, (leaf[:, None] >> (down - 1)) & 1
+
+    def tree_features(self, one: np.ndarray, two: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+        with np.errstate(over="ignore"):
+            own = node.astype(np.uint64) * _B
+            hashed = (mix((one * _A)[:, None] + own), mix((two * _C)[:, None] + own))
+        return [(h >> np.uint64(64 - self.tree_bits)).astype(np.uint32) for h in hashed]
+
+    def tree_logits(self, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        logits = self.tree_bias.take(node)
+        for r in rows:
+            logits += self.tree_weights[:, 0].take(r)
+        return logits
+
     def class_features(self, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
             hashed = (mix(one * _A), mix(two * _B), mix(one * _A + two * _C))
-        return [(h >> np.uint64(49)).astype(np.uint16) for h in hashed]
+        return [(h >> np.uint64(64 - self.class_bits)).astype(np.uint16) for h in hashed]
 
     def word_features(self, one: np.ndarray, two: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
             own = group.astype(np.uint64) * _B
             hashed = (mix(one * _A + own), mix(one * _C + two * _A + own))
-        return [(h >> np.uint64(50)).astype(np.uint16) for h in hashed]
+        return [(h >> np.uint64(64 - self.word_bits)).astype(np.uint16) for h in hashed]
 
     @staticmethod
     def chances(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -118,7 +164,7 @@ class Model:
         return logits
 
     def log_chances(self, every: np.ndarray, one: np.ndarray, two: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """log10 of P(class) and, for frequent tokens, of P(word | class)."""
+        """log10 of P(class) and, for frequent tokens, of P(word | class); for others of P(leaf | class)."""
         group = self.classes(every, rank)
         p = self.chances(self.class_bias, self.class_weights, self.class_features(one, two))
         out = np.log10(np.maximum(p[np.arange(len(group)), group], 1e-30)).astype(np.float64)
@@ -126,6 +172,11 @@ class Model:
         if len(known):
             q = self.chances(self.word_bias[group[known]], self.word_weights, self.word_features(one[known], two[known], group[known]))
             out[known] += np.log10(np.maximum(q[np.arange(len(known)), rank[known] % PER_CLASS], 1e-30))
+        loose = np.flatnonzero(rank < 0)
+        if len(loose) and self.depth:
+            node, right = self.tree_path(every[loose])
+            logits = self.tree_logits(node, self.tree_features(one[loose], two[loose], node))
+            out[loose] -= np.log1p(np.exp(np.where(right, -logits, logits))).sum(axis=1, dtype=np.float64) / np.log(10)
         return out
 
 
@@ -134,10 +185,10 @@ class Learner:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.start = (model.class_weights, model.word_weights)
+        self.start = (model.class_weights, model.word_weights, model.tree_weights)
         self.squares = [np.full_like(w, DAMP) for w in self.start]
         self.touched = [np.zeros(len(w), bool) for w in self.start]
-        model.class_weights, model.word_weights = (w.copy() for w in self.start)
+        model.class_weights, model.word_weights, model.tree_weights = (w.copy() for w in self.start)
 
     def step(self, every: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         m = self.model
@@ -153,10 +204,16 @@ class Learner:
             slope = m.chances(m.word_bias[group[known]], m.word_weights, rows)
             slope[np.arange(len(known)), rank[known] % PER_CLASS] -= 1
             self._apply(1, m.word_weights, rows, slope)
+        loose = np.flatnonzero(rank < 0)
+        if len(loose) and m.depth:
+            node, right = m.tree_path(every[loose])
+            rows = m.tree_features(one[loose], two[loose], node)
+            slope = 1 / (1 + np.exp(-m.tree_logits(node, rows))) - right.astype(np.float32)
+            self._apply(2, m.tree_weights, [r.ravel() for r in rows], slope.reshape(-1, 1))
 
     def _apply(self, table: int, weights: np.ndarray, features: list[np.ndarray], slope: np.ndarray) -> None:
         for rows in features:
-            order = np.argsort(rows, kind="stable")
+            order = np.argsort(rows, kind="stable" if rows.dtype == np.uint16 else None)
             ordered = rows[order]
             first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
             at = ordered[first]
@@ -167,19 +224,20 @@ class Learner:
             square += g * g
             self.squares[table][at] = square
             np.sqrt(square, out=square)
-            g *= RATE
+            g *= RATES[table]
             g /= square
             weights[at] -= g
             self.touched[table][at] = True
 
     def changes(self) -> pd.DataFrame:
-        """The change of each block of touched rows, as 16-bit floats."""
+        """The change of each block of touched rows as 16-bit floats, and a bit for each row."""
         out = []
-        for table, (new, old) in enumerate(zip((self.model.class_weights, self.model.word_weights), self.start, strict=True)):
-            for at in range(0, len(old), _BLOCK):
-                if self.touched[table][at : at + _BLOCK].any():
-                    delta = new[at : at + _BLOCK] - old[at : at + _BLOCK]
-                    out.append((table, at, delta.astype(np.float16).tobytes(), self.touched[table][at : at + _BLOCK].astype(np.int32).tobytes()))
+        for table, (new, old) in enumerate(zip((self.model.class_weights, self.model.word_weights, self.model.tree_weights), self.start, strict=True)):
+            size = _BLOCKS[table]
+            for at in range(0, len(old), size):
+                if self.touched[table][at : at + size].any():
+                    delta = new[at : at + size] - old[at : at + size]
+                    out.append((table, at, delta.astype(np.float16).tobytes(), np.packbits(self.touched[table][at : at + size]).tobytes()))
         return pd.DataFrame(out, columns=["part", "at", "delta", "tasks"])
 
 
@@ -230,9 +288,10 @@ def _summed(df: DataFrame, tasks: int) -> DataFrame:
     """Sum deltas by block, FAN tasks' at a time."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        kind = np.float16 if "single" in group.columns and group["single"].iloc[0] else np.float32
+        single = group["single"].iloc[0]
+        kind = np.float16 if single else np.float32
         delta = sum(np.frombuffer(d, kind).astype(np.float32) for d in group["delta"])
-        count = sum(np.frombuffer(c, np.int32) for c in group["tasks"])
+        count = sum(np.unpackbits(np.frombuffer(c, np.uint8)).astype(np.int32) if single else np.frombuffer(c, np.int32) for c in group["tasks"])
         return pd.DataFrame({"part": [group["part"].iloc[0]], "at": [group["at"].iloc[0]], "task": [group["task"].iloc[0] // FAN], "single": [False], "delta": [delta.tobytes()], "tasks": [count.tobytes()]})
 
     schema = "part int, at int, task bigint, single boolean, delta binary, tasks binary"
@@ -263,17 +322,17 @@ def train(rows: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                 for piece in cut(held):
                     learner.step(*piece)
             found = learner.changes()
-            learner.model.class_weights, learner.model.word_weights = learner.start
+            learner.model.class_weights, learner.model.word_weights, learner.model.tree_weights = learner.start
             if task:
                 yield found.assign(task=task[0], single=True)
 
         changes = drawn.mapInPandas(run, "part int, at int, delta binary, tasks binary, task bigint, single boolean")
         summed = _summed(changes, drawn.rdd.getNumPartitions()).collect()  # the size of the model
         new = Model.__new__(Model)
-        new.__dict__ = dict(model.__dict__, class_weights=model.class_weights.copy(), word_weights=model.word_weights.copy())
+        new.__dict__ = dict(model.__dict__, class_weights=model.class_weights.copy(), word_weights=model.word_weights.copy(), tree_weights=model.tree_weights.copy())
         for row in summed:
-            weights = (new.class_weights, new.word_weights)[row["part"]]
-            block = weights[row["at"] : row["at"] + _BLOCK]
+            weights = (new.class_weights, new.word_weights, new.tree_weights)[row["part"]]
+            block = weights[row["at"] : row["at"] + _BLOCKS[row["part"]]]
             block += np.frombuffer(row["delta"], np.float32).reshape(block.shape) / np.maximum(1, np.frombuffer(row["tasks"], np.int32))[:, None]
         shipped.unpersist()
         model = new
@@ -287,11 +346,16 @@ def fit(counts: DataFrame, training: DataFrame) -> tuple[Model, dict]:
     top = counts.orderBy(F.desc("n"), "token").limit(TOP).collect()
     hashes = np.array([r["token"] for r in top], np.int64).view(np.uint64)
     number = np.array([r["n"] for r in top], float)
-    kind = F.col("token").bitwiseAND(RARE - 1)
-    by_kind = {r["kind"]: r["mass"] for r in counts.groupBy(kind.alias("kind")).agg(F.sum(F.col("n") + 1).alias("mass")).collect()}
-    rare = np.array([float(by_kind.get(k, 0)) for k in range(RARE)]) + 1
-    np.subtract.at(rare, (hashes & _LOW).astype(np.int64), number + 1)
-    model = train(training, Model(hashes, number, np.maximum(rare, 1.0), total)) if total else Model(hashes, number, np.maximum(rare, 1.0), 0)
+    depth = min(max((types // RARE).bit_length() - 2, 0), DEEPEST)
+    cell = F.shiftleft(F.col("token").bitwiseAND(RARE - 1), depth)
+    cell = cell.bitwiseOR(F.shiftrightunsigned("token", 64 - depth)) if depth else cell
+    mass = counts.groupBy(cell.alias("cell")).agg(F.sum(F.col("n") + 1).alias("mass")).toPandas()  # 2^DEEPEST rows a class at most
+    cells = np.ones(RARE << depth)
+    cells[mass["cell"].to_numpy(np.int64)] += mass["mass"].to_numpy(float)
+    np.subtract.at(cells, cell_of(hashes, depth), number + 1)
+    cells = np.maximum(cells, 1.0).reshape(RARE, -1)
+    model = Model(hashes, number, cells.sum(axis=1), total or 0, cells, types)
+    model = train(training, model) if total else model
     heavy = counts.where(F.col("n") >= F.lit(max(1, total / HEAVY))).toPandas().sort_values("token") if total > HEAVY else counts.orderBy("token").toPandas()
     token = heavy["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token, kind="stable")
@@ -309,7 +373,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         own, heavy = shipped.value
-        log_rare = np.log10(own.rare_mass)
         for b in batches:
             out = []
             for group in batches_of(tokens(utf8(b["body"].tolist()))):
@@ -321,7 +384,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     base = np.log10(n + 1.0)
                     chance = own.log_chances(every, one, two, rank)
                     loose = rank < 0
-                    chance[loose] += base[loose] - log_rare[(every[loose] & _LOW).astype(np.int64)]
+                    chance[loose] += base[loose] - own.log_cells[own.cells(every[loose])]
                     logs.append(chance)
                     bases.append(base)
                     seen.append(n > 0)

@@ -83,3 +83,24 @@ def test_rare_words_have_32_classes():
     rare = np.arange(64, dtype=np.uint64)
     m = S.Model(np.zeros(0, np.uint64), np.zeros(0), np.ones(S.RARE), 1)
     assert len(set(m.classes(rare, m.ranks(rare)).tolist())) == 32
+
+
+def test_words_beyond_the_most_frequent_follow_their_history():
+    """A rare word that always follows another gains on those of its class; the whole still sums to one."""
+    m = S.Model(np.array([1 << 40], np.uint64), np.array([9.0]), np.full(S.RARE, 16.0), 1000, np.full((S.RARE, 16), 1.0))
+    leaves = np.array([leaf << 60 | 5 for leaf in range(16)], np.uint64)
+    one, two = (np.full(64, x, np.uint64) for x in (7, 9))
+    learner = S.Learner(m)
+    for _ in range(200):
+        learner.step(np.full(64, leaves[3]), one, two)
+    after, other = (m.log_chances(leaves, np.full(16, x, np.uint64), two[:16], np.full(16, -1)) for x in (7, 8))
+    assert after[3] > np.delete(after, 3).max() + 1 and after[3] > other[3] + 0.3
+    kinds = np.array([leaf << 60 | k for leaf in range(16) for k in range(S.RARE)], np.uint64)
+    every = np.append(m.top, kinds)
+    total = (10 ** m.log_chances(every, *(np.full(len(every), x, np.uint64) for x in (7, 9)), m.ranks(every))).sum()
+    assert math.isclose(total, 1, rel_tol=1e-4)
+
+
+def test_tables_grow_with_the_training_types():
+    sizes = [(m.class_weights.size, m.word_weights.size, m.tree_weights.size) for types in (1000, 10**7) for m in [S.Model(np.zeros(0, np.uint64), np.zeros(0), np.ones(S.RARE), 1, np.ones((S.RARE, 2)), types)]]
+    assert all(a < b for a, b in zip(*sizes, strict=True))
