@@ -110,7 +110,7 @@ def exact_closure(spark, sf_dir):
     near = graph.similar_pairs(v, ["doc_id"], "vec_id", "embedding", 0.25).select("doc_id", F.concat(F.lit("c"), "left").alias("source"), F.concat(F.lit("c"), "right").alias("target"))
     backs = v.select("doc_id", F.concat(F.lit("e"), "vec_id").alias("source"), F.concat(F.lit("c"), "vec_id").alias("target"))
     edges = backs.unionByName(near).withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "target")))
-    items = v.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("vec_id"))).where("turn <= 8").select("doc_id", F.concat(F.lit("c"), "vec_id").alias("id"), "turn")
+    items = v.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("vec_id"))).select("doc_id", F.concat(F.lit("c"), "vec_id").alias("id"), "turn")
     return graph.closure_exact(edges, items)
 
 

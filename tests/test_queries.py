@@ -46,3 +46,10 @@ def test_entry_works_without_the_optional_part(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["doc_id", "id", "section_index", "score", "rank"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_exact_closure_selects_all_vectors(spark):
+    found = catalogue.queries()["exact_closure"](spark, SF)
+    want = {(str(r["label"]), f"c{r['vec_id']}") for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    assert want <= {(r["doc_id"], r["id"]) for r in found.collect()}
