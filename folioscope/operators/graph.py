@@ -206,7 +206,7 @@ def closure_exact(edges: DataFrame, items: DataFrame) -> DataFrame:
     return e.groupBy("doc_id").cogroup(s.groupBy("doc_id")).applyInPandas(run, schema)
 
 
-def closure(edges: DataFrame, items: DataFrame, depth: int = 32) -> DataFrame:
+def closure(edges: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, id): items with all their ancestors and direct targets, as a fixpoint of joins.
 
     Each round only follows what the round before found; it ends when nothing is new.
@@ -215,7 +215,7 @@ def closure(edges: DataFrame, items: DataFrame, depth: int = 32) -> DataFrame:
     items = cut(items.select("doc_id", "id").distinct())
     found = items
     new = found
-    for _ in range(depth):
+    while True:
         above = new.join(links.withColumnRenamed("target", "id"), ["doc_id", "id"]).select("doc_id", F.col("source").alias("id")).distinct()
         new = above.join(found, ["doc_id", "id"], "left_anti")
         new = cut(new)

@@ -249,3 +249,9 @@ def test_html():
     page = "<html><style>x</style><h1>Top &amp; more</h1><p>one<br>two  three<ul><li>a<li>b</ul><script>no</script></p><div>end"
     assert markdown_of(page) == "# Top & more\n\none\ntwo three\n- a\n- b\n\nend"
     assert markdown_of("") == ""
+
+
+def test_closure_has_no_limit_of_depth(spark):
+    edges = spark.createDataFrame([("d", f"n{i + 1}", f"n{i}") for i in range(36)], "doc_id string, source string, target string")
+    items = spark.createDataFrame([("d", "n0")], "doc_id string, id string")
+    assert {r["id"] for r in graph.closure(edges, items).collect()} == {f"n{i}" for i in range(37)}
