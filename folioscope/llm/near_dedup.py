@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.runtime import discard, documents, durable, release, utf8
+from folioscope.llm.runtime import discard, documents, durable, utf8
 from folioscope.llm.words import mix, shingles, word_hashes
 
 #: Shingles that either count puts last in the order at most; a driver and each task hold them (16 bytes each).
@@ -441,13 +441,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     ready = prefixes(rows, full, reps, k, percent, frequent, texts)
     discard(full)
     discard(texts)
-    release(docs.sparkSession)
     found = durable(candidate_pairs(ready, percent, frequent), "jaccard-pairs")
-    release(docs.sparkSession)
     pairs = durable(found.where("NOT star").unionByName(possible(found.where("star"), ready, percent, frequent)), "jaccard-possible")
     checked = durable(overlaps(pairs, fragments(rows, seen_classes(pairs, reps), k, frequent), percent), "jaccard-overlaps")
     links = checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    release(docs.sparkSession)
     roots = components(links, "jaccard-first")
     star = found.where("star")
     if not star.isEmpty():
