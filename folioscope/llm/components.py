@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.runtime import durable
+from folioscope.llm.runtime import discard, durable
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,5 +32,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # Each edge points down now: a > b.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        edges = durable(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), f"{name}-{step}")
-    return durable(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), name)
+        old, edges = edges, durable(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), f"{name}-{step}")
+        discard(old)
+    found = durable(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), name)
+    discard(edges)
+    return found

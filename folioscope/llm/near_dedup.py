@@ -13,14 +13,18 @@ A shingle that more than ``SMALL`` classes have in their prefixes doesn't give a
 classes are dealt to bands of size, and each is compared with the first class of its own band and
 of the one below (the hubs); similar sets are in the same or neighbouring bands. Members that this
 did not connect to their hub are then compared with those of other components in blocks of about
-``BLOCK`` classes, whose tasks count overlaps by fragment and return a spanning forest. Every pair
+``BLOCK`` times ``ROOM`` shingles, whose tasks count overlaps by fragment and return a spanning forest. Every pair
 that shares a prefix shingle is thus either compared or known to be connected, so components are
 exact; nothing is capped.
 
+Rows are numbered in a written table first, and texts are fetched by that number, so equal or null
+ids cost nothing. Of a component the row with the smallest id is kept, of equal ids the first row.
+
 Defined cases: a text with fewer words than a shingle is one shingle; a null text or one without
-words is the empty set and linked with nothing; rows of a null id take part but are never a
-component's name unless there is no other; repeated rows are copies of each other; an empty table
-gives an empty result.
+words is the empty set, linked with nothing and kept; rows of a null id take part but are never a
+component's name unless there is no other; repeated rows are copies of each other, and one of them
+is kept; a text of any length is hashed piece by piece; an empty table gives an empty result; other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,17 +38,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.runtime import discard, documents, durable, utf8
+from folioscope.llm.runtime import discard, documents, durable, small, spread_join, unused, utf8
 from folioscope.llm.words import mix, shingles, word_hashes
 
 #: Shingles that either count puts last in the order at most; a driver and each task hold them (16 bytes each).
 MOST_FREQUENT = 1 << 18
 SMALL = 16
-BLOCK = 128
+#: Classes of a block if they have ROOM shingles each; of shorter ones a block holds more.
+BLOCK, ROOM = 128, 4096
+#: Three ranges of hashes and the frequent shingles. More would only add rows: a fragment of the
+#: longest texts is some ten thousand numbers already.
 FRAGMENTS = 4
 #: Share of hashes that may be in a prefix, beyond what the threshold asks for.
 SLACK = 0.4
-_BITS = 23
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -80,8 +86,8 @@ def low_cut(percent: int) -> int:
 
 
 def document_sets(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """(row, id, n, k1, k2, low) of each document, written; row numbers the rows, low holds the
-    smallest hashes: at least a prefix and all that are counted."""
+    """(row, id, n, k1, k2, low) of rows (row, id, body), written; low holds the smallest hashes: at
+    least a prefix and all that are counted."""
     cut = np.uint64(low_cut(percent))
 
     def run(batches):
@@ -90,11 +96,10 @@ def document_sets(rows: DataFrame, k: int, percent: int) -> DataFrame:
             for tokens in sets_of(utf8(b["body"].tolist()), k):
                 size = max(prefix_length(len(tokens), percent), int(np.searchsorted(tokens, cut)))
                 out.append((len(tokens), *digest(tokens), tokens[:size].copy().view(np.int64)))
-            yield pd.DataFrame(out, columns=["n", "k1", "k2", "low"]).assign(id=b["id"].values)
+            yield pd.DataFrame(out, columns=["n", "k1", "k2", "low"]).assign(row=b["row"].values, id=b["id"].values)
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.select("id", "body").mapInPandas(run, f"id {kind}, n bigint, k1 bigint, k2 bigint, low array<bigint>")
-    return durable(found.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
+    return durable(rows.mapInPandas(run, f"row bigint, id {kind}, n bigint, k1 bigint, k2 bigint, low array<bigint>"), "jaccard-sets")
 
 
 def frequent_shingles(sets: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +144,7 @@ def merged_counts(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np
 def with_higher(rows: DataFrame, sets: DataFrame, reps: DataFrame, k: int, percent: int, frequent) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
     """frequent with the shingles that are frequent among the classes whose low hashes mostly are:
     the next ones of a text with many near copies are as common as the first. Also the texts of
-    these classes (cid, k1, k2, body)."""
+    these classes (cid, body)."""
     shipped = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def wanting(batches):
@@ -148,7 +153,7 @@ def with_higher(rows: DataFrame, sets: DataFrame, reps: DataFrame, k: int, perce
             yield b.loc[lacks, ["row"]]
 
     lacking = sets.where("n > 0").select("row", "n", "low").mapInPandas(wanting, "row bigint").withColumnRenamed("row", "cid")
-    lacking = durable(reps.select("cid", "id", "k1", "k2").join(lacking, "cid", "left_semi"), "jaccard-lacking")
+    lacking = durable(reps.select("cid").join(lacking, "cid", "left_semi"), "jaccard-lacking")
 
     def count(batches):
         for b in batches:
@@ -156,6 +161,7 @@ def with_higher(rows: DataFrame, sets: DataFrame, reps: DataFrame, k: int, perce
             yield pd.DataFrame({"token": token.view(np.int64), "n": n})
 
     texts = durable(texts_of(rows, lacking), "jaccard-texts")
+    discard(lacking)
     counted = texts.select("body").mapInPandas(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.where(F.col("n") > SMALL).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
     return merged_counts(frequent, (top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))), texts
@@ -165,7 +171,7 @@ def prefixes(rows: DataFrame, sets: DataFrame, reps: DataFrame, k: int, percent:
     """(cid, n, prefix, own, spare, last_often, last) of classes; own is how many shingles of
     the prefix are not frequent, spare how many are frequent or were not counted, (last_often, last)
     the place of its last one in the global order. Where too many low hashes are frequent, the text is
-    needed: it is among texts (cid, k1, k2, body), or read again."""
+    needed: it is among texts (cid, body), or read again."""
     shipped = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def from_low(batches):
@@ -178,19 +184,20 @@ def prefixes(rows: DataFrame, sets: DataFrame, reps: DataFrame, k: int, percent:
 
     first = durable(sets.where("n > 0").select("row", "n", "low").mapInPandas(from_low, _PREFIX), "jaccard-prefixes")
     missing = first.where("prefix IS NULL").select("cid").join(texts.select("cid"), "cid", "left_anti")
-    wanted = reps.select("cid", "id", "k1", "k2").join(missing, "cid", "left_semi")
+    wanted = reps.select("cid").join(missing, "cid", "left_semi")
 
     def from_text(batches):
         for b in batches:
             out = []
-            for cid, k1, k2, tokens in zip(b["cid"], b["k1"], b["k2"], sets_of(utf8(b["body"].tolist()), k), strict=True):
-                if digest(tokens) == (k1, k2):
-                    freq = often(tokens, shipped.value)
-                    order = np.lexsort((tokens, freq))[: prefix_length(len(tokens), percent)]
-                    out.append((cid, *_prefix(len(tokens), tokens[order], freq[order], percent)))
+            for cid, tokens in zip(b["cid"], sets_of(utf8(b["body"].tolist()), k), strict=True):
+                freq = often(tokens, shipped.value)
+                order = np.lexsort((tokens, freq))[: prefix_length(len(tokens), percent)]
+                out.append((cid, *_prefix(len(tokens), tokens[order], freq[order], percent)))
             yield pd.DataFrame(out, columns=_COLUMNS)
 
-    again = durable(texts.unionByName(texts_of(rows, durable(wanted, "jaccard-again"))).mapInPandas(from_text, _PREFIX).dropDuplicates(["cid"]), "jaccard-ordered")
+    more = durable(wanted, "jaccard-again")
+    again = durable(texts.unionByName(texts_of(rows, more)).mapInPandas(from_text, _PREFIX), "jaccard-ordered")
+    discard(more)
     return first.where("prefix IS NOT NULL").join(reps.select("cid"), "cid", "left_semi").unionByName(again)
 
 
@@ -319,18 +326,13 @@ def possible(pairs: DataFrame, ready: DataFrame, percent: int, frequent) -> Data
 
 def seen_classes(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     seen = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct()
-    return durable(reps.join(seen, "cid", "left_semi").select("cid", "id", "k1", "k2"), "jaccard-wanted")
+    return durable(reps.join(seen, "cid", "left_semi").select("cid"), "jaccard-wanted")
 
 
 def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cid, k1, k2, body) of wanted classes (cid, id, k1, k2). A bitmap of fixed size over ids keeps
-    most other texts out of the shuffle; ids that rows share give several, told apart by (k1, k2).
-    The wanted ones have no bound, so they are never broadcast and small tables have the same plan."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << _BITS))
-    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits"))
-    some = rows.withColumn("bit", bit).join(F.broadcast(words), F.shiftright("bit", 6) == F.col("word"))
-    some = some.where(F.expr("(shiftrightunsigned(bits, cast(bit & 63 AS int)) & 1) = 1")).select("id", "body")
-    return some.join(wanted.withColumnRenamed("id", "own").hint("merge"), F.col("id").eqNullSafe(F.col("own"))).select("cid", "k1", "k2", "body")
+    """(cid, body) of wanted classes, whose cid is the number of their first row. The wanted numbers
+    are broadcast while a count says that they are few, else texts and numbers are shuffled."""
+    return rows.select(F.col("row").alias("cid"), "body").join(small(wanted.select("cid")), "cid")
 
 
 def fragments(rows: DataFrame, wanted: DataFrame, k: int, frequent) -> DataFrame:
@@ -340,15 +342,13 @@ def fragments(rows: DataFrame, wanted: DataFrame, k: int, frequent) -> DataFrame
     def run(batches):
         for b in batches:
             out = []
-            for cid, k1, k2, tokens in zip(b["cid"], b["k1"], b["k2"], sets_of(utf8(b["body"].tolist()), k), strict=True):
-                if digest(tokens) == (k1, k2):
-                    part = ((tokens >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int64)
-                    part[often(tokens, shipped.value) > 0] = FRAGMENTS - 1
-                    out += [(cid, f, tokens[part == f].view(np.int64)) for f in range(FRAGMENTS)]
+            for cid, tokens in zip(b["cid"], sets_of(utf8(b["body"].tolist()), k), strict=True):
+                part = ((tokens >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int64)
+                part[often(tokens, shipped.value) > 0] = FRAGMENTS - 1
+                out += [(cid, f, tokens[part == f].view(np.int64)) for f in range(FRAGMENTS)]
             yield pd.DataFrame(out, columns=["cid", "f", "tokens"])
 
-    # A row for each fragment, also if it is empty; repeated rows of one id and text give equal ones,
-    # so who reads them takes the largest of what equal keys give.
+    # A row for each fragment, also if it is empty.
     return durable(texts_of(rows, wanted).mapInPandas(run, "cid bigint, f int, tokens array<bigint>"), "jaccard-fragments")
 
 
@@ -357,8 +357,7 @@ def overlaps(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
     left = pairs.hint("merge").join(cut.select(F.col("cid").alias("x"), "f", F.col("tokens").alias("left")), "x")
     both = left.hint("merge").join(cut.select(F.col("cid").alias("y"), "f", F.col("tokens").alias("right")), ["y", "f"])
     part = both.select("x", "y", "f", "nx", "ny", F.size(F.array_intersect("left", "right")).alias("part"))
-    once = part.groupBy("x", "y", "f").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.max("part").alias("part"))
-    summed = once.groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("part").alias("same"))
+    summed = part.groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("part").alias("same"))
     return summed.withColumn("linked", F.col("same") * 100 >= (F.col("nx") + F.col("ny") - F.col("same")) * percent)
 
 
@@ -406,11 +405,13 @@ def between_blocks(rows: DataFrame, star: DataFrame, roots: DataFrame, reps: Dat
     members = by_root.select("hub", F.col("y").alias("cid")).unionByName(by_root.select("hub", F.col("x").alias("cid"))).distinct()
     named = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     loose = named.withColumn("loose", F.col("root") != F.col("hub"))
-    sizes = loose.groupBy("hub").agg(F.count(F.lit(1)).alias("all_n"), F.sum(F.col("loose").cast("int")).alias("loose_n")).where("loose_n > 0 AND all_n > 2")
+    sized = loose.join(reps.select("cid", F.col("n").alias("mass")), "cid")
+    own = F.when(F.col("loose"), F.col("mass"))
+    sizes = sized.groupBy("hub").agg(F.count(F.lit(1)).alias("all_n"), F.sum("mass").alias("all_mass"), F.sum(own).alias("loose_mass")).where("loose_mass > 0 AND all_n > 2")
     placed = durable(
         loose.join(sizes, "hub").select(
             "hub", "cid", "root", "loose",
-            F.ceil(F.col("all_n") / BLOCK).cast("int").alias("right_n"), F.ceil(F.col("loose_n") / BLOCK).cast("int").alias("left_n"),
+            F.ceil(F.col("all_mass") / (BLOCK * ROOM)).cast("int").alias("right_n"), F.ceil(F.col("loose_mass") / (BLOCK * ROOM)).cast("int").alias("left_n"),
         ), "jaccard-placed",
     )
     if placed.isEmpty():
@@ -418,8 +419,10 @@ def between_blocks(rows: DataFrame, star: DataFrame, roots: DataFrame, reps: Dat
     spot = F.xxhash64("cid")
     right = placed.select("hub", "cid", "root", F.lit(False).alias("is_left"), F.explode(F.sequence(F.lit(0), F.col("left_n") - 1)).alias("left_at"), F.pmod(spot, "right_n").cast("int").alias("right_at"))
     left = placed.where("loose").select("hub", "cid", "root", F.lit(True).alias("is_left"), F.pmod(spot, "left_n").cast("int").alias("left_at"), F.explode(F.sequence(F.lit(0), F.col("right_n") - 1)).alias("right_at"))
-    wanted = durable(reps.join(placed.select("cid").distinct(), "cid", "left_semi").select("cid", "id", "k1", "k2"), "jaccard-members")
-    whole = fragments(rows, wanted, k, frequent).groupBy("cid").agg(F.array(*[F.max(F.when(F.col("f") == f, F.col("tokens"))) for f in range(FRAGMENTS)]).alias("tokens"))
+    wanted = durable(placed.select("cid").distinct(), "jaccard-members")
+    cut = fragments(rows, wanted, k, frequent)
+    discard(wanted)
+    whole = cut.groupBy("cid").agg(F.array(*[F.max(F.when(F.col("f") == f, F.col("tokens"))) for f in range(FRAGMENTS)]).alias("tokens"))
     filled = left.unionByName(right).join(whole, "cid")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -430,41 +433,56 @@ def between_blocks(rows: DataFrame, star: DataFrame, roots: DataFrame, reps: Dat
     return filled.groupBy("hub", "left_at", "right_at").applyInPandas(run, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id, class_id (equal sets share one)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, class_id (equal sets share one), row and
+    kept. ``row_col`` is a number of the rows that a written table has; without it one is written."""
+    if row_col:
+        rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    else:
+        rows = durable(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("body")), "jaccard-rows")
     full = document_sets(rows, k, percent)
     sets = durable(full.drop("low"), "jaccard-documents")
-    classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("cid"), F.min("id").alias("least_id"))
-    reps = durable(sets.where("n > 0").join(classes.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid"), "jaccard-reps")
+    # The first of a class or component: the least id that isn't null, then the least row.
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
+    classes = durable(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("cid"), first, F.count(F.lit(1)).alias("rows")), "jaccard-classes")
+    reps = durable(sets.where("n > 0").withColumnRenamed("row", "cid").join(classes.select("cid"), "cid", "left_semi").select("cid", "n"), "jaccard-reps")
     frequent, texts = with_higher(rows, full, reps, k, percent, frequent_shingles(full, percent))
-    ready = prefixes(rows, full, reps, k, percent, frequent, texts)
-    discard(full)
-    discard(texts)
+    ready = durable(prefixes(rows, full, reps, k, percent, frequent, texts), "jaccard-ready")
+    discard(full, texts)
     found = durable(candidate_pairs(ready, percent, frequent), "jaccard-pairs")
     pairs = durable(found.where("NOT star").unionByName(possible(found.where("star"), ready, percent, frequent)), "jaccard-possible")
-    checked = durable(overlaps(pairs, fragments(rows, seen_classes(pairs, reps), k, frequent), percent), "jaccard-overlaps")
-    links = checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    discard(ready)
+    wanted = seen_classes(pairs, reps)
+    cut = fragments(rows, wanted, k, frequent)
+    links = durable(overlaps(pairs, cut, percent).where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard-links")
+    discard(pairs, wanted, cut)
     roots = components(links, "jaccard-first")
     star = found.where("star")
     if not star.isEmpty():
         more = durable(between_blocks(rows, star, roots, reps, k, percent, frequent), "jaccard-more")
         if not more.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "jaccard-all")
-    named = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_class = named.join(least, "root").select("k1", "k2", "component_id", F.col("cid").alias("class_id"))
-    every = sets.select("id", "n", "k1", "k2").join(by_class, ["k1", "k2"], "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return every.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).alias("class_id"))
+            before, roots = roots, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "jaccard-all")
+            discard(before)
+        discard(more)
+    discard(found, links)
+    named = durable(classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "jaccard-named")
+    discard(classes, reps, roots)
+    least = durable(named.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("classes")), "jaccard-least")
+    by_class = durable(spread_join(named.drop("first"), least, ["root"], "classes").select("k1", "k2", "least", F.col("cid").alias("class_id"), "rows"), "jaccard-by-class")
+    discard(named, least)
+    linked = spread_join(sets.where("n > 0"), by_class, ["k1", "k2"], "rows")
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles")]
+    alone = sets.where("n = 0").select(*columns, F.col("id").alias("component_id"), F.lit(None).cast("bigint").alias("class_id"), "row", F.lit(True).alias("kept"))
+    return linked.select(*columns, F.col("least.id").alias("component_id"), "class_id", "row", (F.col("row") == F.col("least.row")).alias("kept")).unionByName(alone)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one it is named after, with all columns."""
-    found = jaccard_components(docs, k, percent, id_col, text_col)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stays")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["stays"]), "left_semi")
+    """One row of each component, the first of the id it is named after, with all columns."""
+    row = unused(docs, "row_number")
+    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-numbered")
+    gone = durable(jaccard_components(numbered, k, percent, id_col, text_col, row).where("NOT kept").select(F.col("row").alias(row)), "jaccard-gone")
+    return numbered.join(small(gone), row, "left_anti").drop(row)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir), 3, 90).drop("class_id")
+    return jaccard_components(documents(spark, sf_dir), 3, 90).select("doc_id", "n_shingles", "component_id")

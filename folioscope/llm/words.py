@@ -7,6 +7,7 @@ is the same wherever the word stands.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PIECE = 1 << 18
+_SPACES = [bytes([c]) for c in (9, 10, 11, 12, 13, 32)]
+_NEXT_SPACE = re.compile(rb"[\t-\r ]")
 _powers: list[np.ndarray] = []
 
 
@@ -58,25 +61,70 @@ def _hash_buffer(data: bytes, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarra
         return every[order], np.concatenate(hashes)[order]
 
 
+def _long_word(data: bytes, at: int, end: int) -> np.uint64:
+    """The hash of one word of any length, a piece at a time."""
+    up, _ = _tables(_PIECE)
+    total, scale = np.uint64(0), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for i in range(at, end, _PIECE):
+            b = np.frombuffer(data, np.uint8, min(_PIECE, end - i), i).astype(np.uint64) + np.uint64(1)
+            total += (b * up[: len(b)]).sum(dtype=np.uint64) * scale
+            scale *= up[_PIECE]
+        return mix(np.array([total + np.uint64(end - at)]))[0]
+
+
+def _hashed(data: bytes, prefixes: tuple[int, ...], heads: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, hashes and first two bytes (if wanted) of a buffer's words."""
+    start, hashes = _hash_buffer(data, prefixes)
+    if not heads:
+        return start, hashes, start
+    b = np.frombuffer(data + b"\n", np.uint8)
+    second = b[start + 1]
+    return start, hashes, b[start].astype(np.uint16) * np.uint16(256) + np.where(_SPACE[second], 0, second).astype(np.uint16)
+
+
+def _long_text(data: bytes, prefixes: tuple[int, ...], heads: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first two bytes of a long text's words. It is cut at white space; only the hashes of
+    the whole text are held at once, and a word longer than a piece is summed up by pieces."""
+    found, at = [], 0
+    while at < len(data):
+        to = at + _PIECE
+        if to < len(data):
+            space = max(data.rfind(c, at, to) for c in _SPACES)
+            if space < 0:
+                after = _NEXT_SPACE.search(data, to)
+                to = after.start() if after else len(data)
+                # The word itself, then its first bytes as words of their own.
+                hashes = [_long_word(data, at, to), *(_hash_buffer(data[at : at + n])[1][0] for n in prefixes)]
+                found.append((np.array(hashes, np.uint64), np.full(len(hashes), data[at] * 256 + data[at + 1], np.uint16)))
+                at = to
+                continue
+            to = space + 1
+        found.append(_hashed(data[at:to], prefixes, heads)[1:])
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def word_hashes(texts: list[bytes], lower: bool = True, prefixes: tuple[int, ...] = (), heads: bool = False) -> Iterator:
-    """The hashes of each text's words, in order; a quarter of a megabyte of text at a time.
+    """The hashes of each text's words, in order; a quarter of a megabyte of text at a time, also inside
+    of longer texts.
 
     With prefixes, the first so many bytes of longer words follow each word. With heads, each text
     gives a pair: the hashes and the words' first two bytes (the second is 0 in a word of one).
     """
     at = 0
     while at < len(texts):
+        if len(texts[at]) >= _PIECE:
+            hashes, first_two = _long_text(texts[at].lower() if lower else texts[at], prefixes, heads)
+            yield (hashes, first_two) if heads else hashes
+            at += 1
+            continue
         size, to = 0, at
         while to < len(texts) and (to == at or size + len(texts[to]) < _PIECE):
             size += len(texts[to]) + 1
             to += 1
         data = b"\n".join(texts[at:to])
-        data = data.lower() if lower else data
-        start, hashes = _hash_buffer(data, prefixes)
-        if heads:
-            b = np.frombuffer(data + b"\n", np.uint8)
-            second = b[start + 1]
-            first_two = b[start].astype(np.uint16) * np.uint16(256) + np.where(_SPACE[second], 0, second).astype(np.uint16)
+        start, hashes, first_two = _hashed(data.lower() if lower else data, prefixes, heads)
         ends = np.cumsum([len(t) + 1 for t in texts[at:to]])
         cuts = np.searchsorted(start, ends)
         before = 0

@@ -53,6 +53,7 @@ def test_components_against_brute_force(spark, texts, monkeypatch, k, percent, s
     monkeypatch.setattr(N, "SMALL", small)
     monkeypatch.setattr(N.bucket_pairs, "__defaults__", (small,))
     monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "ROOM", 120)
     rows = list(enumerate([*texts, *family(1, 40, 9), *family(2, 30, 3)], 100))
     random.Random(0).shuffle(rows)
     found = N.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), k, percent).collect()
@@ -75,6 +76,22 @@ def test_cut_list_of_frequent_shingles_against_brute_force(spark, monkeypatch, m
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows, 1, 80)
 
 
+def test_one_of_a_component_stays_whatever_its_id(spark):
+    base, other = words(21, 60), words(22, 60)
+    near = base + " more"
+    rows = [(7, base, 1), (7, other, 2), (5, near, 3), (5, near, 4), (None, base, 5), (None, words(23, 50), 6), (None, words(23, 50), 7), (8, "", 8), (8, None, 9)]
+    kept = N.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, n int").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(5, near), (7, other), (0, words(23, 50)), (8, ""), (8, "")])
+
+
+def test_many_equal_rows_and_null_ids(spark):
+    base = words(31, 40)
+    rows = [(None, base) for _ in range(150)] + [(i, base.upper() if i % 2 else "") for i in range(200)] + [(1000, words(32, 30))]
+    found = N.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 3, 90)
+    assert found.count() == len(rows) and found.where("kept").count() == 1 + 100 + 1
+    assert {r["component_id"] for r in found.where("n_shingles > 0").collect()} == {1, 1000}
+
+
 def test_odd_and_empty_tables(odd, empty):
     found = N.jaccard_components(odd, 3, 90).collect()
     assert len(found) == odd.count()

@@ -1,0 +1,36 @@
+import random
+
+import numpy as np
+import pytest
+
+from folioscope.llm import words as W
+
+
+def simple(text, prefixes):
+    """One word at a time with Python's own numbers."""
+    out, heads = [], []
+    for w in text.split():
+        for n in (len(w), *(n for n in prefixes if len(w) > n)):
+            h = sum((b + 1) * pow(int(W._BASE), i, 1 << 64) for i, b in enumerate(w[:n])) + n
+            out.append(int(W.mix(np.array([h % (1 << 64)], np.uint64))[0]))
+            heads.append(w[0] * 256 + (w[1] if len(w) > 1 else 0))
+    return out, heads
+
+
+@pytest.mark.parametrize("prefixes", [(), (2, 5)])
+def test_pieces_make_no_difference(monkeypatch, prefixes):
+    rng = random.Random(3)
+    monkeypatch.setattr(W, "_PIECE", 64)
+    texts = [b"", b"   ", b"x" * 500, b" " * 300, b"a" * 64 + b" " + b"b" * 63]
+    texts += [b"".join(bytes(rng.choices(b"abcXYZ\xc3", k=rng.choice([1, 2, 3, 9, 90, 300]))) + rng.choice([b" ", b"\n", b"\t \r"]) for _ in range(rng.randrange(60))) for _ in range(40)]
+    for t, (found, heads) in zip(texts, W.word_hashes(texts, prefixes=prefixes, heads=True), strict=True):
+        hashes, two = simple(t.lower(), prefixes)
+        assert found.tolist() == hashes and heads.tolist() == two
+    assert [x.tolist() for x in W.word_hashes(texts, prefixes=prefixes)] == [simple(t.lower(), prefixes)[0] for t in texts]
+
+
+def test_a_text_of_twenty_megabytes():
+    text = (b"some words of a very long text " * 700_000)[:20_000_000]
+    found = next(W.word_hashes([text]))
+    assert len(found) == len(text.split()) and len(np.unique(found)) <= 9
+    assert (next(W.word_hashes([b"y" * 20_000_000])) == next(W.word_hashes([b"Y" * 20_000_000]))).all()
