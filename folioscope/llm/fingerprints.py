@@ -8,8 +8,9 @@ containment.
 
 Defined cases: null and empty texts have the empty sketch, alike 1.0 to each other and 0.0 to any
 other; a text with fewer words than a shingle is one shingle; documents of equal id are ordered
-by their text; a null id comes last; the only document is its own successor; an empty table
-gives an empty result.
+by a hash of their text, so repeated rows follow each other; a null id comes last, as the least
+64-bit number would; the only document is its own successor; a text of any length is hashed piece
+by piece; an empty table gives an empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.runtime import documents, utf8
@@ -29,8 +30,10 @@ from folioscope.llm.words import shingles, word_hashes
 K = 128
 SHINGLE = 5
 BITS = 48
-#: A run of ids has the same value but for so many low bits; one task holds its documents together.
-RUN_BITS = 8
+#: Documents drawn for each run to find where runs begin.
+DRAWN = 20
+#: Rows of one output row that stands for equal ones.
+_TIMES = 1000
 #: Stands for a null id; as an id of its own it would count as null.
 _LEAST = -(1 << 63)
 
@@ -92,61 +95,102 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInPandas(run, f"id {kind}, fingerprint string, n_distinct double").withColumnRenamed("id", id_col)
 
 
-def following_run(ids: DataFrame) -> DataFrame:
-    """(run, last_run, top): each run of ids, the run before it in descending order (after the
-    last: the first), and its largest id.
+def run_starts(keys: DataFrame, runs: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], tuple[int, int] | None]:
+    """Where runs of documents in descending (id, tie) begin: the first key of each run but run 0, the
+    keys that are so frequent that they would begin several, and the largest key.
 
-    Runs are ordered in three steps, so no task holds more than its share: inside blocks of runs,
-    among blocks, and around the end.
+    They are documents' keys from a sample of about ``DRAWN`` a run, so any ids give even runs; the
+    result doesn't depend on which are drawn.
     """
-    runs = ids.groupBy("run").agg(F.max("id").alias("top"))
-    block = F.shiftright("run", 12)
-    inside = Window.partitionBy("block").orderBy(F.col("run"))
-    runs = runs.withColumn("block", block).withColumn("above", F.lead("run").over(inside))
-    blocks = runs.groupBy("block").agg(F.min("run").alias("first"), F.max("run").alias("final"))
-    # One row a block of 4096 runs of ids: a millionth of the documents.
-    order = Window.orderBy("block")
-    ends = blocks.select("block", F.coalesce(F.lead("first").over(order), F.first("first").over(order)).alias("next_block"))
-    joined = runs.join(ends, "block")
-    return joined.select("run", F.coalesce("above", "next_block").alias("last_run"), "top")
-
-
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, width: int = SHINGLE) -> DataFrame:
+    whole = keys.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "tie")).alias("top")).first()
+    if not whole["n"]:
+        return [], [], None
+    share = min(1.0, DRAWN * runs / whole["n"])
+    drawn = sorted((tuple(r) for r in keys.sample(share, 7).collect()), reverse=True)  # DRAWN * runs rows
+    at = drawn[DRAWN::DRAWN][: runs - 1]
+    top = tuple(whole["top"])
+    return sorted({k for k in at if k != top}, reverse=True), sorted({a for a, b in zip(at, at[1:], strict=False) if a == b}), top
+
+
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, width: int = SHINGLE, runs: int | None = None) -> DataFrame:
     """One row per document, with its fingerprint, that of its edited text and their likeness.
 
     The edited text has the last floor(n/2) code points replaced by the first as many of the next
-    document in descending id. Documents meet in runs of neighbouring ids (2 ** ``RUN_BITS`` ids at most);
-    only the first document of each run is sent to a second place, the run that comes before.
+    document in descending id. Documents are dealt to as many runs of neighbours as there are shuffle
+    partitions (or ``runs``), each sorted and streamed by one task. A run's last document meets the
+    first of the next run, which is sent there too; so texts are shuffled once.
     """
+    spark = docs.sparkSession
+    runs = runs or int(spark.conf.get("spark.sql.shuffle.partitions"))
     number = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LEAST)).alias("id")
-    with_run = F.shiftright("id", RUN_BITS)
-    # Both uses of the dealt rows have the same columns and key, so their one exchange is reused.
-    dealt = docs.select(number, F.coalesce(F.col(text_col), F.lit("")).alias("body")).withColumn("run", with_run).repartition("run")
-    links = following_run(docs.select(number).withColumn("run", with_run)).withColumnRenamed("run", "linked")
-    first = dealt.join(links, (dealt["run"] == links["linked"]) & (dealt["id"] >= links["top"])).groupBy(F.col("last_run").alias("to")).agg(F.max("body").alias("body"))
-
-    def run(own: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["id", "body"], ascending=False, kind="stable")
-        texts = own["body"].tolist()
-        after = [*texts[1:], head["body"].iloc[0]]
-        edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(texts, after, strict=True)]
-        raw = utf8(edited)
-        mine, theirs = sketches(utf8([*texts, after[-1]]), k, width), sketches(raw, k, width)
+    rows = docs.select(number, F.coalesce(F.col(text_col), F.lit("")).alias("body")).select("id", F.xxhash64("body").alias("tie"), "body")
+    starts, frequent, top = run_starts(rows.select("id", "tie"), runs)
+    ids, ties = (np.array([s[i] for s in reversed(starts)], np.int64) for i in (0, 1))
+
+    @F.pandas_udf("int")
+    def run_of(i: pd.Series, t: pd.Series) -> pd.Series:
+        i, t = i.to_numpy(np.int64), t.to_numpy(np.int64)
+        before, until = np.searchsorted(ids, i, "left"), np.searchsorted(ids, i, "right")
+        for at in np.unique(before[until > before]).tolist():
+            same = (before == at) & (until > at)
+            before[same] += np.searchsorted(ties[at : until[same][0]], t[same], "left")
+        return pd.Series(len(ids) - before).astype("int32")
+
+    key = "id bigint, tie bigint"
+    often = F.broadcast(spark.createDataFrame(frequent, key))  # a row a run at most
+    # Rows that repeat one id and text very often are one row with their number.
+    once = rows.join(often, ["id", "tie"], "left_anti").withColumn("n", F.lit(1).cast("bigint")) if frequent else rows.withColumn("n", F.lit(1).cast("bigint"))
+    if frequent:
+        once = once.unionByName(rows.join(often, ["id", "tie"], "left_semi").groupBy("id", "tie", "body").agg(F.count(F.lit(1)).alias("n")))
+    dealt = once.select(run_of("id", "tie").alias("run"), F.lit(False).alias("tail"), "id", "tie", "body", "n")
+    following = [(*s, n) for n, s in enumerate(starts)] + ([(*top, len(starts))] if top else [])
+    wanted = F.broadcast(spark.createDataFrame(following, f"{key}, run int"))
+    tails = rows.join(wanted, ["id", "tie"]).groupBy("run", "id", "tie").agg(F.max("body").alias("body"))
+    every = dealt.unionByName(tails.select("run", F.lit(True).alias("tail"), "id", "tie", "body", F.lit(1).cast("bigint").alias("n")))
+    ordered = every.repartitionById(runs, F.col("run")).sortWithinPartitions("run", "tail", F.desc("id"), F.desc("tie"), F.desc("body"))
+
+    def streamed(batches):
+        held = []  # the last document so far, whose successor comes in the next batch
+        for b in batches:
+            texts = b["body"].tolist()
+            new = list(zip(b["id"].tolist(), texts, sketches(utf8(texts), k, width), b["n"].tolist(), b["tail"].tolist(), strict=True))
+            pairs = []
+            for own, after in zip([*held, *new], [*held, *new][1:], strict=False):
+                if own[4]:
+                    continue
+                left = own[3] - 1
+                pairs += [(own, own, min(_TIMES, left - at)) for at in range(0, left, _TIMES)]
+                pairs.append((own, after, 1))
+            held = new[-1:]
+            if pairs:
+                yield paired(pairs)
+
+    def paired(pairs):
+        edited = utf8([a[1][: len(a[1]) - len(a[1]) // 2] + z[1][: len(a[1]) // 2] for a, z, _ in pairs])
+        theirs = sketches(edited, k, width)
         return pd.DataFrame(
             {
-                "id": own["id"].tolist(),
-                "n_chars": [len(t) for t in texts],
-                "edited_sha256": [hashlib.sha256(t).hexdigest() for t in raw],
-                "fingerprint": [pack(s) for s in mine[:-1]],
-                "edited_fingerprint": [pack(s) for s in theirs],
-                "near_edited": [resemblance(a, b, k) for a, b in zip(mine[:-1], theirs, strict=True)],
-                "near_next": [resemblance(a, b, k) for a, b in zip(mine[:-1], mine[1:], strict=True)],
+                "id": [a[0] for a, _, _ in pairs],
+                "n_chars": [len(a[1]) for a, _, _ in pairs],
+                "edited_sha256": [hashlib.sha256(t).hexdigest() for t in edited],
+                "fingerprint": [pack(a[2]) for a, _, _ in pairs],
+                "edited_fingerprint": [pack(t) for t in theirs],
+                "near_edited": [resemblance(a[2], t, k) for (a, _, _), t in zip(pairs, theirs, strict=True)],
+                "near_next": [resemblance(a[2], z[2], k) for a, z, _ in pairs],
+                "times": [n for _, _, n in pairs],
             }
         )
 
-    schema = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    found = dealt.groupBy("run").cogroup(first.groupBy("to")).applyInPandas(lambda a, b: run(a, b) if len(a) else pd.DataFrame(), schema)
-    return found.select(F.when(F.col("id") != _LEAST, F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), *found.columns[1:])
+    schema = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, times int"
+    found = ordered.select("id", "body", "n", "tail").mapInPandas(streamed, schema)
+    if frequent:
+        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
+    return found.select(F.when(F.col("id") != _LEAST, F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), *schema_names(schema))
+
+
+def schema_names(schema: str) -> list[str]:
+    """Names of the columns between the first and the last."""
+    return [c.split()[0] for c in schema.split(", ")[1:-1]]
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

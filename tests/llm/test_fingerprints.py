@@ -1,6 +1,8 @@
 import hashlib
+import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -33,6 +35,47 @@ def test_runs_of_far_ids(spark):
         assert found[i] == hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()
 
 
+def successors(rows):
+    """Edited texts by the definition, of rows (id, text) without repeated ids."""
+    order = sorted(rows, reverse=True)
+    out = {}
+    for at, (i, a) in enumerate(order):
+        b = order[(at + 1) % len(order)][1]
+        out[i] = hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()
+    return out
+
+
+@pytest.mark.parametrize("runs", [1, 2, 7, 64])
+def test_random_sparse_ids(spark, runs):
+    rng = random.Random(runs)
+    rows = [(rng.getrandbits(62) * rng.choice([1, -1]), f"text {rng.random()} " * rng.randrange(6)) for _ in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = P.edited_fingerprints(docs, runs=runs)
+    assert {r["doc_id"]: r["edited_sha256"] for r in found.collect()} == successors(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert runs == 1 or "SinglePartition" not in plan
+
+
+def test_rows_that_repeat_an_id_and_a_text(spark):
+    """Half of the rows are equal: each follows itself but for one, which meets the next document."""
+    rows = [(i, f"{i} text") for i in range(300)] + [(150, "150 text")] * 2500 + [(None, "none")] * 40 + [(None, f"other {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = P.edited_fingerprints(docs, runs=9).collect()
+    assert len(found) == len(rows)
+    own = [r for r in found if r["doc_id"] == 150]
+    assert len(own) == 2501 and sum(r["edited_sha256"] == hashlib.sha256(b"150 150 ").hexdigest() for r in own) == 2500
+    assert sum(r["edited_sha256"] == hashlib.sha256(b"150 149 ").hexdigest() for r in own) == 1
+    rest = successors(rows[:300])
+    assert all(rest[r["doc_id"]] == r["edited_sha256"] for r in found if r["doc_id"] not in (None, 0, 150))
+    assert sum(r["doc_id"] is None for r in found) == 80
+
+
+def test_a_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 1_000_000), (2, "x" * 3_000_000), (3, "short")], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in P.edited_fingerprints(docs).collect()}
+    assert found[1]["n_chars"] == 5_000_000 and found[2]["edited_sha256"] == hashlib.sha256(("x" * 1_500_000 + ("word " * 1_000_000)[:1_500_000]).encode()).hexdigest()
+
+
 def test_odd_and_empty_tables(odd, empty):
     assert P.edited_fingerprints(odd).count() == odd.count()
     assert P.edited_fingerprints(odd).where("doc_id IS NULL").count() == 1
