@@ -9,9 +9,14 @@ Tokens that end that far before the buffer's end are stable and are emitted at o
 any length needs one buffer of fixed size. Decoding feeds token bytes to an incremental UTF-8
 decoder.
 
-Text is cut into words by the pre-tokenizer's pattern first, after strings of special tokens.
-
-Defined cases: a null text counts as empty and has no tokens; an empty table gives an empty result.
+Text is cut into words by the pre-tokenizer's pattern first, after strings of special tokens. A word
+never holds white space behind anything else, so the pattern is matched in blocks that end there,
+and every word goes through the transducer; what it emitted for short words is remembered.
+
+Defined cases: a null text counts as empty and has no tokens; null ids and repeated rows are encoded
+like any other; a text of any length takes one block and one buffer at a time beside itself and its
+ids, also if it is one word; an empty table gives an empty result; other columns are passed on, but
+the output column replaces one of its name.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import codecs
 import hashlib
 import json
 from collections.abc import Iterator
-from itertools import islice, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -46,7 +51,7 @@ _NONE = 1 << 30
 _BUFFER = 2048
 #: Words kept in each of two generations of the cache.
 _CACHE = 250_000
-_PIECES = 100_000
+_BLOCK = 1 << 16
 
 
 def byte_letters() -> list[str]:
@@ -87,6 +92,7 @@ class ByteBpe:
         self.lookahead = lookahead([(self.token[vocab[a]], self.token[vocab[b]]) for a, b in pairs])
         self.buffer = max(buffer, 2 * self.lookahead)
         self.words, self.strict, self.newer = regex.compile(PATTERN), regex.compile(STRICT), regex.compile(f"[{NEWER}]")
+        self.edge = regex.compile(r"\S(?=\s)")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -131,11 +137,7 @@ class ByteBpe:
         found = self.old.get(text)
         if found is None:
             data = text.encode()
-            if len(data) < self.buffer:
-                ids = self.merged(data)
-            else:
-                ids = [i for part in self.stream(data[at : at + self.buffer] for at in range(0, len(data), self.buffer)) for i in part]
-            found = np.array(ids, "<u4").tobytes()
+            found = b"".join(np.array(part, "<u4").tobytes() for part in self.stream(data[at : at + self.buffer] for at in range(0, len(data), self.buffer)))
             if len(data) > 64:
                 return found
         if len(self.new) >= _CACHE:
@@ -143,14 +145,18 @@ class ByteBpe:
         self.new[text] = found
         return found
 
+    def blocks(self, text: str) -> Iterator[str]:
+        """The text in pieces that end before white space, where a word ends in any case."""
+        at = 0
+        while len(text) - at > 2 * _BLOCK and (edge := self.edge.search(text, at + _BLOCK)):
+            yield text[at : edge.end()]
+            at = edge.end()
+        yield text[at:] if at else text
+
     def _plain(self, text: str) -> Iterator[bytes]:
         pattern = self.words if text.isascii() or not self.newer.search(text) else self.strict
-        if len(text) <= 4 * _PIECES:
-            batches = iter([pattern.findall(text)])
-        else:
-            matches = pattern.finditer(text)
-            batches = iter(lambda: [m[0] for m in islice(matches, _PIECES)], [])
-        for words in batches:
+        for block in self.blocks(text):
+            words = pattern.findall(block)
             out = list(map(self.new.get, words))
             if None in out:
                 out = [self.word(w) if x is None else x for w, x in zip(words, out, strict=True)]

@@ -3,14 +3,16 @@
 A text's vector holds hashed counts of the 1-, 2- and 3-grams of its lower-case letters (anything
 else is a space), damped by a logarithm, weighted by inverse document frequency over all training
 documents and normalised. Each language has several centroids, clustered by spherical k-means on
-at most about ``SAMPLE`` of its documents; one task clusters one language. A text gets the language
+about ``SAMPLE`` of its documents, drawn by a hash of id and text; one task clusters one language. A text gets the language
 of the centroid nearest by cosine. It is also told apart as rejected where the cosine is below what
 nearly all of that centroid's own members have.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if
 nothing could be learned; documents of null language are not learned from; equal cosines go to the
-first language in order; a null id counts as the empty text in the split; an empty table gives an
-empty result. Nothing but the text is an input of a prediction.
+first language in order; a null id counts as the empty text in the split; rows that repeat an id and
+a text count for the document frequencies as often as they occur, are clustered once and predicted
+alike; a text of any length is counted piece by piece; an empty table gives an empty result; other
+columns are not looked at, whatever their names. Nothing but the text is an input of a prediction.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.runtime import documents
+from folioscope.llm.runtime import documents, durable, small
 
 DIMS = 8192
 CLUSTERS = 4
@@ -28,6 +30,7 @@ CLUSTERS = 4
 SAMPLE = 1000
 ROUNDS = 8
 _CHUNK = 256
+_PIECE = 1 << 18
 _letters: list[np.ndarray] = []
 
 
@@ -38,14 +41,20 @@ def letter_table() -> np.ndarray:
 
 
 def counts(text: str) -> np.ndarray:
-    """Hashed n-gram counts of one text."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.where(letter_table()[c], c, np.uint32(32))
-    c = np.concatenate([c[:1], c[1:][(c[1:] != 32) | (c[:-1] != 32)]])
-    two = c[:-1] * np.uint32(0x9E3779B1) + c[1:]
-    three = two[:-1] * np.uint32(0x85EBCA77) + c[2:]
-    every = np.concatenate([c * np.uint32(0xC2B2AE3D), two * np.uint32(0x27D4EB2F), three * np.uint32(0x165667B1)])
-    return np.bincount((every ^ (every >> np.uint32(15))) & np.uint32(DIMS - 1), minlength=DIMS)
+    """Hashed n-gram counts of one text, ``_PIECE`` characters at a time."""
+    out = np.zeros(DIMS, np.int64)
+    held = np.zeros(0, np.uint32)  # the last two characters so far
+    for at in range(0, len(text), _PIECE):
+        c = np.frombuffer(text[at : at + _PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.concatenate([held, np.where(letter_table()[c], c, np.uint32(32))])
+        c = np.concatenate([c[:1], c[1:][(c[1:] != 32) | (c[:-1] != 32)]])
+        two = c[:-1] * np.uint32(0x9E3779B1) + c[1:]
+        three = two[:-1] * np.uint32(0x85EBCA77) + c[2:]
+        new = len(held)
+        every = np.concatenate([c[new:] * np.uint32(0xC2B2AE3D), two[max(0, new - 1) :] * np.uint32(0x27D4EB2F), three * np.uint32(0x165667B1)])
+        out += np.bincount((every ^ (every >> np.uint32(15))) & np.uint32(DIMS - 1), minlength=DIMS)
+        held = c[-2:]
+    return out
 
 
 def has_letter(text: str | None) -> bool:
@@ -96,9 +105,9 @@ def fit(training: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) ->
         return None
     df = np.array([found.get(d, 0) for d in range(DIMS)])
     idf = np.log((1 + total) / (1 + df)).astype(np.float32) + np.float32(0.1)
-    per_lang = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.create_map(*[x for lang, n in per_lang.items() for x in (F.lit(lang), F.lit(sample / n))])
-    drawn = training.where(F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    per_lang = durable(training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    place = F.pmod(F.xxhash64("id", "body", F.lit("language sample")), F.lit(1 << 30))
+    drawn = training.join(small(per_lang), "lang").where(place < F.lit(sample) / F.col("n") * (1 << 30)).select("id", "body", "lang").distinct()
     shipped = training.sparkSession.sparkContext.broadcast(idf)
 
     def clustered(group: pd.DataFrame) -> pd.DataFrame:

@@ -3,15 +3,18 @@
 All templates' words are put into one suffix automaton. A document is streamed through it word by
 word, which gives the matching statistics: the longest run of words ending here that some template
 has. A run that cannot be extended is a maximal match; matches of at least ``MIN_MATCH`` words that
-follow each other in the document and in one template are chained, and a template whose chain
-covers enough of its words labels the document. Base phrases are templates too; a place of a base
+follow each other in the document and in one template are chained so that most words are covered
+(dynamic programming over their places in text and template), and a template whose chain covers
+enough of its words labels the document. Base phrases are templates too; a place of a base
 phrase is a position whose matching statistic reaches the phrase's state.
 
 Only runs of words that occur in templates are streamed; any other word puts the automaton back to
 its start, so leaving such words out changes nothing.
 
 Defined cases: null and empty texts have no words, no places, empty labels and score 0; overlapping
-places all count; an empty table gives an empty result.
+places all count; of equally long chains the one that ends first counts; null ids and repeated rows
+are scanned like any other; a text of any length is scanned in one pass, holding its words; an empty
+table gives an empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Short notices and grants; a document has the label if enough of one of its texts is covered.
+#: Notices, grants and bodies of licences; a document has the label if enough of one of its texts is covered.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("mit", "released under the mit license"),
@@ -58,6 +61,16 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("bsd", """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""),
+    ("apache-2", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("gpl-2", """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."""),
+    ("gpl-3", """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""),
+    ("bsl-1", """Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."""),
 ]
 #: Words of a match that may be chained, words skipped between chained matches, share covered.
 MIN_MATCH, GAP, COVER = 3, 4, 0.8
@@ -189,22 +202,46 @@ class Scanner:
 
     def chains(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, float, int, int]]:
         """(template, share covered, first and last word in the text) of each chain of matches that
-        follow each other, in text and template, with at most GAP words between."""
+        follow each other, in text and template, with at most GAP words between.
+
+        The best chain that ends with a match extends the best one of a match before it; matches that
+        overlap count once. Chains are read off from the longest down, each match in one of them.
+        """
         out = []
-        for number in sorted({m[0] for m in matches}):
-            own = sorted({m[1:] for m in matches if m[0] == number}, key=lambda m: (m[1], m[0], m[2]))
-            chain: list[tuple[int, int, int]] = []
-            for m in own:
-                if chain and not (0 <= m[0] - (chain[-1][0] + chain[-1][2]) <= GAP and 0 <= m[1] - (chain[-1][1] + chain[-1][2]) <= GAP):
-                    out.append(self._closed(number, chain))
-                    chain = []
-                chain.append(m)
-            if chain:
-                out.append(self._closed(number, chain))
+        by_template: dict[int, set[tuple[int, int, int]]] = {}
+        for number, inside, start, n in matches:
+            by_template.setdefault(number, set()).add((start, inside, n))
+        for number, own in sorted(by_template.items()):
+            for covered, first, last in self._longest(sorted(own)):
+                out.append((number, covered / len(self.sequences[number]), first, last))
         return out
 
-    def _closed(self, number: int, chain: list[tuple[int, int, int]]) -> tuple[int, float, int, int]:
-        return number, sum(n for _, _, n in chain) / len(self.sequences[number]), chain[0][1], chain[-1][1] + chain[-1][2] - 1
+    @staticmethod
+    def _longest(own: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """(words covered, first and last word in the text) of chains of matches (place in the text,
+        place in the template, words) in order."""
+        best, before = [0] * len(own), [-1] * len(own)
+        near: list[int] = []  # matches whose end is not too far back
+        for j, (start, inside, n) in enumerate(own):
+            near = [i for i in near if own[i][0] + own[i][2] >= start - GAP]
+            best[j] = n
+            for i in near:
+                at, within, m = own[i]
+                shared = max(0, at + m - start, within + m - inside)
+                fits = at < start and within < inside and shared < n and start + shared - at - m <= GAP and inside + shared - within - m <= GAP
+                if fits and best[i] + n - shared > best[j]:
+                    best[j], before[j] = best[i] + n - shared, i
+            near.append(j)
+        out, used = [], set()
+        for j in sorted(range(len(own)), key=lambda j: (-best[j], own[j][0] + own[j][2], j)):
+            if j in used:
+                continue
+            last, i = j, j
+            while i >= 0 and i not in used:
+                used.add(i)
+                last, i = i, before[i]
+            out.append((best[j] - (best[i] if i >= 0 else 0), own[last][0], own[j][0] + own[j][2] - 1))
+        return out
 
 
 @cache

@@ -4,12 +4,17 @@ Each labelling heuristic votes bad (-1), good (1) or not at all (0). The table o
 counted over all documents, is all that expectation-maximisation needs: it estimates the share of
 good documents and how each heuristic votes on good and on bad ones, and gives each pattern its
 posterior. A logistic scorer over hashed words and word shapes is then trained on the posteriors
-of at most about ``SAMPLE`` documents, and scores every document; it generalises beyond the
-heuristics and is what decides.
-
-Defined cases: a null text counts as empty; a text without words scores 0 and is rejected; a table
-from which nothing can be learned keeps every document that has words; an empty table gives an
-empty result.
+of a sample of about ``SAMPLE`` different documents, drawn by a hash of id and text, and scores
+every document; it generalises beyond the heuristics and is what decides. The sample's rows are the
+scorer's labelled rows, with labels by EM, and its size is the documented bound of fitting; the
+vote patterns that the labels come from are counted over all documents.
+
+Defined cases: a null text counts as empty; a text without words scores 0 and is rejected; rows that
+repeat an id and a text are counted as often as they occur, drawn together and train the scorer
+once; null ids are drawn by their text; ties don't occur, as a score decides for itself; a table
+from which nothing can be learned keeps every document that has words; a text of any length is
+hashed piece by piece; an empty table gives an empty result; other columns are passed on or not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ SAMPLE = 8000
 #: A document goes if the scorer holds it bad at seven to three or more.
 KEEP = 0.3
 EPOCHS = 6
-#: A heuristic is assumed to call at most this share of good documents bad.
+#: Prior of the share of good documents that a heuristic calls bad; it weighs as much as the documents.
 WRONG = 0.003
 #: Frequent short words of some languages; a fixed list.
 COMMON = frozenset(b"the of and to in is that it was for on are with as be at by this from or an le la les de des du et un une est en que qui dans pour pas sur au der die das und ist von den mit sich auf nicht ein eine zu dem im el los las del y una por con para se su al no".split())
@@ -78,7 +83,9 @@ def posteriors(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -
     EM over one class of good documents and one kind of bad ones for each heuristic that can say
     bad; heuristics answer independently given the class. A kind starts from the documents that its
     heuristic calls bad, so defects that never come together don't compete, and heuristics that
-    overlap share their kinds.
+    overlap share their kinds. All rates are estimated; how often a heuristic is wrong about good
+    documents has a beta prior of mean ``WRONG``. Accuracies are the share of a heuristic's answers
+    that the posteriors agree with, -1 where it never answers.
     """
     if not patterns:
         return {}, np.zeros(0)
@@ -91,8 +98,10 @@ def posteriors(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -
     for _ in range(rounds):
         mass = weight[:, None] * held
         table = np.einsum("pc,pha->cha", mass, answers) + 0.1
+        # The prior's answers other than bad are split as the documents' are.
+        rest = table[0, :, 1:] / table[0, :, 1:].sum(axis=1, keepdims=True)
+        table[0] += weight.sum() * np.concatenate([np.full((len(rest), 1), WRONG), (1 - WRONG) * rest], axis=1)
         table /= table.sum(axis=2, keepdims=True)
-        table[0, :, 0] = np.minimum(table[0, :, 0], WRONG)
         logs = np.log((mass.sum(axis=0) + 0.1) / (weight.sum() + 1)) + np.einsum("pha,cha->pc", answers, np.log(table))
         new = np.exp(logs - logs.max(axis=1, keepdims=True))
         new /= new.sum(axis=1, keepdims=True)
@@ -101,7 +110,8 @@ def posteriors(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -
             break
     good = held[:, 0]
     right = np.einsum("p,ph->h", weight * good, seen == 1) + np.einsum("p,ph->h", weight * (1 - good), seen == -1)
-    return dict(zip(map(tuple, seen.tolist()), good.tolist(), strict=True)), right / np.maximum(1, np.einsum("p,ph->h", weight, seen != 0))
+    said = np.einsum("p,ph->h", weight, seen != 0)
+    return dict(zip(map(tuple, seen.tolist()), good.tolist(), strict=True)), np.where(said > 0, right / np.maximum(1, said), -1.0)
 
 
 def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -151,15 +161,17 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
     posterior, accuracy = posteriors(patterns)
     if not total:
         return {"posterior": {}, "accuracy": accuracy, "weights": None, "bias": 0.0}
-    drawn = rows if total <= sample else rows.where(F.pmod(F.xxhash64("id", F.lit("quality sample")), F.lit(1 << 30)) < F.lit(int(sample / total * (1 << 30))))
+    drawn = rows if total <= sample else rows.where(F.pmod(F.xxhash64("id", "body", F.lit("quality sample")), F.lit(1 << 30)) < F.lit(int(sample / total * (1 << 30))))
 
     def sampled(batches):
         for b in batches:
             texts = utf8(b["body"].tolist())
             found = list(features(texts))
-            yield pd.DataFrame({"dims": [d.tobytes() for d, _ in found], "value": [v.tobytes() for _, v in found], "target": [posterior[tuple(votes(t))] for t in texts], "tie": [f"{i}" for i in b["id"]]})
+            yield pd.DataFrame({"dims": [d.tobytes() for d, _ in found], "value": [v.tobytes() for _, v in found], "target": [posterior[tuple(votes(t))] for t in texts], "tie": [f"{i}" for i in b["id"]], "text_key": b["text_key"]})
 
-    kept = drawn.select("id", "body").mapInPandas(sampled, "dims binary, value binary, target double, tie string").orderBy("tie", "target").toArrow()
+    # Rows that repeat an id and a text are one, so the sample is bounded whatever repeats.
+    once = drawn.select("id", "body", F.xxhash64("body").alias("text_key")).mapInPandas(sampled, "dims binary, value binary, target double, tie string, text_key bigint").groupBy("tie", "text_key")
+    kept = once.agg(F.first("dims").alias("dims"), F.first("value").alias("value"), F.first("target").alias("target")).orderBy("tie", "text_key").toArrow()
     if not kept.num_rows:
         return {"posterior": posterior, "accuracy": accuracy, "weights": None, "bias": 0.0}
     vectors = [(np.frombuffer(d, np.int32), np.frombuffer(v, np.float32)) for d, v in zip(kept["dims"].to_pylist(), kept["value"].to_pylist(), strict=True)]

@@ -3,15 +3,19 @@
 P(grade > j) = sigmoid(w . x - t_j) with one weight vector for all ordered thresholds t_1 < t_2 <
 t_3. The features are hashed words and beginnings of words that go with toxic labels (a bound on their odds and a
 floor on their share), how many such words a text has, and how dense they are. The labels know toxic or
-not, so the grades are: 0 not toxic; 1, 2 and 3 the toxic documents by thirds of the density of
-such words in the sample.
-
-The model is fitted on at most about ``SAMPLE`` labelled documents, drawn by a hash of their id;
-their ids are broadcast, so fitting shuffles no text. Every whole text is scored.
-
-Defined cases: a null text counts as empty, with the features of no word; labels that are null are
-not learned from; contradicting labels of one id count as one toxic label; without both classes
-everything has grade 0 and severity 0; an empty table gives an empty result.
+not, so the grades are derived: 0 not toxic; 1, 2 and 3 the toxic documents by thirds of the log-odds
+that models fitted to the other folds of the sample give them. A grade is thus how sure others of
+its kind make us that it is toxic, which is no feature; it stands in for a severity nobody labelled.
+
+The model is fitted on about ``SAMPLE`` labelled documents, drawn by a hash of their id, and where
+rows share ids also of their text; the drawn ids are broadcast. Every whole text is scored.
+
+Defined cases: a null text counts as empty, with the features of no word; labels and documents of a
+null id are not learned from, but scored; labels that are null are not learned from; contradicting
+labels of one id count as one toxic label, and copies of a text as one document, toxic if one is;
+repeated rows are scored alike; probabilities of exactly one half count as toxic; without both classes
+everything has grade 0 and severity 0; a text of any length is hashed piece by piece; an empty table
+gives an empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ SAMPLE = 20_000
 GRADES = 4
 #: A word is a feature if this share of the toxic documents has it (and at least LEAST of them), and
 #: if the lower bound (Z deviations) of its odds of being in a toxic one is twice the odds at large.
-SHARE, LEAST, Z = 0.03, 3, 2.58
-MOST_WORDS = 4096
+SHARE, LEAST, Z = 0.03, 3, 1.96
+FOLDS = 5
 #: Bytes of the beginnings of words.
 PREFIXES = (5, 6, 7)
 TOXIC = 0.5
@@ -54,8 +58,7 @@ def chosen_words(counted: list[tuple[int, int, int]], toxic: int, clean: int) ->
     dim, a, b = np.array(counted, np.int64).T
     odds = np.log((a + 0.5) / (b + 0.5)) - Z * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     strong = (a >= max(LEAST, SHARE * toxic)) & (odds > np.log(2 * toxic / clean))
-    order = np.lexsort((dim[strong], -odds[strong]))[:MOST_WORDS]
-    return np.sort(dim[strong][order])
+    return np.sort(dim[strong])
 
 
 def features(dims: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +97,22 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, si
     return p[:size], p[size] + np.concatenate([[0.0], np.cumsum(np.exp(p[size + 1 :]))])
 
 
-def graded(toxic: np.ndarray, density: np.ndarray, grades: int = GRADES) -> np.ndarray:
-    """0 for clean documents; for toxic ones 1 to grades - 1 by equal parts of density."""
-    cut = np.quantile(density[toxic], np.arange(1, grades - 1) / (grades - 1)) if toxic.any() else np.zeros(grades - 2)
-    return np.where(toxic, 1 + np.searchsorted(cut, density, side="left"), 0)
+def out_of_fold(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, size: int, folds: int = FOLDS) -> np.ndarray:
+    """Each row's log-odds of being toxic by a model of two grades that the row's fold had no part in."""
+    fold = np.arange(len(rows)) % folds
+    out = np.zeros(len(rows))
+    for f in range(folds):
+        own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        if len(rest) and toxic[rest].any() and not toxic[rest].all():
+            weights, limits = fit_ordinal([rows[i] for i in rest], toxic[rest].astype(int), size, 2)
+            out[own] = [value @ weights[column] - limits[0] for column, value in (rows[i] for i in own)]
+    return out
+
+
+def graded(toxic: np.ndarray, odds: np.ndarray, grades: int = GRADES) -> np.ndarray:
+    """0 for clean documents; for toxic ones 1 to grades - 1 by equal parts of their odds."""
+    cut = np.quantile(odds[toxic], np.arange(1, grades - 1) / (grades - 1)) if toxic.any() else np.zeros(grades - 2)
+    return np.where(toxic, 1 + np.searchsorted(cut, odds, side="left"), 0)
 
 
 def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
@@ -107,7 +122,11 @@ def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
     if total > sample:
         known = known.where(F.pmod(F.xxhash64("id", F.lit("toxicity sample")), F.lit(1 << 30)) < F.lit(int(sample / total * (1 << 30))))
     # The broadcast side has the sample's ids and labels only. Copies of a text count once.
-    drawn = rows.join(F.broadcast(known), "id").groupBy("body").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic"))
+    labelled = rows.join(F.broadcast(known), "id")
+    there = rows.select("id").join(F.broadcast(known), "id").count()
+    if there > 2 * sample:  # many rows of one id: their texts are drawn too
+        labelled = labelled.where(F.pmod(F.xxhash64("id", "body"), F.lit(1 << 30)) < F.lit(int(sample / there * (1 << 30))))
+    drawn = labelled.groupBy("body").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic"))
 
     def count(batches):
         toxic, clean, n, seen = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32), [0, 0], False
@@ -138,8 +157,8 @@ def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
 
     kept = drawn.mapInPandas(reduced, "id string, toxic boolean, columns array<int>, value array<double>").orderBy("id").collect()
     vectors = [(np.array(r["columns"], np.int64), np.array(r["value"])) for r in kept]
-    density = np.array([v[-1] for _, v in vectors])
-    weights, limits = fit_ordinal(vectors, graded(np.array([r["toxic"] for r in kept]), density), len(words) + 2)
+    bad = np.array([r["toxic"] for r in kept])
+    weights, limits = fit_ordinal(vectors, graded(bad, out_of_fold(vectors, bad, len(words) + 2)), len(words) + 2)
     return {"words": words, "weights": weights, "limits": limits}
 
 
