@@ -134,6 +134,9 @@ class ByteBpe:
 
     def word(self, text: str) -> bytes:
         """The ids of a word as little-endian 32-bit numbers."""
+        found = self.new.get(text)
+        if found is not None:
+            return found
         found = self.old.get(text)
         if found is None:
             data = text.encode()

@@ -35,8 +35,9 @@ SAMPLE = 8000
 #: A document goes if the scorer holds it bad at seven to three or more.
 KEEP = 0.3
 EPOCHS = 6
-#: Prior of the share of good documents that a heuristic calls bad; it weighs as much as the documents.
-WRONG = 0.003
+#: Prior of the share of good documents that a heuristic calls bad, and its weight in documents for each
+#: document there is.
+WRONG, TRUST = 0.003, 0.1
 #: Frequent short words of some languages; a fixed list.
 COMMON = frozenset(b"the of and to in is that it was for on are with as be at by this from or an le la les de des du et un une est en que qui dans pour pas sur au der die das und ist von den mit sich auf nicht ein eine zu dem im el los las del y una por con para se su al no".split())
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -100,7 +101,7 @@ def posteriors(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -
         table = np.einsum("pc,pha->cha", mass, answers) + 0.1
         # The prior's answers other than bad are split as the documents' are.
         rest = table[0, :, 1:] / table[0, :, 1:].sum(axis=1, keepdims=True)
-        table[0] += weight.sum() * np.concatenate([np.full((len(rest), 1), WRONG), (1 - WRONG) * rest], axis=1)
+        table[0] += TRUST * weight.sum() * np.concatenate([np.full((len(rest), 1), WRONG), (1 - WRONG) * rest], axis=1)
         table /= table.sum(axis=2, keepdims=True)
         logs = np.log((mass.sum(axis=0) + 0.1) / (weight.sum() + 1)) + np.einsum("pha,cha->pc", answers, np.log(table))
         new = np.exp(logs - logs.max(axis=1, keepdims=True))

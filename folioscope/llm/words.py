@@ -63,7 +63,7 @@ def _hash_buffer(data: bytes, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarra
 
 def _long_word(data: bytes, at: int, end: int) -> np.uint64:
     """The hash of one word of any length, a piece at a time."""
-    up, _ = _tables(_PIECE)
+    up, _ = _tables(_PIECE + 1)
     total, scale = np.uint64(0), np.uint64(1)
     with np.errstate(over="ignore"):
         for i in range(at, end, _PIECE):

@@ -57,3 +57,31 @@ def test_lookahead_of_a_small_list():
     assert bpe.lookahead([]) == 0
     assert bpe.lookahead([(b"a", b"b")]) == 1
     assert bpe.lookahead([(b"b", b"c"), (b"a", b"bc")]) == 2
+
+
+def test_every_word_goes_through_the_transducer(monkeypatch, library):
+    own = bpe.ByteBpe(bpe.definition_at())
+    seen = []
+    stream = own.stream
+    monkeypatch.setattr(own, "stream", lambda chunks: (seen.append(1), stream(chunks))[1])
+    text = "some words, and some words again; " + "x" * 5000
+    ids = np.frombuffer(b"".join(own.encode(text)), "<u4").tolist()
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert len(seen) == len(set(own.words.findall(text)))
+
+
+def test_blocks_make_no_difference(monkeypatch, own, library):
+    rng = random.Random(8)
+    monkeypatch.setattr(bpe, "_BLOCK", 7)
+    pieces = ["a", "word", "'s", "12", "!?", " ", "  ", "\n", "\t ", "é日", " ", "don't", "　", "x" * 30]
+    for _ in range(300):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(40)))
+        assert np.frombuffer(b"".join(own.encode(text)), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts(own, library):
+    for text in ("words of a long text. " * 300_000, "ab" * 500_000, " " * 1_000_000 + "x", "日本" * 200_000):
+        count, ids, back = own.digest(text)
+        want = library.encode(text, add_special_tokens=False).ids
+        assert count == len(want) and ids == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+        assert back == hashlib.sha256(text.encode()).hexdigest()

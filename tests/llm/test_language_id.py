@@ -55,3 +55,64 @@ def test_clusters_are_unit_vectors_and_reject_far_ones():
     assert np.allclose(np.linalg.norm(centre, axis=1), 1)
     assert ((x @ centre.T).max(axis=1) >= floor.min()).mean() > 0.9
     assert (np.array([0, 0, 1.0]) @ centre.T < floor).all()
+
+
+def slow_counts(text):
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    while "  " in letters:
+        letters = letters.replace("  ", " ")
+    c, mask, out = [ord(x) for x in letters], (1 << 32) - 1, {}
+    for i in range(len(c)):
+        grams = [c[i] * 0xC2B2AE3D]
+        if i:
+            two = c[i - 1] * 0x9E3779B1 + c[i]
+            grams.append(two * 0x27D4EB2F)
+        if i > 1:
+            grams.append(((c[i - 2] * 0x9E3779B1 + c[i - 1]) * 0x85EBCA77 + c[i]) * 0x165667B1)
+        for g in grams:
+            h = (g & mask ^ (g & mask) >> 15) & L.DIMS - 1
+            out[h] = out.get(h, 0) + 1
+    return out
+
+
+def test_counts_by_pieces_against_loops(monkeypatch):
+    monkeypatch.setattr(L, "_PIECE", 5)
+    for text in ("", "a", "ab", " a  b!! c12d", "Été à la plage — und Straße", "  \n", "İstanbul \U0001d49e"):
+        found = L.counts(text)
+        assert {d: int(found[d]) for d in np.flatnonzero(found)} == slow_counts(text)
+
+
+def test_predictions_against_loops(spoken):
+    from pyspark.sql import functions as F
+
+    training = spoken.selectExpr("doc_id AS id", "text AS body", "lang").where("doc_id % 4 > 0")
+    model = L.fit(training)
+    texts = [r["body"] for r in training.collect()]
+    seen = {}
+    for t in texts:
+        for d in slow_counts(t):
+            seen[d] = seen.get(d, 0) + 1
+    idf = {d: np.log((1 + len(texts)) / (1 + seen.get(d, 0))) + 0.1 for d in range(L.DIMS)}
+    assert np.allclose(model["idf"], [idf[d] for d in range(L.DIMS)], atol=1e-5)
+    rows = spoken.where("doc_id < 40").withColumn("body", F.col("text"))
+    for r in L.predict(rows, model, [F.col("doc_id"), F.col("text")]).collect():
+        x = {d: np.log1p(n) * idf[d] for d, n in slow_counts(r["text"]).items()}
+        size = sum(v * v for v in x.values()) ** 0.5
+        cosine = [sum(v / size * float(c[d]) for d, v in x.items()) for c in model["centre"]]
+        best = int(np.argmax(cosine))
+        assert r["lang_pred"] == model["lang"][best] and abs(r["score"] - cosine[best]) < 1e-4
+
+
+def test_equal_and_null_ids_are_sampled_by_text(spark, spoken):
+    same = spoken.selectExpr("cast(null AS bigint) AS id", "text AS body", "lang")
+    model = L.fit(same.union(same), sample=30)
+    assert set(model["lang"]) == set(WORDS)
+
+
+def test_a_long_text_and_repeated_rows(spark, spoken):
+    long = "la maison avec nous " * 250_000
+    more = spark.createDataFrame([(5000, long, None, "s"), (7, "the water", "en", "s"), (7, "the water", "en", "s"), (5001, "1 " * 500_000, "en", "s")], spoken.schema)
+    found = L.identify(spoken.union(more)).collect()
+    assert next(r["lang_pred"] for r in found if r["doc_id"] == 5000) == "fr" and next(r["lang_pred"] for r in found if r["doc_id"] == 5001) == "und"
+    twice = [tuple(r)[2:] for r in found if r["doc_id"] == 7 and r["lang_pred"] == "en"]
+    assert len(twice) >= 2 and twice[-1] == twice[-2]
