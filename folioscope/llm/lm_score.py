@@ -1,11 +1,11 @@
 """Hashed maximum-entropy language model with a class-factored softmax, and an add-one base.
 
-P(word | history) = P(class | history) * P(word | class, history). The ``TOP`` most frequent tokens
-of the training documents are dealt to classes in order of frequency; every other word, seen or
-not, belongs to one of ``RARE`` classes by its first two bytes. Both factors are softmaxes over
-weights looked up by hashed features: the word before (n-gram), the word before that (skip) and the
-pair. A class of rare words is a binary tree over the bits of their hashes, whose decisions have
-n-gram and skip features too; within its leaf a word has its add-one share (unseen words of a leaf
+P(word | history) = P(group | history) * P(class | group, history) * P(word | class, history). The
+``TOP`` most frequent tokens of the training documents are dealt to classes in order of frequency;
+every other word, seen or not, belongs to one of ``RARE`` classes by its first two bytes; ``SIDE``
+classes that follow each other are a group. The factors are softmaxes over weights looked up by
+hashed features: the word before (n-gram), the word before that (skip) and the pair. A class of rare words is a tree over the bits of their hashes, ``WAYS`` ways at a node, whose
+decisions have n-gram and skip features too; within its leaf a word has its add-one share (unseen words of a leaf
 share one more count, so the whole sums to one). Biases start from the corpus' counts. Trees and
 tables of weights grow with the number of training types, up to ``DEEPEST`` levels and 2^``BITS`` rows.
 
@@ -18,8 +18,10 @@ the N occurrences (so at most ``HEAVY`` of them) are sent to the tasks, the rest
 Scoring runs over sparse features in numpy batches.
 
 Defined cases: a null text has the end token only; a null id counts as the empty text in the split;
-repeated rows count and are scored apart; without training documents every token is unknown, N and
-V are 0 and both scores are those of one unseen type; an empty table gives an empty result.
+repeated rows count and are scored apart; of equally frequent tokens the one with the lesser hash is
+first; without training documents every token is unknown, N and V are 0 and both scores are those of
+one unseen type; a text of any length is hashed and scored piece by piece, holding its tokens; an
+empty table gives an empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,23 +33,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.runtime import documents, durable, utf8
+from folioscope.llm.runtime import discard, documents, durable, utf8
 from folioscope.llm.words import mix, word_hashes
 
 TOP, WORD_CLASSES, RARE = 1024, 32, 32
 PER_CLASS = TOP // WORD_CLASSES
 CLASSES = WORD_CLASSES + RARE
-#: Least and largest binary logarithms of the rows of weights: of classes, words and trees.
-BITS = ((15, 16), (14, 16), (18, 20))
+SIDE = 8
+GROUPS = CLASSES // SIDE
+#: Least and largest binary logarithms of the rows of weights: of groups, classes, words and trees.
+BITS = ((15, 16), (16, 18), (14, 16), (15, 19))
+#: What the rows have of the logarithm of the number of types: more or less so many.
+_MORE = (-4, -2, -5, 0)
 DEEPEST = 15
+#: Ways at a node of a tree, and how many bits that is.
+WAYS, STEP = 8, 3
 ROUNDS = 2
 HEAVY = 2_000_000
 FAN = 64
+#: Training tokens of a task: more make it learn longer before changes are averaged, fewer spread the work.
+TASK_TOKENS, LEAST_TASKS = 1_000_000, 8
 BATCH = 4096
-#: Steps of classes, words and trees.
-RATES, DAMP = (0.35, 0.35, 0.1), 0.5
+#: Steps of groups, classes, words and trees.
+RATES, DAMP = (0.15, 0.25, 0.5, 0.2), 2.0
 #: Rows of a table that are summed at once.
-_BLOCKS = (2048, 2048, 1 << 16)
+_BLOCKS = (1 << 13, 1 << 13, 2048, 1 << 13)
 _GATHER = 4_000_000
 _END = np.uint64(0x7E57ED0C00000000)
 _START = np.uint64(0x57A2700000000000)
@@ -88,24 +98,30 @@ class Model:
         self.top, self.place = top[order], order.astype(np.int64)  # by hash; the place is the rank by frequency
         self.rare_mass = rare_mass
         mass = np.concatenate([np.bincount(np.arange(len(top)) // PER_CLASS, top_counts + 1.0, WORD_CLASSES), rare_mass])
-        self.class_bias = np.where(mass > 0, np.log(np.maximum(mass, 1e-30) / mass.sum()), -1e4).astype(np.float32)
+        grouped = mass.reshape(GROUPS, SIDE)
+        log_share = lambda part, whole: np.where(part > 0, np.log(np.maximum(part, 1e-30) / np.maximum(whole, 1e-30)), -1e4).astype(np.float32)
+        self.group_bias = log_share(grouped.sum(axis=1), mass.sum())
+        self.class_bias = log_share(grouped, grouped.sum(axis=1, keepdims=True))
         inner = np.zeros(TOP)
         inner[: len(top)] = top_counts + 1.0
         inner = inner.reshape(WORD_CLASSES, PER_CLASS)
-        self.word_bias = np.where(inner > 0, np.log(np.maximum(inner, 1e-30) / np.maximum(inner.sum(axis=1, keepdims=True), 1e-30)), -1e4).astype(np.float32)
+        self.word_bias = log_share(inner, inner.sum(axis=1, keepdims=True))
         cells = rare_mass[:, None] if cells is None else cells
         self.depth, self.log_cells = cells.shape[1].bit_length() - 1, np.log10(cells).ravel()
-        heap = np.concatenate([np.zeros_like(cells), cells], axis=1)  # node k has the sons 2k and 2k + 1
-        self.tree_bias = np.zeros(cells.shape, np.float32)
-        for node in (np.arange(1 << j, 2 << j) for j in reversed(range(self.depth))):
-            heap[:, node] = heap[:, 2 * node] + heap[:, 2 * node + 1]
-            self.tree_bias[:, node] = np.log(heap[:, 2 * node + 1] / heap[:, 2 * node])
-        self.tree_bias = self.tree_bias.ravel()
+        self.levels = self.depth // STEP
+        #: Nodes of a class by levels from the top, and the logarithms of their ways' shares.
+        self.firsts = np.array([(WAYS**j - 1) // (WAYS - 1) for j in range(self.levels + 1)], np.int64)
+        ways, below = [], cells
+        for _ in range(self.levels):
+            ways.append(below.reshape(len(below), -1, WAYS))
+            below = ways[-1].sum(axis=2)
+        shares = [log_share(w, w.sum(axis=2, keepdims=True)) for w in reversed(ways)]
+        self.tree_bias = np.concatenate(shares, axis=1).reshape(-1, WAYS) if shares else np.zeros((0, WAYS), np.float32)
         wide = max(types - 1, 0).bit_length()
-        self.class_bits, self.word_bits, self.tree_bits = (min(max(wide + more, least), most) for more, (least, most) in zip((-4, -5, 1), BITS, strict=True))
-        self.class_weights = np.zeros((1 << self.class_bits, CLASSES), np.float32)
-        self.word_weights = np.zeros((1 << self.word_bits, PER_CLASS), np.float32)
-        self.tree_weights = np.zeros((1 << self.tree_bits if self.depth else 0, 1), np.float32)
+        self.bits = tuple(min(max(wide + more, least), most) for more, (least, most) in zip(_MORE, BITS, strict=True))
+        widths = (GROUPS, SIDE, PER_CLASS, WAYS)
+        #: Weights of groups, classes, words and trees.
+        self.tables = [np.zeros((1 << bits, width), np.float32) for bits, width in zip(self.bits, widths, strict=True)]
         self.total = total
 
     def ranks(self, every: np.ndarray) -> np.ndarray:
@@ -123,34 +139,38 @@ class Model:
         return cell_of(every, self.depth)
 
     def tree_path(self, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The nodes above each token's leaf (a column a level) and whether the way goes right."""
+        """The nodes above each token's leaf (a column a level) and the way that is taken at each."""
         kind, leaf = np.divmod(self.cells(every), 1 << self.depth)
-        down = np.arange(self.depth, 0, -1)
-        node = ((leaf | 1 << self.depth)[:, None] >> down) + (kind << self.depth)[:, None]
-        return node, (leaf[:, None] >> (down - 1)) & 1
+        down = np.arange(self.depth, 0, -STEP)
+        node = (leaf[:, None] >> down) + (kind * self.firsts[-1])[:, None] + self.firsts[:-1]
+        return node, (leaf[:, None] >> (down - STEP)) & (WAYS - 1)
 
     def tree_features(self, one: np.ndarray, two: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
             own = node.astype(np.uint64) * _B
-            hashed = (mix((one * _A)[:, None] + own), mix((two * _C)[:, None] + own))
-        return [(h >> np.uint64(64 - self.tree_bits)).astype(np.uint32) for h in hashed]
+            hashed = (mix((one * _A)[:, None] + own).ravel(), mix((two * _C)[:, None] + own).ravel())
+        return self._rows(3, hashed)
 
-    def tree_logits(self, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        logits = self.tree_bias.take(node)
-        for r in rows:
-            logits += self.tree_weights[:, 0].take(r)
-        return logits
-
-    def class_features(self, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+    def group_features(self, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
             hashed = (mix(one * _A), mix(two * _B), mix(one * _A + two * _C))
-        return [(h >> np.uint64(64 - self.class_bits)).astype(np.uint16) for h in hashed]
+        return self._rows(0, hashed)
+
+    def class_features(self, one: np.ndarray, two: np.ndarray, side: np.ndarray) -> list[np.ndarray]:
+        with np.errstate(over="ignore"):
+            own = (side + 1).astype(np.uint64) * _C
+            hashed = (mix(one * _B + own), mix(two * _A + own), mix(one * _C + two * _B + own))
+        return self._rows(1, hashed)
 
     def word_features(self, one: np.ndarray, two: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
             own = group.astype(np.uint64) * _B
             hashed = (mix(one * _A + own), mix(one * _C + two * _A + own))
-        return [(h >> np.uint64(64 - self.word_bits)).astype(np.uint16) for h in hashed]
+        return self._rows(2, hashed)
+
+    def _rows(self, table: int, hashed: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+        kind = np.uint16 if self.bits[table] <= 16 else np.uint32
+        return [(h >> np.uint64(64 - self.bits[table])).astype(kind) for h in hashed]
 
     @staticmethod
     def chances(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -164,19 +184,22 @@ class Model:
         return logits
 
     def log_chances(self, every: np.ndarray, one: np.ndarray, two: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """log10 of P(class) and, for frequent tokens, of P(word | class); for others of P(leaf | class)."""
+        """log10 of P(class | history) and, for frequent tokens, of P(word | class); for others of P(leaf | class)."""
         group = self.classes(every, rank)
-        p = self.chances(self.class_bias, self.class_weights, self.class_features(one, two))
-        out = np.log10(np.maximum(p[np.arange(len(group)), group], 1e-30)).astype(np.float64)
+        side, place = np.divmod(group, SIDE)
+        at = np.arange(len(group))
+        p = self.chances(self.group_bias, self.tables[0], self.group_features(one, two))[at, side]
+        p = p * self.chances(self.class_bias[side], self.tables[1], self.class_features(one, two, side))[at, place]
+        out = np.log10(np.maximum(p, 1e-30)).astype(np.float64)
         known = np.flatnonzero(rank >= 0)
         if len(known):
-            q = self.chances(self.word_bias[group[known]], self.word_weights, self.word_features(one[known], two[known], group[known]))
+            q = self.chances(self.word_bias[group[known]], self.tables[2], self.word_features(one[known], two[known], group[known]))
             out[known] += np.log10(np.maximum(q[np.arange(len(known)), rank[known] % PER_CLASS], 1e-30))
         loose = np.flatnonzero(rank < 0)
         if len(loose) and self.depth:
-            node, right = self.tree_path(every[loose])
-            logits = self.tree_logits(node, self.tree_features(one[loose], two[loose], node))
-            out[loose] -= np.log1p(np.exp(np.where(right, -logits, logits))).sum(axis=1, dtype=np.float64) / np.log(10)
+            node, way = self.tree_path(every[loose])
+            p = self.chances(self.tree_bias.take(node.ravel(), axis=0), self.tables[3], self.tree_features(one[loose], two[loose], node))
+            out[loose] += np.log10(np.maximum(p[np.arange(node.size), way.ravel()], 1e-30)).reshape(node.shape).sum(axis=1, dtype=np.float64)
         return out
 
 
@@ -185,33 +208,30 @@ class Learner:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.start = (model.class_weights, model.word_weights, model.tree_weights)
+        self.start = model.tables
         self.squares = [np.full_like(w, DAMP) for w in self.start]
         self.touched = [np.zeros(len(w), bool) for w in self.start]
-        model.class_weights, model.word_weights, model.tree_weights = (w.copy() for w in self.start)
+        model.tables = [w.copy() for w in self.start]
 
     def step(self, every: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         m = self.model
         rank = m.ranks(every)
         group = m.classes(every, rank)
-        rows = m.class_features(one, two)
-        slope = m.chances(m.class_bias, m.class_weights, rows)
-        slope[np.arange(len(group)), group] -= 1
-        self._apply(0, m.class_weights, rows, slope)
+        side, place = np.divmod(group, SIDE)
+        self._softmax(0, m.group_bias, m.group_features(one, two), side)
+        self._softmax(1, m.class_bias[side], m.class_features(one, two, side), place)
         known = np.flatnonzero(rank >= 0)
         if len(known):
-            rows = m.word_features(one[known], two[known], group[known])
-            slope = m.chances(m.word_bias[group[known]], m.word_weights, rows)
-            slope[np.arange(len(known)), rank[known] % PER_CLASS] -= 1
-            self._apply(1, m.word_weights, rows, slope)
+            self._softmax(2, m.word_bias[group[known]], m.word_features(one[known], two[known], group[known]), rank[known] % PER_CLASS)
         loose = np.flatnonzero(rank < 0)
         if len(loose) and m.depth:
-            node, right = m.tree_path(every[loose])
-            rows = m.tree_features(one[loose], two[loose], node)
-            slope = 1 / (1 + np.exp(-m.tree_logits(node, rows))) - right.astype(np.float32)
-            self._apply(2, m.tree_weights, [r.ravel() for r in rows], slope.reshape(-1, 1))
+            node, way = m.tree_path(every[loose])
+            self._softmax(3, m.tree_bias.take(node.ravel(), axis=0), m.tree_features(one[loose], two[loose], node), way.ravel())
 
-    def _apply(self, table: int, weights: np.ndarray, features: list[np.ndarray], slope: np.ndarray) -> None:
+    def _softmax(self, table: int, bias: np.ndarray, features: list[np.ndarray], right: np.ndarray) -> None:
+        weights = self.model.tables[table]
+        slope = self.model.chances(bias, weights, features)
+        slope[np.arange(len(right)), right] -= 1
         for rows in features:
             order = np.argsort(rows, kind="stable" if rows.dtype == np.uint16 else None)
             ordered = rows[order]
@@ -230,14 +250,15 @@ class Learner:
             self.touched[table][at] = True
 
     def changes(self) -> pd.DataFrame:
-        """The change of each block of touched rows as 16-bit floats, and a bit for each row."""
+        """The changes of each block's touched rows as 16-bit floats, and a bit for each row of the block."""
         out = []
-        for table, (new, old) in enumerate(zip((self.model.class_weights, self.model.word_weights, self.model.tree_weights), self.start, strict=True)):
+        for table, (new, old) in enumerate(zip(self.model.tables, self.start, strict=True)):
             size = _BLOCKS[table]
             for at in range(0, len(old), size):
-                if self.touched[table][at : at + size].any():
-                    delta = new[at : at + size] - old[at : at + size]
-                    out.append((table, at, delta.astype(np.float16).tobytes(), np.packbits(self.touched[table][at : at + size]).tobytes()))
+                touched = self.touched[table][at : at + size]
+                if touched.any():
+                    delta = new[at : at + size][touched] - old[at : at + size][touched]
+                    out.append((table, at, delta.astype(np.float16).tobytes(), np.packbits(touched).tobytes()))
         return pd.DataFrame(out, columns=["part", "at", "delta", "tasks"])
 
 
@@ -287,12 +308,20 @@ def _counted(held: list[np.ndarray]) -> pd.DataFrame:
 def _summed(df: DataFrame, tasks: int) -> DataFrame:
     """Sum deltas by block, FAN tasks' at a time."""
 
+    widths = (GROUPS, SIDE, PER_CLASS, WAYS)
+
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        single = group["single"].iloc[0]
-        kind = np.float16 if single else np.float32
-        delta = sum(np.frombuffer(d, kind).astype(np.float32) for d in group["delta"])
-        count = sum(np.unpackbits(np.frombuffer(c, np.uint8)).astype(np.int32) if single else np.frombuffer(c, np.int32) for c in group["tasks"])
-        return pd.DataFrame({"part": [group["part"].iloc[0]], "at": [group["at"].iloc[0]], "task": [group["task"].iloc[0] // FAN], "single": [False], "delta": [delta.tobytes()], "tasks": [count.tobytes()]})
+        part, width = group["part"].iloc[0], widths[group["part"].iloc[0]]
+        delta, count = np.zeros((_BLOCKS[part], width), np.float32), np.zeros(_BLOCKS[part], np.int32)
+        for single, d, c in zip(group["single"], group["delta"], group["tasks"], strict=True):
+            if single:
+                touched = np.flatnonzero(np.unpackbits(np.frombuffer(c, np.uint8))[: len(count)])
+                delta[touched] += np.frombuffer(d, np.float16).reshape(-1, width)
+                count[touched] += 1
+            else:
+                delta += np.frombuffer(d, np.float32).reshape(-1, width)
+                count += np.frombuffer(c, np.int32)
+        return pd.DataFrame({"part": [part], "at": [group["at"].iloc[0]], "task": [group["task"].iloc[0] // FAN], "single": [False], "delta": [delta.tobytes()], "tasks": [count.tobytes()]})
 
     schema = "part int, at int, task bigint, single boolean, delta binary, tasks binary"
     while True:
@@ -308,7 +337,8 @@ def train(rows: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     part = F.pmod(F.xxhash64("id", F.lit("round")), F.lit(rounds))
     for r in range(rounds):
         shipped = spark.sparkContext.broadcast(model)
-        drawn = rows.where(part == r).select("body", F.spark_partition_id().cast("bigint").alias("task"))
+        drawn = rows.where(part == r).select("body")
+        drawn = drawn.coalesce(max(LEAST_TASKS, model.total // rounds // TASK_TOKENS)).withColumn("task", F.spark_partition_id().cast("bigint"))
 
         def run(batches, shipped=shipped):
             learner, task = Learner(shipped.value), []
@@ -322,18 +352,21 @@ def train(rows: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                 for piece in cut(held):
                     learner.step(*piece)
             found = learner.changes()
-            learner.model.class_weights, learner.model.word_weights, learner.model.tree_weights = learner.start
+            learner.model.tables = learner.start
             if task:
                 yield found.assign(task=task[0], single=True)
 
         changes = drawn.mapInPandas(run, "part int, at int, delta binary, tasks binary, task bigint, single boolean")
-        summed = _summed(changes, drawn.rdd.getNumPartitions()).collect()  # the size of the model
+        table = durable(_summed(changes, drawn.rdd.getNumPartitions()), "lm-changes")
+        summed = table.collect()  # the size of the model
+        discard(table)
         new = Model.__new__(Model)
-        new.__dict__ = dict(model.__dict__, class_weights=model.class_weights.copy(), word_weights=model.word_weights.copy(), tree_weights=model.tree_weights.copy())
+        new.__dict__ = dict(model.__dict__, tables=[w.copy() for w in model.tables])
         for row in summed:
-            weights = (new.class_weights, new.word_weights, new.tree_weights)[row["part"]]
+            weights = new.tables[row["part"]]
             block = weights[row["at"] : row["at"] + _BLOCKS[row["part"]]]
-            block += np.frombuffer(row["delta"], np.float32).reshape(block.shape) / np.maximum(1, np.frombuffer(row["tasks"], np.int32))[:, None]
+            delta = np.frombuffer(row["delta"], np.float32).reshape(-1, block.shape[1]) / np.maximum(1, np.frombuffer(row["tasks"], np.int32))[:, None]
+            block += delta[: len(block)]
         shipped.unpersist()
         model = new
     return model
@@ -346,7 +379,7 @@ def fit(counts: DataFrame, training: DataFrame) -> tuple[Model, dict]:
     top = counts.orderBy(F.desc("n"), "token").limit(TOP).collect()
     hashes = np.array([r["token"] for r in top], np.int64).view(np.uint64)
     number = np.array([r["n"] for r in top], float)
-    depth = min(max((types // RARE).bit_length() - 2, 0), DEEPEST)
+    depth = min(-(-max((types // RARE).bit_length() - 2, 0) // STEP) * STEP, DEEPEST)
     cell = F.shiftleft(F.col("token").bitwiseAND(RARE - 1), depth)
     cell = cell.bitwiseOR(F.shiftrightunsigned("token", 64 - depth)) if depth else cell
     mass = counts.groupBy(cell.alias("cell")).agg(F.sum(F.col("n") + 1).alias("mass")).toPandas()  # 2^DEEPEST rows a class at most
@@ -378,9 +411,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for group in batches_of(tokens(utf8(b["body"].tolist()))):
                 logs, rares, bases, seen = [], [], [], []
                 for every, one, two in cut(group):
-                    rank = own.ranks(every)
-                    at = np.minimum(np.searchsorted(heavy["token"], every), len(heavy["token"]) - 1)
-                    n = np.where(heavy["token"][at] == every, heavy["count"][at], 0) if len(heavy["token"]) else np.zeros(len(every), np.int64)
+                    # Distinct tokens in order are looked up much faster than all as they come.
+                    types, place = np.unique(every, return_inverse=True)
+                    rank = own.ranks(types)[place]
+                    at = np.minimum(np.searchsorted(heavy["token"], types), len(heavy["token"]) - 1)
+                    n = (np.where(heavy["token"][at] == types, heavy["count"][at], 0) if len(heavy["token"]) else np.zeros(len(types), np.int64))[place]
                     base = np.log10(n + 1.0)
                     chance = own.log_chances(every, one, two, rank)
                     loose = rank < 0
@@ -408,7 +443,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the sums back to their document.
     scored = durable(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     loose = scored.select("row", F.explode(F.arrays_zip("unknown", "times")).alias("x")).select("row", F.col("x.unknown").alias("token"), F.col("x.times").alias("times"))
-    found = loose.join(counts, "token").select("row", (F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.col("times").cast("bigint").alias("more_known"))
+    found = loose.join(counts.hint("shuffle_hash"), "token").select("row", (F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.col("times").cast("bigint").alias("more_known"))
     nothing = {name: F.lit(None).cast(t) for name, t in (("id", kind), ("held_out", "boolean"), ("n_tokens", "bigint"))}
     parts = scored.select("row", "id", "held_out", "n_tokens", "n_known", "base", "chance").unionByName(
         found.select("row", *[c.alias(n) for n, c in nothing.items()], F.col("more_known").alias("n_known"), F.col("more").alias("base"), F.col("more").alias("chance"))

@@ -58,8 +58,8 @@ def test_chances_sum_to_one():
     rng = np.random.default_rng(0)
     top = rng.integers(1, 1 << 62, 40).astype(np.uint64)
     m = S.Model(top, np.arange(40, 0, -1.0), np.full(S.RARE, 7.0), 1000)
-    m.class_weights[:] = rng.normal(0, 0.5, m.class_weights.shape)
-    m.word_weights[:] = rng.normal(0, 0.5, m.word_weights.shape)
+    for t in m.tables:
+        t[:] = rng.normal(0, 0.5, t.shape)
     one, two = (np.full(1, x, np.uint64) for x in (5, 9))
     total = sum(10 ** m.log_chances(np.array([w]), one, two, m.ranks(np.array([w])))[0] for w in m.top)
     rare = [np.array([k], np.uint64) for k in range(S.RARE)]
@@ -87,20 +87,88 @@ def test_rare_words_have_32_classes():
 
 def test_words_beyond_the_most_frequent_follow_their_history():
     """A rare word that always follows another gains on those of its class; the whole still sums to one."""
-    m = S.Model(np.array([1 << 40], np.uint64), np.array([9.0]), np.full(S.RARE, 16.0), 1000, np.full((S.RARE, 16), 1.0))
-    leaves = np.array([leaf << 60 | 5 for leaf in range(16)], np.uint64)
+    m = S.Model(np.array([1 << 40], np.uint64), np.array([9.0]), np.full(S.RARE, 16.0), 1000, np.full((S.RARE, 64), 1.0))
+    leaves = np.array([leaf << 58 | 5 for leaf in range(64)], np.uint64)
     one, two = (np.full(64, x, np.uint64) for x in (7, 9))
     learner = S.Learner(m)
     for _ in range(200):
         learner.step(np.full(64, leaves[3]), one, two)
-    after, other = (m.log_chances(leaves, np.full(16, x, np.uint64), two[:16], np.full(16, -1)) for x in (7, 8))
+    after, other = (m.log_chances(leaves, np.full(64, x, np.uint64), two, np.full(64, -1)) for x in (7, 8))
     assert after[3] > np.delete(after, 3).max() + 1 and after[3] > other[3] + 0.3
-    kinds = np.array([leaf << 60 | k for leaf in range(16) for k in range(S.RARE)], np.uint64)
+    kinds = np.array([leaf << 58 | k for leaf in range(64) for k in range(S.RARE)], np.uint64)
     every = np.append(m.top, kinds)
     total = (10 ** m.log_chances(every, *(np.full(len(every), x, np.uint64) for x in (7, 9)), m.ranks(every))).sum()
     assert math.isclose(total, 1, rel_tol=1e-4)
 
 
 def test_tables_grow_with_the_training_types():
-    sizes = [(m.class_weights.size, m.word_weights.size, m.tree_weights.size) for types in (1000, 10**7) for m in [S.Model(np.zeros(0, np.uint64), np.zeros(0), np.ones(S.RARE), 1, np.ones((S.RARE, 2)), types)]]
+    sizes = [tuple(t.size for t in m.tables) for types in (1000, 10**7) for m in [S.Model(np.zeros(0, np.uint64), np.zeros(0), np.ones(S.RARE), 1, np.ones((S.RARE, 8)), types)]]
     assert all(a < b for a, b in zip(*sizes, strict=True))
+
+
+def slow_score(model, known, tokens):
+    """The log-probability of one text, token by token and way by way with plain numbers."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x &= mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def log_softmax(table, bias, hashes, right):
+        rows = [mixed(h) >> 64 - model.bits[table] for h in hashes]
+        z = [float(b) + sum(float(model.tables[table][r][k]) for r in rows) for k, b in enumerate(bias)]
+        return z[right] - math.log(sum(math.exp(x) for x in z))
+
+    a, b, c = int(S._A), int(S._B), int(S._C)
+    count = dict(zip(known["token"].tolist(), known["count"].tolist(), strict=True))
+    place = dict(zip(model.top.tolist(), model.place.tolist(), strict=True))
+    one = two = int(S._START)
+    total = 0.0
+    for t in map(int, tokens):
+        rank = place.get(t, -1)
+        group = rank // S.PER_CLASS if rank >= 0 else S.WORD_CLASSES + (t & S.RARE - 1)
+        side, at = divmod(group, S.SIDE)
+        total += log_softmax(0, model.group_bias, (one * a, two * b, one * a + two * c), side)
+        own = (side + 1) * c
+        total += log_softmax(1, model.class_bias[side], (one * b + own, two * a + own, one * c + two * b + own), at)
+        if rank >= 0:
+            own = group * b
+            total += log_softmax(2, model.word_bias[group], (one * a + own, one * c + two * a + own), rank % S.PER_CLASS)
+        else:
+            kind, leaf = t & S.RARE - 1, t >> 64 - model.depth if model.depth else 0
+            for level in range(model.levels):
+                node = kind * int(model.firsts[-1]) + int(model.firsts[level]) + (leaf >> model.depth - S.STEP * level)
+                way = leaf >> model.depth - S.STEP * (level + 1) & S.WAYS - 1
+                total += log_softmax(3, model.tree_bias[node], (one * a + node * b, two * c + node * b), way)
+            total += (math.log10(count.get(t, 0) + 1) - model.log_cells[kind << model.depth | leaf]) * math.log(10)
+        one, two = t, one
+    return total / math.log(10)
+
+
+def test_scores_against_a_slow_model(spark, corpus):
+    more = spark.createDataFrame([(5000 + i, words(i, 40)) for i in range(40)] + [(6000, ""), (6001, None), (6002, words(1, 20_000))], "doc_id bigint, text string")
+    rows = corpus.select("doc_id", "text").unionByName(more)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    training = spark.createDataFrame([(i, t) for i, t in texts.items() if not fold(i)], "id bigint, body string")
+    model, known = S.fit(S.token_counts(training), training)
+    assert model.levels > 0 and all(np.abs(t).max() > 0 for t in model.tables)
+    docs = [next(S.tokens([texts[i].encode()])) for i in (0, 5, 9, 5003, 5017, 6000)]
+    every, one, two = S.histories(docs)
+    rank = model.ranks(every)
+    chance = model.log_chances(every, one, two, rank)
+    count = dict(zip(known["token"].tolist(), known["count"].tolist(), strict=True))
+    n = np.array([count.get(int(t), 0) for t in every])
+    chance[rank < 0] += np.log10(n + 1.0)[rank < 0] - model.log_cells[model.cells(every[rank < 0])]
+    ends = np.cumsum([len(d) for d in docs])
+    for d, end in zip(docs, ends, strict=True):
+        assert math.isclose(chance[end - len(d) : end].sum(), slow_score(model, known, d), rel_tol=1e-4)
+    found = {r["doc_id"]: r["score"] for r in S.score_documents(rows).collect()}
+    assert math.isclose(found[6000], found[6001], rel_tol=1e-9) and found[6002] < found[0]
+
+
+def test_repeated_rows_are_scored_alike(odd):
+    found = [r["score"] for r in S.score_documents(odd).collect() if r["doc_id"] == 7 and r["n_tokens"] == 5]
+    assert len(found) == 2 and found[0] == found[1]
