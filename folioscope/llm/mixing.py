@@ -6,24 +6,28 @@ they have room; only what all of them together cannot take is passed on to the p
 and so on up to the root. A leaf with a budget reads whole epochs and then a prefix of one more:
 its documents in an order seeded for that epoch, up to the first document that reaches the budget.
 
-The tree is small (one row a leaf), so budgets are worked out on the driver. Prefixes are not: the
-tokens of a leaf are summed by ranges of the seeded order, running sums over these ranges find the
-one in which the budget ends, and only the rows of that range are sorted. A leaf that holds a third
-of all rows is thus never in one task.
+Budgets are worked out level by level in a table with one row a node, however many sources there
+are: siblings in order of room by weight, with running sums, show who is full and what is left for
+the others. Prefixes come from sums as well: the tokens of a leaf are summed by ranges of the seeded
+order, running sums over these ranges find the one in which the budget ends, and only the rows of
+that range are sorted. A leaf that holds a third of all rows is thus never in one task.
 
 Defined cases: a null domain, language or source is a value of its own; a null text has no tokens;
-documents without tokens are never selected; repeated ids are ordered by text and count apart; an
-empty table, or one without tokens, selects nothing.
+documents without tokens are never selected; repeated ids are ordered by text and count apart, and
+of fully repeated rows that tie at the end of a prefix any come first; an empty table, or one without
+tokens, selects nothing; a text of any length counts with all its tokens; other columns are passed
+on only where they are carried, under their own names.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.runtime import documents, durable
+from folioscope.llm.runtime import documents, durable, small
 
 #: Share of the corpus' tokens that the mixture has.
 SHARE = 0.6
@@ -36,49 +40,35 @@ LANGUAGES = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}
 Path = tuple[str | None, ...]
 
 
-def spread(target: float, weights: Sequence[float], room: Sequence[float]) -> list[float]:
-    """Shares of target by weight where nobody gets more than there is room for."""
-    out, left, open_ = [0.0] * len(weights), target, [i for i, r in enumerate(room) if r > 0]
-    while open_ and left > 1e-9:
-        total = sum(weights[i] for i in open_)
-        if total <= 0:
-            break
-        full = [i for i in open_ if out[i] + left * weights[i] / total >= room[i]]
-        if not full:
-            for i in open_:
-                out[i] += left * weights[i] / total
-            break
-        for i in full:
-            left -= room[i] - out[i]
-            out[i] = room[i]
-        open_ = [i for i in open_ if i not in full]
-    return out
-
-
-def budgets(tokens: Mapping[Path, int], total: float, weights: Mapping[Path, float], max_epochs: int) -> dict[Path, float]:
-    """Tokens for each leaf. A weight is for the path from the root to a node; 1 if not named."""
-    children: dict[Path, list[Path]] = {}
-    room: dict[Path, float] = {}
-    for leaf in sorted(tokens, key=repr):
-        for depth in range(len(leaf), -1, -1):
-            node = leaf[:depth]
-            room[node] = room.get(node, 0.0) + max_epochs * tokens[leaf]
-            if depth:
-                siblings = children.setdefault(leaf[: depth - 1], [])
-                if node not in siblings:
-                    siblings.append(node)
-    out: dict[Path, float] = {}
-    todo = [((), min(total, room[()]))] if tokens else []
-    while todo:
-        node, target = todo.pop()
-        if node not in children:
-            out[node] = target
-            continue
-        # The room of a child is that of its whole subtree, so a shortage inside it is first made
-        # good by its own leaves and reaches its siblings only when they are exhausted.
-        under = children[node]
-        todo += zip(under, spread(target, [weights.get(c, 1.0) for c in under], [room[c] for c in under]), strict=True)
-    return out
+def _key(names: Sequence[str]) -> Column:
+    """A node's path as one text that tells null from any value."""
+    return F.to_json(F.array(*[F.col(n).cast("string") for n in names])) if names else F.lit("[]")
+
+
+def budgets(leaves: DataFrame, names: Sequence[str], total: float, weights: Mapping[Path, float], max_epochs: int) -> DataFrame:
+    """leaves (names, leaf_tokens) with budget. A weight is for the path from the root to a node; 1 if
+    not named.
+
+    The room of a node is that of its whole subtree, so a shortage inside it is first made good by its
+    own leaves and reaches its siblings only when they are exhausted.
+    """
+    named = [(json.dumps(list(path), ensure_ascii=False, separators=(",", ":")), float(w)) for path, w in weights.items()]
+    weight = F.broadcast(leaves.sparkSession.createDataFrame(named, "node string, weight double"))  # what the caller names
+    room = (F.sum("leaf_tokens") * max_epochs).cast("double").alias("room")
+    targets = leaves.agg(F.least(F.lit(float(total)), F.coalesce(room, F.lit(0.0))).alias("target")).select(F.lit("[]").alias("parent"), "target")
+    for depth in range(1, len(names) + 1):
+        nodes = leaves.groupBy(*names[:depth]).agg(room).select(_key(names[: depth - 1]).alias("parent"), _key(names[:depth]).alias("node"), "room")
+        nodes = nodes.join(weight, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).join(small(targets), "parent")
+        order = Window.partitionBy("parent").orderBy(F.when(F.col("weight") > 0, F.col("room") / F.col("weight")).otherwise(float("inf")), "node")
+        rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+        before = F.coalesce(F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        # What a unit of weight gets if all before are full. Who has no more room than that is full.
+        unit = F.when(rest > 0, F.greatest(F.col("target") - before, F.lit(0.0)) / rest).otherwise(0.0)
+        tried = nodes.withColumn("unit", unit).withColumn("full", (F.col("weight") > 0) & (F.col("room") <= F.col("weight") * F.col("unit")))
+        left = F.max(F.when(~F.col("full"), F.col("unit"))).over(Window.partitionBy("parent"))
+        got = F.when(F.col("full"), F.col("room")).otherwise(F.col("weight") * F.coalesce(left, F.lit(0.0)))
+        targets = durable(tried.select(F.col("node").alias("parent"), got.alias("target")), "mixing-targets")
+    return leaves.withColumn("parent", _key(names)).join(small(targets), "parent").drop("parent").withColumnRenamed("target", "budget")
 
 
 def mix_sources(
@@ -111,32 +101,27 @@ def mix_sources(
     )
     if not carry:
         rows = durable(rows, "mixing-rows")  # without texts: the texts are read once
-    sums = durable(rows.groupBy(*names).agg(F.sum("n_tokens").alias("leaf_tokens")), "mixing-leaves").collect()
-    tokens = {tuple(r[n] for n in names): r["leaf_tokens"] for r in sums if r["leaf_tokens"]}
-    given = budgets(tokens, share * sum(tokens.values()), weights or {}, max_epochs)
+    sums = durable(rows.groupBy(*names).agg(F.sum("n_tokens").alias("leaf_tokens")).where("leaf_tokens > 0"), "mixing-leaves")
+    total = share * (sums.agg(F.sum("leaf_tokens")).first()[0] or 0)
     # Whole epochs, and what is left for a prefix of the epoch after them.
-    plan = [(*leaf, float(b), whole := int(b // tokens[leaf]), b - whole * tokens[leaf]) for leaf, b in given.items()]
-    spark = docs.sparkSession
-    leaves = spark.createDataFrame(plan, ", ".join([*(f"`leaf_{n}` string" for n in names), "budget double, whole int, prefix double"]))
-    same = [F.col(n).cast("string").eqNullSafe(F.col(f"leaf_{n}")) for n in names]
-    # A row a leaf of the tree: broadcast while that is small, else Spark may choose.
-    side = F.broadcast(leaves) if len(plan) <= 100_000 else leaves
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
+    whole = F.floor(F.col("budget") / F.col("leaf_tokens")).cast("int")
+    given = budgets(sums, names, total, weights or {}, max_epochs).withColumn("whole", whole)
+    plan = given.select(_key(names).alias("leaf"), "budget", "whole", (F.col("budget") - F.col("whole") * F.col("leaf_tokens")).alias("prefix"))
+    leaves = durable(plan, "mixing-plan")
+    rows = rows.withColumn("leaf", _key(names))
     order = F.xxhash64(F.lit(seed), F.coalesce("whole", F.lit(0)), *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names], "id", "text_key")
-    placed = rows.join(side, condition, "left").drop(*[f"leaf_{n}" for n in names]).withColumn("place", order).withColumn("piece", F.shiftrightunsigned("place", 64 - ranges.bit_length() + 1))
+    placed = rows.join(small(leaves), "leaf", "left").withColumn("place", order).withColumn("piece", F.shiftrightunsigned("place", 64 - ranges.bit_length() + 1))
     run = Window.partitionBy(*names).orderBy("piece")
     before = F.coalesce(F.sum("piece_tokens").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pieces = placed.where(F.col("prefix") > 0).groupBy(*names, "piece").agg(F.sum("n_tokens").alias("piece_tokens"), F.first("prefix").alias("prefix")).withColumn("before", before)
     # Each leaf's ranges up to where its budget ends: as one row, the last range and the sum before it.
     ends = pieces.where(F.col("before") < F.col("prefix")).groupBy(*names).agg(F.max_by("piece", "before").alias("end_piece"), F.max("before").alias("end_before"))
-    ends = durable(ends.select(*[F.col(n).cast("string").alias(f"leaf_{n}") for n in names], "end_piece", "end_before"), "mixing-ends")
-    cut = placed.join(F.broadcast(ends) if len(plan) <= 100_000 else ends, condition, "left").drop(*[f"leaf_{n}" for n in names])
+    ends = durable(ends.select(_key(names).alias("leaf"), "end_piece", "end_before"), "mixing-ends")
+    cut = placed.join(small(ends), "leaf", "left")
     inside = F.col("piece") == F.col("end_piece")
     within = Window.partitionBy(*names, "piece").orderBy("place", "id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     kept = [F.col("id").alias(id_col), *names, "n_tokens", F.coalesce("budget", F.lit(0.0)).alias("budget")]
-    carried = [c for c in rows.columns if c not in {"id", *names, "n_tokens", "text_key"}]
+    carried = [c for c in rows.columns if c not in {"id", *names, "n_tokens", "text_key", "leaf"}]
     has = F.col("n_tokens") > 0
     whole = F.coalesce("whole", F.lit(0))
     outside = cut.where(F.coalesce(~inside, F.lit(True))).withColumn("copies", F.when(has, whole + F.coalesce((F.col("piece") < F.col("end_piece")).cast("int"), F.lit(0))).otherwise(0))
@@ -155,7 +140,8 @@ def language_weights(domains: int = 4) -> dict[Path, float]:
 
 
 def keep_mixture(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """The documents that a mixture of one epoch at most selects, with all their columns."""
+    """The documents that a mixture selects, with all their columns. It has one epoch at most: a second
+    one would bring back copies, which the stages before have taken out."""
     carry = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row")
     mixed = mix_sources(docs, tree(), share, language_weights(), 1, carry=[carry])
     return mixed.where("copies > 0").select("whole_row.*")

@@ -1,3 +1,5 @@
+import math
+import random
 from collections import defaultdict
 
 import pytest
@@ -8,16 +10,68 @@ from folioscope.llm import mixing as M
 from .conftest import words
 
 
-def test_shortages_go_to_siblings_before_ancestors():
+def spread(target, weights, room):
+    """Shares of target by weight where nobody gets more than there is room for, round by round."""
+    out, left, open_ = [0.0] * len(weights), target, [i for i, r in enumerate(room) if r > 0]
+    while open_ and left > 1e-9:
+        total = sum(weights[i] for i in open_)
+        if total <= 0:
+            break
+        full = [i for i in open_ if out[i] + left * weights[i] / total >= room[i]]
+        if not full:
+            for i in open_:
+                out[i] += left * weights[i] / total
+            break
+        for i in full:
+            left -= room[i] - out[i]
+            out[i] = room[i]
+        open_ = [i for i in open_ if i not in full]
+    return out
+
+
+def brute_budgets(tokens, total, weights, max_epochs):
+    def under(node):
+        return sorted({leaf[: len(node) + 1] for leaf in tokens if leaf[: len(node)] == node and len(leaf) > len(node)}, key=repr)
+
+    def room(node):
+        return max_epochs * sum(n for leaf, n in tokens.items() if leaf[: len(node)] == node)
+
+    def given(node, target):
+        if node in tokens:
+            return {node: target}
+        parts = spread(target, [weights.get(c, 1.0) for c in under(node)], [room(c) for c in under(node)])
+        return {k: v for c, t in zip(under(node), parts, strict=True) for k, v in given(c, t).items()}
+
+    return given((), min(total, room(()))) if tokens else {}
+
+
+def budgets(spark, tokens, total, weights, max_epochs):
+    width = max((len(k) for k in tokens), default=1)
+    names = [f"l{i}" for i in range(width)]
+    leaves = spark.createDataFrame([(*k, n) for k, n in tokens.items()], ", ".join(f"{n} string" for n in names) + ", leaf_tokens bigint")
+    return {tuple(r[n] for n in names): r["budget"] for r in M.budgets(leaves, names, total, weights, max_epochs).collect()}
+
+
+def test_budgets_against_rounds(spark):
+    rng = random.Random(4)
+    for _ in range(6):
+        tokens = {(rng.choice("ab"), rng.choice(["x", None, "y\"é"]), f"s{i}"): rng.randrange(1, 500) for i in range(rng.randrange(1, 40))}
+        weights = {k[:d]: rng.choice([0.0, 0.5, 3.0]) for k in tokens for d in (1, 2, 3) if rng.random() < 0.4}
+        total = rng.random() * 2 * sum(tokens.values())
+        found, want = budgets(spark, tokens, total, weights, 2), brute_budgets(tokens, total, weights, 2)
+        assert found.keys() == want.keys() and all(math.isclose(found[k], want[k], rel_tol=1e-9, abs_tol=1e-6) for k in want)
+
+
+def test_shortages_go_to_siblings_before_ancestors(spark):
     tokens = {("a", "x"): 10, ("a", "y"): 1000, ("b", "z"): 1000}
-    got = M.budgets(tokens, 200, {}, 1)
+    got = budgets(spark, tokens, 200, {}, 1)
     assert got == {("a", "x"): 10, ("a", "y"): 90, ("b", "z"): 100}
     tokens = {("a", "x"): 10, ("a", "y"): 20, ("b", "z"): 1000}
-    assert M.budgets(tokens, 200, {}, 1) == {("a", "x"): 10, ("a", "y"): 20, ("b", "z"): 170}
-    assert M.budgets(tokens, 10**9, {}, 2) == {k: 2 * v for k, v in tokens.items()}
-    weighted = M.budgets({("a",): 1000, ("b",): 1000}, 100, {("a",): 3.0}, 1)
+    assert budgets(spark, tokens, 200, {}, 1) == {("a", "x"): 10, ("a", "y"): 20, ("b", "z"): 170}
+    assert budgets(spark, tokens, 10**9, {}, 2) == {k: 2 * v for k, v in tokens.items()}
+    weighted = budgets(spark, {("a",): 1000, ("b",): 1000}, 100, {("a",): 3.0}, 1)
     assert weighted == {("a",): 75.0, ("b",): 25.0}
-    assert M.budgets({}, 10, {}, 1) == {}
+    assert budgets(spark, {}, 10, {}, 1) == {}
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +88,7 @@ def test_prefixes_against_brute_force(tagged, ranges):
     tokens = defaultdict(int)
     for r in found:
         tokens[r["lang"], r["source"]] += r["n_tokens"]
-    given = M.budgets(tokens, 0.7 * sum(tokens.values()), {("fr",): 2.0}, 2)
+    given = brute_budgets(tokens, 0.7 * sum(tokens.values()), {("fr",): 2.0}, 2)
     at = tagged.select("doc_id", "lang", "source", *[F.xxhash64(F.lit(1), F.lit(w), "lang", "source", "doc_id", F.xxhash64("text")).alias(f"o{w}") for w in (0, 1, 2)]).collect()
     place = {r["doc_id"]: r for r in at}
     for leaf, budget in given.items():
