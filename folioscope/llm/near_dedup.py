@@ -45,7 +45,7 @@ from folioscope.llm.words import mix, shingles, word_hashes
 MOST_FREQUENT = 1 << 18
 SMALL = 16
 #: Classes of a block if they have ROOM shingles each; of shorter ones a block holds more.
-BLOCK, ROOM = 128, 4096
+BLOCK, ROOM = 128, 1024
 #: Three ranges of hashes and the frequent shingles. More would only add rows: a fragment of the
 #: longest texts is some ten thousand numbers already.
 FRAGMENTS = 4
