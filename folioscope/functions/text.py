@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 LINE_BREAK = "\r\n|[\n\r\u000b\f\u001c-\u001e\u0085\u2028\u2029]"
 #: White space as Python's \s has it for text.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+WORD = r"[^\s\x1c-\x1f\x85\p{Z}]+"
 #: Markdown headings: marks, title, optional closing marks.
-HEADING = r"^(#{1,6})\s+(.+?)\s*(?:#+\s*)?$"
+HEADING = r"(?U)^(#{1,6})\s+(.+?)\s*(?:#+\s*)?$"
+#: The place of a value in a template.
+PLACE = r"(?U)\{\{(\w+)\}\}"
 #: Words without content; fixed values.
 STOP_WORDS = [
     "about", "after", "against", "because", "before", "between", "could", "from", "have", "into", "more", "most",
@@ -44,8 +47,12 @@ def squeeze(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines without their breaks; a last break starts no line."""
-    parts = F.split(c, LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return without_last_blank(F.split(c, LINE_BREAK, -1))
+
+
+def without_last_blank(parts: Column) -> Column:
+    """Lines split at every break: nothing behind the last break is no line."""
+    return F.slice(parts, 1, F.size(parts) - (F.element_at(parts, -1) == "").cast("int"))
 
 
 def strip_markup(c: Column) -> Column:
@@ -91,8 +98,8 @@ def rewrite_image_paths(c: Column, names: list[str], prefix: str) -> Column:
 
 
 def chunk_image_paths(c: Column) -> Column:
-    """Links into images/ as seen from a folder below."""
-    return F.regexp_replace(c, r"""(\]\(|src=["'])images/""", "$1../images/")
+    """Markdown images in images/ as seen from a folder below; other links stay."""
+    return F.regexp_replace(c, r"!\[([^\]]*)\]\((images/[^)]+)\)", "![$1](../$2)")
 
 
 def canonical_name(parts: list[Column], limit: int = 150) -> Column:
@@ -105,7 +112,7 @@ def canonical_name(parts: list[Column], limit: int = 150) -> Column:
 
 def authors(c: Column) -> Column:
     """Names split at commas and 'and'."""
-    return F.filter(F.transform(F.split(F.regexp_replace(c, r"\s+and\s+", ","), ","), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(c, r"(?U)\s+and\s+", ","), ","), strip), lambda x: x != "")
 
 
 def authors_for_display(c: Column) -> Column:
@@ -113,32 +120,34 @@ def authors_for_display(c: Column) -> Column:
 
 
 def front_matter(c: Column) -> Column:
-    """The flat map between the fences at the top; of equal keys the last counts; empty if not closed."""
+    """The flat map between the fences at the top, keys in lower case, blank values left out; of equal
+    keys the last counts; empty if not closed."""
     every = lines(c)
     rest = F.slice(every, 2, F.greatest(F.size(every) - 1, F.lit(0)))
     close = F.array_position(F.transform(rest, strip), "---")
     pairs = F.filter(F.slice(rest, 1, F.greatest(close - 1, F.lit(0)).cast("int")), lambda x: F.instr(x, ":") > 0)
-    entries = F.transform(pairs, lambda x: F.struct(strip(F.split(x, ":", 2)[0]).alias("key"), F.regexp_replace(strip(F.split(x, ":", 2)[1]), r"""^["']+|["']+$""", "").alias("value")))
+    every_entry = F.transform(pairs, lambda x: F.struct(F.lower(strip(F.split(x, ":", 2)[0])).alias("key"), F.regexp_replace(strip(F.split(x, ":", 2)[1]), r"""^["']+|["']+$""", "").alias("value")))
+    entries = F.filter(every_entry, lambda e: (e["key"] != "") & (e["value"] != ""))
     last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y["key"] == x["key"]))
     usable = (F.size(every) > 1) & (strip(F.element_at(every, 1)) == "---") & (close > 0)
     return F.when(usable, F.map_from_entries(last)).otherwise(F.map_from_entries(F.slice(last, 1, 0)))
 
 
 def first_heading(c: Column) -> Column:
-    """The title of the first level-one heading, null if none."""
-    found = F.filter(lines(c), lambda x: x.rlike(r"^#\s+\S"))
-    return strip(F.regexp_extract(F.try_element_at(found, F.lit(1)), r"^#\s+(.*)$", 1))
+    """The title of the first level-one heading without markup, null if none."""
+    found = F.filter(lines(c), lambda x: x.rlike(r"(?U)^#\s+\S"))
+    return strip(strip_markup(F.regexp_extract(F.try_element_at(found, F.lit(1)), r"(?U)^#\s+(.*)$", 1)))
 
 
 def byline(c: Column, within: int = 40) -> Column:
     """What follows 'by' at the start of one of the first lines, null if none."""
-    found = F.filter(F.transform(F.slice(lines(c), 1, within), strip), lambda x: F.lower(x).startswith("by ") & (strip(F.substring(x, 4, 10_000)) != ""))
-    return strip(F.substring(F.try_element_at(found, F.lit(1)), 4, 10_000))
+    found = F.filter(F.transform(F.slice(lines(c), 1, within), lambda x: strip(strip_markup(x))), lambda x: F.lower(x).startswith("by "))
+    return strip(F.regexp_replace(F.try_element_at(found, F.lit(1)), "^...", ""))
 
 
 def stem_title(c: Column) -> Column:
     """A file stem as a title."""
-    return F.initcap(squeeze(F.regexp_replace(c, "[_-]+", " ")))
+    return F.initcap(strip(F.translate(c, "_-", "  ")))
 
 
 def document_title(markdown: Column, stem: Column) -> Column:
@@ -146,13 +155,19 @@ def document_title(markdown: Column, stem: Column) -> Column:
     return F.coalesce(F.nullif(F.try_element_at(meta, F.lit("title")), F.lit("")), F.nullif(first_heading(markdown), F.lit("")), stem_title(stem))
 
 
+def document_authors(markdown: Column) -> Column:
+    """Authors of the front matter, else of the byline, as one text; null if there are none."""
+    meta = front_matter(markdown)
+    return F.coalesce(F.try_element_at(meta, F.lit("authors")), F.try_element_at(meta, F.lit("author")), byline(markdown))
+
+
 def token_estimate(c: Column) -> Column:
     return F.floor(F.length(c) / 4).cast("bigint")
 
 
 def word_count(c: Column) -> Column:
-    flat = squeeze(c)
-    return F.when(flat == "", F.lit(0)).otherwise(F.size(F.split(flat, " "))).cast("bigint")
+    """Runs of anything but white space."""
+    return F.regexp_count(c, F.lit(WORD)).cast("bigint")
 
 
 def probe_text(c: Column, chars: int = 20_000, tokens: int = 7_500) -> Column:
@@ -184,7 +199,7 @@ def quantities(c: Column) -> Column:
 
 def redact(c: Column, limit: int = 500) -> Column:
     """A message without secrets and local paths, on one line."""
-    clean = reduce(lambda x, p: F.regexp_replace(x, *p), SECRETS, F.replace(c, F.lit("\x00"), F.lit("")))
+    clean = reduce(lambda x, p: F.regexp_replace(x, f"(?U){p[0]}", p[1]), SECRETS, F.replace(c, F.lit("\x00"), F.lit("")))
     return F.substring(squeeze(clean), 1, limit)
 
 
@@ -220,7 +235,7 @@ def diarised_line(text: Column, speaker: Column, start: Column, end: Column) ->
 
 def heading_path(c: Column, fallback: Column) -> Column:
     """All heading lines' titles, outermost first, or the fallback."""
-    titles = F.transform(F.filter(F.transform(lines(c), strip), lambda x: x.startswith("#")), lambda x: strip(F.regexp_replace(x, "^#+", "")))
+    titles = F.transform(F.filter(lines(c), lambda x: x.startswith("#")), lambda x: strip(F.regexp_replace(strip(x), "^#+", "")))
     return F.coalesce(F.nullif(F.array_join(F.filter(titles, lambda x: x != ""), " > "), F.lit("")), fallback)
 
 
@@ -241,12 +256,20 @@ def relative_path(path: Column, root: Column) -> Column:
 
 
 def render(template: Column, values: Column) -> Column:
-    """{{name}} places filled from a map in one pass: values are not looked at again."""
-    mark = r"\{\{\s*([A-Za-z_][A-Za-z0-9_]*)\s*\}\}"
-    names = F.regexp_extract_all(template, F.lit(mark), F.lit(1))
-    texts = F.split(template, mark, -1)
-    return F.array_join(F.transform(texts, lambda x, i: F.concat(x, F.when(i < F.size(names), F.coalesce(F.try_element_at(values, F.get(names, i)), F.lit(""))).otherwise(""))), "")
+    """{{name}} places filled from a map in one pass: values are not looked at again. Names that are
+    missing or that the template doesn't have are an error; a null value is empty."""
+    names = F.regexp_extract_all(template, F.lit(PLACE), F.lit(1))
+    texts = F.split(template, PLACE, -1)
+    filled = F.array_join(F.transform(texts, lambda x, i: F.concat(x, F.when(i < F.size(names), F.coalesce(F.try_element_at(values, F.get(names, i)), F.lit(""))).otherwise(""))), "")
+    wrong = placeholder_errors(F.map_keys(values), names)
+    said = F.concat(F.lit("no values for: "), F.array_join(wrong["missing"], ", "), F.lit("; no places for: "), F.array_join(wrong["unknown"], ", "))
+    return F.when((F.size(wrong["missing"]) > 0) | (F.size(wrong["unknown"]) > 0), F.raise_error(said).cast("string")).otherwise(filled)
+
+
+def placeholder_errors(given: Column, wanted: Column) -> Column:
+    """Names that a template wants and are not given, and names that are given for nothing."""
+    return F.struct(F.array_sort(F.array_except(wanted, given)).alias("missing"), F.array_sort(F.array_except(given, wanted)).alias("unknown"))
 
 
 def placeholders(template: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(template, F.lit(r"\{\{\s*([A-Za-z_][A-Za-z0-9_]*)\s*\}\}"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(template, F.lit(PLACE), F.lit(1))))

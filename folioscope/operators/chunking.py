@@ -13,27 +13,30 @@ from folioscope.functions.text import token_estimate
 
 #: Tokens of a chunk, characters of a paragraph, slack of the last chunk, window.
 MIN_TOKENS, MAX_TOKENS, MIN_CHARS, TAIL_SLACK, WINDOW = 1000, 12_000, 200, 1.2, 2
+#: Characters and tokens of a text that an embedding is asked for; without a tokenizer a
+#: character counts as a token.
+PROBE_CHARS, PROBE_TOKENS = 20_000, 7_500
 #: Items and tokens of an embedding batch, characters for a token, items judged at once.
 BATCH_ITEMS, BATCH_TOKENS, TOKEN_CHARS, JUDGED = 96, 250_000, 3, 10
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
+_FENCE = re.compile(r"`{3,}|~{3,}")
 
 
 def paragraphs_of(text: str) -> list[str]:
-    """Blocks between blank lines; a fenced block is never cut.
+    """Blocks between blank lines; a fenced block is never cut, however far it is indented.
 
     A fence closes with a line of its own character, at least as long, with nothing behind it.
     """
     blocks: list[str] = []
     held: list[str] = []
     fence = ""
-    for line in text.split("\n"):
-        mark = _FENCE.match(line)
+    for line in text.splitlines():
+        bare = line.strip()
         if fence:
-            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not mark[2].strip():
+            if len(bare) >= len(fence) and set(bare) == {fence[0]}:
                 fence = ""
-        elif mark and not (mark[1][0] == "`" and "`" in mark[2]):
-            fence = mark[1]
-        elif not line.strip():
+        elif mark := _FENCE.match(bare):
+            fence = mark[0]
+        elif not bare:
             if held:
                 blocks.append("\n".join(held))
                 held = []
@@ -41,7 +44,7 @@ def paragraphs_of(text: str) -> list[str]:
         held.append(line)
     if held:
         blocks.append("\n".join(held))
-    return [b.strip("\n") for b in blocks if b.strip()]
+    return blocks
 
 
 def paragraphs(texts: Column) -> Column:
@@ -104,7 +107,7 @@ def chunk_runs(items: list[str], cuts: list[int], least: int = MIN_TOKENS, most:
     """Items joined between cuts; a last chunk that is too short joins the one before if both fit."""
     edges = [0, *cuts, len(items)]
     chunks = ["\n\n".join(items[a:b]) for a, b in zip(edges, edges[1:], strict=False) if b > a]
-    if len(chunks) > 1 and len(chunks[-1]) // 4 < least and (len(chunks[-2]) + len(chunks[-1])) // 4 <= most * TAIL_SLACK:
+    if len(chunks) > 1 and len(chunks[-1]) // 4 < least and (len(chunks[-2]) + 2 + len(chunks[-1])) // 4 <= most * TAIL_SLACK:
         chunks[-2:] = ["\n\n".join(chunks[-2:])]
     return chunks
 
@@ -129,7 +132,7 @@ def semantic_chunks(docs: DataFrame, embed, least: int = MIN_TOKENS, most: int =
                 held = ""
         if held:
             merged[-1:] = [f"{merged[-1]}\n\n{held}"] if merged else [held]
-        v = np.array(embed(merged), float)
+        v = np.array(embed([m[:PROBE_CHARS][:PROBE_TOKENS] for m in merged]), float)
         near = []
         for i in range(1, len(merged)):
             a, b = v[max(0, i - window) : i].mean(axis=0), v[i : i + window].mean(axis=0)
@@ -159,15 +162,34 @@ def valley_cuts(rows: DataFrame, group: str, tokens: str, similarities: str, lea
 def pack(sizes: Column, most: int, items: int = 1 << 30) -> Column:
     """A bucket number for each size: a new bucket where the sum or the count would pass its limit;
     a size beyond the limit has a bucket of its own."""
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("bucket"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        size = x.cast("bigint")
-        new = (s["n"] > 0) & ((s["n"] >= items) | (s["total"] + size > most))
-        bucket = s["bucket"] + new.cast("int")
-        return F.struct(F.when(new, F.lit(1)).otherwise(s["n"] + 1).cast("bigint").alias("n"), F.when(new, size).otherwise(s["total"] + size).alias("total"), bucket.alias("bucket"), F.array_append(s["out"], bucket).alias("out"))
+    @F.pandas_udf("array<int>")
+    def run(every: pd.Series) -> pd.Series:
+        return every.map(lambda x: buckets_of([] if x is None else x, most, items))
+
+    return run(sizes)
+
+
+def buckets_of(sizes, most: int, items: int = 1 << 30) -> list[int]:
+    """pack for one list, in one pass."""
+    out: list[int] = []
+    n = total = bucket = 0
+    for size in map(int, sizes):
+        if n and (n >= items or total + size > most):
+            bucket, n, total = bucket + 1, 0, 0
+        n, total = n + 1, total + size
+        out.append(bucket)
+    return out
 
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
+
+def batches_of(texts: list[str], items: int = BATCH_ITEMS, tokens: int = BATCH_TOKENS) -> list[list[str]]:
+    """Texts in batches by count and estimated tokens."""
+    out: list[list[str]] = []
+    for text, bucket in zip(texts, buckets_of([len(t) // 4 for t in texts], tokens, items), strict=True):
+        if bucket == len(out):
+            out.append([])
+        out[bucket].append(text)
+    return out
 
 
 def context_parts(docs: DataFrame, max_tokens: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,5 +231,10 @@ def audio_windows(duration: Column, width: int = 4800) -> Column:
 
 def merge_by_size(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:
     """(group, text): texts in order with a rule between them."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n\n---\n\n")
+    return merge_texts(rows, group, order, text, "\n\n---\n\n")
+
+
+def merge_texts(rows: DataFrame, group: str, order: str, text: str, between: str) -> DataFrame:
+    """(group, text): a group's texts in order, joined."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(text).alias("x")))), lambda i: i["x"]), between)
     return rows.groupBy(group).agg(joined.alias("text"))

@@ -175,7 +175,3 @@ def overrides(default: Column, own: Column) -> Column:
     kept = F.map_filter(default, lambda k, v: ~F.map_contains_key(own, k))
     return F.map_concat(kept, own)
 
-
-def placeholder_errors(wanted: Column, there: Column) -> Column:
-    """Names that are missing and names that are unknown."""
-    return F.struct(F.array_sort(F.array_except(wanted, there)).alias("missing"), F.array_sort(F.array_except(there, wanted)).alias("unknown"))

@@ -7,37 +7,59 @@ pos is the order of construction within a document.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import scores as S
 from folioscope.functions import text as T
-from folioscope.functions import vectors as V
 from folioscope.lineage import cut
 
 #: Least cosine of similar claims; claims of a graph, of a chunk's graph, of a section.
 SIMILAR, MAX_CLAIMS, CHUNK_CLAIMS, SECTION_CLAIMS = 0.8, 48, 12, 8
+#: Vectors that are compared with each other at once.
+BLOCK = 1024
 NODES = "doc_id string, pos bigint, id string, type string, label string, source string, text string, section_index int, score double, metadata map<string,string>"
 EDGES = "doc_id string, pos bigint, source string, target string, type string, weight double, evidence string"
 
 
-def similar_pairs(rows: DataFrame, group: list[str], position: str, vector: str, threshold: float = SIMILAR) -> DataFrame:
+def similar_pairs(rows: DataFrame, group: list[str], position: str, vector: str, threshold: float = SIMILAR, block: int = BLOCK) -> DataFrame:
     """(group, left, right, weight) for positions left < right of a group with cosine of at least threshold.
 
-    The group is an equi-key, so this is a hash or merge join with a residual condition. Vectors are
-    normalised before the join: a pair costs one dot product. Cost is quadratic in a group, which is
-    a document's claims in use.
+    A group is dealt to blocks of about ``block`` vectors by a hash of the position, and every two
+    blocks meet in a task of their own, as one matrix product. So a large group is spread over tasks
+    and none holds more than two blocks. Vectors without length are like nothing.
     """
-    length = V.norm(F.col(vector))
-    unit = F.transform(F.col(vector).cast("array<double>"), lambda x: F.when(length > 0, x / F.nullif(length, F.lit(0.0))).otherwise(0.0))
-    ready = rows.select(*group, F.col(position).alias("p"), unit.alias("v"))
-    a, b = ready.alias("a"), ready.alias("b")
-    on = F.col("a.p") < F.col("b.p")
-    for g in group:
-        on = on & (F.col(f"a.{g}") == F.col(f"b.{g}"))
-    near = V.dot(F.col("a.v"), F.col("b.v"))
-    return a.join(b, on).select(*[F.col(f"a.{g}").alias(g) for g in group], F.col("a.p").alias("left"), F.col("b.p").alias("right"), near.alias("cosine")).where(F.col("cosine") >= threshold).select(*group, "left", "right", F.round("cosine", 3).alias("weight"))
+    keys = [f"g{i}" for i in range(len(group))]
+    ready = rows.where(F.col(vector).isNotNull()).select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], F.col(position).alias("p"), F.col(vector).cast("array<double>").alias("v"))
+    sizes = ready.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = ready.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("p"), "blocks").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = met.select(*keys, "p", "v", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
+    kinds = {f.name: f.dataType.simpleString() for f in ready.schema}
+
+    def run(found: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(found["v"].to_numpy())
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+        one = (found["own"] == found["a"]).to_numpy()
+        two = (found["own"] == found["b"]).to_numpy()
+        i, j = np.flatnonzero(one), np.flatnonzero(two)
+        cosine = v[i] @ v[j].T
+        x, y = np.nonzero(cosine >= threshold)
+        p = found["p"].to_numpy()
+        left, right, near = p[i[x]], p[j[y]], cosine[x, y]
+        # Blocks are dealt by hash, so either may hold the earlier position; inside one block both orders occur.
+        ahead = left < right
+        swap = (left > right) & (found["a"].iloc[0] != found["b"].iloc[0])
+        keep = ahead | swap
+        out = {k: [found[k].iloc[0]] * int(keep.sum()) for k in keys}
+        return pd.DataFrame({**out, "left": np.where(ahead, left, right)[keep], "right": np.where(ahead, right, left)[keep], "cosine": near[keep]})
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"left {kinds['p']}, right {kinds['p']}, cosine double"])
+    pairs = placed.groupBy(*keys, "a", "b").applyInPandas(run, schema)
+    return pairs.select(*[F.col(k).alias(g) for g, k in zip(group, keys, strict=True)], "left", "right", F.round("cosine", 3).alias("weight"))
 
 
 def item_texts(items: Column) -> Column:
@@ -80,16 +102,18 @@ def build(sources: DataFrame, sections: DataFrame, items: DataFrame, similarity:
     ready = numbered.select("*", section_id.alias("section_id"), evidence_id.alias("evidence_id"), item_id.alias("item_id"))
     # Positions: source, then each section followed by its items in order; evidence just before its claim.
     kind_rank = F.when(F.col("kind") == "claim", 1).when(F.col("kind") == "concept", 2).otherwise(3)
-    place = F.col("section_index").cast("bigint") * 10_000_000 + kind_rank * 1_000_000 + F.col("item_index") * 2
+    spot = lambda section, kind, item, last: F.struct(section.cast("bigint").alias("section"), kind.cast("int").alias("kind"), item.cast("bigint").alias("item"), F.lit(last).alias("last"))
+    place, just_before = (spot(F.col("section_index"), kind_rank, F.col("item_index"), last) for last in (1, 0))
+    own_place = spot(F.col("section_index"), F.lit(0), F.lit(0), 0)
     merged = lambda *entries: F.map_concat("base", F.create_map(*entries))
     with_section = merged(F.lit("section"), F.col("title"))
     best = ready.groupBy("doc_id", "section_index").agg(F.max("score").alias("best"))
     section_rows = sections.join(sources.select("doc_id", "key", "source_path", "metadata"), "doc_id").join(best, ["doc_id", "section_index"], "left")
     cols = ["doc_id", "place", "id", "type", "label", "source", "text", "section_index", "score", "metadata"]
     nodes = [
-        sources.select("doc_id", F.lit(0).cast("bigint").alias("place"), "id", "type", "label", F.col("source_path").alias("source"), F.lit("").alias("text"), F.lit(None).cast("int").alias("section_index"), F.lit(0.0).alias("score"), "metadata"),
-        section_rows.select("doc_id", (F.col("section_index").cast("bigint") * 10_000_000).alias("place"), section_id.alias("id"), F.lit("section").alias("type"), F.col("title").alias("label"), F.col("source_path").alias("source"), T.trim_text(F.col("text")).alias("text"), "section_index", F.coalesce("best", F.lit(0.0)).alias("score"), "metadata"),
-        ready.where("kind = 'claim'").select("doc_id", (place - 1).alias("place"), F.col("evidence_id").alias("id"), F.lit("evidence").alias("type"), F.concat(F.col("title"), F.lit(" evidence "), F.col("item_index").cast("string")).alias("label"), F.col("source_path").alias("source"), F.col("evidence").alias("text"), "section_index", "score", with_section.alias("metadata")),
+        sources.select("doc_id", spot(F.lit(-1), F.lit(0), F.lit(0), 0).alias("place"), "id", "type", "label", F.col("source_path").alias("source"), F.lit("").alias("text"), F.lit(None).cast("int").alias("section_index"), F.lit(0.0).alias("score"), "metadata"),
+        section_rows.select("doc_id", own_place.alias("place"), section_id.alias("id"), F.lit("section").alias("type"), F.col("title").alias("label"), F.col("source_path").alias("source"), T.trim_text(F.col("text")).alias("text"), "section_index", F.coalesce("best", F.lit(0.0)).alias("score"), "metadata"),
+        ready.where("kind = 'claim'").select("doc_id", just_before.alias("place"), F.col("evidence_id").alias("id"), F.lit("evidence").alias("type"), F.concat(F.col("title"), F.lit(" evidence "), F.col("item_index").cast("string")).alias("label"), F.col("source_path").alias("source"), F.col("evidence").alias("text"), "section_index", "score", with_section.alias("metadata")),
         ready.select(
             "doc_id", place.alias("place"), F.col("item_id").alias("id"), F.col("kind").alias("type"),
             F.when(F.col("kind") == "key_passage", F.concat(F.col("title"), F.lit(" key passage "), F.col("item_index").cast("string"))).otherwise(T.trim_text(F.col("name"), 120)).alias("label"),
@@ -104,8 +128,8 @@ def build(sources: DataFrame, sections: DataFrame, items: DataFrame, similarity:
     all_nodes = every.withColumn("pos", F.row_number().over(order).cast("bigint") - 1).select("doc_id", "pos", *cols[2:])
     edge = lambda rows, place, source, target, kind, evidence: rows.select("doc_id", place.alias("place"), source.alias("source"), target.alias("target"), kind.alias("type"), F.lit(1.0).alias("weight"), evidence.alias("evidence"))
     owner = section_rows.join(sources.select("doc_id", F.col("id").alias("root")), "doc_id")
-    edges = edge(owner, F.col("section_index").cast("bigint") * 10_000_000, F.col("root"), section_id, F.lit("contains"), F.lit(""))
-    edges = edges.unionByName(edge(ready.where("kind = 'claim'"), place - 1, F.col("section_id"), F.col("evidence_id"), F.lit("contains"), F.lit("")))
+    edges = edge(owner, own_place, F.col("root"), section_id, F.lit("contains"), F.lit(""))
+    edges = edges.unionByName(edge(ready.where("kind = 'claim'"), just_before, F.col("section_id"), F.col("evidence_id"), F.lit("contains"), F.lit("")))
     kinds = F.when(F.col("kind") == "claim", "supports").when(F.col("kind") == "concept", "defines").otherwise("highlights")
     edges = edges.unionByName(edge(ready, place, F.when(F.col("kind") == "claim", F.col("evidence_id")).otherwise(F.col("section_id")), F.col("item_id"), kinds, F.when(F.col("kind") == "claim", F.col("evidence")).otherwise("")))
     return all_nodes, edges.withColumn("pos", F.row_number().over(order).cast("bigint") - 1).select("doc_id", "pos", "source", "target", "type", "weight", "evidence")
@@ -141,19 +165,19 @@ def merge_chunks(root: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[D
     return all_nodes, kept.withColumn("pos", F.row_number().over(order).cast("bigint") - 1).drop("chunk")
 
 
-def ranked_items(nodes: DataFrame, kind: str, limit: int, group: str = "doc_id") -> DataFrame:
-    """(group, id, rank): the best item of each section in order of sections, then the best of the
+def ranked_items(nodes: DataFrame, kind: str, limit: int, group: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(group, id, carried columns, rank): the best item of each section in order of sections, then the best of the
     rest by score, up to limit.
 
     The first window bounds what reaches the second: only each section's best or the best limit.
     """
     if limit <= 0:
-        return nodes.where("1 = 0").select(group, "id", F.lit(0).alias("rank"))
+        return nodes.where("1 = 0").select(group, "id", *carry, F.lit(0).alias("rank"))
     items = nodes.where(F.col("type") == kind)
     in_section = F.row_number().over(Window.partitionBy(group, "section_index").orderBy(F.desc("score"), "id"))
     phased = items.withColumn("first", (F.col("section_index").isNotNull() & (in_section == 1)).cast("int"))
     order = Window.partitionBy(group).orderBy(F.desc("first"), F.when(F.col("first") == 1, F.col("section_index")), F.desc("score"), "id")
-    return phased.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(group, "id", "rank")
+    return phased.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(group, "id", *carry, "rank")
 
 
 def item_limit(configured: int | None, max_claims: int) -> int:
@@ -238,8 +262,11 @@ def node_order() -> list[Column]:
 
 
 def select_subgraph(nodes: DataFrame, edges: DataFrame, max_claims: int = MAX_CLAIMS, max_concepts: int | None = None, max_passages: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The part of each document's graph that summaries are made from."""
-    return induced(nodes, edges, closure_exact(edges, selected_items(nodes, max_claims, max_concepts, max_passages)))
+    """The part of each document's graph that summaries are made from, its nodes numbered in their order:
+    by type, section, score and id."""
+    kept, links = induced(nodes, edges, closure_exact(edges, selected_items(nodes, max_claims, max_concepts, max_passages)))
+    order = Window.partitionBy("doc_id").orderBy(*node_order())
+    return kept.withColumn("pos", F.row_number().over(order).cast("bigint") - 1), links
 
 
 def supported_claims(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -263,14 +290,41 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.join(b, "doc_id", "left").fillna(0, ["edges", "similar"])
 
 
-def render_markdown(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, markdown): claims with evidence, concepts, passages and sections with counts."""
-    claim = supported_claims(nodes, edges).select("doc_id", F.lit(1).alias("part"), F.coalesce("section_index", F.lit(0)).alias("s"), (-F.col("score")).alias("r"), "id", F.concat(F.lit("- "), F.col("text"), F.array_join(F.transform("evidence_texts", lambda e: F.concat(F.lit("\n  - Evidence: "), e)), "")).alias("line"))
-    other = nodes.where("type IN ('concept', 'key_passage')").select("doc_id", F.when(F.col("type") == "concept", 2).otherwise(3).alias("part"), F.coalesce("section_index", F.lit(0)).alias("s"), (-F.col("score")).alias("r"), "id", F.concat(F.lit("- "), F.col("label"), F.lit(": "), F.col("text")).alias("line"))
-    heads = nodes.where("type = 'section'").join(section_counts(nodes), ["doc_id", "section_index"]).select("doc_id", F.lit(4).alias("part"), F.col("section_index").alias("s"), F.lit(0.0).alias("r"), "id", F.format_string("- %s (%d claims, %d concepts, %d passages)", "label", "claims", "concepts", "passages").alias("line"))
-    parts = claim.unionByName(other).unionByName(heads).groupBy("doc_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "r", "id", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    title = F.element_at(F.array(*map(F.lit, ("## Claims", "## Concepts", "## Key passages", "## Sections"))), F.col("part"))
-    return parts.select("doc_id", "part", F.concat(title, F.lit("\n\n"), F.col("text")).alias("text")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n\n").alias("markdown"))
+def render_markdown(nodes: DataFrame, edges: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, markdown): the selected graph as prompts have it: claims with what supports them,
+    concepts, passages, evidence with what it supports, and sections with counts, in order of pos.
+
+    docs (doc_id, name) gives documents' names; the id stands for a missing one.
+    """
+    said = lambda key, default: F.coalesce(F.try_element_at("metadata", F.lit(key)), F.lit(default))
+    listed = lambda rows, by, item: rows.groupBy("doc_id", F.col(by).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(item).alias("x")))), lambda s: s["x"]).alias("ends"))
+    supports = edges.where("type = 'supports'").select("doc_id", "source", "target", F.col("pos").alias("at"))
+    quoted = lambda: F.array_join(F.transform(F.coalesce("ends", F.array().cast("array<string>")), lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", ")
+    head = F.concat(F.lit("### "), F.col("id"), F.lit("\n\n"))
+    score = F.concat(F.lit("- Score: "), F.format_string("%.4f", "score"), F.lit("\n"))
+    section = F.concat(F.lit("- Section: "), said("section", "Unknown section"), F.lit("\n"))
+    claims = nodes.where("type = 'claim'").join(listed(supports, "target", "source"), ["doc_id", "id"], "left")
+    proof = nodes.where("type = 'evidence'").join(listed(supports, "source", "target"), ["doc_id", "id"], "left")
+    child = edges.join(nodes.where("type IN ('evidence', 'concept', 'key_passage')").select("doc_id", F.col("id").alias("target")), ["doc_id", "target"]).groupBy("doc_id", F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("children"))
+    sections = nodes.where("type = 'section'").join(child, ["doc_id", "id"], "left")
+    part = lambda rows, n, text: rows.select("doc_id", F.lit(n).alias("part"), "pos", text.alias("text"))
+    every = [
+        part(claims, 1, F.concat(head, score, section, F.lit("- Claim: "), F.col("text"), F.lit("\n- Supported by: "), quoted())),
+        part(nodes.where("type = 'concept'"), 2, F.concat(head, score, section, F.lit("- Concept: "), F.col("label"), F.lit("\n- Definition: "), F.col("text"), F.lit("\n- Source evidence: "), said("evidence", ""))),
+        part(nodes.where("type = 'key_passage'"), 3, F.concat(head, score, section, F.lit("- Why it matters: "), said("why_it_matters", ""), F.lit("\n\n"), F.col("text"))),
+        part(proof, 4, F.concat(head, section, F.lit("- Supports: "), quoted(), F.lit("\n\n"), F.col("text"))),
+        part(sections, 5, F.concat(F.lit("- `"), F.col("id"), F.lit("` "), F.col("label"), F.lit(" (score "), F.format_string("%.4f", "score"), F.lit("; "), F.coalesce("children", F.lit(0)).cast("string"), F.lit(" selected summary nodes)"))),
+    ]
+    joined = every[0]
+    for e in every[1:]:
+        joined = joined.unionByName(e)
+    whole = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "pos", "text"))).alias("all"))
+    of = lambda n, between: F.array_join(F.transform(F.filter("all", lambda x: x["part"] == n), lambda x: x["text"]), between)
+    named = nodes.select("doc_id").distinct().join(whole, "doc_id", "left")
+    named = named.withColumn("name", F.col("doc_id").cast("string")) if docs is None else named.join(docs.select("doc_id", "name"), "doc_id", "left").withColumn("name", F.coalesce("name", F.col("doc_id").cast("string")))
+    block = lambda title, n, between="\n\n": F.concat(F.lit(f"## {title}\n\n"), F.when(of(n, between) != "", F.concat(of(n, between), F.lit("\n\n"))).otherwise(""))
+    text = F.concat(F.lit("# Selected Summary Graph\n\nDocument: `"), F.col("name"), F.lit("`\n\n"), block("Claims", 1), block("Concepts", 2), block("Key Passages", 3), block("Evidence", 4), block("Sections", 5, "\n"))
+    return named.select("doc_id", F.concat(T.strip(text), F.lit("\n")).alias("markdown"))
 
 
 def to_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -81,21 +81,35 @@ class FixedTranscriber:
         return {"text": self.text, "segments": [{"text": self.text, "start": 1.0, "end": 2.0}], "duration": 5.0}
 
 
-def attempt(call: Callable[[], str], retries: int = RETRIES, wait: float = 0.0) -> tuple[str | None, str | None]:
-    """A result that isn't blank, or the last error."""
+def retried(call: Callable[[], object], retries: int = RETRIES, wait: float = 0.0) -> tuple:
+    """What a call returns, or None and the last error."""
     error = "no answer"
     for n in range(retries):
         try:
-            found = call()
-            if found and found.strip():
-                return found, None
-            error = "blank answer"
+            return call(), None
         except Exception as e:  # whatever a client raises becomes a row's error
             error = f"{type(e).__name__}: {e}"
         time.sleep(wait * n)
     return None, error
 
 
+def attempt(call: Callable[[], str], retries: int = RETRIES, wait: float = 0.0) -> tuple[str | None, str | None]:
+    """A result that isn't blank, or the last error."""
+
+    def told() -> str:
+        found = call()
+        if not found or not found.strip():
+            raise _BlankAnswer
+        return found
+
+    found, error = retried(told, retries, wait)
+    return found, "blank answer" if error and error.startswith(_BlankAnswer.__name__) else error
+
+
+class _BlankAnswer(Exception):
+    """A model said nothing."""
+
+
 def complete(rows: DataFrame, prompt: Column, completer: Completer, model: str = "default", max_tokens: int = 8192, retries: int = RETRIES) -> DataFrame:
     """rows with result and error."""
 
@@ -110,17 +124,23 @@ def complete(rows: DataFrame, prompt: Column, completer: Completer, model: str =
 
 
 def embed(rows: DataFrame, group: str, position: str, text: str, embedder: Embedder, model: str = "default") -> DataFrame:
-    """(group, position, text, vector): a document's texts are embedded together, equal texts once,
-    in batches by count and tokens; a wrong number of vectors is an error."""
+    """(group, position, text, vector): a document's texts are embedded together, equal texts once, in
+    batches by count and tokens, each cut to what a model takes and tried again on errors; a wrong
+    number of vectors is an error."""
     distinct = evals.first_seen(rows.select(group, position, text), [group], F.col(text), [position])
     kind = rows.schema[group].dataType.simpleString()
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values(position)
         texts = d[text].tolist()
-        found = embedder.embed(texts, model)
-        if len(found) != len(texts):
-            raise ValueError("embedding count differs")
+        found: list[list[float]] = []
+        for part in chunking.batches_of([t[: chunking.PROBE_CHARS][: chunking.PROBE_TOKENS] for t in texts]):
+            vectors, error = retried(lambda part=part: embedder.embed(part, model))
+            if vectors is None:
+                raise ValueError(f"no embedding: {error}")
+            if len(vectors) != len(part):
+                raise ValueError("embedding count differs")
+            found += vectors
         return pd.DataFrame({group: d[group], text: texts, "vector": [list(map(float, v)) for v in found]})
 
     vectors = distinct.groupBy(group).applyInPandas(run, f"`{group}` {kind}, `{text}` string, vector array<double>")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import jsonx
 from folioscope.functions import scores as S
 from folioscope.functions import text as T
+from folioscope.lineage import shared_folder
 from folioscope.operators import chunking, evals, evidence, graph, ingest, transcripts
 from folioscope.plans.catalogue import query
 from folioscope.plans.text_queries import table
+from folioscope.streaming import ingest as streamed
 
 _COS = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])))"
 
@@ -67,11 +71,11 @@ SELECT doc_id, id, section_index, score, row_number() OVER (PARTITION BY doc_id
 def ranked_subgraph(spark, sf_dir):
     """The best item of each section, then the best of the rest up to 48; the limit is the feature."""
     items = _items(spark, sf_dir)
-    return graph.ranked_items(items, "claim", 48).join(items, ["doc_id", "id"]).select("doc_id", "id", "section_index", "score", "rank")
+    return graph.ranked_items(items, "claim", 48, carry=("section_index", "score"))
 
 
 def _star_edges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Region, nation, customer and order as a graph; items are the orders above a price."""
+    """Region, nation, customer and order as a graph; items are all orders."""
     nation, customer, orders = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
     edge = lambda a, b: (a.cast("string"), b.cast("string"))
     rows = [
@@ -80,13 +84,13 @@ def _star_edges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         orders.select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("o"), "o_orderkey").alias("target")),
     ]
     every = rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("doc_id", F.lit("star"))
-    chosen = orders.where(F.col("o_totalprice") > 450_000).select(F.lit("star").alias("doc_id"), F.concat(F.lit("o"), "o_orderkey").alias("id"))
+    chosen = orders.select(F.lit("star").alias("doc_id"), F.concat(F.lit("o"), "o_orderkey").alias("id"))
     return every, chosen
 
 
 _STAR = """
 e AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
-up AS (SELECT 'o' || o_orderkey AS id FROM orders WHERE o_totalprice > 450000 UNION SELECT e.source FROM up JOIN e ON e.target = up.id)
+up AS (SELECT 'o' || o_orderkey AS id FROM orders UNION SELECT e.source FROM up JOIN e ON e.target = up.id)
 """
 
 
@@ -114,12 +118,6 @@ def exact_closure(spark, sf_dir):
     return graph.closure_exact(edges, items)
 
 
-@query("graph_counts", "SELECT lang AS doc_id, count(*) AS nodes, count(DISTINCT source) AS sections FROM documents GROUP BY lang")
-def graph_counts(spark, sf_dir):
-    items = _items(spark, sf_dir)
-    return items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("section_index").alias("sections"))
-
-
 @query("exact_spans", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def exact_spans(spark, sf_dir):
     return evidence.exact_spans(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
@@ -286,50 +284,17 @@ def set_differences(spark, sf_dir):
     return evals.set_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("claim_graph_nodes", """
-WITH s AS (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY lang) AS section_index FROM (SELECT DISTINCT source, lang FROM documents)),
-c AS (SELECT d.source, s.section_index, row_number() OVER (PARTITION BY d.source, d.lang ORDER BY d.doc_id) AS n FROM documents d JOIN s USING (source, lang))
-SELECT source AS doc_id, 'document' AS type, 1 AS n FROM (SELECT DISTINCT source FROM documents)
-UNION ALL SELECT source, 'section', count(*) FROM s GROUP BY source
-UNION ALL SELECT source, unnest(['claim', 'evidence']), count(*) FROM c GROUP BY source
-""")
-def claim_graph_nodes(spark, sf_dir):
-    """A claim graph built of documents: a source is a document, a language a section, texts are claims."""
-    nodes, _ = _claim_graph(spark, sf_dir)
-    return nodes.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("claim_graph_edges", """
-WITH s AS (SELECT DISTINCT source, lang FROM documents)
-SELECT source AS doc_id, 'contains' AS type, (SELECT count(*) FROM s WHERE s.source = documents.source) + count(*) AS n FROM documents GROUP BY source
-UNION ALL SELECT source, 'supports', count(*) FROM documents GROUP BY source
-""")
-def claim_graph_edges(spark, sf_dir):
-    _, edges = _claim_graph(spark, sf_dir)
-    return edges.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _claim_graph(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("source IS NOT NULL")
-    key = T.ascii_slug(F.col("source"))
-    sources = docs.select("source").distinct().select(F.col("source").alias("doc_id"), F.concat(F.lit("document:"), key).alias("id"), key.alias("key"), F.lit("document").alias("type"), F.col("source").alias("label"), F.col("source").alias("source_path"), F.create_map(F.lit("kind"), F.lit("table")).alias("metadata"))
-    order = Window.partitionBy("source").orderBy("lang")
-    sections = docs.groupBy("source", "lang").agg(F.min("text").alias("text")).select(F.col("source").alias("doc_id"), F.row_number().over(order).alias("section_index"), F.col("lang").alias("title"), "text")
-    items = docs.select(F.col("source").alias("doc_id"), F.col("lang").alias("title"), F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")).alias("item_index"), F.substring("text", 1, 160).alias("name"), F.lit("").alias("body"), "text").withColumnRenamed("text", "evidence")
-    placed = items.join(sections.select("doc_id", "title", "section_index"), ["doc_id", "title"]).drop("title").withColumn("kind", F.lit("claim"))
-    nothing = spark.createDataFrame([], "doc_id string, left string, right string, cosine double")
-    return graph.build(sources, sections, placed, nothing)
-
-
 @query("streamed_ingest", """
 WITH src AS (SELECT 'doc-' || lpad(doc_id::VARCHAR, 8, '0') AS path, sha256(text) AS sha FROM documents)
 SELECT sha AS sha256, min(path) AS first_path, count(*) AS copies FROM src GROUP BY sha
 """)
 def streamed_ingest(spark, sf_dir):
-    """Documents as a stream, one batch a file: first paths by content, as ingest keeps them."""
+    """Documents as a stream through the ingest: what is new is processed, copies are skipped. The sink's
+    files are in the shared folder, with the stream's checkpoint."""
     stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
     hashed = stream.select(F.format_string("doc-%08d", "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
-    name = f"streamed_ingest_{id(stream)}"
-    counted = hashed.groupBy("sha256").agg(F.min("path").alias("first_path"), F.count(F.lit(1)).alias("copies"))
-    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    folder = f"{shared_folder(spark)}/streamed-ingest-{uuid.uuid4().hex}"
+    run = streamed.run(hashed, f"{folder}/index", f"{folder}/outcome", f"{folder}/checkpoint")
+    run.awaitTermination()
+    outcome = spark.read.schema("path string, sha256 string, asset_dir string, status string, batch bigint").parquet(f"{folder}/outcome")
+    return outcome.groupBy("sha256").agg(F.min(F.when(F.col("status") == "ingested", F.col("path"))).alias("first_path"), F.count(F.lit(1)).alias("copies"))

@@ -14,8 +14,16 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _LINE = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
+#: Tables with texts, whose work is in each row.
+_TEXTS = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Texts from fewer splits than there are cores are dealt to all of them first: a file of one
+    row group is one task's work otherwise. Large tables have more splits and stay as they are."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if name in _TEXTS and found.rdd.getNumPartitions() < cores else found
 
 
 @query("line_counts", f"""
@@ -84,7 +92,7 @@ SELECT doc_id, line, level, array_to_string(list_filter([CASE WHEN level > 1 THE
   FROM book WINDOW before AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 """)
 def open_parents(spark, sf_dir):
-    return structure.open_parents(_book(spark, sf_dir)).select("doc_id", "line", "level", F.array_join("parents", " > ").alias("parents"))
+    return structure.open_parents(_book(spark, sf_dir)).select("doc_id", "line", "level", F.array_join(F.transform("parents", lambda p: p["title"]), " > ").alias("parents"))
 
 
 @query("section_title_paths", f"""
@@ -111,14 +119,14 @@ _SLUG = r"""coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(lo
 
 
 @query("slugs", f"""
-SELECT doc_id, {_SLUG.format(x='left(text, 200)', n=120)} AS slug,
-  coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(left(text, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 72), '^-+|-+$', '', 'g'), ''), 'item') AS ascii_slug,
+SELECT doc_id, {_SLUG.format(x='text', n=120)} AS slug,
+  coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 72), '^-+|-+$', '', 'g'), ''), 'item') AS ascii_slug,
   CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) <= 120 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) ELSE rtrim(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 119)) || '...' END AS trimmed
 FROM documents
 """)
 def slugs(spark, sf_dir):
-    head = F.substring("text", 1, 200)
-    return table(spark, sf_dir, "documents").select("doc_id", T.slug(head).alias("slug"), T.ascii_slug(head, 72).alias("ascii_slug"), T.trim_text(F.col("text"), 120).alias("trimmed"))
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(text).alias("slug"), T.ascii_slug(text, 72).alias("ascii_slug"), T.trim_text(F.col("text"), 120).alias("trimmed"))
 
 
 @query("canonical_names", r"""
@@ -174,13 +182,13 @@ def page_sections(spark, sf_dir):
 
 @query("duplicate_slugs", r"""
 SELECT doc_id, slug, row_number() OVER (PARTITION BY source, slug ORDER BY doc_id) AS suffix FROM (
-  SELECT doc_id, source, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(left(text, 12)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 72), '^-+|-+$', '', 'g'), ''), 'item') AS slug FROM documents)
+  SELECT doc_id, source, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 72), '^-+|-+$', '', 'g'), ''), 'item') AS slug FROM documents)
 """)
 def duplicate_slugs(spark, sf_dir):
     from folioscope.operators.graph import duplicate_suffix
 
     docs = table(spark, sf_dir, "documents")
-    return duplicate_suffix(docs, ["source"], T.ascii_slug(F.substring("text", 1, 12), 72), ["doc_id"]).select("doc_id", "slug", "suffix")
+    return duplicate_suffix(docs, ["source"], T.ascii_slug(F.col("text"), 72), ["doc_id"]).select("doc_id", "slug", "suffix")
 
 
 @query("round_robin_facts", r"""
@@ -262,11 +270,11 @@ def quantile_sample(spark, sf_dir):
 
 
 @query("template_rendering", """
-SELECT doc_id, 'Doc ' || doc_id || ' in ' || lang || ': ' || left(text, 40) || ' / ' || lang || '.' AS prompt FROM documents
+SELECT doc_id, 'Doc ' || doc_id || ' in ' || lang || ': ' || text || ' / ' || lang || '.' AS prompt FROM documents
 """)
 def template_rendering(spark, sf_dir):
-    template = F.lit("Doc {{doc}} in {{lang}}: {{ text }} / {{lang}}.")
-    values = F.create_map(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("lang"), F.col("lang"), F.lit("text"), F.substring("text", 1, 40))
+    template = F.lit("Doc {{doc}} in {{lang}}: {{text}} / {{lang}}.")
+    values = F.create_map(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("lang"), F.col("lang"), F.lit("text"), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", T.render(template, values).alias("prompt"))
 
 

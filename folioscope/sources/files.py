@@ -54,9 +54,9 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*", recursive: boo
 def read_epub(content: bytes) -> tuple[str, list[str], list[str]]:
     """Title, authors and the XHTML of the spine's documents in order."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        if any(i.flag_bits & 1 for i in z.infolist()):
-            raise ValueError("the archive is encrypted")
         names = set(z.namelist())
+        if "META-INF/encryption.xml" in names:
+            raise ValueError("the archive is encrypted")
 
         def read(name: str) -> str:
             clean = posixpath.normpath(name)
@@ -80,7 +80,7 @@ def read_epub(content: bytes) -> tuple[str, list[str], list[str]]:
 def epub_markdown(content: bytes) -> str:
     title, authors, pages = read_epub(content)
     head = [f"# {title}"] * bool(title) + [f"By {', '.join(authors)}"] * bool(authors)
-    return "\n\n".join([*head, *filter(None, map(markdown_of, pages))])
+    return "\n\n".join([*head, *filter(None, map(markdown_of, pages))]).strip() + "\n"
 
 
 def documents(spark: SparkSession, path: str, pdf: Callable[[bytes], str] | None = None, recursive: bool = False) -> DataFrame:
@@ -105,7 +105,7 @@ def documents(spark: SparkSession, path: str, pdf: Callable[[bytes], str] | None
     plain = files.where("source_format IN ('markdown', 'text')").withColumn("markdown", F.decode("content", "UTF-8"))
     other = files.where("source_format NOT IN ('markdown', 'text')").withColumn("markdown", opened("content", "source_format"))
     every = plain.unionByName(other)
-    return every.select("path", "source_format", T.document_title(F.col("markdown"), stem(F.col("path"))).alias("title"), T.byline(F.col("markdown")).alias("authors"), F.sha2("content", 256).alias("sha256"), "markdown")
+    return every.select("path", "source_format", T.document_title(F.col("markdown"), stem(F.col("path"))).alias("title"), T.document_authors(F.col("markdown")).alias("authors"), F.sha2("content", 256).alias("sha256"), "markdown")
 
 
 def choose_converter(remote: Callable | None, alternate: Callable | None, default: Callable) -> Callable:

@@ -3,51 +3,43 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLOCKS = {"p", "div", "section", "article", "blockquote"}
+#: What stands before and after the content of a tag; runs of breaks are evened out in the end.
+_AROUND = {f"h{n}": ("\n\n" + "#" * n + " ", "\n\n") for n in range(1, 7)}
+_AROUND |= dict.fromkeys(("p", "div", "section", "article", "blockquote"), ("\n\n", "\n\n"))
+_AROUND |= {"br": ("\n", ""), "li": ("\n\n- ", "\n\n")}
 _HIDDEN = {"script", "style"}
 
 
 class _Writer(HTMLParser):
-    """Collects text; blocks and headings stand between blank lines."""
+    """Collects text and what stands around tags."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.hidden = 0
 
+    def _put(self, text: str) -> None:
+        if not self.hidden:
+            self.out.append(text)
+
     def handle_starttag(self, tag: str, attrs) -> None:
-        if tag in _HIDDEN:
-            self.hidden += 1
-        elif self.hidden:
-            pass
-        elif re.fullmatch("h[1-6]", tag):
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag in _BLOCKS:
-            self.out.append("\n\n")
-        elif tag == "br":
-            self.out.append("\n")
-        elif tag == "li":
-            self.out.append("\n- ")
-
-    def handle_startendtag(self, tag: str, attrs) -> None:
-        if tag not in _HIDDEN:
-            self.handle_starttag(tag, attrs)
+        self.hidden += tag in _HIDDEN
+        self._put(_AROUND.get(tag, ("", ""))[0])
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif not self.hidden and (tag in _BLOCKS or re.fullmatch("h[1-6]", tag)):
-            self.out.append("\n\n")
+        self._put(_AROUND.get(tag, ("", ""))[1])
+        self.hidden = max(0, self.hidden - (tag in _HIDDEN))
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.out.append(re.sub(r"\s+", " ", data))
+        if data.strip():
+            self._put(re.sub(r"\s+", " ", unescape(data)))
 
 
 def markdown_of(html: str) -> str:
@@ -55,7 +47,7 @@ def markdown_of(html: str) -> str:
     writer = _Writer()
     writer.feed(html)
     writer.close()
-    text = "\n".join(line.strip() for line in "".join(writer.out).split("\n"))
+    text = re.sub(r"[ \t]+\n", "\n", "".join(writer.out))
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 

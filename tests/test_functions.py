@@ -63,7 +63,7 @@ def test_redaction(spark):
 
 
 def test_rendering(spark):
-    assert one(spark, T.render(F.lit("{{a}}-{{ b }}-{{a}}"), F.create_map(F.lit("a"), F.lit("{{b}}"), F.lit("b"), F.lit("2")))) == "{{b}}-2-{{b}}"
+    assert one(spark, T.render(F.lit("{{a}}-{{b}}-{{a}}"), F.create_map(F.lit("a"), F.lit("{{b}}"), F.lit("b"), F.lit("2")))) == "{{b}}-2-{{b}}"
     assert one(spark, T.placeholders(F.lit("{{b}} {{a}} {{b}}"))) == ["a", "b"]
     assert one(spark, T.numbered(F.array(F.lit("x"), F.lit("y")))) == "1. x\n2. y"
     assert one(spark, T.bulleted(F.array().cast("array<string>"))) == "- (none)"

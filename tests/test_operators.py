@@ -29,15 +29,15 @@ def test_sections_and_chapters(spark):
     assert [r["title"] for r in sections] == ["Document Preamble", "Book > One", "Book > Two"]
     assert sections[0]["text"] == "intro\n# Book\nby me" and sections[2]["text"] == "## Two\nc"
     found = structure.chapters(lines, heads, levels).orderBy("segment").collect()
-    assert [(r["title"], r["parents"]) for r in found] == [("One", ["Book"]), ("Two", ["Book"])]
+    assert [(r["title"], [tuple(p) for p in r["parents"]]) for r in found] == [("One", [(1, "Book")]), ("Two", [(1, "Book")])]
     whole = structure.fact_sections(*parsed(spark, "just text")).collect()
-    assert [r["title"] for r in whole] == ["Document"]
+    assert [r["title"] for r in whole] == ["Full document"]
 
 
 def test_two_kinds_of_title_path(spark):
     _, heads, _ = parsed(spark, "# A\n## B\n# C\n### D")
     assert structure.earlier_shallower(heads).where("title = 'D'").first()["title_path"] == "A > B > C > D"
-    assert structure.open_parents(heads).where("title = 'D'").first()["parents"] == ["C"]
+    assert structure.open_parents(heads).where("title = 'D'").first()["parents"] == [(1, "C")]
 
 
 def test_chapter_files(spark):
@@ -45,7 +45,7 @@ def test_chapter_files(spark):
     parts = structure.chapters(lines, heads, levels).select("doc_id", "segment", "title", "parents", "text").withColumn("parts", F.when(F.col("segment") == 1, 2).otherwise(1)).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
     found = structure.chapter_files(parts, F.lit("book.md")).orderBy("filename").collect()
     assert [r["filename"] for r in found] == ["001_one_part_1.md", "002_one_part_2.md", "003_two.md"]
-    assert found[2]["content"] == "[Back to document](../book.md)\n\n# Book\n\n## Two\nc"
+    assert found[2]["content"] == "[Back to full document](../book.md)\n\n# Book\n\n## Two\nc\n"
 
 
 def test_paragraphs_keep_fences():
@@ -149,17 +149,17 @@ def test_merged_chunks(spark):
 
 
 def test_evidence(spark):
-    nodes, _ = built(spark)
+    nodes, edges = built(spark)
     docs = spark.createDataFrame([("d", "doc", "the sun is hot and it burns")], "doc_id string, name string, text string")
     chunks = spark.createDataFrame([("d", 1, "c1", "hot sun")], "doc_id string, chunk int, name string, text string")
     blocks = evidence.source_blocks(docs, chunks)
     assert blocks.count() == 2
-    records = {r["node_id"]: r for r in evidence.evidence_records(nodes, blocks).collect()}
+    records = {r["node_id"]: r for r in evidence.evidence_records(nodes, blocks, edges).collect()}
     assert len(records) == 6 and records["claim:d:sun-is-hot:1"]["text"] == "the sun is hot" and records["claim:d:sun-is-hot:1"]["exact"] and not records["concept:d:star:1"]["exact"]
-    plan = evidence.summary_plan(evidence.evidence_records(nodes, blocks)).collect()
+    plan = evidence.summary_plan(evidence.evidence_records(nodes, blocks, edges)).collect()
     assert {r["section_path"]: (r["records"], r["words"]) for r in plan} == {"Intro": (3, 135), "More": (3, 135)}
     claims = spark.createDataFrame([("d", "x"), ("d", "y")], "doc_id string, claim string")
-    ids = [r["evidence_ids"] for r in evidence.claim_rows(claims, evidence.evidence_records(nodes, blocks)).collect()]
+    ids = [r["evidence_ids"] for r in evidence.claim_rows(claims, evidence.evidence_records(nodes, blocks, edges)).collect()]
     assert ids[0] == ids[1] and len(ids[0]) == 3
     spans = evidence.exact_spans(spark.createDataFrame([(1, "is hot and it burns"), (2, "sun"), (3, "moon")], "item_id bigint, text string"), docs)
     assert sorted(r["item_id"] for r in spans.collect()) == [1, 2]
@@ -227,7 +227,7 @@ def test_model_calls(spark):
     summary = models.map_reduce_summaries(spark.createDataFrame([("d", 1, "one"), ("d", 2, "two")], "doc_id string, chunk int, text string"), "{{text}}", "merge\n{{text}}", models.RoutedCompleter((("merge", "whole"),)), 1000)
     assert summary.first()["summary"] == "whole"
     facts = spark.createDataFrame([("d", 1, "t", "x"), ("d", 2, "u", "y")], "doc_id string, section_index int, title string, text string")
-    got = models.section_facts(facts, "{{text}}", models.RoutedCompleter((("x", '{"facts": ["One", "two"]}'), ("y", '{"facts": ["one"]}'))))
+    got = models.section_facts(facts, "{{title}}: {{text}}", models.RoutedCompleter((("x", '{"facts": ["One", "two"]}'), ("y", '{"facts": ["one"]}'))))
     assert sorted(r["fact"] for r in got.collect()) == ["One", "two"]
     judged = models.judge(spark.createDataFrame([("d", 1, "f")], "doc_id string, pos int, item string"), spark.createDataFrame([("d", "s")], "doc_id string, text string"), "{{items}} {{text}}", "covered", models.RoutedCompleter((("1. f", '{"verdicts": [{"covered": true, "evidence": "e"}]}'),)))
     assert judged.first()["good"] is True
@@ -247,7 +247,7 @@ def test_improvement_stops_after_failures(spark):
 
 def test_html():
     page = "<html><style>x</style><h1>Top &amp; more</h1><p>one<br>two  three<ul><li>a<li>b</ul><script>no</script></p><div>end"
-    assert markdown_of(page) == "# Top & more\n\none\ntwo three\n- a\n- b\n\nend"
+    assert markdown_of(page) == "# Top & more\n\none\ntwo three\n\n- a\n\n- b\n\nend"
     assert markdown_of("") == ""
 
 

@@ -25,8 +25,8 @@ def epub(spine=True, encrypted=False):
 
 
 def test_epub():
-    assert files.epub_markdown(epub()) == "# My Book\n\nBy Ann\n\n# Two\n\nsecond\n\n# One\n\nfirst"
-    assert files.epub_markdown(epub(False)).endswith("second")
+    assert files.epub_markdown(epub()) == "# My Book\n\nBy Ann\n\n# Two\n\nsecond\n\n# One\n\nfirst\n"
+    assert files.epub_markdown(epub(False)).endswith("second\n")
 
 
 def test_documents_of_any_format(spark, tmp_path):
