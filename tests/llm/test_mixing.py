@@ -106,3 +106,12 @@ def test_odd_and_empty_tables(odd, empty):
     kept = M.keep_mixture(odd, 0.5)
     assert kept.columns == odd.columns and 0 < kept.count() < odd.count()
     assert M.mix_sources(empty, M.tree()).count() == 0 and M.keep_mixture(empty).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark, tagged):
+    rows = [(1000, "word " * 500_000, "en", "src0"), (1001, "x" * 2_000_000, "en", "src0")]
+    docs = tagged.union(spark.createDataFrame(rows, tagged.schema)).withColumn("leaf", F.lit("a")).withColumn("parent", F.lit("b")).withColumn("weight", F.lit(1))
+    found = {r["doc_id"]: r["n_tokens"] for r in M.mix_sources(docs, [("lang", F.col("lang")), ("source", F.col("source"))]).collect()}
+    assert found[1000] == 500_000 and found[1001] == 1 and len(found) == 302
+    kept = M.keep_mixture(docs, 0.5)
+    assert kept.columns == docs.columns

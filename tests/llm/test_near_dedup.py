@@ -117,3 +117,10 @@ def test_components(spark):
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
     assert found == {**dict.fromkeys((1, 2, 3, 10, 11, 12, 13, 14), 1), 4: 4, 5: 4}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, long), (2, long + " more"), (3, "x" * 2_000_000), (4, "same " * 400_000), (5, "same " * 400_000)]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()}
+    assert found == {1: (299_998, 1), 2: (299_999, 1), 3: (1, 3), 4: (1, 4), 5: (1, 4)}

@@ -4,6 +4,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from folioscope.llm import registry
+from folioscope.llm.runtime import durable
 
 from .conftest import words
 from .test_near_dedup import brute
@@ -41,3 +42,25 @@ def test_every_operator_is_registered_once():
     names = sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_odd_rows_and_copies(spark, tmp_path):
+    """Null ids, repeated rows, copies under one id and an extra column: no exact copy is left."""
+    from .conftest import words
+
+    rows = [(i, words(i, 50), "en", "s", i, "x") for i in range(60)]
+    rows += [(7, words(3, 50), "en", "s", 1, "y"), (7, words(3, 50), "en", "s", 1, "y"), (None, words(4, 50), None, None, 1, "z"), (None, None, "en", "s", 0, "z"), (3, "", "en", "s", 0, None), (5, words(5, 50) + " more", "en", "s", 1, "w")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, row_number string").repartition(4)
+    left = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        left = durable(stage(spark, left, str(tmp_path)), "odd")
+        assert left.columns == docs.columns
+    texts = [r["text"] for r in left.collect()]
+    assert len(texts) == len(set(texts)) and not (words(5, 50) in texts and words(5, 50) + " more" in texts)
+    last = corpus_pipeline.STAGES[4][1](spark, left, str(tmp_path))
+    assert last.count() == left.count() > 0
+
+
+def test_stages_on_an_empty_table(spark, empty, tmp_path):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
