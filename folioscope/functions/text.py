@@ -124,7 +124,8 @@ def front_matter(c: Column) -> Column:
     keys the last counts; empty if not closed."""
     every = lines(c)
     rest = F.slice(every, 2, F.greatest(F.size(every) - 1, F.lit(0)))
-    close = F.array_position(F.transform(rest, strip), "---")
+    # Only lines up to the closing fence are looked at closely, so finding it must be cheap.
+    close = F.array_position(F.transform(rest, lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\xa0"))), "---")
     pairs = F.filter(F.slice(rest, 1, F.greatest(close - 1, F.lit(0)).cast("int")), lambda x: F.instr(x, ":") > 0)
     every_entry = F.transform(pairs, lambda x: F.struct(F.lower(strip(F.split(x, ":", 2)[0])).alias("key"), F.regexp_replace(strip(F.split(x, ":", 2)[1]), r"""^["']+|["']+$""", "").alias("value")))
     entries = F.filter(every_entry, lambda e: (e["key"] != "") & (e["value"] != ""))

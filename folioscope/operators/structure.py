@@ -15,7 +15,10 @@ from folioscope.functions import text as T
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line, text), lines from 0."""
     split = docs.select(F.col(id_col).alias("doc_id"), F.split(F.col(text_col), T.LINE_BREAK, -1).alias("parts"))
-    return split.select("doc_id", T.without_last_blank(F.col("parts")).alias("parts")).select("doc_id", F.posexplode("parts").alias("line", "text"))
+    rows = split.select("doc_id", T.without_last_blank(F.col("parts")).alias("parts"))
+    # For a plain posexplode a filter on the array's size would be inferred and pushed to the scan, where
+    # it splits every text again.
+    return rows.select("doc_id", F.posexplode_outer("parts").alias("line", "text")).where(F.col("line").isNotNull())
 
 
 def headings(lines: DataFrame) -> DataFrame:
