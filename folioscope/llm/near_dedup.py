@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.runtime import discard, documents, durable, small, spread_join, unused, utf8
+from folioscope.llm.runtime import discard, documents, durable, small, spread_join, tidy, unused, utf8
 from folioscope.llm.words import mix, shingles, word_hashes
 
 #: Shingles that either count puts last in the order at most; a driver and each task hold them (16 bytes each).
@@ -51,6 +51,8 @@ BLOCK, ROOM = 128, 1024
 FRAGMENTS = 4
 #: Share of hashes that may be in a prefix, beyond what the threshold asks for.
 SLACK = 0.4
+#: Hashes that a task counts at once.
+_GATHER = 2_000_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -99,15 +101,31 @@ def document_sets(rows: DataFrame, k: int, percent: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["n", "k1", "k2", "low"]).assign(row=b["row"].values, id=b["id"].values)
 
     kind = rows.schema["id"].dataType.simpleString()
-    return durable(rows.mapInPandas(run, f"row bigint, id {kind}, n bigint, k1 bigint, k2 bigint, low array<bigint>"), "jaccard-sets")
+    return durable(rows.mapInPandas(tidy(run), f"row bigint, id {kind}, n bigint, k1 bigint, k2 bigint, low array<bigint>"), "jaccard-sets")
 
 
 def frequent_shingles(sets: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Low hashes that more than SMALL documents have, and how many have each; counted over all."""
-    # Hashes are unsigned and columns are not: the order is that of the flipped top bit.
-    place = F.col("token").bitwiseXOR(F.lit(-(1 << 63)))
-    counted = sets.select(F.explode("low").alias("token")).where(place < F.lit(low_cut(percent) - (1 << 63)))
-    top = counted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
+    cut = np.uint64(low_cut(percent))
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            every = np.concatenate([np.asarray(x, np.int64) for x in b["low"]] or [np.zeros(0, np.int64)])
+            held.append(every[every.view(np.uint64) < cut])
+            size += len(held[-1])
+            if size >= _GATHER:
+                yield counts(held)
+                held, size = [], 0
+        if held:
+            yield counts(held)
+
+    def counts(held: list[np.ndarray]) -> pd.DataFrame:
+        token, n = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"token": token, "n": n})
+
+    counted = sets.select("low").mapInPandas(tidy(run), "token bigint, n bigint")
+    top = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > SMALL).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
     token = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     return token[order], top["n"].to_numpy(np.int64)[order]
@@ -152,7 +170,7 @@ def with_higher(rows: DataFrame, sets: DataFrame, reps: DataFrame, k: int, perce
             lacks = [_rare_prefix(n, low, percent, shipped.value) is None for n, low in zip(b["n"], b["low"], strict=True)]
             yield b.loc[lacks, ["row"]]
 
-    lacking = sets.where("n > 0").select("row", "n", "low").mapInPandas(wanting, "row bigint").withColumnRenamed("row", "cid")
+    lacking = sets.where("n > 0").select("row", "n", "low").mapInPandas(tidy(wanting), "row bigint").withColumnRenamed("row", "cid")
     lacking = durable(reps.select("cid").join(lacking, "cid", "left_semi"), "jaccard-lacking")
 
     def count(batches):
@@ -162,7 +180,7 @@ def with_higher(rows: DataFrame, sets: DataFrame, reps: DataFrame, k: int, perce
 
     texts = durable(texts_of(rows, lacking), "jaccard-texts")
     discard(lacking)
-    counted = texts.select("body").mapInPandas(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = texts.select("body").mapInPandas(tidy(count), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.where(F.col("n") > SMALL).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
     return merged_counts(frequent, (top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))), texts
 
@@ -182,7 +200,7 @@ def prefixes(rows: DataFrame, sets: DataFrame, reps: DataFrame, k: int, percent:
                 out.append((cid, n, None, 0, 0, 0, 0) if rare is None else (cid, *_prefix(n, rare, np.zeros(len(rare), np.int64), percent)))
             yield pd.DataFrame(out, columns=_COLUMNS)
 
-    first = durable(sets.where("n > 0").select("row", "n", "low").mapInPandas(from_low, _PREFIX), "jaccard-prefixes")
+    first = durable(sets.where("n > 0").select("row", "n", "low").mapInPandas(tidy(from_low), _PREFIX), "jaccard-prefixes")
     missing = first.where("prefix IS NULL").select("cid").join(texts.select("cid"), "cid", "left_anti")
     wanted = reps.select("cid").join(missing, "cid", "left_semi")
 
@@ -196,7 +214,7 @@ def prefixes(rows: DataFrame, sets: DataFrame, reps: DataFrame, k: int, percent:
             yield pd.DataFrame(out, columns=_COLUMNS)
 
     more = durable(wanted, "jaccard-again")
-    again = durable(texts.unionByName(texts_of(rows, more)).mapInPandas(from_text, _PREFIX), "jaccard-ordered")
+    again = durable(texts.unionByName(texts_of(rows, more)).mapInPandas(tidy(from_text), _PREFIX), "jaccard-ordered")
     discard(more)
     return first.where("prefix IS NOT NULL").join(reps.select("cid"), "cid", "left_semi").unionByName(again)
 
@@ -349,7 +367,7 @@ def fragments(rows: DataFrame, wanted: DataFrame, k: int, frequent) -> DataFrame
             yield pd.DataFrame(out, columns=["cid", "f", "tokens"])
 
     # A row for each fragment, also if it is empty.
-    return durable(texts_of(rows, wanted).mapInPandas(run, "cid bigint, f int, tokens array<bigint>"), "jaccard-fragments")
+    return durable(texts_of(rows, wanted).mapInPandas(tidy(run), "cid bigint, f int, tokens array<bigint>"), "jaccard-fragments")
 
 
 def overlaps(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:

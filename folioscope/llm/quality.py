@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.runtime import documents, utf8
+from folioscope.llm.runtime import documents, tidy, utf8
 from folioscope.llm.words import word_hashes
 
 DIMS = 1 << 15
@@ -156,7 +156,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
             found = pd.Series(["".join("-0+"[v + 1] for v in votes(t)) for t in utf8(b["body"].tolist())]).value_counts()
             yield pd.DataFrame({"pattern": found.index, "n": found.values})
 
-    table = rows.select("body").mapInPandas(voted, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # 2 ** 10 rows at most
+    table = rows.select("body").mapInPandas(tidy(voted), "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # 2 ** 10 rows at most
     total = sum(r["n"] for r in table)
     patterns = sorted((tuple("-0+".index(c) - 1 for c in r["pattern"]), r["n"]) for r in table)
     posterior, accuracy = posteriors(patterns)
@@ -171,7 +171,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
             yield pd.DataFrame({"dims": [d.tobytes() for d, _ in found], "value": [v.tobytes() for _, v in found], "target": [posterior[tuple(votes(t))] for t in texts], "tie": [f"{i}" for i in b["id"]], "text_key": b["text_key"]})
 
     # Rows that repeat an id and a text are one, so the sample is bounded whatever repeats.
-    once = drawn.select("id", "body", F.xxhash64("body").alias("text_key")).mapInPandas(sampled, "dims binary, value binary, target double, tie string, text_key bigint").groupBy("tie", "text_key")
+    once = drawn.select("id", "body", F.xxhash64("body").alias("text_key")).mapInPandas(tidy(sampled), "dims binary, value binary, target double, tie string, text_key bigint").groupBy("tie", "text_key")
     kept = once.agg(F.first("dims").alias("dims"), F.first("value").alias("value"), F.first("target").alias("target")).orderBy("tie", "text_key").toArrow()
     if not kept.num_rows:
         return {"posterior": posterior, "accuracy": accuracy, "weights": None, "bias": 0.0}
@@ -200,7 +200,7 @@ def score(rows: DataFrame, model: dict, columns: list[Column], keep: float = KEE
 
     picked = rows.select(*columns, "body")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "body")
-    return picked.mapInPandas(run, f"{schema}, weak_posterior double, quality double, kept boolean")
+    return picked.mapInPandas(tidy(run), f"{schema}, weak_posterior double, quality double, kept boolean")
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:

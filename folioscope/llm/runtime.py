@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,7 +95,7 @@ def unused(df: DataFrame, name: str) -> str:
 
 #: Rows of an Arrow batch. Whole texts are long, so a batch of the usual ten thousand would take
 #: hundreds of megabytes of a Python worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -108,6 +111,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tidy(run: Callable) -> Callable:
+    """A function over batches that gives memory back to the system when its task is done: workers live
+    on from task to task, and what their allocators keep adds to the executor's memory."""
+
+    @wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def utf8(texts: list[str | None]) -> list[bytes]:
     """Texts as UTF-8 bytes; null counts as empty."""
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
