@@ -148,12 +148,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns: one row of each text. Rows are told apart by
-    their number in a written table, so repeated ids and rows don't matter."""
-    row = unused(docs, "row_number")
-    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()), "exact-dedup-numbered")
-    gone = durable(exact_dedup(numbered, id_col, text_col, row=F.col(row)).where("NOT kept").select(F.col("row").alias(row)), "exact-dedup-gone")
-    return numbered.join(small(gone), row, "left_anti").drop(row)
+    """The documents that stay, with all their columns: one row of each text.
+
+    What goes is known by id and SHA-256, so no text is written or shuffled for it. Only rows that
+    repeat the keeper's id and text can't be told apart so; of these, one of each is taken.
+    """
+    found = durable(exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("id"), "text_sha256", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("keeper"), "kept"), "exact-dedup-found")
+    gone = durable(found.where("NOT keeper").select("id", "text_sha256").distinct(), "exact-dedup-gone")
+    again = durable(found.where("keeper AND NOT kept").select("id", "text_sha256").distinct(), "exact-dedup-again")
+    discard(found)
+    sha = unused(docs, "text_digest")
+    hashed = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+
+    def same(side: DataFrame) -> Column:
+        return hashed[id_col].eqNullSafe(side["id"]) & (hashed[sha] == side["text_sha256"])
+
+    few = small(gone)
+    left = hashed.join(few, same(few), "left_anti")
+    if not again.isEmpty():
+        twice = small(again)
+        single = hashed.join(twice, same(twice), "left_semi").dropDuplicates([id_col, sha])
+        left = left.join(twice, left[id_col].eqNullSafe(twice["id"]) & (left[sha] == twice["text_sha256"]), "left_anti").unionByName(single)
+    return left.drop(sha)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
