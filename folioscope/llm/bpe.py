@@ -50,7 +50,7 @@ STRICT = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{NEWER}]]+| ?[\p{{N}}--[{N
 _NONE = 1 << 30
 _BUFFER = 2048
 #: Words kept in each of two generations of the cache.
-_CACHE = 250_000
+_CACHE = 125_000
 _BLOCK = 1 << 16
 
 
