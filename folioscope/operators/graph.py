@@ -334,6 +334,15 @@ def to_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "doc_id", "left").select("doc_id", F.to_json(F.struct("nodes", F.coalesce("edges", F.array().cast(e.schema["edges"].dataType)).alias("edges"))).alias("graph"))
 
 
+def is_readable(graph: Column) -> Column:
+    """Whether a text is a graph of to_json: JSON with nodes that have ids and types, and edges."""
+    read = F.try_parse_json(graph)
+    nodes = F.try_variant_get(read, "$.nodes", "array<struct<id:string,type:string>>")
+    edges = F.try_variant_get(read, "$.edges", "array<struct<source:string,target:string>>")
+    named = F.forall(nodes, lambda n: n["id"].isNotNull() & n["type"].isNotNull())
+    return F.coalesce(named & F.forall(edges, lambda e: e["source"].isNotNull() & e["target"].isNotNull()), F.lit(False))
+
+
 def from_json(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The tables of to_json, with defaults for what is missing."""
     shape = "nodes array<struct<pos:bigint,id:string,type:string,label:string,source:string,text:string,section_index:int,score:double,metadata:string>>, edges array<struct<pos:bigint,source:string,target:string,type:string,weight:double,evidence:string>>"

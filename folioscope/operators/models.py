@@ -15,7 +15,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
@@ -159,18 +159,31 @@ def transcribe(rows: DataFrame, audio: str, transcriber: Transcriber, model: str
     return rows.mapInPandas(run, f"{schema}, response string, error string")
 
 
+def section_answers(sections: DataFrame, prompt: Column, completer: Completer, version: str, cache: DataFrame | None = None) -> DataFrame:
+    """(doc_id, section_index, key, value, error): what a model says of sections; texts whose key is in
+    cache (key, value) are not asked again. Written once, as later steps read it more than once."""
+    from folioscope.lineage import cut
+
+    keyed = sections.withColumn("key", T.key_of(F.col("text"), F.lit(version)))
+    fresh = keyed if cache is None else keyed.join(cache.select("key"), "key", "left_anti")
+    asked = complete(fresh, prompt, completer).select("doc_id", "section_index", "key", F.col("result").alias("value"), "error")
+    if cache is not None:
+        known = keyed.join(cache.groupBy("key").agg(F.min("value").alias("value")), "key")
+        asked = asked.unionByName(known.select("doc_id", "section_index", "key", "value", F.lit(None).cast("string").alias("error")))
+    return cut(asked)
+
+
 def section_facts(sections: DataFrame, template: str, completer: Completer, cache: DataFrame | None = None, limit: int = evals.FACT_LIMIT, version: str = "v001") -> DataFrame:
     """(doc_id, pos, fact): facts of sections (doc_id, section_index, title, text), taken in turns,
     cut at the limit first and made distinct then; texts in cache (key, value) are not asked again."""
-    keyed = sections.withColumn("key", T.key_of(F.col("text"), F.lit(version)))
-    fresh = keyed if cache is None else keyed.join(cache.select("key"), "key", "left_anti")
     prompt = T.render(F.lit(template), F.create_map(F.lit("title"), F.col("title"), F.lit("text"), F.col("text")))
-    asked = complete(fresh, prompt, completer).select("doc_id", "section_index", "key", F.col("result").alias("value"))
-    every = asked if cache is None else asked.unionByName(keyed.join(cache, "key").select("doc_id", "section_index", "key", "value"))
-    facts = F.from_json(F.get_json_object("value", "$.facts"), "array<string>")
-    rows = every.select("doc_id", "section_index", F.posexplode(facts).alias("turn", "fact"))
-    from pyspark.sql import Window
+    return facts_of(section_answers(sections, prompt, completer, version, cache), limit)
 
+
+def facts_of(answers: DataFrame, limit: int = evals.FACT_LIMIT) -> DataFrame:
+    """(doc_id, pos, fact) of section_answers."""
+    facts = F.from_json(F.get_json_object("value", "$.facts"), "array<string>")
+    rows = answers.select("doc_id", "section_index", F.posexplode(facts).alias("turn", "fact"))
     ranked = rows.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("turn", "section_index"))).where(F.col("pos") <= limit)
     return evals.distinct_facts(ranked, ["doc_id"], "fact", ["pos"]).select("doc_id", "pos", "fact")
 
