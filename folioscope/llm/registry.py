@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import bpe, exact_dedup, fingerprints, language_id, license_scan, lm_score, mixing, near_dedup, prefix_trie, quality, toxicity
+from folioscope.llm import bpe, exact_dedup, fingerprints, importance, language_id, license_scan, lm_score, mixing, multi_index, near_dedup, prefix_trie, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": bpe.op8,
         "op9_quality": quality.op9,
         "op10_fingerprints": fingerprints.op10,
+        "op11_multi_index": multi_index.op11,
+        "op12_importance": importance.op12,
         "op13_prefix_trie": prefix_trie.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.SQL, "op13_prefix_trie": prefix_trie.SQL}
+    return {"op6_exact_dedup": exact_dedup.SQL, "op11_multi_index": multi_index.SQL, "op13_prefix_trie": prefix_trie.SQL}

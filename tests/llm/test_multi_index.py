@@ -1,0 +1,127 @@
+"""The inverted multi-index against all pairs."""
+
+import math
+import os
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from folioscope.llm import multi_index as M
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "vec_id bigint, embedding array<float>, label int"
+
+
+def plain(rows, threshold=0.98):
+    """(id, n_links, component, kept) of rows (id, vector, label) by all pairs."""
+    good = [i for i, (_, v, l) in enumerate(rows) if l is not None and v and all(c is not None and math.isfinite(c) for c in v) and any(v)]
+    links = {i: set() for i in range(len(rows))}
+    for n, i in enumerate(good):
+        a = np.array(rows[i][1], np.float32).astype(float)
+        for j in good[:n]:
+            if rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]):
+                b = np.array(rows[j][1], np.float32).astype(float)
+                if a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= threshold:
+                    links[i].add(j)
+                    links[j].add(i)
+    out = []
+    for i, (id_, _, _) in enumerate(rows):
+        seen, stack = {i}, [i]
+        while stack:
+            for j in links[stack.pop()] - seen:
+                seen.add(j)
+                stack.append(j)
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        least = min(ids) if ids else None
+        out.append((id_, len(links[i]), least, id_ == least))
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in df.collect()), key=repr)
+
+
+def table(seed, n, dim, labels, groups=6, size=8, noise=0.02):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for g in range(groups):
+        at = rng.choice(n, size, replace=False)
+        x[at] = x[at[0]] + noise * rng.standard_normal((size, dim)) * rng.random((size, 1))
+    x[n - 5 :] = x[0]
+    x[n - 1] *= 3
+    return [(int(i), [float(c) for c in v], int(rng.integers(labels))) for i, v in zip(rng.permutation(n * 2)[:n], x, strict=True)]
+
+
+@pytest.mark.parametrize("block, in_cell", [(1024, 4), (7, 30)])
+def test_full_recall_equals_all_pairs(spark, block, in_cell):
+    rows = table(1, 300, 16, 2)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert got(M.near_duplicates(df, recall=1.0, block=block, in_cell=in_cell)) == plain(rows)
+
+
+def test_one_large_group_in_small_blocks(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(8)
+    rows = [(i, [float(c) for c in centre + 0.08 * rng.standard_normal(8)], 1) for i in range(250)]
+    assert got(M.near_duplicates(spark.createDataFrame(rows, SCHEMA), recall=1.0, block=16, in_cell=50)) == plain(rows)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    v = [0.5, 0.25, 1.0]
+    rows = [
+        (1, v, 1), (2, [2 * c for c in v], 1), (2, v, 1), (2, v, 1), (None, v, 1), (3, v, None), (4, None, 1), (5, [0.0, 0.0, 0.0], 1), (6, [nan, 1.0, 1.0], 1), (7, [inf, 1.0, 1.0], 1),
+        (8, [None, 1.0, 1.0], 1), (9, [], 1), (10, [0.5, 0.25], 1), (11, [3.0], 1), (12, [1e30, 5e29, 2e30], 1), (13, [-0.0, 1.0, 0.0], 2), (14, [0.0, 2.0, -0.0], 2), (15, [-1.0], 1), (None, [9.0, 0.0, 0.0], 3),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for name in ("id", "key", "raw", "dim", "cls", "n", "root", "copies"):
+        df = df.withColumn(name, F.lit("clash"))
+    assert got(M.near_duplicates(df)) == plain(rows)
+
+
+def test_an_empty_table(spark):
+    assert got(M.near_duplicates(spark.createDataFrame([], SCHEMA))) == []
+
+
+def test_recall_at_the_threshold_and_few_visits():
+    """Pairs at just the threshold, moved evenly or in few coordinates, are found often enough."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = M.fit(x, 16)
+    own, row, cell = index.traverse(x)
+    visits = set(zip(row.tolist(), cell.tolist(), strict=True))
+    assert all((i, c) in visits for i, c in enumerate(own.tolist()))
+    for few in (False, True):
+        met = index.cells(M.moved(x, 0.98, np.random.default_rng(8), few))
+        assert np.mean([(i, c) in visits for i, c in enumerate(met.tolist())]) > 0.99
+    assert len(row) < 0.2 * len(x) * 256
+
+
+def test_the_traversal_visits_cells_nearest_first_and_all_within_the_radius():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((50, 10))
+    index = M.Index(rng.standard_normal((6, 5)), rng.standard_normal((5, 5)), 0.9)
+    _, way1, _, way2 = index.bounds(x)
+    _, row, cell = index.traverse(x)
+    for i in range(len(x)):
+        sums = way1[i][:, None] + way2[i]
+        mine = cell[row == i]
+        assert set(mine.tolist()) == set(np.flatnonzero(sums.ravel() <= 0.9).tolist())
+        assert (np.diff(sums.ravel()[mine]) >= 0).all()
+    # The bound is one: no point that near lies in another cell.
+    for _ in range(20):
+        step = rng.standard_normal(x.shape)
+        step *= 0.9**0.5 * rng.random((len(x), 1)) / np.linalg.norm(step, axis=1, keepdims=True)
+        there = index.cells(x + step)
+        assert (way1[np.arange(50), there // 5] + way2[np.arange(50), there % 5] <= 0.9 + 1e-9).all()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_the_query_and_its_sql_on_the_table(spark):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    assert got(M.op11(spark, SF)) == sorted(duck.execute(M.SQL).fetchall(), key=repr)
