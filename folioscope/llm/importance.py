@@ -393,7 +393,8 @@ def dictionary(texts: DataFrame, buckets: int = BUCKETS, postings: bool = True,
 
         def flushed(parts, rows, ids):
             blocks, n_words = chunk_blocks(parts, np.array(rows, np.int64), owners, served)
-            yield pd.DataFrame({"owner": [o - served.start for o, _ in blocks], "row": None, "id": None, "n_words": None, "block": [b for _, b in blocks]})
+            if blocks:
+                yield pd.DataFrame({"owner": [o - served.start for o, _ in blocks], "row": None, "id": None, "n_words": None, "block": [b for _, b in blocks]})
             if rows and first:
                 yield pd.DataFrame({"owner": np.array(rows) % len(served), "row": rows, "id": pd.Series(ids, dtype=object), "n_words": n_words, "block": None})
 

@@ -151,7 +151,8 @@ def end_digests(ends: DataFrame) -> DataFrame:
                     node, digest = (owner, depth), hashlib.sha256(ids.encode())
                 else:
                     digest.update(b"," + ids.encode())
-            yield pd.DataFrame(out, columns=["owner", "depth", "ends_sha256"])
+            if out:
+                yield pd.DataFrame(out, columns=["owner", "depth", "ends_sha256"])
         if node is not None:
             yield pd.DataFrame([(*node, digest.hexdigest())], columns=["owner", "depth", "ends_sha256"])
 
