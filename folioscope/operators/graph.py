@@ -54,7 +54,8 @@ def similar_pairs(rows: DataFrame, group: list[str], position: str, vector: str,
         ahead = left < right
         swap = (left > right) & (found["a"].iloc[0] != found["b"].iloc[0])
         keep = ahead | swap
-        out = {k: [found[k].iloc[0]] * int(keep.sum()) for k in keys}
+        # Columns of objects, as an empty list would be one of numbers.
+        out = {k: np.repeat(np.array([found[k].iloc[0]], object), int(keep.sum())) for k in keys}
         return pd.DataFrame({**out, "left": np.where(ahead, left, right)[keep], "right": np.where(ahead, right, left)[keep], "cosine": near[keep]})
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"left {kinds['p']}, right {kinds['p']}, cosine double"])

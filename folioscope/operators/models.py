@@ -141,7 +141,7 @@ def embed(rows: DataFrame, group: str, position: str, text: str, embedder: Embed
             if len(vectors) != len(part):
                 raise ValueError("embedding count differs")
             found += vectors
-        return pd.DataFrame({group: d[group], text: texts, "vector": [list(map(float, v)) for v in found]})
+        return pd.DataFrame({group: d[group].tolist(), text: texts, "vector": [list(map(float, v)) for v in found]})
 
     vectors = distinct.groupBy(group).applyInPandas(run, f"`{group}` {kind}, `{text}` string, vector array<double>")
     return rows.select(group, position, text).join(vectors, [group, text], "left")
@@ -189,8 +189,8 @@ def facts_of(answers: DataFrame, limit: int = evals.FACT_LIMIT) -> DataFrame:
 
 
 def judge(items: DataFrame, against: DataFrame, template: str, key: str, completer: Completer) -> DataFrame:
-    """items (doc_id, pos, item) with good and evidence: judged in batches of ten against a text
-    (doc_id, text); a batch whose verdicts don't fit has an error instead."""
+    """items (doc_id, pos, item) with good, evidence, status and issues: judged in batches of ten against
+    a text (doc_id, text); a batch whose verdicts don't fit has an error instead."""
     from folioscope.functions import jsonx
 
     placed = chunking.fixed_batches(items, ["doc_id"], ["pos"])
@@ -200,7 +200,7 @@ def judge(items: DataFrame, against: DataFrame, template: str, key: str, complet
     read = answered.withColumn("verdicts", jsonx.verdicts(jsonx.salvage(F.col("result")), key, F.size("items")))
     rows = read.select("doc_id", "error", F.explode("items").alias("i"), "verdicts")
     verdict = F.get("verdicts", F.col("i.place"))
-    return rows.select("doc_id", F.col("i.pos").alias("pos"), F.col("i.item").alias("item"), verdict["good"].alias("good"), verdict["evidence"].alias("evidence"), F.when(verdict.isNull(), F.coalesce("error", F.lit("verdicts don't fit"))).alias("error"))
+    return rows.select("doc_id", F.col("i.pos").alias("pos"), F.col("i.item").alias("item"), verdict["good"].alias("good"), verdict["evidence"].alias("evidence"), verdict["status"].alias("status"), verdict["issues"].alias("issues"), F.when(verdict.isNull(), F.coalesce("error", F.lit("verdicts don't fit"))).alias("error"))
 
 
 def map_reduce_summaries(chunks: DataFrame, chunk_template: str, merge_template: str, completer: Completer, max_tokens: int) -> DataFrame:
