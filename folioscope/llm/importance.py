@@ -41,7 +41,7 @@ from folioscope.scans import numbered
 BUCKETS, SEED = 10_000, 42
 LEAST_WORDS, PERCENT = 20, 5
 #: Bytes of text of a chunk, of a piece of a long text, and that make one more owner.
-CHUNK, PIECE, OWNED = 12 << 20, 4 << 20, 24 << 20
+CHUNK, PIECE, OWNED = 8 << 20, 4 << 20, 16 << 20
 #: Rounds in which owners are served: texts are read in each, and only its share of the entries is shuffled.
 ROUNDS = 2
 
@@ -123,18 +123,29 @@ def entry_order(runs: list[np.ndarray], n: int) -> np.ndarray:
     if max(2 * bits, at + bits) + at > 63:
         return np.lexsort(runs[::-1])
     mask = (1 << at) - 1
-    packed = (runs[0].astype(np.int64) << bits | runs[1]) << at
-    packed |= np.arange(size)
+    packed = _packed(runs[0], bits, runs[1], at)
     packed.sort()
-    pair = np.empty(size, np.int64)
-    pair[packed & mask] = np.cumsum(fresh(packed >> at)) - 1
-    packed = (pair << bits | runs[2]) << at
-    packed |= np.arange(size)
+    pair = np.empty(size, np.int32)
+    first = fresh(packed >> at)
+    packed &= mask
+    pair[packed] = np.cumsum(first, dtype=np.int32) - 1
+    del packed, first
+    packed = _packed(pair, bits, runs[2], at)
     packed.sort()
     packed &= mask
     return packed
 
 
+def _packed(high: np.ndarray, bits: int, low: np.ndarray, at: int) -> np.ndarray:
+    """Two numbers and the place in one, without more copies than needed."""
+    out = high.astype(np.int64)
+    out <<= bits
+    out |= low
+    out <<= at
+    out |= np.arange(len(out))
+    return out
+
+
 def fresh(*columns: np.ndarray) -> np.ndarray:
     """Where rows of sorted columns differ from the one before."""
     out = np.ones(len(columns[0]), bool)
@@ -246,12 +257,12 @@ def chunk_blocks(parts: list[tuple[int, bytes, bool]], rows: np.ndarray, owners:
     return out, per_doc
 
 
-def token_array(text: bytes) -> pa.Array:
-    """Words that are followed by a space each."""
+def token_array(text: bytes) -> pa.DictionaryArray:
+    """Words that are followed by a space each, encoded."""
     b = np.frombuffer(text, np.uint8)
     space = np.flatnonzero(b == 32)
-    offsets = np.append(0, space + 1 - np.arange(1, len(space) + 1))
-    return pa.Array.from_buffers(pa.large_binary(), len(space), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(b[b != 32])])
+    offsets = np.append(0, space + 1 - np.arange(1, len(space) + 1)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(space), [None, pa.py_buffer(offsets), pa.py_buffer(b[b != 32])]).dictionary_encode()
 
 
 @lru_cache(4096)
@@ -281,10 +292,12 @@ def crc_tables(lengths: np.ndarray) -> np.ndarray:
 def crc_join(tables: np.ndarray, first: np.ndarray, second: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """CRC-32 of two texts one after the other, from those of both; kind says which of the tables is
     for the second one's length."""
-    out = second.copy()
-    flat, base = tables.ravel(), kind.astype(np.int64) * 1024
-    for k in range(4):
-        out ^= flat[base + (256 * k + ((first >> np.uint32(8 * k)) & np.uint32(255)).astype(np.int64))]
+    out, flat = second.copy(), tables.ravel()
+    for lo in range(0, len(out), 1 << 17):
+        here = slice(lo, lo + (1 << 17))
+        base, x = kind[here].astype(np.int64) * 1024, first[here]
+        for k in range(4):
+            out[here] ^= flat[base + (256 * k + ((x >> np.uint32(8 * k)) & np.uint32(255)).astype(np.int64))]
     return out
 
 
@@ -296,12 +309,12 @@ def entry_buckets(words: list[bytes], runs: list[np.ndarray], buckets: int) -> l
     spaced = np.array([*(zlib.crc32(b" " + w) for w in words), 0], np.uint32)
     length = np.array([*(len(w) + 1 for w in words), 0], np.int64)
     kinds, kind = np.unique(length, return_inverse=True)
-    tables = crc_tables(kinds)
+    tables, kind = crc_tables(kinds), kind.astype(np.int32)
     one = (alone % size).astype(np.int32)[runs[0]]
     pair = fresh(runs[0], runs[1])
     a, b = runs[0][pair], runs[1][pair]
     crc2 = crc_join(tables, alone[a], spaced[b], kind[b])
-    of = np.cumsum(pair) - 1
+    of = np.cumsum(pair, dtype=np.int32) - 1
     two = np.where(b < none, (crc2 % size).astype(np.int32), np.int32(buckets))[of]
     c = runs[2]
     crc3 = crc_join(tables, crc2[of], spaced[c], kind[c])
@@ -311,45 +324,54 @@ def entry_buckets(words: list[bytes], runs: list[np.ndarray], buckets: int) -> l
 def owned(blocks: list[bytes], buckets: int, postings: bool) -> tuple[np.ndarray, list[bytes]]:
     """Sums by bucket of what an owner holds, and for each block the features of its documents: bucket
     and how often, in order of document and bucket."""
-    held, texts = [], []
-    for block in blocks:
-        r = Reader(block)
-        *spelled, n_one, n_two, n, n_posted, n_docs = r.longs(8).tolist()
-        texts.append(r.raw(sum(spelled)))
-        sizes = [r.numbers(n_one), r.numbers(n_two)]
-        held.append((sizes, r.numbers(n).astype(np.int32), r.longs(n_docs), r.numbers(n_posted).astype(np.int32), r.numbers(n_posted).astype(np.int32)))
-    words = token_array(b"".join(texts)).dictionary_encode()
-    texts.clear()
-    number, none = words.indices.to_numpy(), len(words.dictionary)
-    end = pc.index(words.dictionary, END).as_py()
+    held, spelled = [], []
+    while blocks:  # taken one by one, so that what is read goes as the rest comes
+        r = Reader(blocks.pop())
+        *text, n_one, n_two, n, n_posted, n_docs = r.longs(8).tolist()
+        tokens = token_array(r.raw(sum(text)))
+        spelled.append(tokens.dictionary)
+        one, two = (r.numbers(k).astype(np.int32) for k in (n_one, n_two))
+        sizes, rows, slot, times = r.numbers(n).astype(np.int32), r.longs(n_docs).copy(), r.numbers(n_posted).astype(np.int32), r.numbers(n_posted).astype(np.int32)
+        held.append((tokens.indices.to_numpy(), one, two, sizes, rows, slot, times))
+    every = pa.concat_arrays(spelled).dictionary_encode()
+    number, words, none = every.indices.to_numpy(), every.dictionary, len(every.dictionary)
+    end = pc.index(words, END).as_py()
     if end >= 0:  # the end of a text stands last
         swap = np.arange(none, dtype=np.int32)
         swap[[end, none - 1]] = none - 1, end
-        number, words, none = swap[number], words.dictionary.take(pa.array(swap[: none - 1])), none - 1
-    else:
-        words = words.dictionary
-    at, runs, counts = 0, [], []
-    for (of_one, of_two), sizes, _, _, times in held:
-        cuts = np.cumsum([at, len(of_one), len(of_two), len(sizes)])
-        one, two, three = (number[x:y] for x, y in zip(cuts, cuts[1:], strict=False))
-        at = cuts[-1]
-        runs.append([np.repeat(np.repeat(one, of_one), of_two), np.repeat(two, of_two), three])
-        counts.append(np.add.reduceat(times, np.cumsum(sizes) - sizes).astype(np.int64))
-    runs, counts = [np.concatenate(c) for c in zip(*runs, strict=True)], np.concatenate(counts)
+        number, words, none = swap[number], words.take(pa.array(swap[: none - 1])), none - 1
+    total, at, word = sum(len(h[3]) for h in held), 0, 0
+    runs, counts = [np.empty(total, np.int32) for _ in range(3)], np.empty(total, np.int32)
+    for k, (tokens, one, two, sizes, rows, slot, times) in enumerate(held):
+        mine = number[word : word + len(spelled[k])][tokens]
+        word += len(spelled[k])
+        here = slice(at, at + len(sizes))
+        at += len(sizes)
+        runs[0][here] = np.repeat(np.repeat(mine[: len(one)], one), two)
+        runs[1][here] = np.repeat(mine[len(one) : len(one) + len(two)], two)
+        runs[2][here] = mine[len(one) + len(two) :]
+        counts[here] = np.add.reduceat(times, np.cumsum(sizes) - sizes)
+        held[k] = sizes, rows, slot, times
+    del every, number, spelled
     order = entry_order(runs, none)
-    runs = [c[order] for c in runs]
+    for k in range(3):
+        runs[k] = runs[k][order]
     new = fresh(*runs)
-    totals = np.add.reduceat(counts[order], np.flatnonzero(new))
-    found = entry_buckets(word_list(words), [c[new] for c in runs], buckets)
+    totals = np.add.reduceat(counts[order], np.flatnonzero(new), dtype=np.int64)
+    del counts
+    for k in range(3):
+        runs[k] = runs[k][new]
+    found = entry_buckets(word_list(words), runs, buckets)
     sums = np.zeros(buckets + 1, np.int64)
     for column in found:
         np.add.at(sums, column, totals)
     if not postings:
         return sums[:buckets], []
-    own = np.empty(len(order), np.int64)
-    own[order] = np.cumsum(new) - 1
+    own = np.empty(len(order), np.int32)
+    own[order] = np.cumsum(new, dtype=np.int32) - 1
+    del order, runs, new, totals
     out, at = [], 0
-    for _, sizes, rows, slot, times in held:
+    for sizes, rows, slot, times in held:
         entry = np.repeat(own[at : at + len(sizes)], sizes)
         at += len(sizes)
         bucket = np.concatenate([column[entry] for column in found])
