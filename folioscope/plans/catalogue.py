@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from folioscope.plans import corpus_queries, graph_queries, more_queries, text_queries  # noqa: F401  registering is what they do
+    from folioscope.plans import corpus_queries, graph_queries, more_queries, summary_queries, text_queries  # noqa: F401  registering is what they do
 
 
 def queries() -> dict[str, Query]:
