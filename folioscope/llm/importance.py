@@ -251,7 +251,7 @@ def chunk_blocks(parts: list[tuple[int, bytes, bool]], rows: np.ndarray, owners:
         mine = doc[ends[lo] : ends[hi]]
         docs = np.flatnonzero(np.bincount(mine, minlength=len(rows)))
         slot = np.searchsorted(docs, mine)
-        head = np.array([*map(len, text), int(one.sum()), int(two.sum()), hi - lo, len(mine), len(docs)], "<i8")
+        head = np.array([rows[0], *map(len, text), int(one.sum()), int(two.sum()), hi - lo, len(mine), len(docs)], "<i8")
         sizes = [np.diff(np.append(np.flatnonzero(one[two]), int(two.sum()))), np.diff(np.append(np.flatnonzero(two), hi - lo))]
         out.append((o, sealed(head.tobytes(), *text, *map(planes, sizes), planes(held[lo:hi]), rows[docs].astype("<i8").tobytes(), planes(slot), planes(times[ends[lo] : ends[hi]]))))
     return out, per_doc
@@ -327,12 +327,12 @@ def owned(blocks: list[bytes], buckets: int, postings: bool) -> tuple[np.ndarray
     held, spelled = [], []
     while blocks:  # taken one by one, so that what is read goes as the rest comes
         r = Reader(blocks.pop())
-        *text, n_one, n_two, n, n_posted, n_docs = r.longs(8).tolist()
+        chunk, *text, n_one, n_two, n, n_posted, n_docs = r.longs(9).tolist()
         tokens = token_array(r.raw(sum(text)))
         spelled.append(tokens.dictionary)
         one, two = (r.numbers(k).astype(np.int32) for k in (n_one, n_two))
         sizes, rows, slot, times = r.numbers(n).astype(np.int32), r.longs(n_docs).copy(), r.numbers(n_posted).astype(np.int32), r.numbers(n_posted).astype(np.int32)
-        held.append((tokens.indices.to_numpy(), one, two, sizes, rows, slot, times))
+        held.append((tokens.indices.to_numpy(), one, two, sizes, rows, slot, times, chunk))
     every = pa.concat_arrays(spelled).dictionary_encode()
     number, words, none = every.indices.to_numpy(), every.dictionary, len(every.dictionary)
     end = pc.index(words, END).as_py()
@@ -342,7 +342,7 @@ def owned(blocks: list[bytes], buckets: int, postings: bool) -> tuple[np.ndarray
         number, words, none = swap[number], words.take(pa.array(swap[: none - 1])), none - 1
     total, at, word = sum(len(h[3]) for h in held), 0, 0
     runs, counts = [np.empty(total, np.int32) for _ in range(3)], np.empty(total, np.int32)
-    for k, (tokens, one, two, sizes, rows, slot, times) in enumerate(held):
+    for k, (tokens, one, two, sizes, rows, slot, times, chunk) in enumerate(held):
         mine = number[word : word + len(spelled[k])][tokens]
         word += len(spelled[k])
         here = slice(at, at + len(sizes))
@@ -351,7 +351,7 @@ def owned(blocks: list[bytes], buckets: int, postings: bool) -> tuple[np.ndarray
         runs[1][here] = np.repeat(mine[len(one) : len(one) + len(two)], two)
         runs[2][here] = mine[len(one) + len(two) :]
         counts[here] = np.add.reduceat(times, np.cumsum(sizes) - sizes)
-        held[k] = sizes, rows, slot, times
+        held[k] = sizes, rows, slot, times, chunk
     del every, number, spelled
     order = entry_order(runs, none)
     for k in range(3):
@@ -371,7 +371,7 @@ def owned(blocks: list[bytes], buckets: int, postings: bool) -> tuple[np.ndarray
     own[order] = np.cumsum(new, dtype=np.int32) - 1
     del order, runs, new, totals
     out, at = [], 0
-    for sizes, rows, slot, times in held:
+    for sizes, rows, slot, times, chunk in held:
         entry = np.repeat(own[at : at + len(sizes)], sizes)
         at += len(sizes)
         bucket = np.concatenate([column[entry] for column in found])
@@ -386,20 +386,20 @@ def owned(blocks: list[bytes], buckets: int, postings: bool) -> tuple[np.ndarray
         # Buckets ascend in a document, so most steps are small.
         step = np.where(fresh(slots), bucket, np.diff(bucket, prepend=0))
         each = np.bincount(slots, minlength=len(rows))
-        out.append(sealed(np.array([len(rows), len(step)], "<i8").tobytes(), rows.tobytes(), planes(each), planes(step), planes(n)))
+        out.append(sealed(np.array([chunk, len(rows), len(step)], "<i8").tobytes(), rows.tobytes(), planes(each), planes(step), planes(n)))
     return sums[:buckets], out
 
 
-def joined(block: bytes, gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and the weights that a block's features add to them."""
+def joined(block: bytes, gains: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """A block's chunk (its first document's row), rows and the weights that the features add to them."""
     r = Reader(block)
-    n_docs, n = r.longs(2).tolist()
+    chunk, n_docs, n = r.longs(3).tolist()
     rows, each = r.longs(n_docs), r.numbers(n_docs)
     step, times = r.numbers(n), r.numbers(n)
     ends = np.cumsum(each)
     bucket = np.append(0, np.cumsum(step))
     bucket = bucket[1:] - np.repeat(bucket[ends - each], each)
-    return rows, np.diff(np.append(0, np.cumsum(gains[bucket] * times))[np.append(0, ends)])
+    return chunk, rows, np.diff(np.append(0, np.cumsum(gains[bucket] * times))[np.append(0, ends)])
 
 
 def dictionary(texts: DataFrame, buckets: int = BUCKETS, postings: bool = True, owners: int | None = None) -> DataFrame:
@@ -487,11 +487,19 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches):
         for b in batches:
-            for block in b["hashed"]:
-                row, weight = joined(bytes(block), gains)
-                yield pd.DataFrame({"row": row, "weight": weight})
-
-    weights = made.where("hashed IS NOT NULL").select("hashed").mapInPandas(tidy(run), "row bigint, weight bigint")
+            found = [joined(bytes(block), gains) for block in b["hashed"]]
+            yield pd.DataFrame({"chunk": [c for c, _, _ in found], "rows": [r.tobytes() for _, r, _ in found], "weights": [w.tobytes() for _, _, w in found]})
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        rows, weights = (np.frombuffer(b"".join(map(bytes, part[c])), "<i8") for c in ("rows", "weights"))
+        row, place = np.unique(rows, return_inverse=True)
+        weight = np.zeros(len(row), np.int64)
+        np.add.at(weight, place, weights)
+        return pd.DataFrame({"row": row, "weight": weight})
+
+    # A chunk's documents meet in one task as arrays, one for each owner.
+    parts = made.where("hashed IS NOT NULL").select("hashed").mapInPandas(tidy(run), "chunk bigint, rows binary, weights binary")
+    weights = parts.groupBy("chunk").applyInPandas(summed, "row bigint, weight bigint")
     kind = docs.schema[id_col].dataType.simpleString()
     # A row's id came as text, once.
     own = made.where("row IS NOT NULL").select("row", "id", "n_words", F.lit(0).cast("bigint").alias("weight"))

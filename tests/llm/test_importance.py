@@ -105,7 +105,7 @@ def test_blocks_give_the_same_sums_however_texts_are_cut():
             s, hashed = I.owned(blocks, 500, True)
             total += s
             for h in hashed:
-                for r, w in zip(*I.joined(h, gains), strict=True):
+                for r, w in zip(*I.joined(h, gains)[1:], strict=True):
                     held[int(r)] += int(w)
         sums.append(total.tolist())
         weights.append(held)
