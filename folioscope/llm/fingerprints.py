@@ -23,9 +23,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from folioscope.llm.runtime import documents, utf8
+from folioscope.llm.runtime import documents, durable, spread_join, utf8
 from folioscope.llm.words import shingles, word_hashes
+from folioscope.scans import numbered
 
 K = 128
 SHINGLE = 5
@@ -118,9 +120,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has the last floor(n/2) code points replaced by the first as many of the next
     document in descending id. Documents are dealt to as many runs of neighbours as there are shuffle
     partitions (or ``runs``), each sorted and streamed by one task. A run's last document meets the
-    first of the next run, which is sent there too; so texts are shuffled once.
+    first of the next run, which is sent there too; so texts are shuffled once. Ids that aren't whole
+    numbers are ordered by their own type's order: their places in it take part instead.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        return _by_place(docs, id_col, text_col, k, width, runs)
     runs = runs or int(spark.conf.get("spark.sql.shuffle.partitions"))
     number = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LEAST)).alias("id")
     rows = docs.select(number, F.coalesce(F.col(text_col), F.lit("")).alias("body")).select("id", F.xxhash64("body").alias("tie"), "body")
@@ -188,6 +193,18 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.select(F.when(F.col("id") != _LEAST, F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), *schema_names(schema))
 
 
+def _by_place(docs: DataFrame, id_col: str, text_col: str, k: int, width: int, runs: int | None) -> DataFrame:
+    """edited_fingerprints of documents whose ids are texts or other values: by their places in order."""
+    sizes = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("weight"))
+    places = durable(numbered(sizes, [], [F.col("id")], "place"), "fingerprint-places")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    placed = spread_join(rows.where("id IS NOT NULL"), places, ["id"], "weight").select("place", "body")
+    found = edited_fingerprints(placed.unionByName(rows.where("id IS NULL").select(F.lit(None).cast("bigint").alias("place"), "body")), "place", "body", k, width, runs)
+    named = spread_join(found.where("place IS NOT NULL"), places, ["place"], "weight").drop("place")
+    unnamed = found.where("place IS NULL").drop("place").withColumn("id", F.lit(None).cast(docs.schema[id_col].dataType))
+    return named.unionByName(unnamed).select(F.col("id").alias(id_col), *[c for c in found.columns if c != "place"])
+
+
 def schema_names(schema: str) -> list[str]:
     """Names of the columns between the first and the last."""
     return [c.split()[0] for c in schema.split(", ")[1:-1]]

@@ -114,7 +114,8 @@ def fit(training: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) ->
         group = group.sort_values(["id", "body"], kind="stable")
         texts = [t for t in group["body"] if has_letter(t)]
         if not texts:
-            return pd.DataFrame({"lang": [], "centre": [], "floor": []})
+            # Columns of objects: Arrow takes an empty list for numbers.
+            return pd.DataFrame({"lang": [], "centre": [], "floor": []}, dtype=object)
         x = np.concatenate([vectors(texts[i : i + _CHUNK], shipped.value) for i in range(0, len(texts), _CHUNK)])
         centre, floor = cluster(x, clusters)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": list(centre.astype(np.float32)), "floor": floor})

@@ -183,9 +183,9 @@ class Scanner:
                 if n >= MIN_MATCH and (at + 1 == len(ids) or matched[at + 1] <= n):
                     matches += [(number, end - n + 1, start + at - n + 1, n) for number, end in self.automaton.ends[state]]
         labels, best, spans = {label for _, label in places}, 0.0, []
-        for number, cover, first, last in self.chains(matches):
+        for number, cover, first, last, alone in self.chains(matches):
             best = max(best, cover)
-            if cover >= (COVER if len(self.sequences[number]) > 8 else 1.0):
+            if alone and cover >= (COVER if len(self.sequences[number]) > 8 else 1.0):
                 labels.add(self.templates[number][0])
                 spans.append({"label": self.templates[number][0], "first": first, "last": last, "cover": cover})
         base = sorted({label for _, label in places})
@@ -200,26 +200,31 @@ class Scanner:
             "spans": sorted(spans, key=lambda s: (s["first"], s["last"], s["label"])),
         }
 
-    def chains(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, float, int, int]]:
-        """(template, share covered, first and last word in the text) of each chain of matches that
-        follow each other, in text and template, with at most GAP words between.
+    def chains(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, float, int, int, bool]]:
+        """(template, share covered, first and last word in the text, whether it tells the label) of each
+        chain of matches that follow each other, in text and template, with at most GAP words between.
+
+        A chain tells the label if one of its matches stands in templates of that label only: words that
+        several licences share say nothing.
 
         The best chain that ends with a match extends the best one of a match before it; matches that
         overlap count once. Chains are read off from the longest down, each match in one of them.
         """
         out = []
         by_template: dict[int, set[tuple[int, int, int]]] = {}
+        labels: dict[tuple[int, int], set[str]] = {}
         for number, inside, start, n in matches:
             by_template.setdefault(number, set()).add((start, inside, n))
+            labels.setdefault((start, n), set()).add(self.templates[number][0])
         for number, own in sorted(by_template.items()):
-            for covered, first, last in self._longest(sorted(own)):
-                out.append((number, covered / len(self.sequences[number]), first, last))
+            for covered, first, last, chain in self._longest(sorted(own)):
+                out.append((number, covered / len(self.sequences[number]), first, last, any(len(labels[start, n]) == 1 for start, _, n in chain)))
         return out
 
     @staticmethod
-    def _longest(own: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """(words covered, first and last word in the text) of chains of matches (place in the text,
-        place in the template, words) in order."""
+    def _longest(own: list[tuple[int, int, int]]) -> list[tuple[int, int, int, list[tuple[int, int, int]]]]:
+        """(words covered, first and last word in the text, matches) of chains of matches (place in the
+        text, place in the template, words) in order."""
         best, before = [0] * len(own), [-1] * len(own)
         near: list[int] = []  # matches whose end is not too far back
         for j, (start, inside, n) in enumerate(own):
@@ -236,11 +241,12 @@ class Scanner:
         for j in sorted(range(len(own)), key=lambda j: (-best[j], own[j][0] + own[j][2], j)):
             if j in used:
                 continue
-            last, i = j, j
+            last, i, chain = j, j, []
             while i >= 0 and i not in used:
                 used.add(i)
+                chain.append(own[i])
                 last, i = i, before[i]
-            out.append((best[j] - (best[i] if i >= 0 else 0), own[last][0], own[j][0] + own[j][2] - 1))
+            out.append((best[j] - (best[i] if i >= 0 else 0), own[last][0], own[j][0] + own[j][2] - 1, chain))
         return out
 
 

@@ -76,6 +76,16 @@ def test_a_long_text(spark):
     assert found[1]["n_chars"] == 5_000_000 and found[2]["edited_sha256"] == hashlib.sha256(("x" * 1_500_000 + ("word " * 1_000_000)[:1_500_000]).encode()).hexdigest()
 
 
+def test_ids_that_are_texts(spark):
+    texts = ["one two three four five six", "", "seven eight nine", "ten " * 40, None, "seven eight nine"]
+    ids = ["b", "a", "10", "9", None, "b"]
+    numbers = {"b": 4, "a": 3, "9": 2, "10": 1, None: None}  # in order of texts
+    named = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id string, text string")
+    plain = spark.createDataFrame([(numbers[i], t) for i, t in zip(ids, texts, strict=True)], "doc_id bigint, text string")
+    key = lambda df, to: sorted(((to(r["doc_id"]), *r[1:]) for r in df.collect()), key=repr)
+    assert key(P.edited_fingerprints(named), lambda i: numbers[i]) == key(P.edited_fingerprints(plain), lambda i: i)
+
+
 def test_odd_and_empty_tables(odd, empty):
     assert P.edited_fingerprints(odd).count() == odd.count()
     assert P.edited_fingerprints(odd).where("doc_id IS NULL").count() == 1

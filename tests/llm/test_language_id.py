@@ -47,6 +47,12 @@ def test_odd_and_empty_tables(spark, odd, empty):
     assert L.identify(untold).first()["lang_pred"] == "und"
 
 
+def test_a_language_whose_texts_have_no_letter(spark):
+    rows = [(i, "12 7", "xx") for i in range(20)] + [(100 + i, "the house and that water", "en") for i in range(20)]
+    found = {r["doc_id"]: r["lang_pred"] for r in L.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert found == {i: "und" for i in range(20)} | {100 + i: "en" for i in range(20)}
+
+
 def test_clusters_are_unit_vectors_and_reject_far_ones():
     rng = np.random.default_rng(1)
     x = np.abs(np.concatenate([rng.normal([1, 0, 0], 0.05, (50, 3)), rng.normal([0, 1, 0], 0.05, (50, 3))]))

@@ -34,6 +34,17 @@ def test_chained_matches_cover_templates():
     assert own.scan(b"GNU General Public License, version 3.")["labels"] == "gpl-3"
 
 
+def test_words_that_licences_share_tell_none():
+    own = L.Scanner()
+    shared = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program"
+    assert own.scan(shared.encode())["labels"] == ""
+    assert own.scan(f"{shared}; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.".encode())["labels"] == "gpl-2"
+    assert own.scan(f"{shared}. If not, see https://www.gnu.org/licenses/.".encode())["labels"] == "gpl-3"
+    # With the grant of one version the shared words belong to that one.
+    grant = next(t for label, t in L.TEMPLATES if label == "gpl-3")
+    assert own.scan(f"{grant}. {shared}".encode())["labels"] == "gpl-3"
+
+
 def test_matching_statistics():
     sequences = [[1, 2, 3, 4], [2, 3, 5]]
     a = L.SuffixAutomaton(sequences)
