@@ -35,13 +35,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.runtime import documents, durable, tidy, utf8
+from folioscope.llm.runtime import documents, durable, settings, tidy, utf8
 from folioscope.scans import numbered
 
 BUCKETS, SEED = 10_000, 42
 LEAST_WORDS, PERCENT = 20, 5
+#: Rows of an Arrow batch: blocks are some hundred kilobytes each.
+ROWS = "32"
 #: Bytes of text of a chunk, of a piece of a long text, and that make one more owner.
-CHUNK, PIECE, OWNED = 8 << 20, 4 << 20, 16 << 20
+CHUNK, PIECE, OWNED = 4 << 20, 4 << 20, 16 << 20
 #: Rounds in which owners are served: texts are read in each, and only its share of the entries is shuffled.
 ROUNDS = 2
 
@@ -474,12 +476,8 @@ def gains_of(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> li
     return [r["gain"] for r in both.select("bucket", F.floor(1000 * F.log(ratio)).alias("gain")).orderBy("bucket").collect()]
 
 
-def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS, buckets: int = BUCKETS, seed: int = SEED, owners: int | None = None, stable: bool = False) -> DataFrame:
-    """One row per document: id, n_features, weight, score, rank (null if not drawn).
-
-    Texts are read once a round and told apart by their place, so they are written first unless they are
-    ``stable``: a table that is read alike each time.
-    """
+def _scored(docs: DataFrame, target: DataFrame, id_col: str, text_col: str, target_col: str, buckets: int, seed: int, owners: int | None, stable: bool) -> DataFrame:
+    """(row, id, n_words, n_features, weight, score) of all documents, written."""
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("body"))
     made = dictionary(texts if stable else durable(texts, "importance-texts"), buckets, True, owners)
     aims = dictionary(target.select(F.lit(0).cast("bigint").alias("row"), F.lit(None).cast("string").alias("id"), F.col(target_col).alias("body")), buckets, False, owners)
@@ -509,7 +507,17 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     noise = F.floor(-1000 * F.log(-F.log((noise + 0.5) / 4294967296.0)))
     n = F.col("n_words")
     features = n + F.greatest(n - 1, F.lit(0)) + F.greatest(n - 2, F.lit(0))
-    scored = durable(each.select("row", "id", "n_words", features.alias("n_features"), "weight", (F.col("weight") + noise).alias("score")), "importance-scored")
+    return durable(each.select("row", "id", "n_words", features.alias("n_features"), "weight", (F.col("weight") + noise).alias("score")), "importance-scored")
+
+
+def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS, buckets: int = BUCKETS, seed: int = SEED, owners: int | None = None, stable: bool = False) -> DataFrame:
+    """One row per document: id, n_features, weight, score, rank (null if not drawn).
+
+    Texts are read once a round and told apart by their place, so they are written first unless they are
+    ``stable``: a table that is read alike each time.
+    """
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=ROWS):
+        scored = _scored(docs, target, id_col, text_col, target_col, buckets, seed, owners, stable)
     enough = scored.where(F.col("n_words") >= least)
     draw = enough.count() * percent // 100
     placed = numbered(enough, [], [F.desc("score"), F.asc_nulls_last("id"), F.col("row")], "place").withColumn("rank", F.when(F.col("place") <= draw, F.col("place")))
