@@ -11,7 +11,7 @@ from folioscope.functions import jsonx
 from folioscope.functions import scores as S
 from folioscope.functions import text as T
 from folioscope.lineage import shared_folder
-from folioscope.operators import chunking, evals, evidence, graph, ingest, transcripts
+from folioscope.operators import chunking, evals, evidence, graph, ingest, packing, transcripts
 from folioscope.plans.catalogue import query
 from folioscope.plans.text_queries import table
 from folioscope.streaming import ingest as streamed
@@ -47,6 +47,26 @@ def valley_cuts(spark, sf_dir):
     return chunking.valley_cuts(sized, "label", "tokens", "similarities", 300, 1200)
 
 
+@query("valley_chunks", """
+WITH RECURSIVE v AS (SELECT label, vec_id, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings),
+w AS (SELECT label, vec_id, d, avg(x) OVER (PARTITION BY label, d ORDER BY vec_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS a, avg(x) OVER (PARTITION BY label, d ORDER BY vec_id ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS b FROM v),
+near AS (SELECT label, vec_id, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 6) AS sim FROM w WHERE b IS NOT NULL GROUP BY label, vec_id),
+seq AS (SELECT label, vec_id, row_number() OVER (ORDER BY label, vec_id) - 1 AS idx, 60 + vec_id % 90 AS size, coalesce(sim, CAST('inf' AS DOUBLE)) AS sim FROM embeddings LEFT JOIN near USING (label, vec_id)),
+s AS (SELECT *, sum(size) OVER (ORDER BY idx) AS upto, count(*) OVER () AS n FROM seq),
+bounds AS (SELECT a.idx, a.n, greatest(a.idx + 1, max(b.idx) FILTER (WHERE b.upto <= a.upto - a.size + 1200) + 1) AS fin, greatest(a.idx + 1, coalesce(max(b.idx) FILTER (WHERE b.upto < a.upto - a.size + 300), -1) + 2) AS low FROM s a JOIN s b ON b.idx BETWEEN a.idx - 1 AND a.idx + 25 GROUP BY a.idx, a.n),
+best AS (SELECT b.idx, min_by(c.idx + 1, struct_pack(x := c.sim, y := c.idx)) AS place FROM bounds b JOIN s c ON c.idx BETWEEN b.low - 1 AND b.fin - 1 WHERE b.fin < b.n AND b.low <= b.fin GROUP BY b.idx),
+nxt AS (SELECT b.idx, CASE WHEN fin >= n THEN n ELSE coalesce(place, fin) END AS next FROM bounds b LEFT JOIN best USING (idx)),
+orbit AS (SELECT CAST(0 AS BIGINT) AS idx UNION ALL SELECT CAST(x.next AS BIGINT) FROM orbit o JOIN nxt x ON x.idx = o.idx JOIN s ON s.idx = x.next)
+SELECT label, vec_id, CAST(sum(CASE WHEN o.idx IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY s.idx) - 1 AS INTEGER) AS chunk FROM s LEFT JOIN orbit o ON o.idx = s.idx
+""")
+def valley_chunks(spark, sf_dir):
+    """All vectors as one sequence, cut where neighbours are least alike, 300 to 1200 tokens a chunk."""
+    vectors = table(spark, sf_dir, "embeddings")
+    near = chunking.boundary_similarities(vectors, "label", "vec_id", "embedding", 64)
+    sized = vectors.select("label", "vec_id", (60 + F.col("vec_id") % 90).alias("size")).join(near, ["label", "vec_id"], "left")
+    return packing.valleys(sized, [], [F.col("label"), F.col("vec_id")], F.col("size"), F.col("similarity"), 300, 1200).select("label", "vec_id", "chunk")
+
+
 def _items(spark, sf_dir) -> DataFrame:
     """Documents as claims of one graph a language: the source's number is the section, a score from
     the text's terms."""

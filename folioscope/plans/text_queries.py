@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import chunking, evals, structure
+from folioscope.operators import chunking, packing, evals, structure
 from folioscope.plans.catalogue import query
 from folioscope.sources.html import html_to_markdown
 
@@ -233,6 +233,21 @@ def packed_batches(spark, sf_dir):
     return packed.select("z.doc_id", "z.bucket")
 
 
+@query("packed_sequence", """
+WITH RECURSIVE items AS (SELECT doc_id, coalesce(length(text) // 4, 0) AS size, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+fold AS (
+  SELECT doc_id, n, size AS total, 1 AS items, 0 AS bucket FROM items WHERE n = 1
+  UNION ALL
+  SELECT i.doc_id, i.n, CASE WHEN f.items >= 96 OR f.total + i.size > 20000 THEN i.size ELSE f.total + i.size END, CASE WHEN f.items >= 96 OR f.total + i.size > 20000 THEN 1 ELSE f.items + 1 END, f.bucket + CASE WHEN f.items >= 96 OR f.total + i.size > 20000 THEN 1 ELSE 0 END
+  FROM fold f JOIN items i ON i.n = f.n + 1)
+SELECT doc_id, CAST(bucket AS INTEGER) AS bucket FROM fold
+""")
+def packed_sequence(spark, sf_dir):
+    """Embedding batches of all documents as one sequence, by pointers and ranges: no task holds it."""
+    sized = table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("size"))
+    return packing.packed(sized, [], [F.col("doc_id")], F.col("size"), 20_000, 96).select("doc_id", "bucket")
+
+
 @query("context_parts", """
 WITH RECURSIVE lines AS (SELECT doc_id, generate_subscripts(parts, 1) AS n, length(unnest(parts)) + 1 AS size FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
 fold AS (
