@@ -7,6 +7,8 @@ pos is the order of construction within a document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -198,37 +200,35 @@ def selected_items(nodes: DataFrame, max_claims: int, max_concepts: int | None =
 
 
 def closure_exact(edges: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, id) of a selection with ancestors, as taken in order, one document at a time.
+    """(doc_id, id) of a selection (id, turn) with ancestors, as taken in order of turns.
 
-    Ancestors are followed over edges of any type, but not through what is selected already, and
-    the targets of an item's own edges are added without their ancestors; so the order matters.
+    Ancestors are followed over edges of any type, but not through what is selected already, and the
+    targets of an item's own edges are added without their ancestors; so the order matters. A node's first
+    turn is the least of those that reach it along incoming edges, through nodes that were met no later
+    than an item pointed at them. These least turns are passed on from round to round, only by nodes whose
+    turn has become less, until none does; so no document is gathered, however many edges it has.
     """
-    schema = "doc_id string, id string"
-
-    def run(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        into: dict[str, list[str]] = {}
-        out: dict[str, list[str]] = {}
-        for source, target in e.sort_values("pos")[["source", "target"]].itertuples(index=False):
-            into.setdefault(target, []).append(source)
-            out.setdefault(source, []).append(target)
-        order = s.sort_values("turn")["id"].tolist()
-        found = dict.fromkeys(order)
-        for item in order:
-            stack = [iter(into.get(item, ()))]
-            while stack:
-                above = next(stack[-1], None)
-                if above is None:
-                    stack.pop()
-                elif above not in found:
-                    found[above] = None
-                    stack.append(iter(into.get(above, ())))
-            found.update(dict.fromkeys(out.get(item, ())))
-        key = s["doc_id"].iloc[0] if len(s) else None
-        return pd.DataFrame({"doc_id": [key] * len(found), "id": list(found)})
-
-    e = edges.select(F.col("doc_id").cast("string").alias("doc_id"), "pos", "source", "target")
-    s = items.select(F.col("doc_id").cast("string").alias("doc_id"), "id", "turn")
-    return e.groupBy("doc_id").cogroup(s.groupBy("doc_id")).applyInPandas(run, schema)
+    key = F.col("doc_id").cast("string").alias("doc_id")
+    items = cut(items.select(key, "id", "turn").groupBy("doc_id", "id").agg(F.min("turn").alias("turn")))
+    links = cut(edges.select(key, "source", F.col("target").alias("id")).distinct())
+    pointed = links.join(items.select("doc_id", F.col("id").alias("source"), "turn"), ["doc_id", "source"])
+    limits = cut(pointed.groupBy("doc_id", "id").agg(F.min("turn").alias("limit")))
+    inner = links.join(items.select("doc_id", F.col("id").alias("source")), ["doc_id", "source"], "left_anti")  # items pass on their own turn
+    front, met = items, []
+    while True:
+        offered = inner.join(front, ["doc_id", "id"]).groupBy("doc_id", F.col("source").alias("id")).agg(F.min("turn").alias("turn"))
+        if met:
+            before = reduce(DataFrame.unionByName, met).groupBy("doc_id", "id").agg(F.min("turn").alias("old"))
+            offered = offered.join(before, ["doc_id", "id"], "left").where(F.col("old").isNull() | (F.col("turn") < F.col("old"))).drop("old")
+        new = cut(offered)
+        if new.isEmpty():
+            break
+        met.append(new)
+        if len(met) == 8:
+            met = [cut(reduce(DataFrame.unionByName, met).groupBy("doc_id", "id").agg(F.min("turn").alias("turn")))]
+        front = new.join(limits, ["doc_id", "id"], "left").where(F.col("limit").isNull() | (F.col("turn") <= F.col("limit"))).drop("limit")
+    parts = [items.select("doc_id", "id"), limits.select("doc_id", "id"), *(m.select("doc_id", "id") for m in met)]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def closure(edges: DataFrame, items: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ def induced_edges(spark, sf_dir):
     return graph.induced(nodes, edges, graph.closure(edges, items))[1].select("source", "target")
 
 
-@query("exact_closure")
+@query("exact_closure", "SELECT CAST(label AS VARCHAR) AS doc_id, unnest(['c' || vec_id, 'e' || vec_id]) AS id FROM embeddings")
 def exact_closure(spark, sf_dir):
     """Selection in order over evidence and similarity edges of each label's vectors."""
     v = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("doc_id"), "vec_id", "embedding")

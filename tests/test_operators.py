@@ -251,6 +251,49 @@ def test_html():
     assert markdown_of("") == ""
 
 
+def closure_in_turns(edges, order):
+    """What a selection takes with it, item by item."""
+    into, out = {}, {}
+    for source, target in edges:
+        into.setdefault(target, []).append(source)
+        out.setdefault(source, []).append(target)
+    found = set(order)
+    for item in order:
+        stack = list(into.get(item, ()))
+        while stack:
+            above = stack.pop()
+            if above not in found:
+                found.add(above)
+                stack += into.get(above, ())
+        found.update(out.get(item, ()))
+    return found
+
+
+def test_closure_of_random_graphs_in_turns(spark):
+    import random
+
+    rng = random.Random(5)
+    graphs = {f"d{g}": [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)] for g, (n, m) in enumerate([(5, 9), (12, 20), (30, 45), (60, 80), (60, 200), (40, 39), (200, 260)] * 3)}
+    orders = {d: rng.sample([f"n{i}" for i in range(60)], rng.randint(1, 9)) for d in graphs}
+    edges = spark.createDataFrame([(d, i, a, b) for d, g in graphs.items() for i, (a, b) in enumerate(g)], "doc_id string, pos int, source string, target string")
+    items = spark.createDataFrame([(d, x, i) for d, o in orders.items() for i, x in enumerate(o)], "doc_id string, id string, turn int")
+    got = {(r["doc_id"], r["id"]) for r in graph.closure_exact(edges, items).collect()}
+    assert got == {(d, x) for d in graphs for x in closure_in_turns(graphs[d], orders[d])}
+
+
+def test_closure_of_one_large_graph(spark):
+    """A tree of 300,000 edges under one document, of which one leaf in a thousand is selected."""
+    n = 300_000
+    edges = spark.range(1, n).select(F.lit("d").alias("doc_id"), F.col("id").alias("pos"), F.floor((F.col("id") - 1) / 8).cast("string").alias("source"), F.col("id").cast("string").alias("target"))
+    items = spark.range(n - n // 8, n, 1000).select(F.lit("d").alias("doc_id"), F.col("id").cast("string").alias("id"), F.col("id").alias("turn"))
+    want = set()
+    for i in range(n - n // 8, n, 1000):
+        while str(i) not in want:
+            want.add(str(i))
+            i = (i - 1) // 8 if i else 0
+    assert {r["id"] for r in graph.closure_exact(edges, items).collect()} == want
+
+
 def test_closure_has_no_limit_of_depth(spark):
     edges = spark.createDataFrame([("d", f"n{i + 1}", f"n{i}") for i in range(36)], "doc_id string, source string, target string")
     items = spark.createDataFrame([("d", "n0")], "doc_id string, id string")
