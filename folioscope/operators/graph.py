@@ -22,6 +22,8 @@ from folioscope.lineage import cut
 SIMILAR, MAX_CLAIMS, CHUNK_CLAIMS, SECTION_CLAIMS = 0.8, 48, 12, 8
 #: Vectors that are compared with each other at once.
 BLOCK = 1024
+#: Pivots of a group at most, and rows of a group that meet them at once.
+PIVOTS, CHUNK = 1024, 1 << 16
 NODES = "doc_id string, pos bigint, id string, type string, label string, source string, text string, section_index int, score double, metadata map<string,string>"
 EDGES = "doc_id string, pos bigint, source string, target string, type string, weight double, evidence string"
 
@@ -29,42 +31,122 @@ EDGES = "doc_id string, pos bigint, source string, target string, type string, w
 def similar_pairs(rows: DataFrame, group: list[str], position: str, vector: str, threshold: float = SIMILAR, block: int = BLOCK) -> DataFrame:
     """(group, left, right, weight) for positions left < right of a group with cosine of at least threshold.
 
-    A group is dealt to blocks of about ``block`` vectors by a hash of the position, and every two
-    blocks meet in a task of their own, as one matrix product. So a large group is spread over tasks
-    and none holds more than two blocks. Vectors without length are like nothing.
+    Every vector is in the cell of the nearest of its group's pivots, and only meets those cells that can
+    hold a vector as near as the threshold (see cells_of), so clustered vectors are compared with few others
+    and no pair is missed. Cells are compared in blocks of about ``block`` vectors as matrix products; none
+    holds more than two blocks. Vectors without length are like nothing.
     """
     keys = [f"g{i}" for i in range(len(group))]
     ready = rows.where(F.col(vector).isNotNull()).select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], F.col(position).alias("p"), F.col(vector).cast("array<double>").alias("v"))
-    sizes = ready.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = ready.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("p"), "blocks").cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = met.select(*keys, "p", "v", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
+    units = cell_units(cells_of(ready, keys, threshold, block), keys, block)
     kinds = {f.name: f.dataType.simpleString() for f in ready.schema}
 
     def run(found: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(found["v"].to_numpy())
-        size = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-        one = (found["own"] == found["a"]).to_numpy()
-        two = (found["own"] == found["b"]).to_numpy()
-        i, j = np.flatnonzero(one), np.flatnonzero(two)
-        cosine = v[i] @ v[j].T
-        x, y = np.nonzero(cosine >= threshold)
+        found = found.sort_values("visits", ascending=False, kind="stable")
+        visiting = int(found["visits"].sum())
+        v = _unit_rows(found["v"])
         p = found["p"].to_numpy()
-        left, right, near = p[i[x]], p[j[y]], cosine[x, y]
-        # Blocks are dealt by hash, so either may hold the earlier position; inside one block both orders occur.
-        ahead = left < right
-        swap = (left > right) & (found["a"].iloc[0] != found["b"].iloc[0])
-        keep = ahead | swap
+        cosine = v[:visiting] @ v[visiting:].T
+        x, y = np.nonzero(cosine >= threshold)
+        pairs = [(p[:visiting][x], p[visiting:][y], cosine[x, y])]
+        if found["a"].iloc[0] == 0:  # what lies in the block is compared with itself here
+            own = v[visiting:] @ v[visiting:].T
+            x, y = np.nonzero(np.triu(own >= threshold, 1))
+            pairs.append((p[visiting:][x], p[visiting:][y], own[x, y]))
+        one, two, near = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        keep = one != two
+        one, two, near = one[keep], two[keep], near[keep]
+        ahead = one < two
         # Columns of objects, as an empty list would be one of numbers.
-        out = {k: np.repeat(np.array([found[k].iloc[0]], object), int(keep.sum())) for k in keys}
-        return pd.DataFrame({**out, "left": np.where(ahead, left, right)[keep], "right": np.where(ahead, right, left)[keep], "cosine": near[keep]})
+        out = {k: np.repeat(np.array([found[k].iloc[0]], object), len(one)) for k in keys}
+        return pd.DataFrame({**out, "left": np.where(ahead, one, two), "right": np.where(ahead, two, one), "cosine": near})
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"left {kinds['p']}, right {kinds['p']}, cosine double"])
-    pairs = placed.groupBy(*keys, "a", "b").applyInPandas(run, schema)
+    pairs = units.groupBy(*keys, "cell", "b", "a").applyInPandas(run, schema)
     return pairs.select(*[F.col(k).alias(g) for g, k in zip(group, keys, strict=True)], "left", "right", F.round("cosine", 3).alias("weight"))
 
 
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    v = np.stack(vectors.to_numpy())
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+
+
+def cells_of(ready: DataFrame, keys: list[str], threshold: float, block: int = BLOCK) -> DataFrame:
+    """(keys, p, v, cell, visits): each vector in its own cell, and as a visitor in those of higher number that
+    may hold a similar one.
+
+    Pivots are vectors drawn by a hash, two for each block that a group fills, PIVOTS at most; groups that fill
+    one block have one cell. A vector at distance e from another can only be nearer to pivot q than to its
+    own pivot o if (|x - q|^2 - |x - o|^2) / (2 |q - o|) is at most e. Rows meet the pivots of their group in
+    parts of CHUNK rows, so neither is gathered whole.
+    """
+    sizes = ready.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    sized = ready.join(sizes, keys)
+    few = sized.where("blocks = 1").select(*keys, "p", "v", F.lit(0).alias("cell"), F.lit(False).alias("visits"))
+    many = sized.where("blocks > 1")
+    wanted = F.least(F.col("blocks") * 2, F.lit(PIVOTS))
+    drawn = F.pmod(F.xxhash64("p", F.lit("pivot")), F.lit(1 << 30)) < (wanted / F.col("n") * (1 << 30))
+    parts = F.ceil(F.col("n") / CHUNK).cast("int")
+    # Of the same rows, so all columns get names of their own.
+    pivots = many.where(drawn).select(*[F.col(k).alias(f"o_{k}") for k in keys], F.explode(F.sequence(F.lit(0), parts - 1)).alias("o_part"), F.col("p").alias("o"), F.col("v").alias("c"))
+    dealt = many.select(*keys, F.pmod(F.xxhash64("p"), parts).cast("int").alias("part"), "p", "v")
+    kinds = {f.name: f.dataType.simpleString() for f in ready.schema}
+    reach = max(0.0, 2 - 2 * threshold) ** 0.5 + 1e-9
+
+    def run(found: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        x = _unit_rows(found["v"]) if len(found) else np.zeros((0, 1))
+        row, cell, visits = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        if len(centres) and len(x):
+            c = _unit_rows(centres.sort_values("o")["c"])
+            apart = np.sqrt(np.maximum(_squares(c)[:, None] - 2 * c @ c.T + _squares(c), 0))
+            out = []
+            for lo in range(0, len(x), 4096):
+                part = x[lo : lo + 4096]
+                d = _squares(part)[:, None] - 2 * part @ c.T + _squares(c)
+                own = d.argmin(axis=1)
+                # Vectors without length are in their cell, but are similar to nothing.
+                least = d[np.arange(len(part)), own][:, None]
+                near = (d - least <= 2 * apart[own] * reach) & (np.arange(len(c)) > own[:, None]) & (_squares(part) > 0)[:, None]
+                i, j = np.nonzero(near)
+                out.append((own, i + lo, j))
+            own = np.concatenate([o for o, _, _ in out])
+            i, j = (np.concatenate([o[k] for o in out]) for k in (1, 2))
+            row, cell, visits = np.concatenate([row, i]), np.concatenate([own, j]), np.concatenate([visits, np.ones(len(i), bool)])
+        got = {k: found[k].to_numpy(object)[row] if len(found) else np.array([], object) for k in [*keys, "p", "v"]}
+        return pd.DataFrame({**got, "cell": cell, "visits": visits})
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"p {kinds['p']}, v array<double>, cell int, visits boolean"])
+    by = [*keys, "part"]
+    return few.unionByName(dealt.groupBy(*by).cogroup(pivots.groupBy(*[f"o_{k}" for k in by])).applyInPandas(run, schema))
+
+
+def _squares(x: np.ndarray) -> np.ndarray:
+    return (x * x).sum(axis=1)
+
+
+def cell_units(cells: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """Rows of all units of comparison of cells_of: block b of a cell with those of its visitors that are in
+    chunk a >= 0, or with its own earlier block -1 - a; what is compared with the block has visits."""
+    cells = cut(cells)
+    by = [*keys, "cell"]
+    sizes = cells.groupBy(*by).agg(F.ceil(F.count_if(~F.col("visits")) / block).alias("blocks"), F.greatest(F.ceil(F.count_if("visits") / block), F.lit(1)).alias("chunks")).where("blocks > 0")
+    sized = cells.join(sizes, by).withColumn("x", F.pmod(F.xxhash64("p", F.lit("block")), F.when(F.col("visits"), F.col("chunks")).otherwise(F.col("blocks"))))
+    first, every = F.lit(0).cast("bigint"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+    among = F.transform(every, lambda y: F.struct(F.greatest("x", y).alias("b"), F.when(y == F.col("x"), first).otherwise(-1 - F.least("x", y)).alias("a"), (y > F.col("x")).alias("visits")))
+    hosts = F.transform(F.sequence(first, F.col("chunks") - 1), lambda a: F.struct(F.col("x").alias("b"), a.alias("a"), F.lit(False).alias("visits")))
+    met = F.concat(among, F.filter(hosts, lambda u: u["a"] > 0))
+    guests = F.transform(every, lambda y: F.struct(y.alias("b"), F.col("x").alias("a"), F.lit(True).alias("visits")))
+    return sized.withColumn("u", F.explode(F.when(F.col("visits"), guests).otherwise(met))).select(*by, "p", "v", "u.b", "u.a", "u.visits")
+
+
+def compared(units: DataFrame, keys: list[str]) -> int:
+    """How many dot products the units of cell_units ask for."""
+    n = units.groupBy(*keys, "cell", "b", "a").agg(F.count_if("visits").alias("x"), F.count_if(~F.col("visits")).alias("y"))
+    each = F.col("x") * F.col("y") + F.when(F.col("a") == 0, F.col("y") * (F.col("y") - 1) / 2).otherwise(0)
+    return int(n.agg(F.sum(each)).first()[0] or 0)
+
+
 def item_texts(items: Column) -> Column:
     """Texts of a section's items in order: claims give two, concepts three, passages two."""
     return F.concat(

@@ -298,3 +298,23 @@ def test_closure_has_no_limit_of_depth(spark):
     edges = spark.createDataFrame([("d", f"n{i + 1}", f"n{i}") for i in range(36)], "doc_id string, source string, target string")
     items = spark.createDataFrame([("d", "n0")], "doc_id string, id string")
     assert {r["id"] for r in graph.closure(edges, items).collect()} == {f"n{i}" for i in range(37)}
+
+
+def test_similar_pairs_of_clusters_are_all_found_with_few_comparisons(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    n, dim = 6000, 24
+    centres = rng.standard_normal((60, dim))
+    v = centres[rng.integers(0, 60, n)] + 0.15 * rng.standard_normal((n, dim))
+    v[5], v[6] = 0, v[7]
+    label = np.where(np.arange(n) < 5500, "a", "b")
+    df = spark.createDataFrame([(l, i, x.tolist()) for i, (l, x) in enumerate(zip(label.tolist(), v, strict=True))], "label string, at bigint, v array<double>").repartition(4)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    u = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+    want = {(l, int(i), int(j)) for l in "ab" for own in [np.flatnonzero(label == l)] for i, j in zip(*np.nonzero(np.triu(u[own] @ u[own].T >= 0.97, 1)), strict=True) for i, j in [(own[i], own[j])]}
+    for block in (64, 512):
+        got = {(r["label"], r["left"], r["right"]) for r in graph.similar_pairs(df, ["label"], "at", "v", 0.97, block).collect()}
+        assert got == want
+    ready = df.select(F.col("label").alias("g0"), F.col("at").alias("p"), "v")
+    assert graph.compared(graph.cell_units(graph.cells_of(ready, ["g0"], 0.97, 64), ["g0"], 64), ["g0"]) < 0.15 * (5500**2 + 500**2) / 2
