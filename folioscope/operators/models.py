@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import chunking, evals
+from folioscope.functions import vectors as V
+from folioscope.operators import chunking, evals, parallel
 
 #: Tries of a call, rounds of compression.
 RETRIES, ROUNDS = 6, 8
@@ -71,6 +72,16 @@ class TermEmbedder:
         return out.tolist()
 
 
+@dataclass(frozen=True)
+class LetterEmbedder:
+    """How often a text has each of some letters, and its length: the same in any batch."""
+
+    letters: str = "aeiou"
+
+    def embed(self, texts: Sequence[str], model: str) -> list[list[float]]:
+        return [[*(float(t.count(c)) for c in self.letters), float(len(t))] for t in texts]
+
+
 @dataclass(frozen=True)
 class FixedTranscriber:
     """One segment for any audio."""
@@ -110,12 +121,18 @@ class _BlankAnswer(Exception):
     """A model said nothing."""
 
 
-def complete(rows: DataFrame, prompt: Column, completer: Completer, model: str = "default", max_tokens: int = 8192, retries: int = RETRIES) -> DataFrame:
-    """rows with result and error."""
+def complete(rows: DataFrame, prompt: Column, completer: Completer, model: str = "default", max_tokens: int = 8192, retries: int = RETRIES, workers: int = 1, deadline: float | None = None, per_second: float | None = None) -> DataFrame:
+    """rows with result and error, in the order of each partition's rows.
+
+    A task has ``workers`` calls under way at most; each, with its retries, may take ``deadline`` seconds,
+    and no more than ``per_second`` begin in a second of a task.
+    """
 
     def run(batches):
+        pace = parallel.Pace(per_second)
         for b in batches:
-            found = [attempt(lambda p=p: completer.complete(p, model, max_tokens), retries) for p in b["_prompt"]]
+            ask = lambda p: attempt(lambda: completer.complete(p, model, max_tokens), retries)
+            found = list(parallel.answers(b["_prompt"], ask, workers, deadline, pace))
             yield b.drop(columns="_prompt").assign(result=[r for r, _ in found], error=[e for _, e in found])
 
     asked = rows.withColumn("_prompt", prompt)
@@ -123,6 +140,57 @@ def complete(rows: DataFrame, prompt: Column, completer: Completer, model: str =
     return asked.mapInPandas(run, f"{schema}, result string, error string")
 
 
+def first_failure(rows: DataFrame, order: list[str]) -> DataFrame:
+    """(order, error): the first row in order that has an error, if any; one row at most."""
+    return rows.where("error IS NOT NULL").select(*order, "error").orderBy(*order).limit(1)
+
+
+def vector_index(texts: DataFrame, text: str, embedder: Embedder, model: str = "default", known: DataFrame | None = None, items: int = chunking.BATCH_ITEMS, tokens: int = chunking.BATCH_TOKENS) -> DataFrame:
+    """(key, vector, error): an index of all texts that aren't blank, each asked for once.
+
+    Batches are packed by count and tokens as texts stream by, across documents, so none is gathered;
+    what a batch answers goes back to its texts by their place. A batch that fails, or has another number of
+    vectors than texts, is an error of its texts. Texts of ``known`` (key, vector) are not asked for again.
+    It is for models whose vectors don't depend on the batch.
+    """
+    asked = texts.where(T.strip(F.col(text)) != "").select(F.sha2(text, 256).alias("key"), T.probe_text(F.col(text)).alias("text")).dropDuplicates(["key"])
+    if known is not None:
+        asked = asked.join(known.select("key"), "key", "left_anti")
+
+    def run(batches):
+        keys, held, size = [], [], 0
+
+        def told() -> pd.DataFrame:
+            vectors, error = retried(lambda: embedder.embed(held, model))
+            if error is None and len(vectors) != len(held):
+                error = "embedding count differs"
+            out = [None] * len(held) if error else [list(map(float, v)) for v in vectors]
+            return pd.DataFrame({"key": keys, "vector": pd.Series(out, dtype=object), "error": pd.Series([error] * len(held), dtype=object)})
+
+        for b in batches:
+            for key, t in zip(b["key"], b["text"], strict=True):
+                if held and (len(held) >= items or size + len(t) // 4 > tokens):
+                    yield told()
+                    keys, held, size = [], [], 0
+                keys.append(key)
+                held.append(t)
+                size += len(t) // 4
+        if held:
+            yield told()
+
+    made = asked.mapInPandas(run, "key string, vector array<double>, error string")
+    return made if known is None else made.unionByName(known.select("key", "vector", F.lit(None).cast("string").alias("error")))
+
+
+def indexed_similarity(pairs: DataFrame, left: str, right: str, index: DataFrame, name: str = "similarity") -> DataFrame:
+    """pairs with the cosine of two texts' vectors; 0.0 where a text is not in the index."""
+    side = lambda c, v: index.select(F.col("key").alias(f"_{c}"), F.col("vector").alias(v))
+    keyed = pairs.withColumns({"_l": F.sha2(left, 256), "_r": F.sha2(right, 256)})
+    met = keyed.join(side("l", "_u"), "_l", "left").join(side("r", "_v"), "_r", "left")
+    near = F.when(F.col("_u").isNotNull() & F.col("_v").isNotNull(), V.cosine(F.col("_u"), F.col("_v")))
+    return met.withColumn(name, F.coalesce(near, F.lit(0.0))).select(*pairs.columns, name)
+
+
 def embed(rows: DataFrame, group: str, position: str, text: str, embedder: Embedder, model: str = "default") -> DataFrame:
     """(group, position, text, vector): a document's texts are embedded together, equal texts once, in
     batches by count and tokens, each cut to what a model takes and tried again on errors; a wrong

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import scores as S
 from folioscope.functions import text as T
+from folioscope.lineage import cut
 from folioscope.operators import chunking, evals, evidence, graph, models, structure
 from folioscope.plans.catalogue import query
 from folioscope.plans.graph_queries import _RUNS, _runs
@@ -282,6 +283,30 @@ def completions(spark, sf_dir):
     return models.complete(docs, F.col("text"), models.HalvingCompleter(), retries=1).select("doc_id", "result")
 
 
+@query("parallel_completions", "SELECT doc_id, CASE WHEN trim(regexp_replace(left(text, greatest(1, length(text) // 2)), '\\s+', ' ', 'g')) = '' THEN NULL ELSE left(text, greatest(1, length(text) // 2)) END AS result FROM documents")
+def parallel_completions(spark, sf_dir):
+    """The same calls with four under way in each task."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return models.complete(docs, F.col("text"), models.HalvingCompleter(), retries=1, workers=4, deadline=60.0).select("doc_id", "result")
+
+
+_LETTERS = "[" + ", ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in "aeiou") + ", length(t)]"
+
+
+@query("indexed_similarities", f"""
+WITH said AS (SELECT conv_id, turn, coalesce(text, '') AS text, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS after FROM conversations),
+v AS (SELECT text, list_transform({_LETTERS}, lambda x: CAST(x AS DOUBLE)) AS v FROM (SELECT DISTINCT text, left(left(text, 20000), 7500) AS t FROM said WHERE trim(text) <> ''))
+SELECT conv_id, turn, round(coalesce(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 0.0), 6) AS similarity FROM said LEFT JOIN v a USING (text) LEFT JOIN v b ON b.text = said.after
+""")
+def indexed_similarities(spark, sf_dir):
+    """How much each turn is like the next, by an index of all turns' vectors; the last turn is like nothing."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    after = F.coalesce(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    index = cut(models.vector_index(said, "text", models.LetterEmbedder()).select("key", "vector"))
+    found = models.indexed_similarity(said.withColumn("after", after), "text", "after", index)
+    return found.select("conv_id", "turn", F.round("similarity", 6).alias("similarity"))
+
+
 @query("latest_runs", f"WITH {_RUNS} SELECT doc_name, arg_max(run_id, pos) AS run_id FROM runs GROUP BY doc_name")
 def latest_runs(spark, sf_dir):
     return evals.latest_run(_runs(spark, sf_dir).withColumn("mtime", F.col("pos")), ["doc_name"])
