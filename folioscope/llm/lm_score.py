@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.runtime import discard, documents, durable, utf8
+from folioscope.llm.runtime import discard, documents, durable, give_back, utf8
 from folioscope.llm.words import mix, word_hashes
 
 TOP, WORD_CLASSES, RARE = 1024, 32, 32
@@ -376,17 +376,17 @@ def train(rows: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
 
         changes = drawn.mapInPandas(run, "part int, at int, delta binary, tasks binary, task bigint, single boolean")
         table = durable(_summed(changes, drawn.rdd.getNumPartitions()), "lm-changes")
-        summed = table.collect()  # the size of the model
-        discard(table)
         new = Model.__new__(Model)
         new.__dict__ = dict(model.__dict__, tables=[w.copy() for w in model.tables])
-        for row in summed:
+        for row in table.toLocalIterator():  # the size of the model, a part at a time
             weights = new.tables[row["part"]]
             block = weights[row["at"] : row["at"] + _BLOCKS[row["part"]]]
             delta = np.frombuffer(row["delta"], np.float32).reshape(-1, block.shape[1]) / np.maximum(1, np.frombuffer(row["tasks"], np.int32))[:, None]
             block += delta[: len(block)]
-        shipped.unpersist()
+        discard(table)
+        shipped.destroy()
         model = new
+        give_back()
     return model
 
 
@@ -410,6 +410,8 @@ def fit(counts: DataFrame, training: DataFrame) -> tuple[Model, dict]:
     heavy = counts.where(F.col("n") >= F.lit(max(1, total / HEAVY))).toPandas().sort_values("token") if total > HEAVY else counts.orderBy("token").toPandas()
     token = heavy["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token, kind="stable")
+    del top, mass
+    give_back()
     return model, {"n": total, "v": types, "token": token[order], "count": heavy["n"].to_numpy(np.int64)[order], "all": total <= HEAVY}
 
 
