@@ -29,8 +29,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, one row with the largest id; a null text equals the empty one. Of rows that tie,
-    the first stays."""
+    """Of equal texts, one row with the largest id; a null text equals the empty one. Of rows that repeat
+    that id and text any one stays."""
     return exact_dedup.drop_copies(docs)
 
 

@@ -249,8 +249,10 @@ def section_facts(sections: DataFrame, template: str, completer: Completer, cach
 
 
 def facts_of(answers: DataFrame, limit: int = evals.FACT_LIMIT) -> DataFrame:
-    """(doc_id, pos, fact) of section_answers."""
-    facts = F.from_json(F.get_json_object("value", "$.facts"), "array<string>")
+    """(doc_id, pos, fact) of section_answers; an answer whose facts don't fit has none."""
+    from folioscope.functions import jsonx
+
+    facts = jsonx.string_list(jsonx.salvage(F.col("value")), "$.facts")
     rows = answers.select("doc_id", "section_index", F.posexplode(facts).alias("turn", "fact"))
     ranked = rows.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("turn", "section_index"))).where(F.col("pos") <= limit)
     return evals.distinct_facts(ranked, ["doc_id"], "fact", ["pos"]).select("doc_id", "pos", "fact")
