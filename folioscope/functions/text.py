@@ -183,19 +183,19 @@ def terms(c: Column) -> Column:
 
 def entities(c: Column) -> Column:
     """Distinct runs of capitalised words, in order."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(r"\b[A-Z][A-Za-z0-9]*(?:\s+[A-Z][A-Za-z0-9]*)*\b"), F.lit(0)), lambda x: F.length(x) > 1))
+    return F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(r"(?U)\b[A-Z][A-Za-z0-9]*(?:\s+[A-Z][A-Za-z0-9]*)*\b"), F.lit(0)), lambda x: F.length(x) > 1))
 
 
 def dates(c: Column) -> Column:
     """Distinct years, then distinct written-out dates."""
-    years = F.regexp_extract_all(c, F.lit(r"\b(?:1[6-9]\d{2}|20\d{2}|21\d{2})\b"), F.lit(0))
-    written = F.regexp_extract_all(c, F.lit(r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4}\b"), F.lit(0))
+    years = F.regexp_extract_all(c, F.lit(r"(?U)\b(?:1[6-9]\d{2}|20\d{2}|21\d{2})\b"), F.lit(0))
+    written = F.regexp_extract_all(c, F.lit(r"(?U)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4}\b"), F.lit(0))
     return F.array_distinct(F.concat(years, written))
 
 
 def quantities(c: Column) -> Column:
     """Distinct numbers; a fraction gives both of its parts."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b\d+(?:\.\d+)?%?|\b\d+/\d+\b"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)\b\d+(?:\.\d+)?%?|\b\d+/\d+\b"), F.lit(0)))
 
 
 def redact(c: Column, limit: int = 500) -> Column:

@@ -52,6 +52,9 @@ def test_extraction(spark):
     assert sorted(one(spark, T.terms(F.col("t")), t="The quick fox, which ran; fox ab a-1b")) == ["a-1b", "fox", "quick", "ran", "the"]
     assert one(spark, T.entities(F.col("t")), t="Ann Lee met Bo. A B Ann Lee") == ["Ann Lee", "Bo", "A B Ann Lee"]
     assert one(spark, T.dates(F.col("t")), t="In 1999 and on Jan 5, 2020 or 1500") == ["1999", "2020", "Jan 5, 2020"]
+    assert one(spark, T.entities(F.col("t")), t="\u00c9Ann met Bo\u00a0Lee") == ["Bo\u00a0Lee"]
+    assert one(spark, T.dates(F.col("t")), t="in 1999\u00e9 or 2001, May\u00a05, 2010") == ["2001", "2010", "May\u00a05, 2010"]
+    assert one(spark, T.quantities(F.col("t")), t="\u00e912 and 7%") == ["7%"]
     assert one(spark, T.quantities(F.col("t")), t="5/8 of 12.5% and 12.5%") == ["5", "8", "12.5%"]
 
 
@@ -100,7 +103,9 @@ def test_strict_json(spark):
     for text, want in (("4", 4), ("true", None), ("0", None), ("6", None), ('"3"', None), ("null", None)):
         assert one(spark, jsonx.rubric_grade(v, "$.g"), t=f'{{"g": {text}}}') == want
     good = '{"verdicts": [{"covered": true, "evidence": "e"}, {"covered": false, "evidence": "f"}]}'
-    assert [tuple(x) for x in one(spark, jsonx.verdicts(v, "covered", F.lit(2)), t=good)] == [(True, "e"), (False, "f")]
+    assert [tuple(x) for x in one(spark, jsonx.verdicts(v, "covered", F.lit(2)), t=good)] == [(True, "e", "SUPPORTED", []), (False, "f", "NOT_IN_SOURCE", [])]
+    told = '{"verdicts": [{"covered": true, "evidence": " e ", "status": "AMBIGUOUS", "issue_categories": ["a", " ", 3]}, {"covered": false, "evidence": "f", "status": 5, "issue_categories": "b"}]}'
+    assert [tuple(x) for x in one(spark, jsonx.verdicts(v, "covered", F.lit(2)), t=told)] == [(True, "e", "AMBIGUOUS", ["a"]), (False, "f", "NOT_IN_SOURCE", [])]
     assert one(spark, jsonx.verdicts(v, "covered", F.lit(3)), t=good) is None
     assert one(spark, jsonx.string_list(v, "$.f"), t='{"f": ["a", "b"]}') == ["a", "b"]
     assert one(spark, jsonx.string_list(v, "$.f"), t='{"f": ["a", 3]}') is None
