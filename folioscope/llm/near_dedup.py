@@ -9,7 +9,8 @@ for each candidate pair the overlap is counted in each fragment apart, from the
 rows, and the parts are summed per pair. Before that a pair must pass the first fragment: the
 prefixes' overlap bounds that of the sets.
 
-A shingle that more than ``SMALL`` classes have in their prefixes doesn't give all pairs: its
+A shingle that more than ``SMALL`` classes have in their prefixes doesn't give all pairs (if the list
+of frequent shingles is full, one that more have than the last one listed): its
 classes are dealt to bands of size, and each is compared with the first class of its own band and
 of the one below (the hubs); similar sets are in the same or neighbouring bands. Members that this
 did not connect to their hub are then compared with those of other components in blocks of about
@@ -44,6 +45,8 @@ from folioscope.llm.words import mix, shingles, word_hashes
 #: Shingles that either count puts last in the order at most; a driver and each task hold them (16 bytes each).
 MOST_FREQUENT = 1 << 18
 SMALL = 16
+#: Classes that a shingle may have and still give all its pairs, where the list of frequent ones is full.
+LONGEST = 1024
 #: Classes of a block if they have ROOM shingles each; of shorter ones a block holds more.
 BLOCK, ROOM = 128, 1024
 #: Three ranges of hashes and the frequent shingles. More would only add rows: a fragment of the
@@ -290,17 +293,25 @@ def bucket_pairs(percent: int, small: int = SMALL):
     return run
 
 
-def is_cut(frequent) -> bool:
-    """Shingles that are not in the list may be in large runs too."""
-    return len(frequent[0]) >= MOST_FREQUENT
+def longest_run(counted: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many documents may have a low hash that is not in the list of frequent_shingles: no more than
+    have the last one of a full list."""
+    return int(counted[1].min()) if len(counted[0]) >= MOST_FREQUENT else SMALL
 
 
-def candidate_pairs(ready: DataFrame, percent: int, frequent) -> DataFrame:
+def is_cut(longest: int) -> bool:
+    """Shingles that are not in the list may be in runs too long for all their pairs."""
+    return longest > LONGEST
+
+
+def candidate_pairs(ready: DataFrame, percent: int, frequent, longest: int) -> DataFrame:
     """(x, y, nx, ny, star), distinct, of classes (cid, n, prefix, own, spare); a star's x is its hub.
 
     Pairs that are in no star have all their common shingles counted here, but for spare ones, so
-    those whose prefixes overlap too little are left out at once.
+    those whose prefixes overlap too little are left out at once. That holds for a full list of
+    frequent shingles too, as runs of ``longest`` classes give all their pairs.
     """
+    small = SMALL if is_cut(longest) else longest
     schema = "x bigint, y bigint, nx bigint, ny bigint, spare bigint, star boolean"
     entries = ready.select(F.explode("prefix").alias("token"), "cid", "n", F.col("spare").cast("bigint").alias("spare"), "own")
     known = ready.sparkSession.createDataFrame(pd.DataFrame({"token": frequent[0].view(np.int64)}), "token bigint")  # twice MOST_FREQUENT rows at most
@@ -314,12 +325,12 @@ def candidate_pairs(ready: DataFrame, percent: int, frequent) -> DataFrame:
         F.col("hub.cid").alias("x"), F.col("cid").alias("y"), F.col("hub.n").alias("nx"), F.col("n").alias("ny"), F.least("spare", "hub.spare").alias("spare"), F.lit(True).alias("star")
     )
     rare = entries.join(F.broadcast(known), "token", "left_anti").select("token", "cid", "n", "spare")
-    from_rare = rare.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(bucket_pairs(percent), schema)
+    from_rare = rare.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(bucket_pairs(percent, small), schema)
     summed = from_rare.unionByName(from_common).groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.max("star").alias("star"), F.min("spare").alias("spare"), F.count(F.lit(1)).alias("same"))
     # What follows a prefix of n shingles: ceil(percent * n / 100) - 1.
     rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
     most = F.greatest(rest("nx"), rest("ny")) + F.col("same") + F.col("spare")
-    near = F.lit(is_cut(frequent)) | F.col("star") | (most * (100 + percent) >= least_overlap(F.col("nx"), F.col("ny"), percent))
+    near = F.lit(is_cut(longest)) | F.col("star") | (most * (100 + percent) >= least_overlap(F.col("nx"), F.col("ny"), percent))
     return summed.where(near).select("x", "y", "nx", "ny", "star")
 
 
@@ -328,12 +339,12 @@ def least_overlap(nx, ny, percent: int):
     return (nx + ny) * percent
 
 
-def possible(pairs: DataFrame, ready: DataFrame, percent: int, frequent) -> DataFrame:
+def possible(pairs: DataFrame, ready: DataFrame, percent: int, longest: int) -> DataFrame:
     """Pairs of stars whose first fragment, the overlap of their prefixes, leaves them possible. The
-    members of stars have spare shingles, unless the list of frequent ones was cut: then any class may
-    be in a star."""
+    members of stars have spare shingles, unless the list of frequent ones leaves out long runs: then any
+    class may be in a star."""
     fit = pairs.where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-    place = (ready if is_cut(frequent) else ready.where("spare > 0")).select("cid", F.col("prefix").alias("own"), "last_often", "last")
+    place = (ready if is_cut(longest) else ready.where("spare > 0")).select("cid", F.col("prefix").alias("own"), "last_often", "last")
     for side in ("x", "y"):
         fit = fit.join(place.select(F.col("cid").alias(side), F.col("own").alias(f"own_{side}"), F.struct("last_often", "last").alias(f"last_{side}")), side)
     same = F.size(F.array_intersect("own_x", "own_y"))
@@ -464,11 +475,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
     classes = durable(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("cid"), first, F.count(F.lit(1)).alias("rows")), "jaccard-classes")
     reps = durable(sets.where("n > 0").withColumnRenamed("row", "cid").join(classes.select("cid"), "cid", "left_semi").select("cid", "n"), "jaccard-reps")
-    frequent, texts = with_higher(rows, full, reps, k, percent, frequent_shingles(full, percent))
+    counted = frequent_shingles(full, percent)
+    longest = longest_run(counted)
+    frequent, texts = with_higher(rows, full, reps, k, percent, counted)
     ready = durable(prefixes(rows, full, reps, k, percent, frequent, texts), "jaccard-ready")
     discard(full, texts)
-    found = durable(candidate_pairs(ready, percent, frequent), "jaccard-pairs")
-    pairs = durable(found.where("NOT star").unionByName(possible(found.where("star"), ready, percent, frequent)), "jaccard-possible")
+    found = durable(candidate_pairs(ready, percent, frequent, longest), "jaccard-pairs")
+    pairs = durable(found.where("NOT star").unionByName(possible(found.where("star"), ready, percent, longest)), "jaccard-possible")
     discard(ready)
     wanted = seen_classes(pairs, reps)
     cut = fragments(rows, wanted, k, frequent)

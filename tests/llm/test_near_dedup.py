@@ -76,6 +76,24 @@ def test_cut_list_of_frequent_shingles_against_brute_force(spark, monkeypatch, m
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows, 1, 80)
 
 
+@pytest.mark.parametrize("longest", [1024, 4])
+def test_a_full_list_of_frequent_shingles_leaves_out_far_pairs(spark, monkeypatch, longest):
+    """Texts of few different words share many shingles; a pair is compared only if its prefixes say so."""
+    monkeypatch.setattr(N, "SMALL", 3)
+    monkeypatch.setattr(N, "LONGEST", longest)
+    rng, compared = random.Random(5), []
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(150))) for i in range(60)]
+    rows += [(100 + i, t + " end") for i, t in rows[:9]]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    run = N.overlaps
+    monkeypatch.setattr(N, "overlaps", lambda pairs, *rest: compared.append(pairs.count()) or run(pairs, *rest))
+    for most in (1 << 18, 200):
+        monkeypatch.setattr(N, "MOST_FREQUENT", most)
+        found = N.jaccard_components(frame, 2, 90).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows, 2, 90)
+    assert longest == 4 or compared[1] < 200
+
+
 def test_one_of_a_component_stays_whatever_its_id(spark):
     base, other = words(21, 60), words(22, 60)
     near = base + " more"
