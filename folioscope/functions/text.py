@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,8 @@ SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 WORD = r"[^\s\x1c-\x1f\x85\p{Z}]+"
 #: Markdown headings: marks, title, optional closing marks.
 HEADING = r"(?U)^(#{1,6})\s+(.+?)\s*(?:#+\s*)?$"
+#: Lines in which the fence that closes a front matter is looked for first, and what may stand around it.
+HEAD_LINES, FENCE_SPACE = 64, " \t\x0b\x0c\xa0"
 #: The place of a value in a template.
 PLACE = r"(?U)\{\{(\w+)\}\}"
 #: Words without content; fixed values.
@@ -45,6 +48,12 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"{SPACE}+", " "))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row. A column that is named several times inside of lambdas
+    is computed anew each time, and for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lines(c: Column) -> Column:
     """Lines without their breaks; a last break starts no line."""
     return without_last_blank(F.split(c, LINE_BREAK, -1))
@@ -122,16 +131,25 @@ def authors_for_display(c: Column) -> Column:
 def front_matter(c: Column) -> Column:
     """The flat map between the fences at the top, keys in lower case, blank values left out; of equal
     keys the last counts; empty if not closed."""
-    every = lines(c)
+    # Nearly all end within the first lines; all others are looked for in all lines.
+    head = lambda parts: F.slice(parts, 1, HEAD_LINES)
+    ended = lambda parts: (strip(parts[0]) != "---") | F.exists(F.slice(parts, 2, HEAD_LINES - 1), lambda x: F.btrim(x, F.lit(FENCE_SPACE)) == "---")
+    return once(F.split(c, LINE_BREAK, HEAD_LINES + 1), lambda parts: once(F.when(F.size(parts) <= HEAD_LINES, without_last_blank(parts)).when(ended(parts), head(parts)).otherwise(once(F.split(c, LINE_BREAK, -1), without_last_blank)), _front_matter))
+
+
+def _front_matter(every: Column) -> Column:
     rest = F.slice(every, 2, F.greatest(F.size(every) - 1, F.lit(0)))
     # Only lines up to the closing fence are looked at closely, so finding it must be cheap.
-    close = F.array_position(F.transform(rest, lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\xa0"))), "---")
-    pairs = F.filter(F.slice(rest, 1, F.greatest(close - 1, F.lit(0)).cast("int")), lambda x: F.instr(x, ":") > 0)
-    every_entry = F.transform(pairs, lambda x: F.struct(F.lower(strip(F.split(x, ":", 2)[0])).alias("key"), F.regexp_replace(strip(F.split(x, ":", 2)[1]), r"""^["']+|["']+$""", "").alias("value")))
-    entries = F.filter(every_entry, lambda e: (e["key"] != "") & (e["value"] != ""))
-    last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y["key"] == x["key"]))
-    usable = (F.size(every) > 1) & (strip(F.element_at(every, 1)) == "---") & (close > 0)
-    return F.when(usable, F.map_from_entries(last)).otherwise(F.map_from_entries(F.slice(last, 1, 0)))
+    place = F.array_position(F.transform(rest, lambda x: F.btrim(x, F.lit(FENCE_SPACE))), "---")
+    usable = (F.size(every) > 1) & (strip(F.element_at(every, 1)) == "---")
+
+    def entries_of(close: Column) -> Column:
+        pairs = F.filter(F.slice(every, 2, F.greatest(close - 1, F.lit(0)).cast("int")), lambda x: F.instr(x, ":") > 0)
+        every_entry = F.transform(pairs, lambda x: F.struct(F.lower(strip(F.split(x, ":", 2)[0])).alias("key"), F.regexp_replace(strip(F.split(x, ":", 2)[1]), r"""^["']+|["']+$""", "").alias("value")))
+        return F.filter(every_entry, lambda e: (e["key"] != "") & (e["value"] != ""))
+
+    last = lambda entries: F.map_from_entries(F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y["key"] == x["key"])))
+    return once(F.when(usable, place).otherwise(F.lit(0)), lambda close: once(entries_of(close), last))
 
 
 def first_heading(c: Column) -> Column:

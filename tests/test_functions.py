@@ -36,6 +36,19 @@ def test_trimmed_text_may_pass_its_limit(spark):
     assert one(spark, T.trim_text(F.col("t"), 5), t=" a \n b ") == "a b"
 
 
+def test_front_matter_of_long_texts(spark):
+    """The closing fence stands beyond the first lines; text without one; lines are split once a row."""
+    keys = "".join(f"k{i}: {i % 7}\n" for i in range(100)) + "k3: last\n"
+    for rest in ("", "text\n" * 300):
+        found = one(spark, T.front_matter(F.col("t")), t=f"---\n{keys} --- \n{rest}")
+        assert found == {f"k{i}": "last" if i == 3 else str(i % 7) for i in range(100)}
+        assert one(spark, T.front_matter(F.col("t")), t=f"---\n{keys}{rest}") == {}
+        assert one(spark, T.front_matter(F.col("t")), t=f"{keys}---\n{rest}") == {}
+        assert one(spark, T.front_matter(F.col("t")), t=f"---\na: 1\n---\n{rest}b: 2\n---\n") == {"a": "1"}
+    plan = spark.range(1).select(T.front_matter(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(cast(id") == 2
+
+
 def test_markdown_metadata(spark):
     text = "---\ntitle: One\nname: x: y\ntitle: \"Two\"\n---\n# Heading ##\nBy Ann and Bo\n"
     assert one(spark, T.front_matter(F.col("t")), t=text) == {"title": "Two", "name": "x: y"}
