@@ -52,7 +52,8 @@ def chapter_levels(heads: DataFrame, listed: DataFrame | None = None) -> DataFra
 
 def section_lengths(heads: DataFrame, line_counts: DataFrame) -> DataFrame:
     """headings with line_count: lines up to the next heading that is as shallow, at least one."""
-    after = Window.partitionBy("doc_id").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    # From the last line back: a frame that reaches to the end would be added up anew for every row.
+    after = Window.partitionBy("doc_id").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
     nearest = [F.min(F.when(F.col("level") <= k, F.col("line"))).over(after) for k in range(1, 7)]
     until = F.coalesce(F.element_at(F.array(*nearest), F.col("level")), F.col("total_lines"))
     return heads.join(line_counts, "doc_id").withColumn("line_count", F.greatest(until - F.col("line"), F.lit(1))).drop("total_lines")

@@ -318,3 +318,16 @@ def test_similar_pairs_of_clusters_are_all_found_with_few_comparisons(spark):
         assert got == want
     ready = df.select(F.col("label").alias("g0"), F.col("at").alias("p"), "v")
     assert graph.compared(graph.cell_units(graph.cells_of(ready, ["g0"], 0.97, 64), ["g0"], 64), ["g0"]) < 0.15 * (5500**2 + 500**2) / 2
+
+
+def test_section_lengths_of_one_long_document(spark):
+    """Every heading looks at those behind it; the frame must not be added up anew for each."""
+    n, levels = 4000, [1 + (i * 7 + i // 11) % 6 for i in range(4000)]
+    heads = spark.createDataFrame([("a", 2 * i, v, "t") for i, v in enumerate(levels)], "doc_id string, line bigint, level int, title string")
+    sized = structure.section_lengths(heads, spark.createDataFrame([("a", 2 * n)], "doc_id string, total_lines bigint"))
+    want, following = {}, dict.fromkeys(range(1, 7), n)
+    for i in reversed(range(n)):
+        want[2 * i] = 2 * (following[levels[i]] - i)
+        following |= dict.fromkeys(range(levels[i], 7), i)
+    assert {r["line"]: r["line_count"] for r in sized.collect()} == want
+    assert "unboundedfollowing" not in sized._jdf.queryExecution().executedPlan().toString().lower()
