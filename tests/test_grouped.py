@@ -4,8 +4,9 @@ import random
 
 import pytest
 
-from folioscope.operators import graph
+from folioscope.operators import evaluation, graph
 from folioscope.operators.grouped import in_groups
+from folioscope.operators.models import RoutedCompleter
 
 
 @pytest.mark.parametrize("size", ["1", "7", "1000"])
@@ -31,3 +32,13 @@ def test_small_groups_are_compared_many_at_a_time(spark):
     small, blocks = graph.similar_pairs(frame, ["g"], "p", "v", 0.3), graph.similar_pairs(frame, ["g"], "p", "v", 0.3, 2)
     assert small.count() > 50 and sorted(map(tuple, small.collect())) == sorted(map(tuple, blocks.collect()))
     assert "FlatMapGroupsInPandas" not in small._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_are_not_joined_by_broadcast(spark):
+    docs = spark.createDataFrame([(1, "a", 1, "text")], "doc_id bigint, doc_name string, pos bigint, text string")
+    told = spark.createDataFrame([(1, "said", None)], "doc_id bigint, summary string, error string")
+    sections = spark.createDataFrame([(1, 1, "t", "text")], "doc_id bigint, section_index int, title string, text string")
+    scored = evaluation.score_documents(docs, told, sections, RoutedCompleter())
+    assert scored.count() == 1
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 8
