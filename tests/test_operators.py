@@ -281,6 +281,24 @@ def test_closure_of_random_graphs_in_turns(spark):
     assert got == {(d, x) for d in graphs for x in closure_in_turns(graphs[d], orders[d])}
 
 
+def test_small_and_large_graphs_have_the_same_closure(spark):
+    """Graphs walked in a task, by rounds, and some of each; null ends of edges and null documents too."""
+    import random
+
+    rng = random.Random(12)
+    graphs = {f"d{i}": [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(rng.randint(1, 50))] for i in range(30)}
+    rows = [(d, a, b) for d, g in graphs.items() for a, b in g] + [("d0", None, "n1"), ("d0", "n1", None), (None, "n2", "n1"), ("d1", None, None)]
+    edges = spark.createDataFrame(rows, "doc_id string, source string, target string")
+    items = spark.createDataFrame([(d, f"n{x}", i) for d in [*graphs, "alone", None] for i, x in enumerate(rng.sample(range(30), 4))] + [("d2", None, 1), ("d0", "n1", 0)], "doc_id string, id string, turn int")
+    found = [sorted(map(tuple, graph.closure_exact(edges, items, few).collect()), key=str) for few in (0, 20, 4096)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 150
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("walked", "few jobs")
+    graph.closure_exact(edges.where("doc_id IS NOT NULL"), items).count()
+    assert len(jobs.getJobIdsForGroup("walked")) < 16
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_closure_of_one_large_graph(spark):
     """A tree of 300,000 edges under one document, of which one leaf in a thousand is selected."""
     n = 300_000

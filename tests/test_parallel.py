@@ -104,3 +104,11 @@ def test_an_index_of_texts(spark):
     pairs = spark.createDataFrame([("a", "bb"), ("a", "unknown"), ("a", "a")], "l string, r string")
     near = {(r["l"], r["r"]): r["similarity"] for r in models.indexed_similarity(pairs, "l", "r", index).collect()}
     assert near["a", "unknown"] == 0.0 and near["a", "a"] == pytest.approx(1) and near["a", "bb"] == pytest.approx(3 / (2**0.5 * 5**0.5))
+
+
+def test_one_call_at_a_time_without_deadline_stays_in_its_thread():
+    import threading
+
+    seen = []
+    assert list(parallel.in_order(range(5), lambda x: seen.append(threading.get_ident()) or x, 1)) == [0, 1, 2, 3, 4]
+    assert set(seen) == {threading.get_ident()}
