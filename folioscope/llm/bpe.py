@@ -24,6 +24,8 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
+import struct
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -92,6 +94,8 @@ class ByteBpe:
         self.lookahead = lookahead([(self.token[vocab[a]], self.token[vocab[b]]) for a, b in pairs])
         self.buffer = max(buffer, 2 * self.lookahead)
         self.words, self.strict, self.newer = regex.compile(PATTERN), regex.compile(STRICT), regex.compile(f"[{NEWER}]")
+        # The least to the last of the newer code points, which most texts have none between.
+        self.high = re.compile("[\u0558-\U0003fc3f]")
         self.edge = regex.compile(r"\S(?=\s)")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.new: dict[str, bytes] = {}
@@ -107,12 +111,12 @@ class ByteBpe:
             if least == _NONE:
                 break
             i = ranks.index(least)
-            ids[i : i + 2] = [result[least]]
-            del ranks[i]
+            ids[i] = new = result[least]
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), _NONE)
+                ranks[i - 1] = get((ids[i - 1], new), _NONE)
             if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), _NONE)
+                ranks[i] = get((new, ids[i + 1]), _NONE)
         return ids
 
     def stream(self, chunks: Iterator[bytes]) -> Iterator[list[int]]:
@@ -140,7 +144,8 @@ class ByteBpe:
         found = self.old.get(text)
         if found is None:
             data = text.encode()
-            found = b"".join(np.array(part, "<u4").tobytes() for part in self.stream(data[at : at + self.buffer] for at in range(0, len(data), self.buffer)))
+            chunks = (data,) if len(data) <= self.buffer else (data[at : at + self.buffer] for at in range(0, len(data), self.buffer))
+            found = b"".join([struct.pack(f"<{len(part)}I", *part) for part in self.stream(chunks)])
             if len(data) > 64:
                 return found
         if len(self.new) >= _CACHE:
@@ -156,8 +161,12 @@ class ByteBpe:
             at = edge.end()
         yield text[at:] if at else text
 
+    def has_newer(self, text: str) -> bool:
+        """Whether a text has newer code points, which are looked for among its distinct ones."""
+        return not text.isascii() and self.high.search(text) is not None and self.newer.search("".join(set(text))) is not None
+
     def _plain(self, text: str) -> Iterator[bytes]:
-        pattern = self.words if text.isascii() or not self.newer.search(text) else self.strict
+        pattern = self.strict if self.has_newer(text) else self.words
         for block in self.blocks(text):
             words = pattern.findall(block)
             out = list(map(self.new.get, words))

@@ -85,3 +85,20 @@ def test_long_texts(own, library):
         want = library.encode(text, add_special_tokens=False).ids
         assert count == len(want) and ids == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         assert back == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_newer_code_points_are_looked_for_once_a_text():
+    """The pattern of some 17,000 code points meets a text's distinct characters only, and none of texts without any."""
+    own = bpe.ByteBpe(bpe.definition_at())
+    last, first = "\U0003fc3f", "՘"
+    assert own.has_newer(f"a{first}") and own.has_newer(f"{last}é") and not own.has_newer("aé’中") and not own.has_newer("plain")
+    met = []
+
+    class Counting:
+        def search(self, text):
+            met.append(len(text))
+
+    own.newer = Counting()
+    text = "é’" * 1000 + "naïve text " * 1000
+    assert b"".join(own.encode(text)) and b"".join(own.encode("é" * 50))
+    assert sum(met) <= len(set(text))
