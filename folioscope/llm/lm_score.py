@@ -216,6 +216,21 @@ def in_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed & 0xFFFFFFFF, packed >> 32
 
 
+def row_sums(slope: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums over the square root of their number n of slope's rows that begin at first in order. Most
+    rows of weights are met once in a step, so only the others are added up."""
+    g = slope.take(order.take(first), axis=0)
+    many = np.flatnonzero(n > 1)
+    if len(many):
+        times = n[many]
+        starts = np.cumsum(times) - times
+        held = order[np.repeat(first[many] - starts, times) + np.arange(starts[-1] + times[-1])]
+        sums = np.add.reduceat(slope.take(held, axis=0), starts, axis=0)
+        sums *= (1 / np.sqrt(times.astype(np.float32)))[:, None]
+        g[many] = sums
+    return g
+
+
 def put_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """table[at] = rows, each row as one item, which numpy copies faster."""
     row = np.dtype((np.void, table.itemsize * table.shape[1]))
@@ -255,9 +270,8 @@ class Learner:
             order, ordered = in_order(rows)
             first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
             at = ordered[first]
-            n = np.diff(np.append(first, len(rows))).astype(np.float32)
-            g = np.add.reduceat(slope.take(order, axis=0), first, axis=0)
-            g *= (1 / np.sqrt(n))[:, None]
+            n = np.diff(np.append(first, len(rows)))
+            g = row_sums(slope, order, first, n)
             square = self.squares[table].take(at, axis=0)
             square += g * g
             put_rows(self.squares[table], at, square)

@@ -172,3 +172,17 @@ def test_scores_against_a_slow_model(spark, corpus):
 def test_repeated_rows_are_scored_alike(odd):
     found = [r["score"] for r in S.score_documents(odd).collect() if r["doc_id"] == 7 and r["n_tokens"] == 5]
     assert len(found) == 2 and found[0] == found[1]
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 4000])
+def test_sums_of_rows_are_those_of_one_pass_over_all(most):
+    """Rows of weights that are met once are not added up, and the others give the same bits as before."""
+    rng = np.random.default_rng(most)
+    rows = (np.arange(4000) if most == 1 else rng.integers(0, 4000 // most + 1, 4000)).astype(np.uint32)
+    slope = rng.standard_normal((4000, 8)).astype(np.float32)
+    order, ordered = S.in_order(rows)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    n = np.diff(np.append(first, len(rows)))
+    want = np.add.reduceat(slope.take(order, axis=0), first, axis=0) * (1 / np.sqrt(n.astype(np.float32)))[:, None]
+    got = S.row_sums(slope, order, first, n)
+    assert got.dtype == np.float32 and np.array_equal(got, want)
