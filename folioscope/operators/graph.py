@@ -99,11 +99,12 @@ def cells_of(ready: DataFrame, keys: list[str], threshold: float, block: int = B
     one block have one cell. A vector at distance e from another can only be nearer to pivot q than to its
     own pivot o if (|x - q|^2 - |x - o|^2) / (2 |q - o|) is at most e. Rows meet the pivots of their group in
     parts of CHUNK rows, or fewer where each may visit many cells, so neither is gathered whole and no part
-    gives more than about MET rows.
+    gives more than about MET visits. A task gives each vector once, with the list of its cells, and so they are
+    written; the rows of visitors come of the list when it is read.
     """
     sizes = ready.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     sized = ready.join(sizes, keys)
-    few = sized.where("blocks = 1").select(*keys, "p", "v", F.lit(0).alias("cell"), F.lit(False).alias("visits"))
+    few = sized.where("blocks = 1").select(*keys, "p", "v", F.array(F.lit(0)).alias("cells"))
     many = sized.where("blocks > 1")
     wanted = F.least(F.col("blocks") * 2, F.lit(PIVOTS))
     drawn = F.pmod(F.xxhash64("p", F.lit("pivot")), F.lit(1 << 30)) < (wanted / F.col("n") * (1 << 30))
@@ -116,7 +117,7 @@ def cells_of(ready: DataFrame, keys: list[str], threshold: float, block: int = B
 
     def run(found: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
         x = _unit_rows(found["v"]) if len(found) else np.zeros((0, 1))
-        row, cell, visits = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        cells = np.zeros((len(x), 1), np.int32)
         if len(centres) and len(x):
             c = _unit_rows(centres.sort_values("o")["c"])
             apart = np.sqrt(np.maximum(_squares(c)[:, None] - 2 * c @ c.T + _squares(c), 0))
@@ -129,16 +130,16 @@ def cells_of(ready: DataFrame, keys: list[str], threshold: float, block: int = B
                 least = d[np.arange(len(part)), own][:, None]
                 near = (d - least <= 2 * apart[own] * reach) & (np.arange(len(c)) > own[:, None]) & (_squares(part) > 0)[:, None]
                 i, j = np.nonzero(near)
-                out.append((own, i + lo, j))
-            own = np.concatenate([o for o, _, _ in out])
-            i, j = (np.concatenate([o[k] for o in out]) for k in (1, 2))
-            row, cell, visits = np.concatenate([row, i]), np.concatenate([own, j]), np.concatenate([visits, np.ones(len(i), bool)])
-        got = {k: found[k].to_numpy(object)[row] if len(found) else np.array([], object) for k in [*keys, "p", "v"]}
-        return pd.DataFrame({**got, "cell": cell, "visits": visits})
-
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"p {kinds['p']}, v array<double>, cell int, visits boolean"])
+                met = np.split(j.astype(np.int32), np.searchsorted(i, np.arange(1, len(part))))
+                out += [np.append(np.int32(o), m) for o, m in zip(own, met, strict=True)]
+            cells = out
+        got = {k: found[k].to_numpy(object) if len(found) else np.array([], object) for k in [*keys, "p", "v"]}
+        return pd.DataFrame({**got, "cells": pd.Series(list(cells), dtype=object)})
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"p {kinds['p']}, v array<double>, cells array<int>"])
     by = [*keys, "part"]
-    return few.unionByName(dealt.groupBy(*by).cogroup(pivots.groupBy(*[f"o_{k}" for k in by])).applyInPandas(run, schema))
+    whole = cut(few.unionByName(dealt.groupBy(*by).cogroup(pivots.groupBy(*[f"o_{k}" for k in by])).applyInPandas(run, schema)))
+    return whole.select(*keys, "p", "v", F.posexplode("cells").alias("at", "cell")).select(*keys, "p", "v", "cell", (F.col("at") > 0).alias("visits"))
 
 
 def _squares(x: np.ndarray) -> np.ndarray:
@@ -148,7 +149,6 @@ def _squares(x: np.ndarray) -> np.ndarray:
 def cell_units(cells: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     """Rows of all units of comparison of cells_of: block b of a cell with those of its visitors that are in
     chunk a >= 0, or with its own earlier block -1 - a; what is compared with the block has visits."""
-    cells = cut(cells)
     by = [*keys, "cell"]
     sizes = cells.groupBy(*by).agg(F.ceil(F.count_if(~F.col("visits")) / block).alias("blocks"), F.greatest(F.ceil(F.count_if("visits") / block), F.lit(1)).alias("chunks")).where("blocks > 0")
     sized = cells.join(sizes, by).withColumn("x", F.pmod(F.xxhash64("p", F.lit("block")), F.when(F.col("visits"), F.col("chunks")).otherwise(F.col("blocks"))))

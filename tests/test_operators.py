@@ -349,3 +349,16 @@ def test_section_lengths_of_one_long_document(spark):
         following |= dict.fromkeys(range(levels[i], 7), i)
     assert {r["line"]: r["line_count"] for r in sized.collect()} == want
     assert "unboundedfollowing" not in sized._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_vectors_are_written_once_for_all_cells_that_they_visit(spark, monkeypatch):
+    import numpy as np
+
+    v = np.random.default_rng(3).standard_normal((600, 16))
+    ready = spark.createDataFrame([("a" if i < 590 else "b", i, x) for i, x in enumerate(v.tolist())], "g0 string, p bigint, v array<double>")
+    own, written = graph.cut, []
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(own(df)) or written[-1])
+    cells = graph.cells_of(ready, ["g0"], 0.25, 64)
+    assert graph.cell_units(cells, ["g0"], 64).count() > 4 * 600
+    assert [t.count() for t in written] == [600]
+    assert cells.where("NOT visits").count() == 600 and cells.where("visits").count() > 600
