@@ -42,3 +42,15 @@ def test_scores_are_not_joined_by_broadcast(spark):
     assert scored.count() == 1
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 8
+
+
+def test_small_groups_are_dealt_to_all_partitions_of_the_session(spark):
+    """Merged by their bytes they were one task, however long their work takes."""
+
+    def run(found):
+        from pyspark import TaskContext
+
+        return {"k": [found["k"].iloc[0]], "task": [TaskContext.get().partitionId()]}
+
+    got = in_groups(spark.createDataFrame([(str(k), 0) for k in range(60)], "k string, i bigint"), ["k"], ["i"], run, "k string, task int").collect()
+    assert len(got) == 60 and len({r["task"] for r in got}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
