@@ -134,3 +134,8 @@ def test_responses(spark):
     found = one(spark, jsonx.transcript(jsonx.salvage(F.col("t"))), t=said)
     assert found["text"] == "a" and [tuple(s) for s in found["segments"]] == [("a", None, 1.5, 2.0)]
     assert [s["text"] for s in one(spark, jsonx.transcript(jsonx.salvage(F.col("t"))), t='{"text": "all"}')["segments"]] == ["all"]
+
+
+def test_texts_without_headings_have_the_fallback(spark):
+    rows = spark.createDataFrame([(1, "a\nb"), (2, "## A ##\nx # y\n# B"), (3, None), (4, "x # y\n#\n"), (5, "")], "id int, text string")
+    assert [r["p"] for r in rows.orderBy("id").select(T.heading_path(F.col("text"), F.lit("f")).alias("p")).collect()] == ["f", "A ## > B", "f", "f", "f"]
