@@ -59,17 +59,26 @@ RATES, DAMP = (0.15, 0.25, 0.5, 0.2), 2.0
 #: Rows of a table that are summed at once.
 _BLOCKS = (1 << 13, 1 << 13, 2048, 1 << 13)
 _GATHER = 4_000_000
+#: Weights that are changed at once.
+_NEAR = 1 << 14
+#: The least logarithm of a factor.
+_LEAST = np.float32(np.log(1e-30))
 _END = np.uint64(0x7E57ED0C00000000)
 _START = np.uint64(0x57A2700000000000)
 _LOW = np.uint64(RARE - 1)
+#: Classes of rare words by their first two bytes.
+_KINDS = mix(np.arange(1 << 16, dtype=np.uint64)) & _LOW
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def tokens(texts: list[bytes]) -> Iterator[np.ndarray]:
     """Each text's tokens and one end: 64-bit hashes whose low bits are the class a rare word has."""
     for words, heads in word_hashes(texts, heads=True):
-        kind = mix(heads.astype(np.uint64)) & _LOW
-        yield np.append((words & ~_LOW) | kind, _END)
+        found = np.empty(len(words) + 1, np.uint64)
+        np.bitwise_and(words, ~_LOW, out=found[:-1])
+        found[:-1] |= _KINDS.take(heads)
+        found[-1] = _END
+        yield found
 
 
 def histories(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,6 +93,29 @@ def histories(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return every, one, two
 
 
+def aligned(shape: tuple[int, int]) -> np.ndarray:
+    """Room for a table whose rows of 32 and 64 bytes lie in one line of the CPU's caches each."""
+    size = shape[0] * shape[1] * 4
+    held = np.empty(size + 64, np.uint8)
+    at = -held.ctypes.data % 64
+    return held[at : at + size].view(np.float32).reshape(shape)
+
+
+def picked(rows: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Where in the flat rows the column right of each row is."""
+    return np.arange(0, rows.size, rows.shape[1]) + right
+
+
+def feature_hash(x: np.ndarray) -> np.ndarray:
+    """The first 31 bits of mix(x), whose last step leaves them as they are; x is overwritten."""
+    with np.errstate(over="ignore"):
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+    return x
+
+
 def cell_of(every: np.ndarray, depth: int) -> np.ndarray:
     kind = (every & _LOW).astype(np.int64) << depth
     return kind | (every >> np.uint64(64 - depth)).astype(np.int64) if depth else kind
@@ -96,6 +128,9 @@ class Model:
         """cells has the mass of each leaf, RARE rows of 2^depth; without them a class is one leaf."""
         order = np.argsort(top, kind="stable")
         self.top, self.place = top[order], order.astype(np.int64)  # by hash; the place is the rank by frequency
+        #: Frequent tokens before those that begin with each 16 bits, and the most that begin alike.
+        self.before = np.searchsorted(self.top, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)).astype(np.uint16)
+        self.alike = int(np.bincount((self.top >> np.uint64(48)).astype(np.int64), minlength=1).max())
         self.rare_mass = rare_mass
         mass = np.concatenate([np.bincount(np.arange(len(top)) // PER_CLASS, top_counts + 1.0, WORD_CLASSES), rare_mass])
         grouped = mass.reshape(GROUPS, SIDE)
@@ -124,12 +159,24 @@ class Model:
         self.tables = [np.zeros((1 << bits, width), np.float32) for bits, width in zip(self.bits, widths, strict=True)]
         self.total = total
 
+    def __setstate__(self, state: dict) -> None:
+        """A task's copy has aligned tables."""
+        self.__dict__ = dict(state)
+        self.tables = []
+        while state["tables"]:
+            table = state["tables"].pop(0)
+            self.tables.append(aligned(table.shape))
+            self.tables[-1][:] = table
+
     def ranks(self, every: np.ndarray) -> np.ndarray:
         """The rank of frequent tokens, -1 for others."""
-        if not len(self.top):
-            return np.full(len(every), -1)
-        at = np.minimum(np.searchsorted(self.top, every), len(self.top) - 1)
-        return np.where(self.top[at] == every, self.place[at], -1)
+        found = np.full(len(every), -1)
+        at = self.before.take((every >> np.uint64(48)).astype(np.int64)).astype(np.int64)
+        for _ in range(self.alike):
+            hit = np.flatnonzero(self.top.take(at, mode="clip") == every)
+            found[hit] = self.place.take(at[hit], mode="clip")
+            at += 1
+        return found
 
     def classes(self, every: np.ndarray, rank: np.ndarray) -> np.ndarray:
         return np.where(rank >= 0, rank // PER_CLASS, WORD_CLASSES + (every & _LOW).astype(np.int64))
@@ -139,67 +186,73 @@ class Model:
         return cell_of(every, self.depth)
 
     def tree_path(self, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The nodes above each token's leaf (a column a level) and the way that is taken at each."""
-        kind, leaf = np.divmod(self.cells(every), 1 << self.depth)
-        down = np.arange(self.depth, 0, -STEP)
-        node = (leaf[:, None] >> down) + (kind * self.firsts[-1])[:, None] + self.firsts[:-1]
-        return node, (leaf[:, None] >> (down - STEP)) & (WAYS - 1)
+        """The nodes above each token's leaf (a row a level) and the way that is taken at each."""
+        cell = self.cells(every)
+        kind, leaf = cell >> self.depth, cell & ((1 << self.depth) - 1)
+        down = np.arange(self.depth, 0, -STEP)[:, None]
+        node = (leaf >> down) + kind * self.firsts[-1] + self.firsts[:-1, None]
+        return node, (leaf >> (down - STEP)) & (WAYS - 1)
 
     def tree_features(self, one: np.ndarray, two: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
             own = node.astype(np.uint64) * _B
-            hashed = (mix((one * _A)[:, None] + own).ravel(), mix((two * _C)[:, None] + own).ravel())
-        return self._rows(3, hashed)
+            return self._rows(3, ((one * _A + own).ravel(), (two * _C + own).ravel()))
 
     def group_features(self, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
-            hashed = (mix(one * _A), mix(two * _B), mix(one * _A + two * _C))
-        return self._rows(0, hashed)
+            return self._rows(0, (one * _A, two * _B, one * _A + two * _C))
 
     def class_features(self, one: np.ndarray, two: np.ndarray, side: np.ndarray) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
             own = (side + 1).astype(np.uint64) * _C
-            hashed = (mix(one * _B + own), mix(two * _A + own), mix(one * _C + two * _B + own))
-        return self._rows(1, hashed)
+            return self._rows(1, (one * _B + own, two * _A + own, one * _C + two * _B + own))
 
     def word_features(self, one: np.ndarray, two: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
             own = group.astype(np.uint64) * _B
-            hashed = (mix(one * _A + own), mix(one * _C + two * _A + own))
-        return self._rows(2, hashed)
+            return self._rows(2, (one * _A + own, one * _C + two * _A + own))
 
-    def _rows(self, table: int, hashed: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    def _rows(self, table: int, features: tuple[np.ndarray, ...]) -> list[np.ndarray]:
         kind = np.uint16 if self.bits[table] <= 16 else np.uint32
-        return [(h >> np.uint64(64 - self.bits[table])).astype(kind) for h in hashed]
+        return [(feature_hash(h) >> np.uint64(64 - self.bits[table])).astype(kind) for h in features]
+
+    def group_biases(self, n: int) -> np.ndarray:
+        return self.group_bias[None].take(np.zeros(n, np.int64), axis=0)
 
     @staticmethod
-    def chances(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        """Weights stay far below what overflows an exponential, so no maximum is taken off."""
-        logits = weights.take(rows[0], axis=0)
+    def logits(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        found = weights.take(rows[0], axis=0)
         for r in rows[1:]:
-            logits += weights.take(r, axis=0)
-        logits += bias
-        np.exp(logits, out=logits)
-        logits *= (1 / np.einsum("ij->i", logits))[:, None]
-        return logits
+            found += weights.take(r, axis=0)
+        found += bias
+        return found
+
+    def _log_chance(self, table: int, bias: np.ndarray, rows: list[np.ndarray], right: np.ndarray) -> np.ndarray:
+        """Natural logarithms of what the softmaxes give to the right columns. Weights stay far below what
+        overflows an exponential, so no maximum is taken off; a row's sum is the same wherever it stands."""
+        found = self.logits(bias, self.tables[table], rows)
+        out = found.ravel().take(picked(found, right))
+        out -= np.log(np.einsum("ij->i", np.exp(found, out=found)))
+        return out
 
     def log_chances(self, every: np.ndarray, one: np.ndarray, two: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """log10 of P(class | history) and, for frequent tokens, of P(word | class); for others of P(leaf | class)."""
         group = self.classes(every, rank)
-        side, place = np.divmod(group, SIDE)
-        at = np.arange(len(group))
-        p = self.chances(self.group_bias, self.tables[0], self.group_features(one, two))[at, side]
-        p = p * self.chances(self.class_bias[side], self.tables[1], self.class_features(one, two, side))[at, place]
-        out = np.log10(np.maximum(p, 1e-30)).astype(np.float64)
+        side, place = group // SIDE, group & (SIDE - 1)
+        p = self._log_chance(0, self.group_biases(len(group)), self.group_features(one, two), side)
+        p += self._log_chance(1, self.class_bias.take(side, axis=0), self.class_features(one, two, side), place)
+        out = np.maximum(p, _LEAST).astype(np.float64)
         known = np.flatnonzero(rank >= 0)
         if len(known):
-            q = self.chances(self.word_bias[group[known]], self.tables[2], self.word_features(one[known], two[known], group[known]))
-            out[known] += np.log10(np.maximum(q[np.arange(len(known)), rank[known] % PER_CLASS], 1e-30))
+            own = group[known]
+            q = self._log_chance(2, self.word_bias.take(own, axis=0), self.word_features(one[known], two[known], own), rank[known] & (PER_CLASS - 1))
+            out[known] += np.maximum(q, _LEAST)
         loose = np.flatnonzero(rank < 0)
         if len(loose) and self.depth:
             node, way = self.tree_path(every[loose])
-            p = self.chances(self.tree_bias.take(node.ravel(), axis=0), self.tables[3], self.tree_features(one[loose], two[loose], node))
-            out[loose] += np.log10(np.maximum(p[np.arange(node.size), way.ravel()], 1e-30)).reshape(node.shape).sum(axis=1, dtype=np.float64)
+            p = self._log_chance(3, self.tree_bias.take(node.ravel(), axis=0), self.tree_features(one[loose], two[loose], node), way.ravel())
+            out[loose] += np.maximum(p, _LEAST).reshape(node.shape).sum(axis=0, dtype=np.float64)
+        out /= np.log(10)
         return out
 
 
@@ -238,58 +291,78 @@ def put_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
 
 
 class Learner:
-    """Gradient steps (AdaGrad by weight) on a copy of the model's weights."""
+    """Gradient steps (AdaGrad by weight) on a copy of the model's weights. Each row of weights is followed
+    by that of its sums of squares, so that both come into the CPU's caches at once."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
         self.start = model.tables
-        self.squares = [np.full_like(w, DAMP) for w in self.start]
+        self.pairs = [aligned((2 * len(w), w.shape[1])) for w in self.start]
         self.touched = [np.zeros(len(w), bool) for w in self.start]
-        model.tables = [w.copy() for w in self.start]
+        for pairs, w in zip(self.pairs, self.start, strict=True):
+            pairs[::2], pairs[1::2] = w, DAMP
+        model.tables = [pairs[::2] for pairs in self.pairs]
+        #: What sums up a narrow row into all its columns.
+        self.ones = [np.ones((w.shape[1], w.shape[1] if w.shape[1] <= 8 else 1), np.float32) for w in self.start]
 
     def step(self, every: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         m = self.model
         rank = m.ranks(every)
         group = m.classes(every, rank)
-        side, place = np.divmod(group, SIDE)
-        self._softmax(0, m.group_bias, m.group_features(one, two), side)
-        self._softmax(1, m.class_bias[side], m.class_features(one, two, side), place)
+        side, place = group // SIDE, group & (SIDE - 1)
+        self._softmax(0, m.group_biases(len(group)), m.group_features(one, two), side)
+        self._softmax(1, m.class_bias.take(side, axis=0), m.class_features(one, two, side), place)
         known = np.flatnonzero(rank >= 0)
         if len(known):
-            self._softmax(2, m.word_bias[group[known]], m.word_features(one[known], two[known], group[known]), rank[known] % PER_CLASS)
+            own = group[known]
+            self._softmax(2, m.word_bias.take(own, axis=0), m.word_features(one[known], two[known], own), rank[known] & (PER_CLASS - 1))
         loose = np.flatnonzero(rank < 0)
         if len(loose) and m.depth:
             node, way = m.tree_path(every[loose])
             self._softmax(3, m.tree_bias.take(node.ravel(), axis=0), m.tree_features(one[loose], two[loose], node), way.ravel())
 
     def _softmax(self, table: int, bias: np.ndarray, features: list[np.ndarray], right: np.ndarray) -> None:
-        weights = self.model.tables[table]
-        slope = self.model.chances(bias, weights, features)
-        slope[np.arange(len(right)), right] -= 1
-        for rows in features:
-            order, ordered = in_order(rows)
-            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            at = ordered[first]
-            n = np.diff(np.append(first, len(rows)))
-            g = row_sums(slope, order, first, n)
-            square = self.squares[table].take(at, axis=0)
-            square += g * g
-            put_rows(self.squares[table], at, square)
-            np.sqrt(square, out=square)
-            g *= RATES[table]
-            g /= square
-            put_rows(weights, at, weights.take(at, axis=0) - g)
-            self.touched[table][at] = True
+        pairs, n, rows = self.pairs[table], len(right), np.concatenate(features)
+        held = pairs.take(rows.astype(np.int64) << 1, axis=0)
+        slope = held[:n] + bias
+        for at in range(n, len(rows), n):
+            slope += held[at : at + n]
+        np.exp(slope, out=slope)
+        slope /= slope @ self.ones[table]
+        slope.ravel()[picked(slope, right)] -= 1
+        order, ordered = in_order(rows)
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        at = ordered.take(first).astype(np.int64)
+        self.touched[table][at] = True
+        g = row_sums(slope, np.tile(np.arange(n), len(features)).take(order), first, np.diff(np.append(first, len(rows))))
+        size = _NEAR // slope.shape[1]
+        for i in range(0, len(at), size):
+            self._move(table, at[i : i + size], g[i : i + size])
+
+    def _move(self, table: int, at: np.ndarray, g: np.ndarray) -> None:
+        """A step of rows that are few enough to stay in a CPU's own cache from the first access to the last."""
+        pairs, at = self.pairs[table], at << 1
+        square = pairs.take(at + 1, axis=0)
+        square += g * g
+        put_rows(pairs, at + 1, square)
+        np.sqrt(square, out=square)
+        g *= RATES[table]
+        g /= square
+        weights = pairs.take(at, axis=0)
+        weights -= g
+        put_rows(pairs, at, weights)
 
     def changes(self) -> pd.DataFrame:
         """The changes of each block's touched rows as 16-bit floats, and a bit for each row of the block."""
         out = []
-        for table, (new, old) in enumerate(zip(self.model.tables, self.start, strict=True)):
+        for table, (pairs, old) in enumerate(zip(self.pairs, self.start, strict=True)):
             size = _BLOCKS[table]
             for at in range(0, len(old), size):
                 touched = self.touched[table][at : at + size]
-                if touched.any():
-                    delta = new[at : at + size][touched] - old[at : at + size][touched]
+                rows = np.flatnonzero(touched) + at
+                if len(rows):
+                    delta = pairs.take(2 * rows, axis=0)
+                    delta -= old.take(rows, axis=0)
                     out.append((table, at, delta.astype(np.float16).tobytes(), np.packbits(touched).tobytes()))
         return pd.DataFrame(out, columns=["part", "at", "delta", "tasks"])
 
@@ -348,7 +421,9 @@ def _summed(df: DataFrame, tasks: int) -> DataFrame:
         for single, d, c in zip(group["single"], group["delta"], group["tasks"], strict=True):
             if single:
                 touched = np.flatnonzero(np.unpackbits(np.frombuffer(c, np.uint8))[: len(count)])
-                delta[touched] += np.frombuffer(d, np.float16).reshape(-1, width)
+                more = delta.take(touched, axis=0)
+                more += np.frombuffer(d, np.float16).reshape(-1, width)
+                put_rows(delta, touched, more)
                 count[touched] += 1
             else:
                 delta += np.frombuffer(d, np.float32).reshape(-1, width)
@@ -443,7 +518,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             out = []
             for group in batches_of(tokens(utf8(b["body"].tolist()))):
-                logs, rares, bases, seen = [], [], [], []
+                logs, bases, seen = [], [], []
                 for every, one, two in cut(group):
                     # Distinct tokens in order are looked up much faster than all as they come.
                     types, place = np.unique(every, return_inverse=True)
@@ -457,13 +532,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     logs.append(chance)
                     bases.append(base)
                     seen.append(n > 0)
-                    rares.append(n == 0)
-                chance, base, has, rare = (np.concatenate(x) for x in (logs, bases, seen, rares))
+                chance, base, has = (np.concatenate(x) for x in (logs, bases, seen))
                 at = 0
                 for d in group:
                     s = slice(at, at + len(d))
-                    unknown, times = np.unique(d[rare[s]], return_counts=True) if not heavy["all"] else (d[:0], np.zeros(0, int))
-                    out.append((len(d), int(has[s].sum()), float(base[s].sum()), float(chance[s].sum()), unknown.view(np.int64), times))
+                    unknown, times = np.unique(d[~has[s]], return_counts=True) if not heavy["all"] else (d[:0], np.zeros(0, int))
+                    out.append((len(d), int(np.count_nonzero(has[s])), float(base[s].sum()), float(chance[s].sum()), unknown.view(np.int64), times))
                     at += len(d)
             yield pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "chance", "unknown", "times"]).assign(id=b["id"].values, held_out=b["held_out"].values)
 

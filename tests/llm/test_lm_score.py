@@ -1,4 +1,5 @@
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -186,3 +187,51 @@ def test_sums_of_rows_are_those_of_one_pass_over_all(most):
     want = np.add.reduceat(slope.take(order, axis=0), first, axis=0) * (1 / np.sqrt(n.astype(np.float32)))[:, None]
     got = S.row_sums(slope, order, first, n)
     assert got.dtype == np.float32 and np.array_equal(got, want)
+
+
+def test_a_step_is_adagrad_on_each_row_once():
+    """A row that several features of a step meet changes once, by the slopes of all of them."""
+    rng = np.random.default_rng(3)
+    for table in range(4):
+        m = S.Model(np.zeros(0, np.uint64), np.zeros(0), np.ones(S.RARE), 1, np.ones((S.RARE, 8)), 1000)
+        width = m.tables[table].shape[1]
+        bias, right = rng.normal(0, 1, (50, width)).astype(np.float32), rng.integers(0, width, 50)
+        features = [rng.integers(0, 30, 50).astype(np.uint16) for _ in range(2)]
+        weights, squares = np.zeros((30, width)), np.full((30, width), S.DAMP)
+        learner = S.Learner(m)
+        for _ in range(3):
+            learner._softmax(table, bias, features, right)
+            z = np.exp(bias + weights[features[0]] + weights[features[1]])
+            slope = z / z.sum(axis=1, keepdims=True) - np.eye(width)[right]
+            for row in range(30):
+                met = np.concatenate([slope[f == row] for f in features])
+                if len(met):
+                    g = met.sum(axis=0) / math.sqrt(len(met))
+                    squares[row] += g * g
+                    weights[row] -= S.RATES[table] * g / np.sqrt(squares[row])
+        assert np.allclose(m.tables[table][:30], weights, atol=1e-5) and not m.tables[table][30:].any()
+        changes = learner.changes()
+        found = np.frombuffer(changes["delta"].iloc[0], np.float16).reshape(-1, width)
+        met = np.unique(np.concatenate(features))
+        assert len(changes) == 1 and np.allclose(found, weights[met], atol=1e-3)
+        assert np.flatnonzero(np.unpackbits(np.frombuffer(changes["tasks"].iloc[0], np.uint8))).tolist() == met.tolist()
+
+
+def test_tables_in_tasks_are_aligned():
+    """A row of 32 bytes isn't in two lines of the CPU's caches."""
+    m = S.Model(np.zeros(0, np.uint64), np.zeros(0), np.ones(S.RARE), 1, np.ones((S.RARE, 8)), 1000)
+    for t in m.tables:
+        t[:] = np.arange(t.size).reshape(t.shape)
+    there = pickle.loads(pickle.dumps(m))
+    learner = S.Learner(pickle.loads(pickle.dumps(m)))
+    for table, pairs, want in zip(there.tables, learner.pairs, m.tables, strict=True):
+        assert np.array_equal(table, want) and np.array_equal(pairs[::2], want)
+        assert table.ctypes.data % 64 == 0 and pairs.ctypes.data % 64 == 0
+
+
+def test_ranks_of_tokens_that_begin_alike():
+    top = np.array([5 << 48, (5 << 48) + 1, (5 << 48) + 9, 0, (1 << 64) - 1, 7 << 48], np.uint64)
+    m = S.Model(top, np.arange(6, 0, -1.0), np.ones(S.RARE), 1)
+    every = np.concatenate([top, np.array([1, (5 << 48) + 2, 6 << 48, (7 << 48) + 1, (1 << 64) - 2], np.uint64)])
+    assert m.ranks(every).tolist() == [0, 1, 2, 3, 4, 5, -1, -1, -1, -1, -1]
+    assert S.Model(top[:0], np.zeros(0), np.ones(S.RARE), 1).ranks(every).tolist() == [-1] * 11
