@@ -522,16 +522,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for every, one, two in cut(group):
                     # Distinct tokens in order are looked up much faster than all as they come.
                     types, place = np.unique(every, return_inverse=True)
-                    rank = own.ranks(types)[place]
+                    rank = own.ranks(types).take(place)
                     at = np.minimum(np.searchsorted(heavy["token"], types), len(heavy["token"]) - 1)
-                    n = (np.where(heavy["token"][at] == types, heavy["count"][at], 0) if len(heavy["token"]) else np.zeros(len(types), np.int64))[place]
-                    base = np.log10(n + 1.0)
+                    n = np.where(heavy["token"][at] == types, heavy["count"][at], 0) if len(heavy["token"]) else np.zeros(len(types), np.int64)
+                    base = np.log10(n + 1.0).take(place)
                     chance = own.log_chances(every, one, two, rank)
                     loose = rank < 0
                     chance[loose] += base[loose] - own.log_cells[own.cells(every[loose])]
                     logs.append(chance)
                     bases.append(base)
-                    seen.append(n > 0)
+                    seen.append((n > 0).take(place))
                 chance, base, has = (np.concatenate(x) for x in (logs, bases, seen))
                 at = 0
                 for d in group:
